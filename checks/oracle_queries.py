@@ -111,3 +111,83 @@ select site, obs_date,
        case when n_high >= 3 then 'HIGH' when n_high >= 1 or n_moderate >= 3 then 'MODERATE' else 'LOW' end
          as overall_risk
 from counts"""
+
+
+FRULE = """
+, frule(type, ord, temp_lo, temp_hi, humidity_min, best_months, description) as (values
+  ('nitrogen_early_spring', 0, 10, 20, 50, [2, 3], 'Nitrogen for vegetative recovery and flower differentiation'),
+  ('boron_preflowering', 1, 12, 22, 55, [3, 4], 'Boron, zinc for flowering and fruit set'),
+  ('potassium_summer', 2, 20, 32, 40, [6, 7, 8], 'Potassium, magnesium for fruit growth'),
+  ('calcium_midsummer', 3, 18, 30, 45, [5, 6, 7], 'Calcium for fruit firmness and stress resistance'),
+  ('phosphorus_autumn', 4, 12, 25, 50, [9, 10, 11], 'Phosphorus for reserve replenishment'))"""
+
+
+def _advice(src: str) -> str:
+    return f"""
+, adv as (
+  select s.site, s.obs_date, s.month, s.avg_temp, s.avg_humidity, s.total_rain, r.*,
+         coalesce(round_even(s.avg_temp, 9) between r.temp_lo and r.temp_hi, false) as temperature_ok,
+         coalesce(round_even(s.avg_humidity, 9) >= r.humidity_min, false) as humidity_ok,
+         coalesce(round_even(s.total_rain, 9) < 5, false) as no_rain_ok
+  from {src} s join frule r on list_contains(r.best_months, s.month))
+, adv2 as (
+  select *, temperature_ok and humidity_ok and no_rain_ok as weather_suitable,
+         case when temperature_ok and humidity_ok and no_rain_ok then 'OPTIMAL' else 'SUBOPTIMAL' end as status
+  from adv)"""
+
+
+def _win7(src: str = "wx") -> str:
+    return f"""
+, win7 as (
+  select site, obs_date, cast(month(obs_date) as int) as month, count(*) over w as n_rows,
+         avg(avg_temp) over w as avg_temp, avg(humidity) over w as avg_humidity,
+         coalesce(sum(rain) over w, 0e0) as total_rain
+  from {src} window w as (partition by site order by obs_date rows between 6 preceding and current row))"""
+
+
+@register("window7_asof", "weather_daily")
+def _():
+    return WX + _win7() + """
+select site, obs_date, month, n_rows, round_even(avg_temp, 9) as avg_temp,
+       round_even(avg_humidity, 9) as avg_humidity, round_even(total_rain, 9) as total_rain
+from win7"""
+
+
+@register("foliar_advice", "weather_daily")
+def _():
+    return WX + _win7() + FRULE + _advice("win7") + """
+select site, obs_date, type,
+       array_to_string(list_transform(string_split(type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') as name,
+       description, array_to_string(best_months, ',') as months, month as current_month,
+       true as in_season, weather_suitable,
+       round_even(round_even(avg_temp, 9), 1) as temperature_current,
+       cast(temp_lo as varchar) || '-' || cast(temp_hi as varchar) || '°C' as temperature_required,
+       temperature_ok,
+       round_even(round_even(avg_humidity, 9), 1) as humidity_current,
+       '>' || cast(humidity_min as varchar) || '%' as humidity_required,
+       humidity_ok, no_rain_ok, status,
+       case when status = 'OPTIMAL' then 'Apply now' else 'Wait for better conditions' end as recommendation
+from adv2"""
+
+
+@register("foliar_report", "weather_daily")
+def _():
+    return WX + """
+, ranked as (select *, row_number() over (partition by site order by obs_date desc) as rk from wx)
+, last7 as (
+  select site, max(obs_date) as obs_date, cast(month(max(obs_date)) as int) as month,
+         avg(avg_temp) as avg_temp, avg(humidity) as avg_humidity, coalesce(sum(rain), 0e0) as total_rain
+  from ranked where rk <= 7 group by site)""" + FRULE + _advice("last7") + """
+, recs as (
+  select site, count(*) as n, string_agg(type || ':' || status, ',' order by ord) as recs from adv2 group by site)
+select l.site, l.obs_date,
+       case when l.month in (12, 1, 2) then 'winter' when l.month in (3, 4, 5) then 'spring'
+            when l.month in (6, 7, 8) then 'summer' else 'autumn' end as season,
+       'Early morning (6-9 AM) or late afternoon (5-7 PM)' as best_time_of_day,
+       'Midday heat (>30°C), strong wind, rain forecast within 24h' as avoid,
+       round_even(round_even(l.avg_temp, 9), 1) as temperature,
+       round_even(round_even(l.avg_humidity, 9), 1) as humidity,
+       round_even(round_even(l.total_rain, 9), 1) as recent_rain,
+       cast(coalesce(r.n, 0) as int) as n_recommendations,
+       coalesce(r.recs, '') as recommendations
+from last7 l left join recs r on l.site = r.site"""

@@ -66,3 +66,36 @@ def q_disease_scores(spark, sf_dir):
 @query("disease_overall")
 def q_disease_overall(spark, sf_dir):
     return risk.disease_overall(risk.window30_asof(_wx(spark, sf_dir)))
+
+
+# -- step 3: foliar ----------------------------------------------------------
+
+@query("window7_asof")
+def q_window7_asof(spark, sf_dir):
+    from grovecast.functions import expressions as X
+    from grovecast.operators import foliar
+    s = foliar.window7_asof(_wx(spark, sf_dir))
+    return s.select("site", "obs_date", "month", "n_rows",
+                    X.stable("avg_temp").alias("avg_temp"),
+                    X.stable("avg_humidity").alias("avg_humidity"),
+                    X.stable("total_rain").alias("total_rain"))
+
+
+@query("foliar_advice")
+def q_foliar_advice(spark, sf_dir):
+    from grovecast.operators import foliar
+    return foliar.foliar_advice(foliar.window7_asof(_wx(spark, sf_dir))).drop("type_order")
+
+
+@query("foliar_report")
+def q_foliar_report(spark, sf_dir):
+    """Flat form of the report: recommendations as ``type:STATUS`` in rule order."""
+    from pyspark.sql import functions as F
+    from grovecast.operators import foliar
+    rep = foliar.foliar_report(_wx(spark, sf_dir))
+    return rep.select(
+        "site", "obs_date", "season", "best_time_of_day", "avoid", "temperature", "humidity",
+        "recent_rain", F.size("recommendations").alias("n_recommendations"),
+        F.array_join(F.transform("recommendations",
+                                 lambda r: F.concat(r["type"], F.lit(":"), r["status"])), ",")
+         .alias("recommendations"))
