@@ -191,3 +191,426 @@ select l.site, l.obs_date,
        cast(coalesce(r.n, 0) as int) as n_recommendations,
        coalesce(r.recs, '') as recommendations
 from last7 l left join recs r on l.site = r.site"""
+
+
+# ---------------------------------------------------------------------------
+# step 1, 4, 5, 6
+# ---------------------------------------------------------------------------
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+SEASON_MONTHS = {"winter": (12, 1, 2), "spring": (3, 4, 5), "summer": (6, 7, 8), "autumn": (9, 10, 11)}
+D1_NAMES = (["Avg_Temp", "Max_Temp", "Min_Temp", "Rain", "Clouds", "Sun_Hours"]
+            + [f"{m}_{s}" for s in SEASON_MONTHS for m in ("Rain", "Temp", "Clouds")]
+            + [f"{m}_{n}" for n in MONTHS for m in ("Rain", "Temp", "Clouds")])
+SEASON_CASE = ("case when month(obs_date) in (12, 1, 2) then 'winter' when month(obs_date) in (3, 4, 5) then 'spring' "
+               "when month(obs_date) in (6, 7, 8) then 'summer' else 'autumn' end")
+
+
+def _r9(x: str) -> str:
+    return f"round_even({x}, 9)"
+
+
+def _cond(kind: str, key) -> str:
+    if kind == "season":
+        return f"month(obs_date) in {SEASON_MONTHS[key]}"
+    return f"month(obs_date) = {key}"
+
+
+def _psum(cond: str, x: str) -> str:
+    return f"case when count(*) filter (where {cond}) > 0 then coalesce(sum({x}) filter (where {cond}), 0e0) end"
+
+
+def yearly_cols() -> list[str]:
+    return [f"{_r9('avg(avg_temp)')} as Avg_Temp", f"{_r9('avg(max_temp)')} as Max_Temp",
+            f"{_r9('avg(min_temp)')} as Min_Temp", f"{_r9('coalesce(sum(rain), 0e0)')} as Rain",
+            f"{_r9('avg(clouds)')} as Clouds", f"{_r9('coalesce(sum(sun_hours), 0e0)')} as Sun_Hours"]
+
+
+def seasonal_cols() -> list[str]:
+    out = []
+    for s in SEASON_MONTHS:
+        c = _cond("season", s)
+        out += [f"{_r9(_psum(c, 'rain'))} as Rain_{s}",
+                f"{_r9(f'avg(avg_temp) filter (where {c})')} as Temp_{s}",
+                f"{_r9(f'avg(clouds) filter (where {c})')} as Clouds_{s}"]
+    return out
+
+
+def monthly_cols() -> list[str]:
+    out = []
+    for i, n in enumerate(MONTHS, 1):
+        c = _cond("month", i)
+        out += [f"{_r9(_psum(c, 'rain'))} as Rain_{n}",
+                f"{_r9(f'avg(avg_temp) filter (where {c})')} as Temp_{n}",
+                f"{_r9(f'avg(clouds) filter (where {c})')} as Clouds_{n}"]
+    return out
+
+
+def _feat_sql(cols: list[str], src: str = "weather_daily") -> str:
+    return (f"select site, cast(year(obs_date) as int) as year, {', '.join(cols)} "
+            f"from {src} group by site, cast(year(obs_date) as int)")
+
+
+@register("season_of_day", "weather_daily")
+def _():
+    return f"""
+select site, obs_date, cast(year(obs_date) as int) as year, cast(month(obs_date) as int) as month,
+       {SEASON_CASE} as season
+from weather_daily"""
+
+
+@register("humidity_proxy", "weather_daily")
+def _():
+    return """
+select site, obs_date, clouds, 100e0 - coalesce(nullif(clouds, 0e0), 50e0) as humidity,
+       coalesce(rain, 0e0) as rain_or_zero
+from weather_daily"""
+
+
+HARVEST_CLEAN = """
+, hc as (
+  select site, cast(year as int) as year, cast(trunc(trees) as int) as trees, olives, oil, ratio from harvest
+  where site is not null and year is not null and trees is not null and olives is not null
+    and oil is not null and ratio is not null)"""
+
+
+@register("harvest_clean", "harvest")
+def _():
+    return HARVEST_CLEAN + "\nselect * from hc"
+
+
+@register("weather_yearly", "weather_daily")
+def _():
+    return _feat_sql(yearly_cols())
+
+
+@register("weather_seasonal", "weather_daily")
+def _():
+    return _feat_sql(seasonal_cols())
+
+
+@register("weather_monthly", "weather_daily")
+def _():
+    return _feat_sql(monthly_cols())
+
+
+@register("features", "weather_daily")
+def _():
+    return _feat_sql(yearly_cols() + seasonal_cols() + monthly_cols())
+
+
+def legacy_cols() -> list[str]:
+    y = [("avg", "avg_temp", "Avg_Temp_yearly"), ("avg", "max_temp", "Max_Temp_yearly"),
+         ("avg", "min_temp", "Min_Temp_yearly"), ("sum", "rain", "Rain_yearly"),
+         ("avg", "pressure", "Pressure_yearly"), ("sum", "snow", "Snow_yearly"),
+         ("sum", "sun_hours", "Sun_Hours_yearly"), ("avg", "max_wind", "Max_Wind_yearly"),
+         ("avg", "avg_wind", "Avg_Wind_yearly"), ("avg", "avg_gust", "Avg_Gust_yearly"),
+         ("avg", "clouds", "Clouds_yearly")]
+    out = [f"{_r9(f'avg({c})' if k == 'avg' else f'coalesce(sum({c}), 0e0)')} as {n}" for k, c, n in y]
+    for s in SEASON_MONTHS:
+        c = _cond("season", s)
+        out += [f"{_r9(_psum(c, 'rain'))} as Rain_{s}",
+                f"{_r9(f'avg(avg_temp) filter (where {c})')} as Avg_Temp_{s}"]
+    for m, col, stem in [(3, "max_wind", "Max_Wind"), (4, "avg_temp", "Avg_Temp"), (6, "max_temp", "Max_Temp"),
+                         (8, "clouds", "Clouds"), (9, "avg_temp", "Avg_Temp")]:
+        out.append(f"first({col} order by obs_date) filter (where month(obs_date) = {m}) as {stem}_M{m}")
+    out.append(f"{_r9(_r9('avg(max_temp)') + ' - ' + _r9('avg(min_temp)'))} as Temp_Spread_yearly")
+    return out
+
+
+LEGACY_NAMES = (["Avg_Temp_yearly", "Max_Temp_yearly", "Min_Temp_yearly", "Rain_yearly", "Pressure_yearly",
+                 "Snow_yearly", "Sun_Hours_yearly", "Max_Wind_yearly", "Avg_Wind_yearly", "Avg_Gust_yearly",
+                 "Clouds_yearly"]
+                + [f"{m}_{s}" for s in SEASON_MONTHS for m in ("Rain", "Avg_Temp")]
+                + ["Max_Wind_M3", "Avg_Temp_M4", "Max_Temp_M6", "Clouds_M8", "Avg_Temp_M9", "Temp_Spread_yearly"])
+
+
+@register("features_legacy", "weather_daily")
+def _():
+    return _feat_sql(legacy_cols())
+
+
+def _score(fx: str, ids: str, model_filter: str, names: list[str], used: list[str], sx: str = "") -> str:
+    """Members scored independently of the Spark plan: matched contributions,
+    plus the constant of features absent from the catalogue, plus intercept.
+    ``used`` = catalogue features the models may name (unpivoted)."""
+    id_list = [i.strip() for i in ids.split(",")]
+    sel_ids = ", ".join(f"f.{i}" for i in id_list)
+    longs = "\n    union all ".join(
+        f"select {sel_ids}, '{u}' as feature, f.{u} as value from {fx} f" for u in used)
+    names_sql = ", ".join(f"'{n}'" for n in names)
+    on_ids = " and ".join(f"s.{i} = c.{i}" for i in id_list)
+    return f"""
+, long{sx} as (
+    {longs})
+, mf{sx} as (select * from model_feature where {model_filter})
+, mm{sx} as (select * from model_meta where {model_filter})
+, contrib{sx} as (
+  select {', '.join('l.' + i for i in id_list)}, mf.model, mf.member,
+         sum(mf.coef * (coalesce(l.value, 0e0) - mf.mean) / mf.scale) as c
+  from long{sx} l join mf{sx} mf on l.feature = mf.feature group by all)
+, missing{sx} as (
+  select model, member, sum(coef * (0e0 - mean) / scale) as c from mf{sx}
+  where feature not in ({names_sql}) group by all)
+, ids{sx} as (select distinct {ids} from {fx})
+, members{sx} as (
+  select {', '.join('s.' + i for i in id_list)}, mm.model, mm.member, mm.name, mm.description, mm.oil_factor,
+         mm.cv_mae, mm.adj_r2,
+         round_even(mm.intercept + coalesce(c.c, 0e0) + coalesce(mi.c, 0e0), 9) as raw
+  from ids{sx} s cross join mm{sx} mm
+  left join contrib{sx} c on {on_ids} and c.model = mm.model and c.member = mm.member
+  left join missing{sx} mi on mi.model = mm.model and mi.member = mm.member)"""
+
+
+YEARS = """
+, yrs as (select site, max(cast(year(obs_date) as int)) as max_year, bool_or(year(obs_date) = 2025) as has_t
+          from weather_daily group by site)
+, yc as (select site, cast(case when has_t then 2025 else max_year end as int) as weather_year,
+                cast(case when has_t then 2025 else max_year end + 1 as int) as harvest_year from yrs)"""
+
+
+def _simple_body(model: str = "simple") -> str:
+    return """
+, sfx as (
+  select w.site,
+    round_even(coalesce(sum(rain) filter (where year(obs_date) = yc.weather_year and month(obs_date) = 1), 0e0), 9) as Rain_Jan,
+    round_even(coalesce(avg(clouds) filter (where year(obs_date) = yc.weather_year and month(obs_date) = 9),
+                        avg(clouds) filter (where month(obs_date) = 9)), 9) as Clouds_Sep,
+    round_even(coalesce(avg(clouds) filter (where year(obs_date) = yc.weather_year and month(obs_date) = 10),
+                        avg(clouds) filter (where month(obs_date) = 10)), 9) as Clouds_Oct
+  from weather_daily w join yc on w.site = yc.site group by w.site)""" + _score(
+        "sfx", "site", f"model = '{model}'", ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"],
+        ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"], "_s") + """
+, ps as (select site, round_even(avg(raw), 9) as raw, max(cv_mae) as cv_mae, max(adj_r2) as adj_r2,
+                max(oil_factor) as oil_factor from members_s group by site)
+, simple_pred as (
+  select yc.site, yc.harvest_year, yc.weather_year as weather_year_used,
+         case when ps.raw is not null then greatest(0e0, ps.raw) else 950e0 end as pred,
+         case when ps.raw is not null then coalesce(ps.cv_mae, 300e0) else 200e0 end as cv_mae,
+         case when ps.raw is not null then coalesce(ps.adj_r2, 0.94e0) else 0e0 end as r2,
+         coalesce(ps.oil_factor, 0.15e0) as oil_factor,
+         sfx.Rain_Jan, sfx.Clouds_Sep, sfx.Clouds_Oct
+  from yc join sfx on yc.site = sfx.site left join ps on ps.site = yc.site)
+, simple_out as (
+  select site, harvest_year, weather_year_used,
+         cast(round_even(round_even(pred, 9), 0) as bigint) as olives_kg,
+         cast(round_even(round_even(pred * oil_factor, 9), 0) as bigint) as oil_kg,
+         cast(round_even(round_even(cv_mae * 2, 9), 0) as bigint) as ci_kg,
+         cv_mae, r2, 'Statistical Model (Simple)' as model_name,
+         Rain_Jan as rain_jan, Clouds_Sep as clouds_sep, Clouds_Oct as clouds_oct
+  from simple_pred)"""
+
+
+@register("predict_simple", "weather_daily", "model_feature", "model_meta")
+def _():
+    return YEARS + _simple_body() + "\nselect * from simple_out"
+
+
+ENS_USED = ["Rain_winter", "Temp_spring", "Clouds", "Sun_Hours"]
+
+
+def _ens_fx(src: str) -> str:
+    c_w, c_s = _cond("season", "winter"), _cond("season", "spring")
+    return f"""
+, efx as (
+  select site, cast(year(obs_date) as int) as year,
+         {_r9(_psum(c_w, 'rain'))} as Rain_winter,
+         {_r9(f'avg(avg_temp) filter (where {c_s})')} as Temp_spring,
+         {_r9('avg(clouds)')} as Clouds,
+         {_r9('coalesce(sum(sun_hours), 0e0)')} as Sun_Hours
+  from {src} group by site, cast(year(obs_date) as int))"""
+
+
+def _ens_body(model: str = "complex") -> str:
+    return """
+, wrows as (select w.* from weather_daily w join yc on w.site = yc.site and year(w.obs_date) = yc.weather_year)""" + \
+        _ens_fx("wrows") + _score("efx", "site, year", f"model = '{model}'", D1_NAMES, ENS_USED, "_e") + """
+, ens as (
+  select site, year, model, round_even(avg(raw), 9) as mean_raw, max(oil_factor) as oil_factor,
+         string_agg(member || '=' || cast(cast(round_even(raw, 0) as bigint) as varchar), ',' order by member)
+           as individual_predictions
+  from members_e group by site, year, model)
+, ens_out as (
+  select e.site, yc.harvest_year, e.year as weather_year_used,
+         cast(round_even(greatest(0e0, mean_raw), 0) as bigint) as olives_kg,
+         cast(round_even(round_even(greatest(0e0, mean_raw) * coalesce(oil_factor, 0.23e0), 9), 0) as bigint) as oil_kg,
+         cast(round_even(round_even(greatest(0e0, mean_raw) * 0.4e0, 9), 0) as bigint) as ci_kg,
+         cast(cast(round_even(round_even(greatest(0e0, mean_raw) * 0.3e0, 9), 0) as bigint) as double) as cv_mae,
+         0.85e0 as r2, 'ML Ensemble (Complex)' as model_name, individual_predictions
+  from ens e join yc on e.site = yc.site)"""
+
+
+@register("predict_ensemble", "weather_daily", "model_feature", "model_meta")
+def _():
+    return YEARS + _ens_body("complex") + "\nselect * from ens_out"
+
+
+def _legacy_body() -> str:
+    return HARVEST_CLEAN + """
+, latest as (select site, max(cast(year(obs_date) as int)) as latest_year from weather_daily group by site)
+, lrows as (select w.* from weather_daily w join latest l on w.site = l.site and year(w.obs_date) = l.latest_year)
+, lfx as (""" + _feat_sql(legacy_cols(), "lrows") + ")" + _score(
+        "lfx", "site, year", "model = 'legacy'", LEGACY_NAMES,
+        ["Rain_winter", "Max_Wind_M3", "Temp_Spread_yearly"]) + """
+, lm as (select *, round_even(greatest(0e0, raw), 0) as p from members)
+, lens as (
+  select site, year, round_even(avg(p), 9) as e,
+         string_agg(member || '=' || cast(p as varchar), ',' order by member) as predictions_olives_kg
+  from lm group by site, year)
+, hs as (select site, cast(trunc(avg(trees)) as int) as mean_trees, avg(ratio) as avg_ratio from hc group by site)
+, legacy_out as (
+  select l.site, l.year, coalesce(h.trees, hs.mean_trees) as trees, l.predictions_olives_kg,
+         round_even(l.e, 0) as ensemble_olives_kg,
+         round_even(round_even(l.e * hs.avg_ratio, 9), 0) as estimated_oil_kg,
+         round_even(round_even(l.e / coalesce(h.trees, hs.mean_trees), 9), 1) as olives_per_tree_kg,
+         round_even(round_even(hs.avg_ratio, 9), 3) as avg_oil_ratio
+  from lens l left join hc h on h.site = l.site and h.year = l.year left join hs on hs.site = l.site)"""
+
+
+@register("predict_legacy", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    return _legacy_body() + "\nselect * from legacy_out"
+
+
+@register("predict_backtest", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    used = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct", "Rain_winter", "Temp_spring", "Clouds", "Sun_Hours"]
+    cols = [c for c in yearly_cols() + seasonal_cols() + monthly_cols()
+            if c.rsplit(" as ", 1)[1] in used]
+    return HARVEST_CLEAN + ", bfx as (" + _feat_sql(cols) + ")" + _score(
+        "bfx", "site, year", "true", D1_NAMES, used) + """
+, ens as (select site, year, model, round_even(avg(raw), 9) as mean_raw from members group by site, year, model)
+, rows as (
+  select e.site, e.model, cast(e.year as int) as weather_year, cast(e.year + 1 as int) as harvest_year,
+         greatest(0e0, e.mean_raw) as predicted_olives_kg, h.olives as actual_olives_kg,
+         round_even(abs(greatest(0e0, e.mean_raw) - h.olives), 9) as abs_error
+  from ens e left join hc h on h.site = e.site and h.year - 1 = e.year)
+select r.*, round_even(avg(abs_error) over (partition by site, model), 9) as mae,
+       count(abs_error) over (partition by site, model) as n_scored
+from rows r"""
+
+
+LAST_HARVEST = """
+, lh as (select site, max(year) as last_year, arg_max(olives, year) as last_olives, arg_max(oil, year) as last_oil,
+                cast(trunc(arg_max(trees, year)) as int) as last_trees from hc group by site)
+, ha as (select site, round_even(round_even(avg(olives), 9), 0) as hist_olives_kg,
+                round_even(round_even(avg(oil), 9), 0) as hist_oil_kg from hc group by site)"""
+
+
+def _report(requested: list[str]) -> str:
+    req = ", ".join(f"('{m}')" for m in requested)
+    return YEARS + _simple_body() + _ens_body("complex") + HARVEST_CLEAN + LAST_HARVEST + f"""
+, preds as (
+  select site, 'simple' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from simple_out
+  union all
+  select site, 'complex' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out)
+, req(model) as (values {req})
+, meta as (select model, any_value(name) as model_info_name, any_value(description) as model_info_description
+           from model_meta group by model)
+, avail as (select 'Available: [''' || string_agg(model, ''', ''' order by model) || ''']' as txt
+            from (select distinct model from model_meta))
+, rj as (
+  select yc.site, req.model, meta.model_info_name, meta.model_info_description, yc.harvest_year,
+         yc.weather_year as weather_year_used, p.olives_kg, p.oil_kg, p.ci_kg, p.cv_mae, p.r2, p.model_name,
+         case when meta.model is null then 'Unknown model. ' || (select txt from avail)
+              when p.olives_kg is null then 'Complex model not available' end as error
+  from yc cross join req
+  left join preds p on p.site = yc.site and p.model = req.model
+  left join meta on meta.model = req.model)
+, report as (
+  select rj.site, model, model_info_name, model_info_description, harvest_year, weather_year_used,
+         coalesce(case when error is null then olives_kg end, 0) as olives_kg,
+         coalesce(case when error is null then oil_kg end, 0) as oil_kg,
+         case when error is null then ci_kg end as ci_kg,
+         case when error is null then cv_mae end as cv_mae,
+         case when error is null then r2 end as r2,
+         case when error is null then model_name end as model_name,
+         error, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees
+  from rj left join lh on lh.site = rj.site)"""
+
+
+@register("prediction_report", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    return _report(["simple", "complex", "ensemble"]) + "\nselect * from report"
+
+
+@register("dashboard", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    return _report(["simple"]) + """
+select r.site, model as model_used, harvest_year as year, olives_kg as ensemble_olives_kg,
+       oil_kg as estimated_oil_kg, coalesce(ci_kg, 0) as ci_kg,
+       round_even(round_even(olives_kg / 130, 9), 1) as olives_per_tree_kg, 130 as trees,
+       last_year, last_olives, last_oil, last_trees, ha.hist_olives_kg, ha.hist_oil_kg, error
+from report r left join ha on ha.site = r.site"""
+
+
+LATEST_WEATHER = """
+, lyear as (select site, max(cast(year(obs_date) as int)) as y from weather_daily group by site)
+, lw as (
+  select w.site, l.y as year,
+         round_even(round_even(coalesce(sum(rain), 0e0), 9), 1) as total_rain_mm,
+         round_even(round_even(avg(avg_temp), 9), 1) as avg_temp_c,
+         round_even(round_even(avg(clouds), 9), 1) as avg_clouds_pct
+  from weather_daily w join lyear l on w.site = l.site and year(w.obs_date) = l.y group by w.site, l.y)"""
+
+
+@register("dashboard_legacy", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    return _legacy_body() + LAST_HARVEST + LATEST_WEATHER + """
+select lw.site, lw.year as latest_weather_year, lw.total_rain_mm, lw.avg_temp_c, lw.avg_clouds_pct,
+       lo.year as prediction_year, lo.trees, lo.predictions_olives_kg, lo.ensemble_olives_kg, lo.estimated_oil_kg,
+       lo.olives_per_tree_kg, lo.avg_oil_ratio, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees,
+       ha.hist_olives_kg, ha.hist_oil_kg
+from lw left join legacy_out lo on lo.site = lw.site left join lh on lh.site = lw.site
+left join ha on ha.site = lw.site"""
+
+
+@register("history", "harvest")
+def _():
+    return HARVEST_CLEAN + """
+select site, year, trees, olives, oil,
+       case when olives is not null and olives <> 0 and oil is not null and oil <> 0
+              then round_even(round_even(oil / olives * 100e0, 9), 1)
+            when ratio is not null and ratio <> 0 then round_even(round_even(ratio * 100e0, 9), 1)
+            else ratio end as ratio,
+       min(year) over (partition by site) as start_year, max(year) over (partition by site) as end_year
+from hc"""
+
+
+@register("history_legacy", "harvest")
+def _():
+    return """
+, hl as (select site, cast(year as int) as year, trees, olives, oil, ratio from harvest
+         where site is not null and year is not null and trees is not null and olives is not null
+           and oil is not null and ratio is not null)
+select *, min(year) over (partition by site) as start_year, max(year) over (partition by site) as end_year,
+       count(*) over (partition by site) as count
+from hl"""
+
+
+@register("weather_summary", "weather_daily")
+def _():
+    return """
+, wy as (
+  select site, cast(year(obs_date) as int) as year, round_even(avg(avg_temp), 9) as Avg_Temp,
+         round_even(avg(max_temp), 9) as Max_Temp, round_even(avg(min_temp), 9) as Min_Temp,
+         round_even(coalesce(sum(rain), 0e0), 9) as Rain, round_even(avg(clouds), 9) as Clouds
+  from weather_daily group by site, cast(year(obs_date) as int))
+, last_n as (select * from (select *, row_number() over (partition by site order by year desc) as rk from wy) where rk <= 5)
+select site, year, Avg_Temp, Max_Temp, Min_Temp, Rain, Clouds,
+       min(year) over (partition by site) as start_year, max(year) over (partition by site) as end_year,
+       count(*) over (partition by site) as count
+from last_n"""
+
+
+@register("latest_year_weather", "weather_daily")
+def _():
+    return LATEST_WEATHER + "\nselect * from lw"
+
+
+@register("history_average", "harvest")
+def _():
+    return HARVEST_CLEAN + """
+select site, round_even(avg(olives), 9) as mean_olives, round_even(avg(oil), 9) as mean_oil,
+       round_even(round_even(avg(olives), 9), 0) as olives_kg, round_even(round_even(avg(oil), 9), 0) as oil_kg,
+       min(year) as start_year, max(year) as end_year, count(*) as count, round_even(avg(ratio), 9) as mean_ratio
+from hc group by site"""

@@ -99,3 +99,155 @@ def q_foliar_report(spark, sf_dir):
         F.array_join(F.transform("recommendations",
                                  lambda r: F.concat(r["type"], F.lit(":"), r["status"])), ",")
          .alias("recommendations"))
+
+
+# -- step 1: scalar helpers and the harvest scan -----------------------------
+
+@query("season_of_day")
+def q_season_of_day(spark, sf_dir):
+    from pyspark.sql import functions as F
+    from grovecast.functions import expressions as X
+    w = fx.weather_daily(spark, sf_dir)
+    return w.select("site", "obs_date", F.year("obs_date").alias("year"),
+                    F.month("obs_date").alias("month"), X.season_of(F.month("obs_date")).alias("season"))
+
+
+@query("humidity_proxy")
+def q_humidity_proxy(spark, sf_dir):
+    from grovecast.functions import expressions as X
+    w = fx.weather_daily(spark, sf_dir)
+    return w.select("site", "obs_date", "clouds", X.humidity_proxy("clouds").alias("humidity"),
+                    X.zero_if_null("rain").alias("rain_or_zero"))
+
+
+@query("harvest_clean")
+def q_harvest_clean(spark, sf_dir):
+    from grovecast.sources.harvest import harvest_clean
+    return harvest_clean(fx.harvest(spark, sf_dir))
+
+
+# -- step 4: features ---------------------------------------------------------
+
+@query("weather_yearly")
+def q_weather_yearly(spark, sf_dir):
+    from grovecast.operators import features as feat
+    return feat.weather_features(fx.weather_daily(spark, sf_dir), parts=("yearly",))
+
+
+@query("weather_seasonal")
+def q_weather_seasonal(spark, sf_dir):
+    from grovecast.operators import features as feat
+    return feat.weather_features(fx.weather_daily(spark, sf_dir), parts=("seasonal",))
+
+
+@query("weather_monthly")
+def q_weather_monthly(spark, sf_dir):
+    from grovecast.operators import features as feat
+    return feat.weather_features(fx.weather_daily(spark, sf_dir), parts=("monthly",))
+
+
+@query("features")
+def q_features(spark, sf_dir):
+    from grovecast.operators import features as feat
+    return feat.weather_features(fx.weather_daily(spark, sf_dir))
+
+
+@query("features_legacy")
+def q_features_legacy(spark, sf_dir):
+    from grovecast.operators import features as feat
+    return feat.legacy_features(fx.weather_daily(spark, sf_dir))
+
+
+# -- step 5: scoring ------------------------------------------------------------
+
+def _models(spark):
+    return fx.model_feature(spark), fx.model_meta(spark)
+
+
+def _harvest(spark, sf_dir):
+    from grovecast.sources.harvest import harvest_clean
+    return harvest_clean(fx.harvest(spark, sf_dir))
+
+
+@query("predict_simple")
+def q_predict_simple(spark, sf_dir):
+    from grovecast.plans import prediction as P
+    return P.predict_simple(fx.weather_daily(spark, sf_dir), *_models(spark))
+
+
+@query("predict_ensemble")
+def q_predict_ensemble(spark, sf_dir):
+    from grovecast.operators.scoring import map_text
+    from grovecast.plans import prediction as P
+    p = P.predict_ensemble(fx.weather_daily(spark, sf_dir), *_models(spark))
+    return p.withColumn("individual_predictions", map_text(p["individual_predictions"]))
+
+
+@query("predict_legacy")
+def q_predict_legacy(spark, sf_dir):
+    from grovecast.operators.scoring import map_text
+    from grovecast.plans import prediction as P
+    p = P.predict_legacy(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+    return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
+
+
+@query("predict_backtest")
+def q_predict_backtest(spark, sf_dir):
+    from grovecast.plans import prediction as P
+    return P.predict_backtest(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+
+
+@query("prediction_report")
+def q_prediction_report(spark, sf_dir):
+    from grovecast.plans import prediction as P
+    return P.prediction_report(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark),
+                               requested=["simple", "complex", "ensemble"])
+
+
+# -- step 6: reports --------------------------------------------------------------
+
+@query("history")
+def q_history(spark, sf_dir):
+    from grovecast.plans import reports as R
+    return R.history(_harvest(spark, sf_dir))
+
+
+@query("history_legacy")
+def q_history_legacy(spark, sf_dir):
+    from grovecast.plans import reports as R
+    from grovecast.sources.harvest import harvest_clean_legacy
+    return R.history_legacy(harvest_clean_legacy(fx.harvest(spark, sf_dir)))
+
+
+@query("weather_summary")
+def q_weather_summary(spark, sf_dir):
+    from grovecast.plans import reports as R
+    return R.weather_summary(fx.weather_daily(spark, sf_dir), years=5)
+
+
+@query("latest_year_weather")
+def q_latest_year_weather(spark, sf_dir):
+    from grovecast.plans import reports as R
+    return R.latest_year_weather(fx.weather_daily(spark, sf_dir))
+
+
+@query("history_average")
+def q_history_average(spark, sf_dir):
+    from grovecast.plans import reports as R
+    return R.history_average(_harvest(spark, sf_dir))
+
+
+@query("dashboard")
+def q_dashboard(spark, sf_dir):
+    from grovecast.plans import reports as R
+    return R.dashboard(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+
+
+@query("dashboard_legacy")
+def q_dashboard_legacy(spark, sf_dir):
+    from grovecast.operators.scoring import map_text
+    from grovecast.plans import reports as R
+    from grovecast.sources.harvest import harvest_clean_legacy
+    d = R.dashboard_legacy(fx.weather_daily(spark, sf_dir), harvest_clean_legacy(fx.harvest(spark, sf_dir)),
+                           *_models(spark), with_timestamp=False)
+    return d.withColumn("predictions_olives_kg", map_text(d["predictions_olives_kg"]))
