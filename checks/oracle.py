@@ -98,9 +98,79 @@ def with_views(body: str, *views: str) -> str:
 
 SQL: dict[str, str] = {}
 
+DEC = "decimal(28, 9)"
+
+
+def _close(text: str, i: int) -> int:
+    """Index just past the parenthesis that closes the one opened at i."""
+    depth = 0
+    for j in range(i, len(text)):
+        if text[j] == "(":
+            depth += 1
+        elif text[j] == ")":
+            depth -= 1
+            if depth == 0:
+                return j + 1
+    raise ValueError("unbalanced parentheses")
+
+
+def _suffix(text: str, i: int) -> int:
+    """Extent of a following ``filter (where ...)`` and/or ``over w`` /
+    ``over (...)`` clause."""
+    j = i
+    while True:
+        rest = text[j:]
+        stripped = rest.lstrip()
+        k = j + len(rest) - len(stripped)
+        low = stripped.lower()
+        if low.startswith("filter") and low[6:].lstrip().startswith("("):
+            par = k + 6 + (len(stripped[6:]) - len(stripped[6:].lstrip()))
+            j = _close(text, par)
+        elif low.startswith("over") and low[4:].lstrip().startswith("("):
+            par = k + 4 + (len(stripped[4:]) - len(stripped[4:].lstrip()))
+            j = _close(text, par)
+        elif low.startswith("over ") and low[5:].lstrip()[:1].isalpha():
+            m = k + 5 + (len(stripped[5:]) - len(stripped[5:].lstrip()))
+            e = m
+            while e < len(text) and (text[e].isalnum() or text[e] == "_"):
+                e += 1
+            j = e
+        else:
+            return j
+
+
+def exactify(sql: str) -> str:
+    """Rewrite every ``sum(x)`` / ``avg(x)`` (with optional FILTER / OVER)
+    into an exact DECIMAL accumulation converted to double, the same
+    arithmetic the Spark operators use."""
+    out, i = [], 0
+    low = sql.lower()
+    while i < len(sql):
+        hit = None
+        for fn in ("sum(", "avg("):
+            k = low.find(fn, i)
+            if k != -1 and (k == 0 or not (sql[k - 1].isalnum() or sql[k - 1] == "_")):
+                if hit is None or k < hit[0]:
+                    hit = (k, fn[:-1])
+        if hit is None:
+            out.append(sql[i:])
+            break
+        k, fn = hit
+        end = _close(sql, k + 3)
+        arg = exactify(sql[k + 4:end - 1])
+        suf_end = _suffix(sql, end)
+        suffix = sql[end:suf_end]
+        total = f"cast(sum(cast({arg} as {DEC})){suffix} as double)"
+        if fn == "avg":
+            total = f"({total} / count({arg}){suffix})"
+        out.append(sql[i:k])
+        out.append(total)
+        i = suf_end
+    return "".join(out)
+
 
 def register(name: str, *views: str):
     def deco(fn):
-        SQL[name] = with_views(fn(), *views)
+        SQL[name] = with_views(exactify(fn()), *views)
         return fn
     return deco

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Digits kept before a threshold test or a final rounding: float sums taken
 # in a different order (partitions, engines) differ in the last bits, which
@@ -15,10 +16,34 @@ from pyspark.sql import functions as F
 STABLE_DIGITS = 9
 
 
+# Sums are accumulated as DECIMAL(28, 9): exact, so a sum (and a mean built
+# from it) is the same whatever the partitioning, the order in which partial
+# aggregates are merged, or the engine.  Converted to double once at the end.
+EXACT = T.DecimalType(28, 9)
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def exact_sum(x: str | Column, w=None) -> Column:
+    """Order-independent sum of a double column (NULL when nothing to sum)."""
+    s = F.sum(col(x).cast(EXACT))
+    return (s.over(w) if w is not None else s).cast("double")
+
+
+def exact_sum0(x: str | Column, w=None) -> Column:
+    """pandas ``sum``: NULLs skipped, nothing -> 0."""
+    return F.coalesce(exact_sum(x, w), F.lit(0.0))
+
+
+def exact_avg(x: str | Column, w=None) -> Column:
+    """Order-independent mean: exact sum / count of non-NULL values."""
+    c = col(x)
+    n = F.count(c)
+    return exact_sum(c, w) / (n.over(w) if w is not None else n)
+
+
 def stable(x: str | Column) -> Column:
     """``x`` rounded to 9 digits (half-even): order-independent float value."""
     return F.bround(col(x), STABLE_DIGITS)

@@ -43,24 +43,27 @@ def with_parts(weather: DataFrame) -> DataFrame:
 
 
 def _sum0(x: str) -> Column:
-    return F.coalesce(F.sum(x), F.lit(0.0))
+    return X.exact_sum0(x)
+
+
+def _avg(x: str) -> Column:
+    return X.exact_avg(x)
 
 
 def _present_sum(cond: Column, x: str) -> Column:
     """Sum over the rows matching ``cond``: 0 if they are all NULL, NULL if
     there are none."""
-    return F.when(F.count(F.when(cond, F.lit(1))) > 0,
-                  F.coalesce(F.sum(F.when(cond, F.col(x))), F.lit(0.0)))
+    return F.when(F.count(F.when(cond, F.lit(1))) > 0, X.exact_sum0(F.when(cond, F.col(x))))
 
 
 def _mean_if(cond: Column, x: str) -> Column:
-    return F.avg(F.when(cond, F.col(x)))
+    return X.exact_avg(F.when(cond, F.col(x)))
 
 
 def yearly_aggs() -> dict[str, Column]:
-    return {"Avg_Temp": F.avg("avg_temp"), "Max_Temp": F.avg("max_temp"),
-            "Min_Temp": F.avg("min_temp"), "Rain": _sum0("rain"),
-            "Clouds": F.avg("clouds"), "Sun_Hours": _sum0("sun_hours")}
+    return {"Avg_Temp": _avg("avg_temp"), "Max_Temp": _avg("max_temp"),
+            "Min_Temp": _avg("min_temp"), "Rain": _sum0("rain"),
+            "Clouds": _avg("clouds"), "Sun_Hours": _sum0("sun_hours")}
 
 
 def seasonal_aggs() -> dict[str, Column]:
@@ -109,12 +112,12 @@ def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> Dat
     a NULL value of that first row instead of skipping to the next one.
     """
     w = with_parts(weather)
-    aggs = {"Avg_Temp_yearly": F.avg("avg_temp"), "Max_Temp_yearly": F.avg("max_temp"),
-            "Min_Temp_yearly": F.avg("min_temp"), "Rain_yearly": _sum0("rain"),
-            "Pressure_yearly": F.avg("pressure"), "Snow_yearly": _sum0("snow"),
-            "Sun_Hours_yearly": _sum0("sun_hours"), "Max_Wind_yearly": F.avg("max_wind"),
-            "Avg_Wind_yearly": F.avg("avg_wind"), "Avg_Gust_yearly": F.avg("avg_gust"),
-            "Clouds_yearly": F.avg("clouds")}
+    aggs = {"Avg_Temp_yearly": _avg("avg_temp"), "Max_Temp_yearly": _avg("max_temp"),
+            "Min_Temp_yearly": _avg("min_temp"), "Rain_yearly": _sum0("rain"),
+            "Pressure_yearly": _avg("pressure"), "Snow_yearly": _sum0("snow"),
+            "Sun_Hours_yearly": _sum0("sun_hours"), "Max_Wind_yearly": _avg("max_wind"),
+            "Avg_Wind_yearly": _avg("avg_wind"), "Avg_Gust_yearly": _avg("avg_gust"),
+            "Clouds_yearly": _avg("clouds")}
     for s in SEASONS:
         c = F.col("season") == s
         aggs[f"Rain_{s}"] = _present_sum(c, "rain")

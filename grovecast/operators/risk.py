@@ -148,9 +148,9 @@ def headline(daily: DataFrame, key: str = "site") -> DataFrame:
     ``_30d`` but takes every row of the payload)."""
     d = with_humidity(daily)
     return d.groupBy(key).agg(
-        X.round_half_even(F.avg("avg_temp"), 1).alias("avg_temperature"),
-        X.round_half_even(F.coalesce(F.sum("rain"), F.lit(0.0)), 1).alias("total_rain_30d"),
-        X.round_half_even(F.avg("humidity"), 1).alias("avg_humidity_estimate"),
+        X.round_half_even(X.exact_avg("avg_temp"), 1).alias("avg_temperature"),
+        X.round_half_even(X.exact_sum0("rain"), 1).alias("total_rain_30d"),
+        X.round_half_even(X.exact_avg("humidity"), 1).alias("avg_humidity_estimate"),
         F.count(F.when(F.col("rain") > RAINY_DAY_MM, 1)).cast("int").alias("rainy_days_30d"))
 
 

@@ -61,7 +61,7 @@ def model_terms(model_feature: DataFrame, model_meta: DataFrame, names: list[str
     present = F.col("feature").isin(*names)
     missing = (mf.filter(~present)
                  .groupBy("model", "member")
-                 .agg(F.sum(F.col("coef") * (F.lit(0.0) - F.col("mean")) / F.col("scale")).alias("_miss")))
+                 .agg(X.exact_sum(F.col("coef") * (F.lit(0.0) - F.col("mean")) / F.col("scale")).alias("_miss")))
     bias = (meta.join(missing, ["model", "member"], "left")
                 .select("model", "member", F.lit(BIAS).alias("feature"), F.lit(0.0).alias("mean"),
                         F.lit(1.0).alias("scale"),
@@ -83,7 +83,7 @@ def member_predictions(features: DataFrame, model_feature: DataFrame, model_meta
     long = to_long(features, ids, names)
     contrib = F.col("coef") * (F.coalesce(F.col("value"), F.lit(0.0)) - F.col("mean")) / F.col("scale")
     raw = long.join(terms, "feature").groupBy(*ids, "model", "member") \
-              .agg(X.stable(F.sum(contrib)).alias("raw"))
+              .agg(X.stable(X.exact_sum(contrib)).alias("raw"))
     meta = model_meta.select("model", "member", "name", "description", "oil_factor", "cv_mae", "adj_r2")
     if models is not None:
         meta = meta.filter(F.col("model").isin(*models))
@@ -96,8 +96,8 @@ def ensemble(members: DataFrame, ids: Iterable[str]) -> DataFrame:
     ids = list(ids)
     clamped_rounded = X.round_half_even(X.clamp_low("raw"), 0)
     return members.groupBy(*ids, "model").agg(
-        X.stable(F.avg("raw")).alias("mean_raw"),
-        X.stable(F.avg(clamped_rounded)).alias("mean_clamped_rounded"),
+        X.stable(X.exact_avg("raw")).alias("mean_raw"),
+        X.stable(X.exact_avg(clamped_rounded)).alias("mean_clamped_rounded"),
         F.count(F.lit(1)).alias("n_members"),
         F.map_from_entries(F.sort_array(F.collect_list(
             F.struct("member", X.round_half_even("raw", 0).cast("bigint"))))).alias("member_olives_kg"),

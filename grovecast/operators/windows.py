@@ -26,6 +26,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grovecast.functions import expressions as X
+
 DEFAULT_BLOCK_ROWS = 4096
 
 # aggregation kinds understood by the window operators
@@ -34,10 +36,10 @@ _KINDS = ("avg", "sum0", "count_if", "count")
 
 def _agg(kind: str, c: Column, w=None) -> Column:
     over = (lambda a: a.over(w)) if w is not None else (lambda a: a)
-    if kind == "avg":
-        return over(F.avg(c))
+    if kind == "avg":           # exact (decimal) sum / count: order-independent
+        return X.exact_avg(c, w)
     if kind == "sum0":          # pandas sum: NULLs skipped, nothing -> 0
-        return F.coalesce(over(F.sum(c)), F.lit(0.0))
+        return X.exact_sum0(c, w)
     if kind == "count_if":
         return over(F.count(F.when(c, F.lit(1))))
     if kind == "count":

@@ -68,11 +68,11 @@ def simple_features(weather: DataFrame, years: DataFrame) -> DataFrame:
     yr, mo = F.year("obs_date"), F.month("obs_date")
     this = yr == F.col("weather_year")
     agg = w.groupBy("site").agg(
-        X.stable(F.coalesce(F.sum(F.when(this & (mo == 1), F.col("rain"))), F.lit(0.0))).alias("Rain_Jan"),
-        X.stable(F.coalesce(F.avg(F.when(this & (mo == 9), F.col("clouds"))),
-                            F.avg(F.when(mo == 9, F.col("clouds"))))).alias("Clouds_Sep"),
-        X.stable(F.coalesce(F.avg(F.when(this & (mo == 10), F.col("clouds"))),
-                            F.avg(F.when(mo == 10, F.col("clouds"))))).alias("Clouds_Oct"))
+        X.stable(X.exact_sum0(F.when(this & (mo == 1), F.col("rain")))).alias("Rain_Jan"),
+        X.stable(F.coalesce(X.exact_avg(F.when(this & (mo == 9), F.col("clouds"))),
+                            X.exact_avg(F.when(mo == 9, F.col("clouds"))))).alias("Clouds_Sep"),
+        X.stable(F.coalesce(X.exact_avg(F.when(this & (mo == 10), F.col("clouds"))),
+                            X.exact_avg(F.when(mo == 10, F.col("clouds"))))).alias("Clouds_Oct"))
     return agg
 
 
@@ -83,7 +83,7 @@ def predict_simple(weather: DataFrame, model_feature: DataFrame, model_meta: Dat
     fx = simple_features(weather, years)
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site"], [model])
     per_site = members.groupBy("site").agg(
-        X.stable(F.avg("raw")).alias("raw"), F.max("cv_mae").alias("cv_mae"),
+        X.stable(X.exact_avg("raw")).alias("raw"), F.max("cv_mae").alias("cv_mae"),
         F.max("adj_r2").alias("adj_r2"), F.max("oil_factor").alias("oil_factor"))
     j = years.join(fx, "site").join(per_site, "site", "left")
     has = F.col("raw").isNotNull()
@@ -145,7 +145,7 @@ def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFr
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model])
     ens = scoring.ensemble(members, ["site", "year"])
     hstats = harvest.groupBy("site").agg(
-        F.avg("trees").cast("int").alias("_mean_trees"), F.avg("ratio").alias("_avg_ratio"))
+        X.exact_avg("trees").cast("int").alias("_mean_trees"), X.exact_avg("ratio").alias("_avg_ratio"))
     trees_of_year = harvest.select("site", "year", F.col("trees").cast("int").alias("_trees"))
     j = (ens.join(trees_of_year, ["site", "year"], "left")
             .join(hstats, "site", "left"))
@@ -175,7 +175,7 @@ def predict_backtest(weather: DataFrame, harvest: DataFrame, model_feature: Data
         (F.col("year") + 1).cast("int").alias("harvest_year"),
         pred.alias("predicted_olives_kg"), "actual_olives_kg",
         X.stable(F.abs(pred - F.col("actual_olives_kg"))).alias("abs_error"))
-    mae = rows.groupBy("site", "model").agg(X.stable(F.avg("abs_error")).alias("mae"),
+    mae = rows.groupBy("site", "model").agg(X.stable(X.exact_avg("abs_error")).alias("mae"),
                                             F.count("abs_error").alias("n_scored"))
     return rows.join(mae, ["site", "model"])
 

@@ -40,10 +40,10 @@ def history_legacy(harvest: DataFrame) -> DataFrame:
 def weather_by_year(weather: DataFrame) -> DataFrame:
     """Yearly summary: mean temperatures, rain total, mean clouds."""
     return weather.groupBy("site", F.year("obs_date").alias("year")).agg(
-        X.stable(F.avg("avg_temp")).alias("Avg_Temp"), X.stable(F.avg("max_temp")).alias("Max_Temp"),
-        X.stable(F.avg("min_temp")).alias("Min_Temp"),
-        X.stable(F.coalesce(F.sum("rain"), F.lit(0.0))).alias("Rain"),
-        X.stable(F.avg("clouds")).alias("Clouds"))
+        X.stable(X.exact_avg("avg_temp")).alias("Avg_Temp"), X.stable(X.exact_avg("max_temp")).alias("Max_Temp"),
+        X.stable(X.exact_avg("min_temp")).alias("Min_Temp"),
+        X.stable(X.exact_sum0("rain")).alias("Rain"),
+        X.stable(X.exact_avg("clouds")).alias("Clouds"))
 
 
 def weather_summary(weather: DataFrame, years: int = 10) -> DataFrame:
@@ -61,20 +61,20 @@ def latest_year_weather(weather: DataFrame) -> DataFrame:
     latest = w.groupBy("site").agg(F.max("_y").alias("_y"))
     rows = w.join(latest, ["site", "_y"])
     return rows.groupBy("site", F.col("_y").cast("int").alias("year")).agg(
-        X.round_half_even(F.coalesce(F.sum("rain"), F.lit(0.0)), 1).alias("total_rain_mm"),
-        X.round_half_even(F.avg("avg_temp"), 1).alias("avg_temp_c"),
-        X.round_half_even(F.avg("clouds"), 1).alias("avg_clouds_pct"))
+        X.round_half_even(X.exact_sum0("rain"), 1).alias("total_rain_mm"),
+        X.round_half_even(X.exact_avg("avg_temp"), 1).alias("avg_temp_c"),
+        X.round_half_even(X.exact_avg("clouds"), 1).alias("avg_clouds_pct"))
 
 
 def history_average(harvest: DataFrame) -> DataFrame:
     """Mean olives and oil over the history, year range and count."""
     return harvest.groupBy("site").agg(
-        X.stable(F.avg("olives")).alias("mean_olives"), X.stable(F.avg("oil")).alias("mean_oil"),
-        X.round_half_even(F.avg("olives"), 0).alias("olives_kg"),
-        X.round_half_even(F.avg("oil"), 0).alias("oil_kg"),
+        X.stable(X.exact_avg("olives")).alias("mean_olives"), X.stable(X.exact_avg("oil")).alias("mean_oil"),
+        X.round_half_even(X.exact_avg("olives"), 0).alias("olives_kg"),
+        X.round_half_even(X.exact_avg("oil"), 0).alias("oil_kg"),
         F.min("year").cast("int").alias("start_year"), F.max("year").cast("int").alias("end_year"),
         F.count(F.lit(1)).alias("count"),
-        X.stable(F.avg("ratio")).alias("mean_ratio"))
+        X.stable(X.exact_avg("ratio")).alias("mean_ratio"))
 
 
 def dashboard(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
