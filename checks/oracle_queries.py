@@ -614,3 +614,120 @@ select site, round_even(avg(olives), 9) as mean_olives, round_even(avg(oil), 9)
        round_even(round_even(avg(olives), 9), 0) as olives_kg, round_even(round_even(avg(oil), 9), 0) as oil_kg,
        min(year) as start_year, max(year) as end_year, count(*) as count, round_even(avg(ratio), 9) as mean_ratio
 from hc group by site"""
+
+
+# ---------------------------------------------------------------------------
+# step 7: ingestion (computed from the source rows, not from the JSON)
+# ---------------------------------------------------------------------------
+
+def _hourly_rows(src: str) -> str:
+    return f"""
+, hrs(h) as (values (0), (6), (12), (18))
+, hourly as (
+  select w.site, w.obs_date, cast(w.obs_date as timestamp) + to_hours(h) as obs_ts, h,
+         cast(year(w.obs_date) as int) as year, cast(month(w.obs_date) as int) as month,
+         w.avg_temp + (h - 9) / 3e0 as avg_temp, w.max_temp, w.min_temp,
+         coalesce(w.rain / 4e0, 0e0) as rain, w.max_wind, w.avg_wind,
+         case when month(w.obs_date) = 12 then null else w.avg_gust end as avg_gust,
+         coalesce(w.sun_hours * 900e0, 0e0) / 3600e0 as sun_hours, w.clouds,
+         coalesce(w.snow / 4e0, 0e0) as snow, 1013e0 as pressure
+  from {src} w cross join hrs)"""
+
+
+@register("payload_hourly", "weather_daily")
+def _():
+    return _hourly_rows("weather_daily") + """
+select site, obs_date, obs_ts, year, month, avg_temp, max_temp, min_temp, rain, max_wind, avg_wind, avg_gust,
+       sun_hours, clouds, snow, pressure
+from hourly"""
+
+
+@register("payload_daily", "weather_daily")
+def _():
+    return """
+select site, obs_date, avg_temp, max_temp, min_temp, coalesce(rain, 0e0) as rain, clouds,
+       100e0 - coalesce(nullif(clouds, 0e0), 50e0) as humidity, cast(month(obs_date) as int) as month
+from weather_daily"""
+
+
+@register("payload_current", "weather_daily")
+def _():
+    return """
+, resp as (
+  select r_name as site, cast(floor(epoch(cast(ts as timestamp))) as bigint) as dt, event_type <> 'error' as ok,
+         case when event_type = 'error' then 'Invalid API key' end as message,
+         round_even(round_even(value, 9), 1) as temperature,
+         cast(trunc(cast(json_extract_string(props, '$.k') as double)) as int) as humidity,
+         cast(cast(trunc(cast(json_extract_string(props, '$.k') as double)) as int) as double) as clouds,
+         round_even(round_even(coalesce(case when event_type = 'click' then value / 10e0 end,
+                                        case when event_type = 'view' then value / 5e0 end, 0e0), 9), 1) as rain,
+         round_even(round_even(value / 2e0, 9), 1) as wind
+  from events join region on events.user_id % 5 = r_regionkey)
+, newest as (
+  select * from (select *, row_number() over (partition by site order by dt desc, ok desc, temperature desc,
+         humidity desc, clouds desc, rain desc, wind desc, message desc nulls last) as rk from resp) where rk = 1)
+, stored as (
+  select site, max(obs_date) as obs_date, arg_max(avg_temp, obs_date) as f_avg_temp,
+         arg_max(clouds, obs_date) as f_clouds, arg_max(rain, obs_date) as f_rain,
+         arg_max(avg_wind, obs_date) as f_avg_wind
+  from weather_daily group by site)
+select coalesce(n.site, s.site) as site,
+       case when coalesce(n.ok, false) then 'api' when s.obs_date is not null then 'file' end as source,
+       case when coalesce(n.ok, false) then cast(n.dt as varchar)
+            when s.obs_date is not null then strftime(s.obs_date, '%Y-%m-%d') end as date,
+       case when coalesce(n.ok, false) then n.temperature
+            when s.obs_date is not null then round_even(round_even(s.f_avg_temp, 9), 1) end as temperature,
+       case when coalesce(n.ok, false) then n.humidity when s.obs_date is not null then 0 end as humidity,
+       case when coalesce(n.ok, false) then n.clouds
+            when s.obs_date is not null then round_even(round_even(s.f_clouds, 9), 1) end as clouds,
+       case when coalesce(n.ok, false) then n.rain
+            when s.obs_date is not null then round_even(round_even(s.f_rain, 9), 1) end as rain,
+       case when coalesce(n.ok, false) then n.wind
+            when s.obs_date is not null then round_even(round_even(coalesce(s.f_avg_wind, 0e0), 9), 1) end as wind,
+       case when coalesce(n.ok, false) then cast(n.dt as varchar)
+            when s.obs_date is not null then strftime(s.obs_date, '%Y-%m-%d') || ' (file)' end as updated,
+       case when not coalesce(n.ok, false) and s.obs_date is null then coalesce(n.message, 'no data') end as error
+from newest n full outer join stored s on n.site = s.site"""
+
+
+SCENARIO = """
+, mx as (select site, max(obs_date) as mx from weather_daily group by site)
+, store as (select w.* from weather_daily w join mx on w.site = mx.site where w.obs_date <= mx.mx - 69)
+, recent as (select w.* from weather_daily w join mx on w.site = mx.site where w.obs_date > mx.mx - 99)"""
+
+STORE_COLS = "site, obs_date, avg_temp, max_temp, min_temp, rain, clouds, sun_hours, max_wind, avg_wind, avg_gust, snow, pressure"
+
+
+@register("merge_keep_first", "weather_daily")
+def _():
+    return SCENARIO + _hourly_rows("recent") + f"""
+, first_hour as (select * from hourly where h = 0)
+, fresh as (select f.* from first_hour f where not exists (
+    select 1 from store s where s.site = f.site and s.obs_date = f.obs_date))
+select {STORE_COLS} from store
+union all
+select {STORE_COLS} from fresh"""
+
+
+@register("daily_rollup", "weather_daily")
+def _():
+    return _hourly_rows("weather_daily") + """
+select site, obs_date, round_even(avg(avg_temp), 9) as avg_temp, max(max_temp) as max_temp, min(min_temp) as min_temp,
+       round_even(coalesce(sum(rain), 0e0), 9) as rain, max(max_wind) as max_wind,
+       round_even(avg(avg_wind), 9) as avg_wind, max(avg_gust) as avg_gust,
+       round_even(coalesce(sum(sun_hours), 0e0), 9) as sun_hours, round_even(avg(clouds), 9) as clouds,
+       round_even(coalesce(sum(snow), 0e0), 9) as snow, max(pressure) as pressure, count(*) as n_readings
+from hourly group by site, obs_date"""
+
+
+@register("ingest_report", "weather_daily")
+def _():
+    return SCENARIO + _hourly_rows("recent") + """
+, fresh as (select f.* from hourly f where h = 0 and not exists (
+    select 1 from store s where s.site = f.site and s.obs_date = f.obs_date))
+, added as (select site, count(*) as n from fresh group by site)
+, b as (select site, count(*) as rows_in, arg_max(obs_date, obs_ts) as d, arg_max(avg_temp, obs_ts) as t,
+               arg_max(clouds, obs_ts) as c from hourly group by site)
+select b.site, rows_in, coalesce(a.n, 0) as rows_added, strftime(d, '%Y-%m-%d') as last_update,
+       round_even(round_even(t, 9), 1) as last_temp, round_even(round_even(c, 9), 1) as last_clouds
+from b left join added a on a.site = b.site"""

@@ -251,3 +251,54 @@ def q_dashboard_legacy(spark, sf_dir):
     d = R.dashboard_legacy(fx.weather_daily(spark, sf_dir), harvest_clean_legacy(fx.harvest(spark, sf_dir)),
                            *_models(spark), with_timestamp=False)
     return d.withColumn("predictions_olives_kg", map_text(d["predictions_olives_kg"]))
+
+
+# -- step 7: ingestion ----------------------------------------------------------
+
+HOURLY_COLUMNS = ["site", "obs_date", "obs_ts", "year", "month", "avg_temp", "max_temp", "min_temp",
+                  "rain", "max_wind", "avg_wind", "avg_gust", "sun_hours", "clouds", "snow", "pressure"]
+
+
+def _hourly(spark, sf_dir):
+    from grovecast.sources import payloads
+    return payloads.parse_hourly(payloads.hourly_payloads_from_weather(fx.weather_daily(spark, sf_dir)))
+
+
+@query("payload_hourly")
+def q_payload_hourly(spark, sf_dir):
+    return _hourly(spark, sf_dir).select(*HOURLY_COLUMNS)
+
+
+@query("payload_daily")
+def q_payload_daily(spark, sf_dir):
+    from grovecast.sources import payloads
+    return payloads.parse_daily(payloads.daily_payloads_from_weather(fx.weather_daily(spark, sf_dir)))
+
+
+@query("payload_current")
+def q_payload_current(spark, sf_dir):
+    from grovecast.plans.current import current_weather
+    from grovecast.sources import payloads
+    resp = payloads.parse_current(payloads.current_payloads_from_events(
+        fx.table(spark, sf_dir, "events"), fx.table(spark, sf_dir, "region")))
+    return current_weather(resp, fx.weather_daily(spark, sf_dir))
+
+
+@query("merge_keep_first")
+def q_merge_keep_first(spark, sf_dir):
+    from grovecast.operators import dedup
+    store, batch = fx.ingest_scenario(spark, sf_dir)
+    return dedup.merge_keep_first(store, batch)
+
+
+@query("daily_rollup")
+def q_daily_rollup(spark, sf_dir):
+    from grovecast.operators import dedup
+    return dedup.daily_rollup(_hourly(spark, sf_dir))
+
+
+@query("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    from grovecast.operators import dedup
+    store, batch = fx.ingest_scenario(spark, sf_dir)
+    return dedup.ingest_report(batch, dedup.new_rows(store, batch))

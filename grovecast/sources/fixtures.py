@@ -175,3 +175,23 @@ def model_meta(spark: SparkSession) -> DataFrame:
 
 def feature_importance(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FEATURE_IMPORTANCE_ROWS, schemas.FEATURE_IMPORTANCE)
+
+
+# ---------------------------------------------------------------------------
+# Ingest scenario: a store that is 69 days behind, and a pull that re-sends
+# the last 99 days (30 of them already stored) as hourly payloads.
+# ---------------------------------------------------------------------------
+STORE_LAG_DAYS = 69
+RESEND_DAYS = 99
+
+
+def ingest_scenario(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(store rows, parsed hourly batch rows) derived from ``weather_daily``."""
+    from grovecast.sources import payloads
+    w = weather_daily(spark, sf_dir)
+    newest = w.groupBy("site").agg(F.max("obs_date").alias("_mx"))
+    wm = w.join(newest, "site")
+    store = wm.filter(F.col("obs_date") <= F.date_sub("_mx", STORE_LAG_DAYS)).drop("_mx")
+    recent = wm.filter(F.col("obs_date") > F.date_sub("_mx", RESEND_DAYS)).drop("_mx")
+    batch = payloads.parse_hourly(payloads.hourly_payloads_from_weather(recent))
+    return store, batch
