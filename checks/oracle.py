@@ -89,8 +89,10 @@ CTES = {"weather_daily": WEATHER_DAILY, "harvest": HARVEST, "model_feature": MOD
 def with_views(body: str, *views: str) -> str:
     """Prefix ``body`` (which may start with its own ``with``-less CTE list
     continuation ``, x as (...)``) with the named fixture CTEs."""
-    head = "with " + ",\n".join(CTES[v].strip() for v in views)
     body = body.strip()
+    if not views:
+        return body + "\n"
+    head = "with " + ",\n".join(CTES[v].strip() for v in views)
     if body.startswith(","):
         return head + body + "\n"
     return head + "\n" + body + "\n"

@@ -731,3 +731,58 @@ def _():
 select b.site, rows_in, coalesce(a.n, 0) as rows_added, strftime(d, '%Y-%m-%d') as last_update,
        round_even(round_even(t, 9), 1) as last_temp, round_even(round_even(c, 9), 1) as last_clouds
 from b left join added a on a.site = b.site"""
+
+
+# ---------------------------------------------------------------------------
+# step 8: streaming (the batch SQL of the same result)
+# ---------------------------------------------------------------------------
+
+@register("stream_ingest", "weather_daily")
+def _():
+    return SCENARIO + _hourly_rows("recent") + f"""
+, first_hour as (select * from hourly where h = 0)
+, fresh as (select f.* from first_hour f where not exists (
+    select 1 from store s where s.site = f.site and s.obs_date = f.obs_date))
+select {STORE_COLS} from store
+union all
+select {STORE_COLS} from fresh"""
+
+
+@register("stream_risk", "weather_daily")
+def _():
+    return WX + """
+, days as (select site, cast(unnest(generate_series(min(obs_date), max(obs_date), interval 1 day)) as date) as d
+           from wx group by site)
+, twin as (
+  select d.site, d.d as obs_date, cast(month(d.d) as int) as month, count(*) as n_rows,
+         avg(w.avg_temp) as avg_temp, coalesce(sum(w.rain), 0e0) as total_rain, avg(w.humidity) as avg_humidity,
+         count(case when w.rain > 0.5e0 then 1 end) as rainy_days
+  from days d join wx w on w.site = d.site and w.obs_date between d.d - 29 and d.d
+  group by d.site, d.d)""" + RULES + _scored("twin") + """
+, counts as (
+  select site, obs_date, any_value(avg_temp) as avg_temp, any_value(total_rain) as total_rain,
+         any_value(avg_humidity) as avg_humidity, any_value(rainy_days) as rainy_days,
+         cast(count_if(risk_label = 'HIGH') as int) as n_high,
+         cast(count_if(risk_label = 'MODERATE') as int) as n_moderate,
+         cast(count_if(risk_label = 'LOW') as int) as n_low
+  from labelled group by site, obs_date)
+select site, obs_date,
+       round_even(round_even(avg_temp, 9), 1) as avg_temperature,
+       round_even(round_even(total_rain, 9), 1) as total_rain_30d,
+       round_even(round_even(avg_humidity, 9), 1) as avg_humidity_estimate,
+       cast(rainy_days as int) as rainy_days_30d, n_high, n_moderate, n_low,
+       case when n_high >= 3 then 'HIGH' when n_high >= 1 or n_moderate >= 3 then 'MODERATE' else 'LOW' end
+         as overall_risk
+from counts"""
+
+
+@register("stream_latest")
+def _():
+    return """
+with rd as (
+  select r_name as site, event_id, cast(ts as timestamp) as obs_ts, value as reading,
+         cast(json_extract_string(props, '$.k') as int) as k
+  from events join region on events.user_id % 5 = r_regionkey)
+select site, obs_ts, event_id, reading, k from (
+  select *, row_number() over (partition by site order by obs_ts desc, event_id desc, reading desc, k desc) as rk
+  from rd) where rk = 1"""

@@ -302,3 +302,46 @@ def q_ingest_report(spark, sf_dir):
     from grovecast.operators import dedup
     store, batch = fx.ingest_scenario(spark, sf_dir)
     return dedup.ingest_report(batch, dedup.new_rows(store, batch))
+
+
+# -- step 8: streaming (run to completion with an availableNow trigger) ----------
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """The re-sent payloads as JSON files, streamed into a store that is
+    69 days behind; the result is the store after the stream."""
+    from pyspark.sql import functions as F
+    from grovecast.operators import dedup
+    from grovecast.streaming import jobs
+    base = jobs.scratch_dir(spark, "ingest")
+    store, pl = fx.ingest_scenario_payloads(spark, sf_dir)
+    store.withColumn("year", F.year("obs_date")).write.partitionBy("year").parquet(f"{base}/store")
+    pl.repartition(4).write.text(f"{base}/source")
+    q = jobs.start_ingest(spark, f"{base}/source", f"{base}/store", f"{base}/checkpoint",
+                          max_files_per_trigger=2)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/store").select(*dedup.STORE_COLUMNS)
+
+
+@query("stream_risk")
+def q_stream_risk(spark, sf_dir):
+    """R2: 30-day sliding windows on the daily rows as a stream, scored."""
+    from pyspark.sql import functions as F
+    from grovecast.streaming import jobs
+    base = jobs.scratch_dir(spark, "risk")
+    _wx(spark, sf_dir).repartition(4, F.col("site")).write.parquet(f"{base}/source")
+    q = jobs.start_window_risk(spark, f"{base}/source", f"{base}/windows", f"{base}/checkpoint")
+    q.awaitTermination()
+    stats = jobs.window_results(spark.read.parquet(f"{base}/windows"))
+    return risk.disease_overall(stats)
+
+
+@query("stream_latest")
+def q_stream_latest(spark, sf_dir):
+    """Newest reading per site of the events stream."""
+    from grovecast.streaming import jobs
+    base = jobs.scratch_dir(spark, "latest")
+    fx.event_readings(spark, sf_dir).repartition(4).write.parquet(f"{base}/source")
+    q = jobs.start_latest(spark, f"{base}/source", f"{base}/newest", f"{base}/checkpoint")
+    q.awaitTermination()
+    return jobs.latest_versions(spark.read.parquet(f"{base}/newest"), ["site"])

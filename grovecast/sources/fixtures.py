@@ -117,11 +117,13 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` table seen as sensor readings: site = user_id % 5."""
+    """The ``events`` table seen as sensor readings of the five sites: site =
+    region of ``user_id % 5`` (region: 5 rows, broadcast), reading = value,
+    k from the JSON ``props``; times are wall-clock (``timestamp_ntz``)."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
-    return ev.select(
-        (F.col("user_id") % 5).cast("string").alias("site"),
-        "event_id", F.col("ts").cast("timestamp").alias("obs_ts"),
+    reg = F.broadcast(table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("site")))
+    return ev.join(reg, (ev.user_id % 5) == reg.r_regionkey).select(
+        "site", "event_id", F.col("ts").cast("timestamp_ntz").alias("obs_ts"),
         F.col("value").alias("reading"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
 
@@ -185,13 +187,19 @@ STORE_LAG_DAYS = 69
 RESEND_DAYS = 99
 
 
-def ingest_scenario(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(store rows, parsed hourly batch rows) derived from ``weather_daily``."""
+def ingest_scenario_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(store rows, hourly JSON payloads of the re-sent days)."""
     from grovecast.sources import payloads
     w = weather_daily(spark, sf_dir)
     newest = w.groupBy("site").agg(F.max("obs_date").alias("_mx"))
     wm = w.join(newest, "site")
     store = wm.filter(F.col("obs_date") <= F.date_sub("_mx", STORE_LAG_DAYS)).drop("_mx")
     recent = wm.filter(F.col("obs_date") > F.date_sub("_mx", RESEND_DAYS)).drop("_mx")
-    batch = payloads.parse_hourly(payloads.hourly_payloads_from_weather(recent))
-    return store, batch
+    return store, payloads.hourly_payloads_from_weather(recent)
+
+
+def ingest_scenario(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(store rows, parsed hourly batch rows) derived from ``weather_daily``."""
+    from grovecast.sources import payloads
+    store, pl = ingest_scenario_payloads(spark, sf_dir)
+    return store, payloads.parse_hourly(pl)
