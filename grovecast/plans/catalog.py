@@ -345,3 +345,29 @@ def q_stream_latest(spark, sf_dir):
     q = jobs.start_latest(spark, f"{base}/source", f"{base}/newest", f"{base}/checkpoint")
     q.awaitTermination()
     return jobs.latest_versions(spark.read.parquet(f"{base}/newest"), ["site"])
+
+
+# -- step 9: fit ----------------------------------------------------------------
+
+SIMPLE_FEATURES = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"]
+
+
+def _training(spark, sf_dir):
+    from grovecast.operators import features as feat
+    from grovecast.plans import fit
+    return fit.training_pairs(feat.weather_features(fx.weather_daily(spark, sf_dir)), _harvest(spark, sf_dir))
+
+
+@query("fit_simple")
+def q_fit_simple(spark, sf_dir):
+    """Fitted scaler + linear model on the simple model's features, as
+    model-table rows (one per feature) with the member's meta columns."""
+    from grovecast.plans import fit
+    feats, meta = fit.fit_linear(_training(spark, sf_dir), SIMPLE_FEATURES, "fitted")
+    return feats.join(meta, ["model", "member"])
+
+
+@query("regr_check")
+def q_regr_check(spark, sf_dir):
+    from grovecast.plans import fit
+    return fit.regression_check(_training(spark, sf_dir), "Rain_Jan")
