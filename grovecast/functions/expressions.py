@@ -32,6 +32,11 @@ def exact_sum(x: str | Column, w=None) -> Column:
     return (s.over(w) if w is not None else s).cast("double")
 
 
+def decimal_sum(x: str | Column) -> Column:
+    """Exact partial sum kept as DECIMAL (to be summed again exactly)."""
+    return F.sum(col(x).cast(EXACT))
+
+
 def exact_sum0(x: str | Column, w=None) -> Column:
     """pandas ``sum``: NULLs skipped, nothing -> 0."""
     return F.coalesce(exact_sum(x, w), F.lit(0.0))

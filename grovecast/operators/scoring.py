@@ -16,8 +16,12 @@ contribution of the features it names that the feature table does not have
 (those are 0 after ``fillna(0)``).  A member without any feature therefore
 scores its intercept.
 
-The coefficient table is broadcast only after a bounded row count proved it
-small; otherwise the join is left to the planner (sort-merge, AQE).
+Broadcasting is left to the planner's size check: Spark broadcasts a side
+only when its size statistics are under ``autoBroadcastJoinThreshold``
+(exact for literal tables, file sizes for stored ones) and AQE re-checks the
+measured size at run time; beyond that the join stays a sort-merge join.
+Model tables are small by nature, but nothing here forces a broadcast on an
+unchecked table.
 """
 
 from __future__ import annotations
@@ -30,17 +34,6 @@ from pyspark.sql import functions as F
 from grovecast.functions import expressions as X
 
 BIAS = "__bias__"
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows, so it stays cheap even if
-    the table turns out to be large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def to_long(features: DataFrame, ids: Iterable[str], names: list[str]) -> DataFrame:
@@ -79,7 +72,7 @@ def member_predictions(features: DataFrame, model_feature: DataFrame, model_meta
     """
     ids = list(ids)
     names = [c for c in features.columns if c not in ids]
-    terms = bounded_broadcast(model_terms(model_feature, model_meta, names, models))
+    terms = model_terms(model_feature, model_meta, names, models)
     long = to_long(features, ids, names)
     contrib = F.col("coef") * (F.coalesce(F.col("value"), F.lit(0.0)) - F.col("mean")) / F.col("scale")
     raw = long.join(terms, "feature").groupBy(*ids, "model", "member") \
@@ -87,7 +80,7 @@ def member_predictions(features: DataFrame, model_feature: DataFrame, model_meta
     meta = model_meta.select("model", "member", "name", "description", "oil_factor", "cv_mae", "adj_r2")
     if models is not None:
         meta = meta.filter(F.col("model").isin(*models))
-    return raw.join(bounded_broadcast(meta), ["model", "member"])
+    return raw.join(meta, ["model", "member"])
 
 
 def ensemble(members: DataFrame, ids: Iterable[str]) -> DataFrame:

@@ -50,18 +50,20 @@ def _agg(kind: str, c: Column, w=None) -> Column:
 def row_positions(df: DataFrame, key: str = "site", order: str = "obs_date") -> DataFrame:
     """Add ``_pos`` (0-based position of the row within its key, by ``order``).
 
-    Built from per-(key, year) row counts and a row_number inside each
-    (key, year): the largest group any task sorts is one site-year.
+    One window per (key, year) numbers the rows of each site-year; the
+    per-(key, year) row counts are read from that same windowed frame (one
+    shuffle, reused), turned into running offsets on the small (key, year)
+    table and joined back.  The largest group any task sorts is one
+    site-year, whatever the size of the site.
     """
-    yr = F.year(order).alias("_yr")
-    counts = df.groupBy(key, yr).agg(F.count(F.lit(1)).alias("_n"))
+    w_in = Window.partitionBy(key, "_yr").orderBy(order)
+    x = df.withColumn("_yr", F.year(order)).withColumn("_rn", F.row_number().over(w_in))
+    counts = x.groupBy(key, "_yr").agg(F.max("_rn").alias("_n"))
     w_prev = Window.partitionBy(key).orderBy("_yr").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_yr", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(key, "_yr").orderBy(order)
-    return (df.withColumn("_yr", F.year(order))
-              .join(offsets, [key, "_yr"])
-              .withColumn("_pos", F.col("_off") + F.row_number().over(w_in) - 1)
-              .drop("_off", "_yr"))
+    return (x.join(offsets, [key, "_yr"])
+             .withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
+             .drop("_off", "_yr", "_rn"))
 
 
 def trailing_asof(df: DataFrame, n: int, aggs: Mapping[str, tuple[str, Column | str]],

@@ -61,31 +61,60 @@ def choose_years(weather: DataFrame, target_year: int = DEFAULT_TARGET_YEAR) ->
                            (wy + 1).cast("int").alias("harvest_year"))
 
 
-def simple_features(weather: DataFrame, years: DataFrame) -> DataFrame:
-    """Rain_Jan, Clouds_Sep, Clouds_Oct of the chosen year with the all-years
-    fallback for the cloud means (A8, A9): one aggregate per site."""
-    w = weather.join(years.select("site", "weather_year"), "site")
-    yr, mo = F.year("obs_date"), F.month("obs_date")
-    this = yr == F.col("weather_year")
-    agg = w.groupBy("site").agg(
-        X.stable(X.exact_sum0(F.when(this & (mo == 1), F.col("rain")))).alias("Rain_Jan"),
-        X.stable(F.coalesce(X.exact_avg(F.when(this & (mo == 9), F.col("clouds"))),
-                            X.exact_avg(F.when(mo == 9, F.col("clouds"))))).alias("Clouds_Sep"),
-        X.stable(F.coalesce(X.exact_avg(F.when(this & (mo == 10), F.col("clouds"))),
-                            X.exact_avg(F.when(mo == 10, F.col("clouds"))))).alias("Clouds_Oct"))
-    return agg
+def _year_priority(target_year: int) -> Column:
+    """The target's weather year wins, else the latest year."""
+    return F.when(F.col("year") == target_year - 1, F.lit(1 << 30)).otherwise(F.col("year"))
 
 
-def predict_simple(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
-                   target_year: int = DEFAULT_TARGET_YEAR, model: str = "simple") -> DataFrame:
-    """Simple statistical prediction per site (D3)."""
-    years = choose_years(weather, target_year)
-    fx = simple_features(weather, years)
+def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_YEAR) -> DataFrame:
+    """One row per site: the D1 features of the chosen weather year plus the
+    all-years September / October cloud means (the simple model's fallback).
+
+    One pass over the weather rows: a ``groupBy(site, year)`` with the
+    features and exact partial sums, then a per-site ``max_by`` on the
+    (small) site-year table.
+    """
+    w = feat.with_parts(weather)
+    sep, oct_ = F.col("month") == 9, F.col("month") == 10
+    aggs = {**feat.yearly_aggs(), **feat.seasonal_aggs(), **feat.monthly_aggs()}
+    names = list(aggs)
+    site_years = w.groupBy("site", "year").agg(
+        *[X.stable(a).alias(n) for n, a in aggs.items()],
+        X.decimal_sum(F.when(sep, F.col("clouds"))).alias("_sep_sum"),
+        F.count(F.when(sep, F.col("clouds"))).alias("_sep_n"),
+        X.decimal_sum(F.when(oct_, F.col("clouds"))).alias("_oct_sum"),
+        F.count(F.when(oct_, F.col("clouds"))).alias("_oct_n"))
+    pick = F.max_by(F.struct("year", *names), _year_priority(target_year)).alias("_r")
+    per_site = site_years.groupBy("site").agg(
+        pick,
+        (F.sum("_sep_sum").cast("double") / F.sum("_sep_n")).alias("_sep_all"),
+        (F.sum("_oct_sum").cast("double") / F.sum("_oct_n")).alias("_oct_all"))
+    return per_site.select(
+        "site", F.col("_r.year").cast("int").alias("weather_year"),
+        (F.col("_r.year") + 1).cast("int").alias("harvest_year"),
+        *[F.col(f"_r.{n}").alias(n) for n in names],
+        X.stable("_sep_all").alias("_sep_all"), X.stable("_oct_all").alias("_oct_all"))
+
+
+def simple_features(chosen: DataFrame) -> DataFrame:
+    """Rain_Jan, Clouds_Sep, Clouds_Oct of the chosen year with the simple
+    model's defaults: January rain 0 without rows, cloud means from all
+    years when the year has none (A8, A9)."""
+    return chosen.select(
+        "site",
+        F.coalesce(F.col("Rain_Jan"), F.lit(0.0)).alias("Rain_Jan"),
+        F.coalesce(F.col("Clouds_Sep"), F.col("_sep_all")).alias("Clouds_Sep"),
+        F.coalesce(F.col("Clouds_Oct"), F.col("_oct_all")).alias("Clouds_Oct"))
+
+
+def _simple_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
+                 model: str) -> DataFrame:
+    fx = simple_features(chosen)
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site"], [model])
     per_site = members.groupBy("site").agg(
         X.stable(X.exact_avg("raw")).alias("raw"), F.max("cv_mae").alias("cv_mae"),
         F.max("adj_r2").alias("adj_r2"), F.max("oil_factor").alias("oil_factor"))
-    j = years.join(fx, "site").join(per_site, "site", "left")
+    j = chosen.select("site", "weather_year", "harvest_year").join(fx, "site").join(per_site, "site", "left")
     has = F.col("raw").isNotNull()
     pred = F.when(has, X.clamp_low("raw")).otherwise(F.lit(NO_MODEL_OLIVES_KG))
     cv_mae = F.when(has, F.coalesce(F.col("cv_mae"), F.lit(DEFAULT_CV_MAE))).otherwise(F.lit(NO_MODEL_CV_MAE))
@@ -102,27 +131,22 @@ def predict_simple(weather: DataFrame, model_feature: DataFrame, model_meta: Dat
         F.col("Clouds_Oct").alias("clouds_oct"))
 
 
-def _year_rows(weather: DataFrame, years: DataFrame, year_col: str) -> DataFrame:
-    """Weather rows of the chosen year of every site only (filter before the
-    aggregate, so the feature group-by reads one year per site)."""
-    return (weather.join(years.select("site", year_col), "site")
-                   .filter(F.year("obs_date") == F.col(year_col)).drop(year_col))
-
+def predict_simple(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
+                   target_year: int = DEFAULT_TARGET_YEAR, model: str = "simple") -> DataFrame:
+    """Simple statistical prediction per site (D3)."""
+    return _simple_from(chosen_year_features(weather, target_year), model_feature, model_meta, model)
 
-def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
-                     target_year: int = DEFAULT_TARGET_YEAR, model: str = "complex") -> DataFrame:
-    """Ensemble prediction per site with per-member values.
 
-    Sites without a usable model get no row (the report turns that into an
-    error row)."""
-    years = choose_years(weather, target_year)
-    fx = feat.weather_features(_year_rows(weather, years, "weather_year"))
+def _ensemble_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
+                   model: str) -> DataFrame:
+    fx = chosen.drop("harvest_year", "_sep_all", "_oct_all").withColumnRenamed("weather_year", "year")
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model])
     ens = scoring.ensemble(members, ["site", "year"])
     pred = X.clamp_low("mean_raw")
     oil_factor = F.coalesce(F.col("oil_factor"), F.lit(ENSEMBLE_OIL_FACTOR))
-    return ens.join(years, "site").select(
-        "site", "harvest_year", F.col("year").alias("weather_year_used"),
+    return ens.select(
+        "site", (F.col("year") + 1).cast("int").alias("harvest_year"),
+        F.col("year").cast("int").alias("weather_year_used"),
         _round0(pred).alias("olives_kg"),
         _round0(pred * oil_factor).alias("oil_kg"),
         _round0(pred * ENSEMBLE_CI_FACTOR).alias("ci_kg"),
@@ -132,6 +156,22 @@ def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: D
         F.col("member_olives_kg").alias("individual_predictions"))
 
 
+def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
+                     target_year: int = DEFAULT_TARGET_YEAR, model: str = "complex") -> DataFrame:
+    """Ensemble prediction per site with per-member values.
+
+    Sites without a usable model get no row (the report turns that into an
+    error row)."""
+    return _ensemble_from(chosen_year_features(weather, target_year), model_feature, model_meta, model)
+
+
+def _year_rows(weather: DataFrame, years: DataFrame, year_col: str) -> DataFrame:
+    """Weather rows of the chosen year of every site only (filter before the
+    aggregate, so the feature group-by reads one year per site)."""
+    return (weather.join(years.select("site", year_col), "site")
+                   .filter(F.year("obs_date") == F.col(year_col)).drop(year_col))
+
+
 def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
                    model_meta: DataFrame, model: str = "legacy") -> DataFrame:
     """Legacy prediction for the latest weather year of every site.
@@ -202,27 +242,24 @@ def prediction_report(weather: DataFrame, harvest: DataFrame, model_feature: Dat
     available = known.agg(F.concat(F.lit("Available: ['"),
                                    F.array_join(F.sort_array(F.collect_list("model")), "', '"),
                                    F.lit("']")).alias("_available"))
+    chosen = chosen_year_features(weather, target_year)
+    cols = ["site", "olives_kg", "oil_kg", "ci_kg", "cv_mae", "r2", "model_name"]
     parts = []
     for m in dict.fromkeys(requested):
         if m == "simple":
-            p = predict_simple(weather, model_feature, model_meta, target_year, m)
-            p = p.select("site", "harvest_year", "weather_year_used", "olives_kg", "oil_kg", "ci_kg",
-                         "cv_mae", "r2", "model_name")
+            p = _simple_from(chosen, model_feature, model_meta, m).select(*cols)
         else:
-            p = predict_ensemble(weather, model_feature, model_meta, target_year, m)
-            p = p.select("site", "harvest_year", "weather_year_used", "olives_kg", "oil_kg", "ci_kg",
-                         "cv_mae", "r2", "model_name")
+            p = _ensemble_from(chosen, model_feature, model_meta, m).select(*cols)
         parts.append(p.withColumn("model", F.lit(m)))
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
-    years = choose_years(weather, target_year)
-    req = years.select("site", "harvest_year", "weather_year",
-                       F.explode(F.array(*[F.lit(m) for m in dict.fromkeys(requested)])).alias("model"))
+    req = chosen.select("site", "harvest_year", "weather_year",
+                        F.explode(F.array(*[F.lit(m) for m in dict.fromkeys(requested)])).alias("model"))
     meta = model_meta.groupBy("model").agg(F.first("name", ignorenulls=True).alias("model_info_name"),
                                            F.first("description", ignorenulls=True).alias("model_info_description"),
                                            F.lit(True).alias("_known"))
-    j = (req.join(preds.drop("harvest_year", "weather_year_used"), ["site", "model"], "left")
+    j = (req.join(preds, ["site", "model"], "left")
             .join(meta, "model", "left")
             .join(last_harvest(harvest), "site", "left"))
     known_model = F.col("_known").isNotNull()

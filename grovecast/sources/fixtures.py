@@ -29,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Compute ``df`` once and cut its lineage: write it as a parquet table
+    into the session's checkpoint folder (a shared folder on a cluster) and
+    read it back.  Used when one query reads a derived table along several
+    branches: the derivation runs once per query, a lost executor does not
+    recompute it, and later scans keep column pruning and filter pushdown."""
+    import uuid
+    from grovecast.session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grovecast-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _floor_half_up(x, scale: float) -> F.Column:
     """``floor(x * scale + 0.5) / scale``: one rounding rule on both engines."""
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
@@ -190,7 +204,7 @@ RESEND_DAYS = 99
 def ingest_scenario_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(store rows, hourly JSON payloads of the re-sent days)."""
     from grovecast.sources import payloads
-    w = weather_daily(spark, sf_dir)
+    w = materialize(weather_daily(spark, sf_dir), "weather")
     newest = w.groupBy("site").agg(F.max("obs_date").alias("_mx"))
     wm = w.join(newest, "site")
     store = wm.filter(F.col("obs_date") <= F.date_sub("_mx", STORE_LAG_DAYS)).drop("_mx")
