@@ -25,8 +25,9 @@ def clean_measures(df: DataFrame) -> DataFrame:
 def from_csv_frame(raw: DataFrame, site: str | None = None) -> DataFrame:
     """Rename a service-layout frame into ``weather_daily`` columns."""
     cols = [F.to_date(F.substring("Date", 1, 10), "yyyy-MM-dd").alias("obs_date")]
-    cols += [F.col(src).alias(dst) for src, dst in schemas.WEATHER_CSV_TO_DAILY.items()
-             if src in raw.columns]
+    # every measure of the schema; one the file lacks is a NULL column
+    cols += [(F.col(src).cast("double") if src in raw.columns else F.lit(None).cast("double")).alias(dst)
+             for src, dst in schemas.WEATHER_CSV_TO_DAILY.items()]
     site_col = F.col("site") if "site" in raw.columns else F.lit(site)
     return clean_measures(raw.select(site_col.alias("site"), *cols))
 
