@@ -34,12 +34,35 @@ def _wx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.with_humidity_proxy(fx.weather_daily(spark, sf_dir))
 
 
+# Queries whose plans read a fixture view along several branches derive it
+# ONCE: the view is written as a small parquet table into the shared
+# checkpoint folder and the branches scan that table (lineitem / orders are
+# read once per query, and a lost executor does not recompute the joins).
+
+def _weather_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.materialize(fx.weather_daily(spark, sf_dir), "weather")
+
+
+def _wx_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.with_humidity_proxy(_weather_once(spark, sf_dir))
+
+
+def _harvest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovecast.sources.harvest import harvest_clean
+    return fx.materialize(harvest_clean(fx.harvest(spark, sf_dir)), "harvest")
+
+
+def _harvest_legacy_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from grovecast.sources.harvest import harvest_clean_legacy
+    return fx.materialize(harvest_clean_legacy(fx.harvest(spark, sf_dir)), "harvest")
+
+
 # -- step 2: windows and disease risk ---------------------------------------
 
 @query("window30_asof")
 def q_window30_asof(spark, sf_dir):
     from grovecast.functions import expressions as X
-    s = risk.window30_asof(_wx(spark, sf_dir))
+    s = risk.window30_asof(_wx_once(spark, sf_dir))
     return s.select("site", "obs_date", "month", "n_rows",
                     X.stable("avg_temp").alias("avg_temp"),
                     X.stable("total_rain").alias("total_rain"),
@@ -60,12 +83,12 @@ def q_window30_latest(spark, sf_dir):
 
 @query("disease_scores")
 def q_disease_scores(spark, sf_dir):
-    return risk.disease_scores(risk.window30_asof(_wx(spark, sf_dir)))
+    return risk.disease_scores(risk.window30_asof(_wx_once(spark, sf_dir)))
 
 
 @query("disease_overall")
 def q_disease_overall(spark, sf_dir):
-    return risk.disease_overall(risk.window30_asof(_wx(spark, sf_dir)))
+    return risk.disease_overall(risk.window30_asof(_wx_once(spark, sf_dir)))
 
 
 # -- step 3: foliar ----------------------------------------------------------
@@ -74,7 +97,7 @@ def q_disease_overall(spark, sf_dir):
 def q_window7_asof(spark, sf_dir):
     from grovecast.functions import expressions as X
     from grovecast.operators import foliar
-    s = foliar.window7_asof(_wx(spark, sf_dir))
+    s = foliar.window7_asof(_wx_once(spark, sf_dir))
     return s.select("site", "obs_date", "month", "n_rows",
                     X.stable("avg_temp").alias("avg_temp"),
                     X.stable("avg_humidity").alias("avg_humidity"),
@@ -84,7 +107,7 @@ def q_window7_asof(spark, sf_dir):
 @query("foliar_advice")
 def q_foliar_advice(spark, sf_dir):
     from grovecast.operators import foliar
-    return foliar.foliar_advice(foliar.window7_asof(_wx(spark, sf_dir))).drop("type_order")
+    return foliar.foliar_advice(foliar.window7_asof(_wx_once(spark, sf_dir))).drop("type_order")
 
 
 @query("foliar_report")
@@ -92,7 +115,7 @@ def q_foliar_report(spark, sf_dir):
     """Flat form of the report: recommendations as ``type:STATUS`` in rule order."""
     from pyspark.sql import functions as F
     from grovecast.operators import foliar
-    rep = foliar.foliar_report(_wx(spark, sf_dir))
+    rep = foliar.foliar_report(_wx_once(spark, sf_dir))
     return rep.select(
         "site", "obs_date", "season", "best_time_of_day", "avoid", "temperature", "humidity",
         "recent_rain", F.size("recommendations").alias("n_recommendations"),
@@ -172,7 +195,7 @@ def _harvest(spark, sf_dir):
 @query("predict_simple")
 def q_predict_simple(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.predict_simple(fx.weather_daily(spark, sf_dir), *_models(spark))
+    return P.predict_simple(_weather_once(spark, sf_dir), *_models(spark))
 
 
 @query("predict_ensemble")
@@ -187,20 +210,20 @@ def q_predict_ensemble(spark, sf_dir):
 def q_predict_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import prediction as P
-    p = P.predict_legacy(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+    p = P.predict_legacy(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
     return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
 
 
 @query("predict_backtest")
 def q_predict_backtest(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.predict_backtest(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+    return P.predict_backtest(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
 
 
 @query("prediction_report")
 def q_prediction_report(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.prediction_report(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark),
+    return P.prediction_report(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark),
                                requested=["simple", "complex", "ensemble"])
 
 
@@ -209,26 +232,26 @@ def q_prediction_report(spark, sf_dir):
 @query("history")
 def q_history(spark, sf_dir):
     from grovecast.plans import reports as R
-    return R.history(_harvest(spark, sf_dir))
+    return R.history(_harvest_once(spark, sf_dir))
 
 
 @query("history_legacy")
 def q_history_legacy(spark, sf_dir):
     from grovecast.plans import reports as R
     from grovecast.sources.harvest import harvest_clean_legacy
-    return R.history_legacy(harvest_clean_legacy(fx.harvest(spark, sf_dir)))
+    return R.history_legacy(_harvest_legacy_once(spark, sf_dir))
 
 
 @query("weather_summary")
 def q_weather_summary(spark, sf_dir):
     from grovecast.plans import reports as R
-    return R.weather_summary(fx.weather_daily(spark, sf_dir), years=5)
+    return R.weather_summary(_weather_once(spark, sf_dir), years=5)
 
 
 @query("latest_year_weather")
 def q_latest_year_weather(spark, sf_dir):
     from grovecast.plans import reports as R
-    return R.latest_year_weather(fx.weather_daily(spark, sf_dir))
+    return R.latest_year_weather(_weather_once(spark, sf_dir))
 
 
 @query("history_average")
@@ -240,7 +263,7 @@ def q_history_average(spark, sf_dir):
 @query("dashboard")
 def q_dashboard(spark, sf_dir):
     from grovecast.plans import reports as R
-    return R.dashboard(fx.weather_daily(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
+    return R.dashboard(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
 
 
 @query("dashboard_legacy")
@@ -248,7 +271,7 @@ def q_dashboard_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import reports as R
     from grovecast.sources.harvest import harvest_clean_legacy
-    d = R.dashboard_legacy(fx.weather_daily(spark, sf_dir), harvest_clean_legacy(fx.harvest(spark, sf_dir)),
+    d = R.dashboard_legacy(_weather_once(spark, sf_dir), _harvest_legacy_once(spark, sf_dir),
                            *_models(spark), with_timestamp=False)
     return d.withColumn("predictions_olives_kg", map_text(d["predictions_olives_kg"]))
 
@@ -261,7 +284,7 @@ HOURLY_COLUMNS = ["site", "obs_date", "obs_ts", "year", "month", "avg_temp", "ma
 
 def _hourly(spark, sf_dir):
     from grovecast.sources import payloads
-    return payloads.parse_hourly(payloads.hourly_payloads_from_weather(fx.weather_daily(spark, sf_dir)))
+    return payloads.parse_hourly(payloads.hourly_payloads_from_weather(_weather_once(spark, sf_dir)))
 
 
 @query("payload_hourly")
