@@ -802,3 +802,40 @@ def _():
 select site, regr_count(label, Rain_Jan) as n, round_even(regr_slope(label, Rain_Jan), 6) as slope,
        round_even(regr_intercept(label, Rain_Jan), 6) as intercept, round_even(regr_r2(label, Rain_Jan), 6) as r2
 from tr group by site"""
+
+
+@register("weather_years", "weather_daily")
+def _():
+    return "select distinct site, cast(year(obs_date) as int) as year from weather_daily"
+
+
+@register("disease_report", "weather_daily", "harvest")
+def _():
+    return HARVEST_CLEAN + """
+, pd as (select site, obs_date, avg_temp, coalesce(rain, 0e0) as rain, clouds,
+                100e0 - coalesce(nullif(clouds, 0e0), 50e0) as humidity from weather_daily)
+, head as (
+  select site, round_even(round_even(avg(avg_temp), 9), 1) as avg_temperature,
+         round_even(round_even(coalesce(sum(rain), 0e0), 9), 1) as total_rain_30d,
+         round_even(round_even(avg(humidity), 9), 1) as avg_humidity_estimate,
+         cast(count(case when rain > 0.5e0 then 1 end) as int) as rainy_days_30d
+  from pd group by site)
+, ranked as (select *, row_number() over (partition by site order by obs_date desc) as rk from pd)
+, last30 as (
+  select site, max(obs_date) as obs_date, cast(month(max(obs_date)) as int) as month,
+         avg(avg_temp) as avg_temp, coalesce(sum(rain), 0e0) as total_rain, avg(humidity) as avg_humidity,
+         count(case when rain > 0.5e0 then 1 end) as rainy_days
+  from ranked where rk <= 30 group by site)""" + RULES + _scored("last30") + """
+, counts as (
+  select site, obs_date,
+         cast(count_if(risk_label = 'HIGH') as int) as n_high,
+         cast(count_if(risk_label = 'MODERATE') as int) as n_moderate,
+         cast(count_if(risk_label = 'LOW') as int) as n_low
+  from labelled group by site, obs_date)
+, sites as (select distinct site from hc)
+select s.site, h.avg_temperature, h.total_rain_30d, h.avg_humidity_estimate, h.rainy_days_30d,
+       c.obs_date, c.n_high, c.n_moderate, c.n_low,
+       case when c.site is null then null when c.n_high >= 3 then 'HIGH'
+            when c.n_high >= 1 or c.n_moderate >= 3 then 'MODERATE' else 'LOW' end as overall_risk,
+       case when c.obs_date is null then 'No weather data available' end as error
+from sites s left join head h on h.site = s.site left join counts c on c.site = s.site"""

@@ -394,3 +394,22 @@ def q_fit_simple(spark, sf_dir):
 def q_regr_check(spark, sf_dir):
     from grovecast.plans import fit
     return fit.regression_check(_training(spark, sf_dir), "Rain_Jan")
+
+
+# -- additional report queries ------------------------------------------------------
+
+@query("weather_years")
+def q_weather_years(spark, sf_dir):
+    """Distinct weather years per site."""
+    from grovecast.plans import reports as R
+    return R.available_years(fx.weather_daily(spark, sf_dir))
+
+
+@query("disease_report")
+def q_disease_report(spark, sf_dir):
+    """D19/D20/A14 on the daily-payload path: headline over every payload row,
+    scores over the last 30 rows, label counts and overall risk per site; a
+    harvest site without weather rows gets an error row."""
+    from grovecast.sources import payloads
+    daily = payloads.parse_daily(payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir)))
+    return risk.disease_report(daily, sites=_harvest(spark, sf_dir).select("site"))

@@ -172,17 +172,33 @@ def _year_rows(weather: DataFrame, years: DataFrame, year_col: str) -> DataFrame
                    .filter(F.year("obs_date") == F.col(year_col)).drop(year_col))
 
 
+def choose_model(model_meta: DataFrame, preference: list[str]) -> DataFrame:
+    """The first model of ``preference`` present in ``model_meta`` (S11):
+    one row (``model``), NULL when none is present.  A global aggregate over
+    the distinct model names (a table of a handful of rows)."""
+    rank = F.array_position(F.array(*[F.lit(m) for m in preference]), F.col("model"))
+    cands = model_meta.select("model").distinct().withColumn("_rank", rank).filter(F.col("_rank") > 0)
+    return cands.agg(F.min_by("model", "_rank").alias("model"))
+
+
 def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
-                   model_meta: DataFrame, model: str = "legacy") -> DataFrame:
+                   model_meta: DataFrame, model: str | list[str] = "legacy") -> DataFrame:
     """Legacy prediction for the latest weather year of every site.
 
-    Members are clamped and rounded before averaging; trees are those of the
-    harvest of that year, else the truncated mean of the site; the oil
-    estimate multiplies by the mean stored ratio (the service's own
-    formula)."""
+    ``model`` is a model name, or a preference list resolved with
+    :func:`choose_model` (the old service loads the simple model when present,
+    else the complex one).  Members are clamped and rounded before averaging;
+    trees are those of the harvest of that year, else the truncated mean of
+    the site; the oil estimate multiplies by the mean stored ratio (the
+    service's own formula)."""
+    models: list[str] | None = [model] if isinstance(model, str) else None
+    if models is None:
+        chosen = choose_model(model_meta, list(model))
+        model_feature = model_feature.join(chosen, "model", "left_semi")
+        model_meta = model_meta.join(chosen, "model", "left_semi")
     latest = weather.groupBy("site").agg(F.max(F.year("obs_date")).alias("latest_year"))
     fx = feat.legacy_features(_year_rows(weather, latest, "latest_year"))
-    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model])
+    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], models)
     ens = scoring.ensemble(members, ["site", "year"])
     hstats = harvest.groupBy("site").agg(
         X.exact_avg("trees").cast("int").alias("_mean_trees"), X.exact_avg("ratio").alias("_avg_ratio"))

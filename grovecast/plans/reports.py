@@ -24,17 +24,24 @@ def _year_range(df: DataFrame, key: str = "site") -> DataFrame:
 
 
 def history(harvest: DataFrame) -> DataFrame:
-    """Harvest rows with the oil share in % (D8, P19) and the year range."""
+    """Harvest rows with the oil share in % (D8, P19) and the year range,
+    sorted by site and year (W7; one row per site-year, a small result)."""
     rows = harvest.select("site", F.col("year").cast("int").alias("year"),
                           F.col("trees").cast("int").alias("trees"), "olives", "oil",
                           X.oil_share_pct("olives", "oil", "ratio").alias("ratio"))
-    return rows.join(_year_range(harvest).drop("count"), "site")
+    return rows.join(_year_range(harvest).drop("count"), "site").orderBy("site", "year")
 
 
 def history_legacy(harvest: DataFrame) -> DataFrame:
-    """Harvest rows with the stored ratio, count and year range."""
+    """Harvest rows with the stored ratio, count and year range (D9), sorted."""
     rows = harvest.select("site", F.col("year").cast("int").alias("year"), "trees", "olives", "oil", "ratio")
-    return rows.join(_year_range(harvest), "site")
+    return rows.join(_year_range(harvest), "site").orderBy("site", "year")
+
+
+def available_years(weather: DataFrame) -> DataFrame:
+    """Distinct weather years per site, ascending."""
+    return (weather.select("site", F.year("obs_date").cast("int").alias("year")).distinct()
+                   .orderBy("site", "year"))
 
 
 def weather_by_year(weather: DataFrame) -> DataFrame:
@@ -50,7 +57,7 @@ def weather_summary(weather: DataFrame, years: int = 10) -> DataFrame:
     """The last ``years`` yearly summaries per site, with count and range
     of the rows returned (D10, W5)."""
     yearly = windows.last_n_ascending(weather_by_year(weather), years, "site", "year")
-    return yearly.join(_year_range(yearly), "site")
+    return yearly.join(_year_range(yearly), "site").orderBy("site", "year")
 
 
 def latest_year_weather(weather: DataFrame) -> DataFrame:

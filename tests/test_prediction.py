@@ -81,3 +81,13 @@ def test_half_even_rounding(spark):
     assert got[:2] == [142.0, 144.0]
     got1 = [r.y for r in df.select(X.round_half_even("x", 1).alias("y")).collect()]
     assert got1[2:4] == [0.2, 0.4]
+
+
+def test_choose_model_by_preference(spark):
+    mm = fx.model_meta(spark)
+    assert P.choose_model(mm, ["missing", "complex", "simple"]).collect()[0].model == "complex"
+    assert P.choose_model(mm, ["nothing"]).collect()[0].model is None
+    legacy = P.predict_legacy(_weather(spark), harvest_clean(spark.createDataFrame(
+        [("S", 2024, 180.0, 900.0, 180.0, 5.0)], schemas.HARVEST_RAW)),
+        fx.model_feature(spark), mm, model=["nope", "legacy"]).collect()[0]
+    assert legacy.trees == 180 and legacy.year == 2024 and legacy.avg_oil_ratio == 5.0

@@ -106,3 +106,13 @@ def test_headline_uses_all_rows(spark):
     rep = risk.disease_report(risk.with_humidity_proxy(wx(spark, recs))).collect()[0]
     assert rep.total_rain_30d == 45.0 and rep.rainy_days_30d == 45 and rep.avg_humidity_estimate == 50.0
     assert rep.obs_date == dt.date(2021, 2, 14)
+
+
+def test_report_error_row_for_site_without_weather(spark):
+    ds = days("2021-03-01", 5)
+    daily = risk.with_humidity_proxy(wx(spark, [dict(site="A", obs_date=d, avg_temp=12.0, rain=0.0, clouds=30.0)
+                                                for d in ds]))
+    sites = spark.createDataFrame([("A",), ("B",)], "site string")
+    rep = {r.site: r for r in risk.disease_report(daily, sites).collect()}
+    assert rep["A"].error is None and rep["A"].overall_risk in ("LOW", "MODERATE", "HIGH")
+    assert rep["B"].error == "No weather data available" and rep["B"].overall_risk is None
