@@ -4,9 +4,11 @@ The service concatenates the stored rows and the new rows, drops duplicate
 dates keeping the *first* (stored before new, then payload order), sorts and
 rewrites the whole file.  Here:
 
-* duplicates inside a batch are removed with ``row_number() = 1`` per
-  (site, obs_date) ordered by payload position; ``dropDuplicates`` is not used
-  because it keeps an arbitrary row;
+* duplicates inside a batch are removed with a ``min_by`` (``max_by`` for
+  keep-last) aggregate per (site, obs_date) ordered by (time, payload
+  position): deterministic, unlike ``dropDuplicates``, and a partial
+  aggregate, so a day re-sent thousands of times collapses map-side instead
+  of being sorted in one task;
 * rows for days the store already has are removed with a ``left_anti`` join
   on (site, year, obs_date): stored days are never replaced, and with a store
   partitioned by year the join prunes the store to the years of the batch;
@@ -20,7 +22,7 @@ keep-first keeps the first *hour* of each new day.  ``keep="last"`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovecast import schemas
@@ -32,11 +34,10 @@ STORE_COLUMNS = ["site", "obs_date"] + schemas.WEATHER_MEASURES
 
 def dedup_batch(batch: DataFrame, keep: str = "first", order: tuple[str, ...] = ("obs_ts", "pos")) -> DataFrame:
     """One row per (site, obs_date) of a batch: the first (or last) by ``order``."""
-    cols = [F.col(c) for c in order if c in batch.columns]
-    if keep == "last":
-        cols = [c.desc() for c in cols]
-    w = Window.partitionBy(*KEYS).orderBy(*cols)
-    return batch.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    ordering = F.struct(*[F.col(c) for c in order if c in batch.columns])
+    rest = [c for c in batch.columns if c not in KEYS]
+    pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), ordering).alias("_r")
+    return batch.groupBy(*KEYS).agg(pick).select(*KEYS, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def new_rows(store: DataFrame, batch: DataFrame, keep: str = "first") -> DataFrame:

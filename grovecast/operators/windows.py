@@ -47,17 +47,20 @@ def _agg(kind: str, c: Column, w=None) -> Column:
     raise ValueError(f"unknown aggregation {kind!r}; one of {_KINDS}")
 
 
-def row_positions(df: DataFrame, key: str = "site", order: str = "obs_date") -> DataFrame:
+def row_positions(df: DataFrame, key: str = "site", order: str = "obs_date",
+                  bucket: Column | None = None) -> DataFrame:
     """Add ``_pos`` (0-based position of the row within its key, by ``order``).
 
-    One window per (key, year) numbers the rows of each site-year; the
-    per-(key, year) row counts are read from that same windowed frame (one
-    shuffle, reused), turned into running offsets on the small (key, year)
-    table and joined back.  The largest group any task sorts is one
-    site-year, whatever the size of the site.
+    One window per (key, bucket) numbers the rows of each bucket; the
+    per-(key, bucket) row counts, turned into running offsets on that small
+    table, are joined back.  ``bucket`` must be monotonic in ``order``; the
+    default is the year, which bounds a group at 366 rows for daily data
+    whatever the size of the site (pass e.g. ``date_trunc('day', ts)`` for
+    denser data).
     """
+    b = F.year(order) if bucket is None else bucket
     w_in = Window.partitionBy(key, "_yr").orderBy(order)
-    x = df.withColumn("_yr", F.year(order)).withColumn("_rn", F.row_number().over(w_in))
+    x = df.withColumn("_yr", b).withColumn("_rn", F.row_number().over(w_in))
     counts = x.groupBy(key, "_yr").agg(F.max("_rn").alias("_n"))
     w_prev = Window.partitionBy(key).orderBy("_yr").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(key, "_yr", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))

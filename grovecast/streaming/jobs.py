@@ -88,9 +88,11 @@ def window_stats(daily: DataFrame, days: int = 30, watermark_days: int | None =
 
 def start_versioned(df: DataFrame, out_path: str, checkpoint: str, mode: str = "update",
                     available_now: bool = True) -> StreamingQuery:
-    """Write every micro-batch's rows with its ``batch_id`` (append-only log)."""
+    """Write every micro-batch's rows into its own ``batch_id=N`` folder
+    (overwrite): a micro-batch replayed after a failure replaces its own
+    output, so the log holds each batch exactly once."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     w = df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
