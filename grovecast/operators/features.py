@@ -90,9 +90,9 @@ def _stable_all(aggs: dict[str, Column]) -> list[Column]:
     return [X.stable(a).alias(name) for name, a in aggs.items()]
 
 
-def weather_features(weather: DataFrame, parts: tuple[str, ...] = ("yearly", "seasonal", "monthly"),
-                     ids: tuple[str, ...] = ("site",)) -> DataFrame:
-    """Feature table, one row per (site, year) (D1: 55 columns with all parts)."""
+def feature_aggs(parts: tuple[str, ...] = ("yearly", "seasonal", "monthly"),
+                 names: list[str] | None = None) -> dict[str, Column]:
+    """The D1 aggregates, optionally only those in ``names``."""
     aggs: dict[str, Column] = {}
     if "yearly" in parts:
         aggs.update(yearly_aggs())
@@ -100,8 +100,24 @@ def weather_features(weather: DataFrame, parts: tuple[str, ...] = ("yearly", "se
         aggs.update(seasonal_aggs())
     if "monthly" in parts:
         aggs.update(monthly_aggs())
+    if names is not None:
+        aggs = {k: v for k, v in aggs.items() if k in set(names)}
+    return aggs
+
+
+def catalog_names() -> list[str]:
+    """Names of the 54 D1 features (plus ``year`` they make 55 columns)."""
+    return ["Avg_Temp", "Max_Temp", "Min_Temp", "Rain", "Clouds", "Sun_Hours"] + \
+        [f"{m}_{s}" for s in SEASONS for m in ("Rain", "Temp", "Clouds")] + \
+        [f"{m}_{n}" for n in MONTH_NAMES for m in ("Rain", "Temp", "Clouds")]
+
+
+def weather_features(weather: DataFrame, parts: tuple[str, ...] = ("yearly", "seasonal", "monthly"),
+                     ids: tuple[str, ...] = ("site",), names: list[str] | None = None) -> DataFrame:
+    """Feature table, one row per (site, year) (D1: 55 columns with all
+    parts); ``names`` restricts it to the features a caller needs."""
     w = with_parts(weather)
-    return w.groupBy(*ids, "year").agg(*_stable_all(aggs))
+    return w.groupBy(*ids, "year").agg(*_stable_all(feature_aggs(parts, names)))
 
 
 def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> DataFrame:

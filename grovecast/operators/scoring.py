@@ -63,15 +63,32 @@ def model_terms(model_feature: DataFrame, model_meta: DataFrame, names: list[str
              .unionByName(bias)
 
 
+def model_feature_names(model_feature: DataFrame, models: list[str] | None = None) -> list[str]:
+    """Distinct feature names the given models use.
+
+    Model metadata (a handful of names per model, like a schema), read at
+    plan time so that feature tables compute and unpivot only what the
+    models reference."""
+    mf = model_feature if models is None else model_feature.filter(F.col("model").isin(*models))
+    return sorted(r["feature"] for r in mf.select("feature").distinct().collect())
+
+
 def member_predictions(features: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
-                       ids: Iterable[str], models: list[str] | None = None) -> DataFrame:
+                       ids: Iterable[str], models: list[str] | None = None,
+                       catalog: list[str] | None = None) -> DataFrame:
     """Raw prediction of every member for every feature row.
 
+    ``catalog`` lists the features that exist (default: the feature
+    columns); a model feature outside it is 0 for every row.  Feature columns
+    not in ``features`` but in ``catalog`` must not be named by the models.
+
     Output: ids..., model, member, raw (9-digit stable), plus the member's
     meta columns (name, description, oil_factor, cv_mae, adj_r2).
     """
     ids = list(ids)
     names = [c for c in features.columns if c not in ids]
+    if catalog is not None:
+        names = [c for c in names if c in set(catalog)]
     terms = model_terms(model_feature, model_meta, names, models)
     long = to_long(features, ids, names)
     contrib = F.col("coef") * (F.coalesce(F.col("value"), F.lit(0.0)) - F.col("mean")) / F.col("scale")

@@ -52,6 +52,15 @@ def _harvest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.materialize(harvest_clean(fx.harvest(spark, sf_dir)), "harvest")
 
 
+def _both_once(spark: SparkSession, sf_dir: str, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Weather and harvest views written concurrently (two independent jobs)."""
+    from grovecast.sources.harvest import harvest_clean, harvest_clean_legacy
+    clean = harvest_clean_legacy if legacy else harvest_clean
+    w, h = fx.materialize_many(fx.weather_daily(spark, sf_dir), clean(fx.harvest(spark, sf_dir)),
+                               names=("weather", "harvest"))
+    return w, h
+
+
 def _harvest_legacy_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     from grovecast.sources.harvest import harvest_clean_legacy
     return fx.materialize(harvest_clean_legacy(fx.harvest(spark, sf_dir)), "harvest")
@@ -210,20 +219,20 @@ def q_predict_ensemble(spark, sf_dir):
 def q_predict_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import prediction as P
-    p = P.predict_legacy(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
+    p = P.predict_legacy(*_both_once(spark, sf_dir), *_models(spark))
     return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
 
 
 @query("predict_backtest")
 def q_predict_backtest(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.predict_backtest(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
+    return P.predict_backtest(*_both_once(spark, sf_dir), *_models(spark))
 
 
 @query("prediction_report")
 def q_prediction_report(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.prediction_report(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark),
+    return P.prediction_report(*_both_once(spark, sf_dir), *_models(spark),
                                requested=["simple", "complex", "ensemble"])
 
 
@@ -263,16 +272,14 @@ def q_history_average(spark, sf_dir):
 @query("dashboard")
 def q_dashboard(spark, sf_dir):
     from grovecast.plans import reports as R
-    return R.dashboard(_weather_once(spark, sf_dir), _harvest_once(spark, sf_dir), *_models(spark))
+    return R.dashboard(*_both_once(spark, sf_dir), *_models(spark))
 
 
 @query("dashboard_legacy")
 def q_dashboard_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import reports as R
-    from grovecast.sources.harvest import harvest_clean_legacy
-    d = R.dashboard_legacy(_weather_once(spark, sf_dir), _harvest_legacy_once(spark, sf_dir),
-                           *_models(spark), with_timestamp=False)
+    d = R.dashboard_legacy(*_both_once(spark, sf_dir, legacy=True), *_models(spark), with_timestamp=False)
     return d.withColumn("predictions_olives_kg", map_text(d["predictions_olives_kg"]))
 
 
@@ -284,7 +291,7 @@ HOURLY_COLUMNS = ["site", "obs_date", "obs_ts", "year", "month", "avg_temp", "ma
 
 def _hourly(spark, sf_dir):
     from grovecast.sources import payloads
-    return payloads.parse_hourly(payloads.hourly_payloads_from_weather(_weather_once(spark, sf_dir)))
+    return payloads.parse_hourly(payloads.hourly_payloads_from_weather(fx.weather_daily(spark, sf_dir)))
 
 
 @query("payload_hourly")

@@ -44,6 +44,7 @@ ENSEMBLE_R2 = 0.85
 SIMPLE_MODEL_NAME = "Statistical Model (Simple)"
 ENSEMBLE_MODEL_NAME = "ML Ensemble (Complex)"
 DASHBOARD_TREES = 130
+SIMPLE_FEATURES = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"]
 
 
 def _round0(c: Column) -> Column:
@@ -66,7 +67,8 @@ def _year_priority(target_year: int) -> Column:
     return F.when(F.col("year") == target_year - 1, F.lit(1 << 30)).otherwise(F.col("year"))
 
 
-def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_YEAR) -> DataFrame:
+def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_YEAR,
+                         names: list[str] | None = None) -> DataFrame:
     """One row per site: the D1 features of the chosen weather year plus the
     all-years September / October cloud means (the simple model's fallback).
 
@@ -76,7 +78,7 @@ def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_Y
     """
     w = feat.with_parts(weather)
     sep, oct_ = F.col("month") == 9, F.col("month") == 10
-    aggs = {**feat.yearly_aggs(), **feat.seasonal_aggs(), **feat.monthly_aggs()}
+    aggs = feat.feature_aggs(names=names)
     names = list(aggs)
     site_years = w.groupBy("site", "year").agg(
         *[X.stable(a).alias(n) for n, a in aggs.items()],
@@ -93,9 +95,17 @@ def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_Y
         "site", F.col("_r.year").cast("int").alias("weather_year"),
         (F.col("_r.year") + 1).cast("int").alias("harvest_year"),
         *[F.col(f"_r.{n}").alias(n) for n in names],
+        *[F.lit(None).cast("double").alias(n) for n in SIMPLE_FEATURES if n not in names],
         X.stable("_sep_all").alias("_sep_all"), X.stable("_oct_all").alias("_oct_all"))
 
 
+def _needed(model_feature: DataFrame, models: list[str] | None, simple: bool = False) -> list[str]:
+    """Catalogue features the models use (plus the simple model's three)."""
+    cat = set(feat.catalog_names())
+    used = [n for n in scoring.model_feature_names(model_feature, models) if n in cat]
+    return sorted(set(used) | (set(SIMPLE_FEATURES) if simple else set()))
+
+
 def simple_features(chosen: DataFrame) -> DataFrame:
     """Rain_Jan, Clouds_Sep, Clouds_Oct of the chosen year with the simple
     model's defaults: January rain 0 without rows, cloud means from all
@@ -134,13 +144,15 @@ def _simple_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFr
 def predict_simple(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
                    target_year: int = DEFAULT_TARGET_YEAR, model: str = "simple") -> DataFrame:
     """Simple statistical prediction per site (D3)."""
-    return _simple_from(chosen_year_features(weather, target_year), model_feature, model_meta, model)
+    return _simple_from(chosen_year_features(weather, target_year, names=SIMPLE_FEATURES),
+                        model_feature, model_meta, model)
 
 
 def _ensemble_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
                    model: str) -> DataFrame:
     fx = chosen.drop("harvest_year", "_sep_all", "_oct_all").withColumnRenamed("weather_year", "year")
-    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model])
+    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model],
+                                         catalog=_needed(model_feature, [model]))
     ens = scoring.ensemble(members, ["site", "year"])
     pred = X.clamp_low("mean_raw")
     oil_factor = F.coalesce(F.col("oil_factor"), F.lit(ENSEMBLE_OIL_FACTOR))
@@ -162,7 +174,8 @@ def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: D
 
     Sites without a usable model get no row (the report turns that into an
     error row)."""
-    return _ensemble_from(chosen_year_features(weather, target_year), model_feature, model_meta, model)
+    return _ensemble_from(chosen_year_features(weather, target_year, names=_needed(model_feature, [model])),
+                          model_feature, model_meta, model)
 
 
 def _year_rows(weather: DataFrame, years: DataFrame, year_col: str) -> DataFrame:
@@ -221,8 +234,10 @@ def predict_backtest(weather: DataFrame, harvest: DataFrame, model_feature: Data
     """Every model on every (site, weather year), joined with the harvest of
     the next year (R5): prediction, actual, absolute error and the site's MAE
     per model.  The per-(site, model) MAE is a small aggregate joined back."""
-    fx = feat.weather_features(weather)
-    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], models)
+    needed = _needed(model_feature, models)
+    fx = feat.weather_features(weather, names=needed)
+    members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], models,
+                                         catalog=needed)
     ens = scoring.ensemble(members, ["site", "year"])
     h = harvest.select("site", (F.col("year") - 1).alias("year"), F.col("olives").alias("actual_olives_kg"))
     pred = X.clamp_low("mean_raw")
@@ -258,7 +273,9 @@ def prediction_report(weather: DataFrame, harvest: DataFrame, model_feature: Dat
     available = known.agg(F.concat(F.lit("Available: ['"),
                                    F.array_join(F.sort_array(F.collect_list("model")), "', '"),
                                    F.lit("']")).alias("_available"))
-    chosen = chosen_year_features(weather, target_year)
+    wanted = [m for m in dict.fromkeys(requested)]
+    chosen = chosen_year_features(weather, target_year,
+                                  names=_needed(model_feature, wanted, simple="simple" in wanted))
     cols = ["site", "olives_kg", "oil_kg", "ci_kg", "cv_mae", "r2", "model_name"]
     parts = []
     for m in dict.fromkeys(requested):

@@ -43,6 +43,15 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def materialize_many(*dfs: DataFrame, names: tuple[str, ...] = ()) -> list[DataFrame]:
+    """:func:`materialize` several tables with concurrent jobs (Spark runs
+    jobs submitted from separate threads side by side)."""
+    from concurrent.futures import ThreadPoolExecutor
+    names = names or tuple(f"table{i}" for i in range(len(dfs)))
+    with ThreadPoolExecutor(max_workers=len(dfs)) as pool:
+        return list(pool.map(lambda pair: materialize(*pair), zip(dfs, names)))
+
+
 def _floor_half_up(x, scale: float) -> F.Column:
     """``floor(x * scale + 0.5) / scale``: one rounding rule on both engines."""
     return F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
