@@ -458,12 +458,14 @@ def _legacy_body() -> str:
   from lm group by site, year)
 , hs as (select site, cast(trunc(avg(trees)) as int) as mean_trees, avg(ratio) as avg_ratio from hc group by site)
 , legacy_out as (
-  select l.site, l.year, coalesce(h.trees, hs.mean_trees) as trees, l.predictions_olives_kg,
+  select lt.site, lt.latest_year as year, coalesce(h.trees, hs.mean_trees) as trees, l.predictions_olives_kg,
+         case when l.e is null then 'Models not trained' end as error,
          round_even(l.e, 0) as ensemble_olives_kg,
          round_even(round_even(l.e * hs.avg_ratio, 9), 0) as estimated_oil_kg,
          round_even(round_even(l.e / coalesce(h.trees, hs.mean_trees), 9), 1) as olives_per_tree_kg,
          round_even(round_even(hs.avg_ratio, 9), 3) as avg_oil_ratio
-  from lens l left join hc h on h.site = l.site and h.year = l.year left join hs on hs.site = l.site)"""
+  from latest lt left join lens l on l.site = lt.site and l.year = lt.latest_year
+  left join hc h on h.site = lt.site and h.year = lt.latest_year left join hs on hs.site = lt.site)"""
 
 
 @register("predict_legacy", "weather_daily", "harvest", "model_feature", "model_meta")
@@ -558,7 +560,7 @@ def _():
     return _legacy_body() + LAST_HARVEST + LATEST_WEATHER + """
 select lw.site, lw.year as latest_weather_year, lw.total_rain_mm, lw.avg_temp_c, lw.avg_clouds_pct,
        lo.year as prediction_year, lo.trees, lo.predictions_olives_kg, lo.ensemble_olives_kg, lo.estimated_oil_kg,
-       lo.olives_per_tree_kg, lo.avg_oil_ratio, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees,
+       lo.olives_per_tree_kg, lo.avg_oil_ratio, lo.error, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees,
        ha.hist_olives_kg, ha.hist_oil_kg
 from lw left join legacy_out lo on lo.site = lw.site left join lh on lh.site = lw.site
 left join ha on ha.site = lw.site"""

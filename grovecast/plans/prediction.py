@@ -45,6 +45,7 @@ SIMPLE_MODEL_NAME = "Statistical Model (Simple)"
 ENSEMBLE_MODEL_NAME = "ML Ensemble (Complex)"
 DASHBOARD_TREES = 130
 SIMPLE_FEATURES = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"]
+LEGACY_NO_MODEL = "Models not trained"
 
 
 def _round0(c: Column) -> Column:
@@ -216,8 +217,11 @@ def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFr
     hstats = harvest.groupBy("site").agg(
         X.exact_avg("trees").cast("int").alias("_mean_trees"), X.exact_avg("ratio").alias("_avg_ratio"))
     trees_of_year = harvest.select("site", "year", F.col("trees").cast("int").alias("_trees"))
-    j = (ens.join(trees_of_year, ["site", "year"], "left")
-            .join(hstats, "site", "left"))
+    # every site with weather gets a row; without a model it carries the error
+    j = (latest.withColumnRenamed("latest_year", "year")
+               .join(ens, ["site", "year"], "left")
+               .join(trees_of_year, ["site", "year"], "left")
+               .join(hstats, "site", "left"))
     trees = F.coalesce(F.col("_trees"), F.col("_mean_trees"))
     e = F.col("mean_clamped_rounded")
     return j.select(
@@ -225,8 +229,9 @@ def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFr
         F.col("member_olives_kg_clamped").alias("predictions_olives_kg"),
         X.round_half_even(e, 0).alias("ensemble_olives_kg"),
         X.round_half_even(e * F.col("_avg_ratio"), 0).alias("estimated_oil_kg"),
-        X.round_half_even(e / trees, 1).alias("olives_per_tree_kg"),
-        X.round_half_even("_avg_ratio", 3).alias("avg_oil_ratio"))
+        X.round_half_even(F.try_divide(e, trees), 1).alias("olives_per_tree_kg"),
+        X.round_half_even("_avg_ratio", 3).alias("avg_oil_ratio"),
+        F.when(e.isNull(), F.lit(LEGACY_NO_MODEL)).alias("error"))
 
 
 def predict_backtest(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,

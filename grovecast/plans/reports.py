@@ -143,3 +143,11 @@ def model_info(model_meta: DataFrame, model_feature: DataFrame, importance: Data
     return cat.join(tops, "model", "left").select(
         "model", "name", F.size(F.coalesce("features", F.array())).alias("feature_count"),
         "features", "members", "top_features")
+
+
+def as_json_records(df: DataFrame, key: str | None = "site") -> DataFrame:
+    """Report rows as JSON text, one object per row (S12): ``to_json`` of a
+    struct of all columns, computed per row by the executors; with ``key``
+    the key column is kept next to the JSON for joins and partitioning."""
+    body = F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json")
+    return df.select(F.col(key), body) if key else df.select(body)

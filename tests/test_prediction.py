@@ -91,3 +91,16 @@ def test_choose_model_by_preference(spark):
         [("S", 2024, 180.0, 900.0, 180.0, 5.0)], schemas.HARVEST_RAW)),
         fx.model_feature(spark), mm, model=["nope", "legacy"]).collect()[0]
     assert legacy.trees == 180 and legacy.year == 2024 and legacy.avg_oil_ratio == 5.0
+
+
+def test_legacy_without_model_reports_error(spark):
+    h = harvest_clean(spark.createDataFrame([("S", 2024, 180.0, 900.0, 180.0, 5.0)], schemas.HARVEST_RAW))
+    r = P.predict_legacy(_weather(spark), h, *_no_models(spark)).collect()[0]
+    assert r.error == "Models not trained" and r.ensemble_olives_kg is None and r.trees == 180
+
+
+def test_json_records(spark):
+    import json
+    h = harvest_clean(spark.createDataFrame([("S", 2024, 180.0, 900.0, 180.0, 5.0)], schemas.HARVEST_RAW))
+    rec = R.as_json_records(R.history(h)).collect()[0]
+    assert rec.site == "S" and json.loads(rec.json)["ratio"] == 20.0
