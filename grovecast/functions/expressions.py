@@ -20,6 +20,7 @@ STABLE_DIGITS = 9
 # from it) is the same whatever the partitioning, the order in which partial
 # aggregates are merged, or the engine.  Converted to double once at the end.
 EXACT = T.DecimalType(28, 9)
+EXACT_SQL = "DECIMAL(28, 9)"
 
 
 def col(c: str | Column) -> Column:

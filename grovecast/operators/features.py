@@ -37,63 +37,67 @@ IDS = ("site", "year")
 
 def with_parts(weather: DataFrame) -> DataFrame:
     """Add year, month and season of ``obs_date``."""
-    return (weather.withColumn("year", F.year("obs_date"))
-                   .withColumn("month", F.month("obs_date"))
-                   .withColumn("season", X.season_of(F.col("month"))))
+    return weather.select("*", F.year("obs_date").alias("year"), F.month("obs_date").alias("month"),
+                          X.season_of(F.month("obs_date")).alias("season"))
 
 
-def _sum0(x: str) -> Column:
-    return X.exact_sum0(x)
+# The aggregates are written as SQL text: one expression per feature is one
+# call into the JVM (building them from Column objects costs dozens), which
+# keeps the definition of wide plans fast.  Same arithmetic as
+# ``expressions.exact_sum0`` / ``exact_avg``.
 
+def _sum0(x: str) -> str:
+    return f"coalesce(CAST(sum(CAST({x} AS {X.EXACT_SQL})) AS DOUBLE), 0D)"
 
-def _avg(x: str) -> Column:
-    return X.exact_avg(x)
 
+def _avg(x: str) -> str:
+    return f"(CAST(sum(CAST({x} AS {X.EXACT_SQL})) AS DOUBLE) / count({x}))"
 
-def _present_sum(cond: Column, x: str) -> Column:
+
+def _present_sum(cond: str, x: str) -> str:
     """Sum over the rows matching ``cond``: 0 if they are all NULL, NULL if
     there are none."""
-    return F.when(F.count(F.when(cond, F.lit(1))) > 0, X.exact_sum0(F.when(cond, F.col(x))))
+    return f"CASE WHEN count(CASE WHEN {cond} THEN 1 END) > 0 THEN {_sum0(f'CASE WHEN {cond} THEN {x} END')} END"
 
 
-def _mean_if(cond: Column, x: str) -> Column:
-    return X.exact_avg(F.when(cond, F.col(x)))
+def _mean_if(cond: str, x: str) -> str:
+    return _avg(f"CASE WHEN {cond} THEN {x} END")
 
 
-def yearly_aggs() -> dict[str, Column]:
+def yearly_aggs() -> dict[str, str]:
     return {"Avg_Temp": _avg("avg_temp"), "Max_Temp": _avg("max_temp"),
             "Min_Temp": _avg("min_temp"), "Rain": _sum0("rain"),
             "Clouds": _avg("clouds"), "Sun_Hours": _sum0("sun_hours")}
 
 
-def seasonal_aggs() -> dict[str, Column]:
+def seasonal_aggs() -> dict[str, str]:
     out = {}
     for s in SEASONS:
-        c = F.col("season") == s
+        c = f"season = '{s}'"
         out[f"Rain_{s}"] = _present_sum(c, "rain")
         out[f"Temp_{s}"] = _mean_if(c, "avg_temp")
         out[f"Clouds_{s}"] = _mean_if(c, "clouds")
     return out
 
 
-def monthly_aggs() -> dict[str, Column]:
+def monthly_aggs() -> dict[str, str]:
     out = {}
     for m, name in enumerate(MONTH_NAMES, 1):
-        c = F.col("month") == m
+        c = f"month = {m}"
         out[f"Rain_{name}"] = _present_sum(c, "rain")
         out[f"Temp_{name}"] = _mean_if(c, "avg_temp")
         out[f"Clouds_{name}"] = _mean_if(c, "clouds")
     return out
 
 
-def _stable_all(aggs: dict[str, Column]) -> list[Column]:
-    return [X.stable(a).alias(name) for name, a in aggs.items()]
+def _stable_all(aggs: dict[str, str]) -> list[Column]:
+    return [F.expr(f"bround({a}, {X.STABLE_DIGITS}) AS `{name}`") for name, a in aggs.items()]
 
 
 def feature_aggs(parts: tuple[str, ...] = ("yearly", "seasonal", "monthly"),
-                 names: list[str] | None = None) -> dict[str, Column]:
-    """The D1 aggregates, optionally only those in ``names``."""
-    aggs: dict[str, Column] = {}
+                 names: list[str] | None = None) -> dict[str, str]:
+    """The D1 aggregates (SQL text), optionally only those in ``names``."""
+    aggs: dict[str, str] = {}
     if "yearly" in parts:
         aggs.update(yearly_aggs())
     if "seasonal" in parts:
@@ -135,7 +139,7 @@ def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> Dat
             "Avg_Wind_yearly": _avg("avg_wind"), "Avg_Gust_yearly": _avg("avg_gust"),
             "Clouds_yearly": _avg("clouds")}
     for s in SEASONS:
-        c = F.col("season") == s
+        c = f"season = '{s}'"
         aggs[f"Rain_{s}"] = _present_sum(c, "rain")
         aggs[f"Avg_Temp_{s}"] = _mean_if(c, "avg_temp")
     key = []

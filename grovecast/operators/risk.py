@@ -65,31 +65,34 @@ def window30_latest(weather: DataFrame, n: int = WINDOW_ROWS) -> DataFrame:
     return out.withColumn("month", F.month("obs_date"))
 
 
-def _score(rule: dict, s: dict[str, Column]) -> Column:
-    t = X.stable(s["avg_temp"])
-    pts = [X.points(t.between(rule["temp_lo"], rule["temp_hi"]), rule["band_pts"]),
-           X.points(t.between(rule["temp_lo"], rule["temp_hi"])
-                    & t.between(rule["opt_lo"], rule["opt_hi"]), rule["opt_pts"])]
+def _score_sql(rule: dict) -> str:
+    """The rule's points as one SQL expression over the window statistics
+    (one call into the JVM per disease).  A NULL statistic makes its CASE
+    fall through to 0, as a NaN comparison does in pandas."""
+    t = f"bround(avg_temp, {X.STABLE_DIGITS})"
+    band = f"{t} BETWEEN {rule['temp_lo']} AND {rule['temp_hi']}"
+    pts = [f"CASE WHEN {band} THEN {rule['band_pts']} ELSE 0 END",
+           f"CASE WHEN {band} AND {t} BETWEEN {rule['opt_lo']} AND {rule['opt_hi']} "
+           f"THEN {rule['opt_pts']} ELSE 0 END"]
     if rule["hum_min"] is not None:
-        pts.append(X.points(X.stable(s["avg_humidity"]) >= rule["hum_min"], rule["hum_pts"]))
+        pts.append(f"CASE WHEN bround(avg_humidity, {X.STABLE_DIGITS}) >= {rule['hum_min']} "
+                   f"THEN {rule['hum_pts']} ELSE 0 END")
     if rule["rainy_min"] is not None:
-        pts.append(X.points(s["rainy_days"] >= rule["rainy_min"], rule["rainy_pts"]))
+        pts.append(f"CASE WHEN rainy_days >= {rule['rainy_min']} THEN {rule['rainy_pts']} ELSE 0 END")
     if rule["rain_over"] is not None:
-        pts.append(X.points(X.stable(s["total_rain"]) > rule["rain_over"], rule["rain_pts"]))
+        pts.append(f"CASE WHEN bround(total_rain, {X.STABLE_DIGITS}) > {rule['rain_over']} "
+                   f"THEN {rule['rain_pts']} ELSE 0 END")
     if rule["warm_over"] is not None:
-        pts.append(X.points(t > rule["warm_over"], rule["warm_pts"]))
+        pts.append(f"CASE WHEN {t} > {rule['warm_over']} THEN {rule['warm_pts']} ELSE 0 END")
     if rule["months"]:
-        pts.append(X.points(s["month"].isin(*rule["months"]), rule["month_pts"]))
-    total = pts[0]
-    for p in pts[1:]:
-        total = total + p
-    return total
+        months = ", ".join(str(m) for m in rule["months"])
+        pts.append(f"CASE WHEN month IN ({months}) THEN {rule['month_pts']} ELSE 0 END")
+    return " + ".join(pts)
 
 
 def disease_scores_wide(stats: DataFrame) -> DataFrame:
     """Add ``<disease>_score`` (raw, unclipped) for the five diseases."""
-    s = {c: F.col(c) for c in ("avg_temp", "avg_humidity", "rainy_days", "total_rain", "month")}
-    return stats.select("*", *[_score(r, s).alias(f"{r['disease']}_score") for r in DISEASES])
+    return stats.selectExpr("*", *[f"{_score_sql(r)} AS {r['disease']}_score" for r in DISEASES])
 
 
 def disease_scores(stats: DataFrame, ids: tuple[str, ...] = ("site", "obs_date")) -> DataFrame:

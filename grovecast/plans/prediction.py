@@ -82,7 +82,7 @@ def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_Y
     aggs = feat.feature_aggs(names=names)
     names = list(aggs)
     site_years = w.groupBy("site", "year").agg(
-        *[X.stable(a).alias(n) for n, a in aggs.items()],
+        *feat._stable_all(aggs),
         X.decimal_sum(F.when(sep, F.col("clouds"))).alias("_sep_sum"),
         F.count(F.when(sep, F.col("clouds"))).alias("_sep_n"),
         X.decimal_sum(F.when(oct_, F.col("clouds"))).alias("_oct_sum"),

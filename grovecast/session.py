@@ -20,6 +20,9 @@ SQL_CONF = {
     # partitions of sort-merge joins.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # size coalesced partitions by bytes (advisory 64 MB), not by core count:
+    # fewer tiny tasks on a busy cluster
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Day boundaries of the weather data are calendar days; keep them in UTC
     # so that `to_date`, `window` and the oracle agree.
