@@ -41,8 +41,10 @@ def dedup_batch(batch: DataFrame, keep: str = "first", order: tuple[str, ...] =
 
 
 def new_rows(store: DataFrame, batch: DataFrame, keep: str = "first") -> DataFrame:
-    """Deduplicated batch rows for days the store does not have."""
-    b = dedup_batch(batch, keep).select(*STORE_COLUMNS).withColumn("year", F.year("obs_date"))
+    """Deduplicated batch rows for days the store does not have (J9).  Rows
+    whose time did not parse (no day) have no key and are not stored."""
+    b = (dedup_batch(batch.filter(F.col("obs_date").isNotNull()), keep)
+         .select(*STORE_COLUMNS).withColumn("year", F.year("obs_date")))
     s = store.select("site", "obs_date").withColumn("year", F.year("obs_date"))
     return b.join(s, ["site", "year", "obs_date"], "left_anti").drop("year")
 

@@ -15,7 +15,8 @@ scoring operators can use a fitted model directly.
   scaled features; X'X is aggregated by the executors, only the p x p
   system and the p coefficients reach the driver.
 * ``cv_mae`` is a k-fold cross-validated mean absolute error
-  (``CrossValidator``), ``adj_r2`` the adjusted R² of the training fit.
+  (``CrossValidator``, folds fitted as concurrent jobs), ``adj_r2`` the
+  adjusted R² of the training fit.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "li
     adj = 1.0 - (1.0 - r2) * (n - 1) / (n - p - 1) if n - p - 1 > 0 else None
     ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
     cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, seed=seed)
+                        numFolds=folds, seed=seed, parallelism=folds)
     cv_mae = float(cv.fit(data).avgMetrics[0]) if n >= folds else None
     data.unpersist()
     coefs = [float(c) for c in fitted.coefficients]

@@ -12,7 +12,9 @@ array) and every other variable is read with ``get(array, pos)``:
 
 Date parts are taken from the text of the time stamp, as the service does
 (``t[:10]``, ``t[:4]``, ``t[5:7]``); the time is kept as a wall-clock
-``timestamp_ntz`` (payload times are local times of the site).
+``timestamp_ntz`` (payload times are local times of the site).  Parsing uses
+the ``try_`` forms: a malformed time gives NULLs in its row instead of
+failing the job (or the stream) under ANSI mode.
 
 The ``*_from_weather`` builders make payload fixtures from daily weather
 rows, one payload per (site, month) so that no group grows with the history.
@@ -30,6 +32,10 @@ PRESSURE_HPA = 1013.0           # fixed value: constant pressure of ingested row
 HOURS = (0, 6, 12, 18)          # hours of the hourly payload fixture
 
 
+def _day(text: Column) -> Column:
+    return F.to_date(F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")))
+
+
 def _g(struct_col: str, var: str) -> Column:
     return F.get(F.col(f"{struct_col}.{var}"), F.col("pos"))
 
@@ -48,10 +54,10 @@ def parse_hourly(payloads: DataFrame) -> DataFrame:
     h = lambda v: _g("hourly", v)
     return r.select(
         "site", "pos",
-        F.to_date(F.substring("t", 1, 10), "yyyy-MM-dd").alias("obs_date"),
-        F.to_timestamp_ntz("t", F.lit("yyyy-MM-dd'T'HH:mm")).alias("obs_ts"),
-        F.substring("t", 1, 4).cast("int").alias("year"),
-        F.substring("t", 6, 2).cast("int").alias("month"),
+        _day(F.col("t")).alias("obs_date"),
+        F.try_to_timestamp(F.col("t"), F.lit("yyyy-MM-dd'T'HH:mm")).cast("timestamp_ntz").alias("obs_ts"),
+        F.substring("t", 1, 4).try_cast("int").alias("year"),
+        F.substring("t", 6, 2).try_cast("int").alias("month"),
         h("temperature_2m").alias("avg_temp"),
         h("temperature_2m_max").alias("max_temp"),
         h("temperature_2m_min").alias("min_temp"),
@@ -71,14 +77,14 @@ def parse_daily(payloads: DataFrame, with_extremes: bool = True) -> DataFrame:
     r = _explode(payloads, schemas.PAYLOAD_DAILY, "daily")
     d = lambda v: _g("daily", v)
     cols = ["site",
-            F.to_date("t", "yyyy-MM-dd").alias("obs_date"),
+            _day(F.col("t")).alias("obs_date"),
             d("temperature_2m_mean").alias("avg_temp")]
     if with_extremes:
         cols += [d("temperature_2m_max").alias("max_temp"), d("temperature_2m_min").alias("min_temp")]
     cols += [X.zero_if_null(d("precipitation_sum")).alias("rain"),
              d("cloud_cover_mean").alias("clouds"),
              X.humidity_proxy(d("cloud_cover_mean")).alias("humidity"),
-             F.substring("t", 6, 2).cast("int").alias("month")]
+             F.substring("t", 6, 2).try_cast("int").alias("month")]
     return r.select(*cols)
 
 

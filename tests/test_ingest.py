@@ -74,3 +74,10 @@ def test_current_conditions_fallback(spark):
     assert (a.source, a.temperature, a.humidity, a.clouds, a.rain, a.wind) == ("api", 21.2, 40, 20.0, 1.3, 3.0)
     assert (b.source, b.date, b.temperature, b.humidity, b.clouds, b.wind) == ("file", "2024-01-05", 7.2, 0, 33.4, 0.0)
     assert b.updated == "2024-01-05 (file)" and b.rain is None
+
+
+def test_malformed_time_gives_nulls_not_failure(spark):
+    h = {"time": ["2024-03-01T00:00", "not-a-time"], "temperature_2m": [1.0, 2.0]}
+    out = payloads.parse_hourly(_payload(spark, "S", h)).orderBy("pos").collect()
+    assert out[0].obs_date == dt.date(2024, 3, 1) and out[1].obs_date is None and out[1].obs_ts is None
+    assert out[1].avg_temp == 2.0
