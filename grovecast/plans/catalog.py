@@ -393,7 +393,10 @@ def q_fit_simple(spark, sf_dir):
     """Fitted scaler + linear model on the simple model's features, as
     model-table rows (one per feature) with the member's meta columns."""
     from grovecast.plans import fit
-    feats, meta = fit.fit_linear(_training(spark, sf_dir), SIMPLE_FEATURES, "fitted")
+    # the fit makes several passes (statistics, fit, folds): derive the
+    # training pairs once as a written table
+    train = fx.materialize(_training(spark, sf_dir), "training")
+    feats, meta = fit.fit_linear(train, SIMPLE_FEATURES, "fitted")
     return feats.join(meta, ["model", "member"])
 
 
