@@ -110,11 +110,6 @@ def title_key(key: str | Column) -> Column:
     return F.initcap(F.regexp_replace(col(key), "_", " "))
 
 
-def points(cond: Column, pts: int) -> Column:
-    """Rule points: a NULL input scores nothing (a NaN comparison is false)."""
-    return F.when(cond, F.lit(pts)).otherwise(F.lit(0))
-
-
 def oil_share_pct(olives: str | Column, oil: str | Column, ratio: str | Column) -> Column:
     """Oil as % of olives to one digit; else stored ratio x 100; else ratio."""
     o, l, r = col(olives), col(oil), col(ratio)

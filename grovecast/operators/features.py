@@ -32,7 +32,6 @@ LEGACY_KEY_MONTHS = [(3, "max_wind", "Max_Wind"), (4, "avg_temp", "Avg_Temp"),
                      (6, "max_temp", "Max_Temp"), (8, "clouds", "Clouds"),
                      (9, "avg_temp", "Avg_Temp")]
 
-IDS = ("site", "year")
 
 
 def with_parts(weather: DataFrame) -> DataFrame:
@@ -150,7 +149,3 @@ def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> Dat
     agg = w.groupBy(*ids, "year").agg(*_stable_all(aggs), *key)
     return agg.withColumn("Temp_Spread_yearly",
                           X.stable(F.col("Max_Temp_yearly") - F.col("Min_Temp_yearly")))
-
-
-def feature_names(features: DataFrame, ids: tuple[str, ...] = IDS) -> list[str]:
-    return [c for c in features.columns if c not in ids]

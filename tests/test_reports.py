@@ -18,3 +18,11 @@ def test_model_info_top_features(spark):
     info = R.model_info(meta, feats, imp).collect()[0]
     assert info.feature_count == 14
     assert [t.rank for t in info.top_features] == list(range(1, 11))
+
+
+def test_model_info_with_fixture_tables(spark):
+    info = {r.model: r for r in R.model_info(fx.model_meta(spark), fx.model_feature(spark),
+                                             fx.feature_importance(spark)).collect()}
+    assert info["complex"].feature_count == 5
+    assert [t.feature for t in info["complex"].top_features] == ["Sun_Hours", "Clouds", "Rain_winter", "Temp_spring"]
+    assert info["simple"].top_features is None
