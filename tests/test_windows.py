@@ -53,3 +53,17 @@ def test_short_history_and_gaps(spark):
     assert len(gappy) == 30 and out[("gappy", gappy[-1])].n_rows == 30
     first_in_window = gappy[0]
     assert (gappy[-1] - first_in_window).days > 30
+
+
+def test_hot_site_is_split_into_blocks(spark):
+    recs = [dict(site="hot", obs_date=d, avg_temp=float(i % 23), rain=float(i % 4))
+            for i, d in enumerate(days("2000-01-01", 5000))]
+    recs += [dict(site=s, obs_date=d, avg_temp=1.0, rain=1.0) for s in ("a", "b") for d in days("2010-01-01", 100)]
+    w = risk.with_humidity(wx(spark, recs))
+    blocks = (windows.row_positions(w).where("site = 'hot'")
+              .select(F.floor(F.col("_pos") / 256).alias("b")).distinct().count())
+    assert blocks == 20                       # the hot site spreads over 20 tasks' worth of blocks
+    a = windows.trailing_asof(w, 30, _aggs(), block_rows=256)
+    b = windows.trailing_asof_unblocked(w, 30, _aggs())
+    cols = ["site", "obs_date", "n_rows", "avg_temp", "total_rain", "rainy_days"]
+    assert rows(a, *cols) == rows(b, *cols)
