@@ -121,10 +121,15 @@ def q_foliar_advice(spark, sf_dir):
 
 @query("foliar_report")
 def q_foliar_report(spark, sf_dir):
-    """Flat form of the report: recommendations as ``type:STATUS`` in rule order."""
+    """D22/D23 on the 7-day daily-payload path (S6: mean temperature,
+    precipitation and cloud cover only).  Flat form: recommendations as
+    ``type:STATUS`` in rule order."""
     from pyspark.sql import functions as F
     from grovecast.operators import foliar
-    rep = foliar.foliar_report(_wx_once(spark, sf_dir))
+    from grovecast.sources import payloads
+    daily = payloads.parse_daily(payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir)),
+                                 with_extremes=False)
+    rep = foliar.foliar_report(daily)
     return rep.select(
         "site", "obs_date", "season", "best_time_of_day", "avoid", "temperature", "humidity",
         "recent_rain", F.size("recommendations").alias("n_recommendations"),
@@ -226,13 +231,13 @@ def q_predict_legacy(spark, sf_dir):
 @query("predict_backtest")
 def q_predict_backtest(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.predict_backtest(*_both_once(spark, sf_dir), *_models(spark))
+    return P.predict_backtest(_weather_once(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark))
 
 
 @query("prediction_report")
 def q_prediction_report(spark, sf_dir):
     from grovecast.plans import prediction as P
-    return P.prediction_report(*_both_once(spark, sf_dir), *_models(spark),
+    return P.prediction_report(_weather_once(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark),
                                requested=["simple", "complex", "ensemble"])
 
 
