@@ -107,9 +107,18 @@ def latest_versions(log: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def start_window_risk(spark: SparkSession, source_dir: str, out_path: str, checkpoint: str,
-                      days: int = 30, available_now: bool = True) -> StreamingQuery:
-    """Sliding-window statistics of daily rows (parquet files) per site."""
-    src = spark.readStream.schema(DAILY_WITH_HUMIDITY).parquet(source_dir)
+                      days: int = 30, available_now: bool = True,
+                      max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """Sliding-window statistics of daily rows (parquet files) per site.
+
+    Watermark = newest day seen minus ``days`` + 1 days.  Windows ending
+    before it are evicted from state; a row older than the watermark of the
+    *previous* micro-batch is dropped as late (Spark's rule), so once a
+    window has been evicted and one more micro-batch has run, it is final."""
+    reader = spark.readStream.schema(DAILY_WITH_HUMIDITY)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source_dir)
     return start_versioned(window_stats(src, days), out_path, checkpoint, "update", available_now)
 
 

@@ -46,3 +46,24 @@ def test_latest_stream_equals_batch(spark):
     a = E.queries()["stream_latest"](spark, SF_SMALL)
     b = jobs.newest_per_site(fx.event_readings(spark, SF_SMALL))
     assert rows(a) == rows(b.select(*a.columns))
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    import datetime as dt
+    import time
+    first = [dict(site="A", obs_date=d, avg_temp=10.0, rain=1.0, clouds=50.0) for d in days("2021-01-01", 90)]
+    on_time = [dict(site="A", obs_date=d, avg_temp=10.0, rain=1.0, clouds=50.0) for d in days("2021-04-01", 5)]
+    late = [dict(site="A", obs_date="2021-01-15", avg_temp=10.0, rain=999.0, clouds=50.0)]
+    src = str(tmp_path / "src")
+    for i, part in enumerate((first, on_time, late)):   # one file per micro-batch, in this order
+        if i:
+            time.sleep(1.1)
+        risk.with_humidity_proxy(wx(spark, part)).coalesce(1).write.mode("append").parquet(src)
+    q = jobs.start_window_risk(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                               max_files_per_trigger=1)
+    q.awaitTermination()
+    res = {r.obs_date: r for r in jobs.window_results(spark.read.parquet(str(tmp_path / "out"))).collect()}
+    assert res[dt.date(2021, 1, 20)].total_rain == 20.0        # the late 999 mm never entered
+    assert max(res) == dt.date(2021, 4, 5) and len(res) == 95
+    progress = q.recentProgress[-1]["stateOperators"][0]
+    assert progress["numRowsDroppedByWatermark"] >= 1
