@@ -801,7 +801,7 @@ def _():
 , rj as (select site, cast(year(obs_date) as int) as year, {_r9(_psum(c, 'rain'))} as Rain_Jan
          from weather_daily group by site, cast(year(obs_date) as int))
 , tr as (select rj.site, rj.Rain_Jan, hc.olives as label from rj join hc on hc.site = rj.site and hc.year - 1 = rj.year)
-select site, regr_count(label, Rain_Jan) as n, round_even(regr_slope(label, Rain_Jan), 6) as slope,
+select site, cast(regr_count(label, Rain_Jan) as bigint) as n, round_even(regr_slope(label, Rain_Jan), 6) as slope,
        round_even(regr_intercept(label, Rain_Jan), 6) as intercept, round_even(regr_r2(label, Rain_Jan), 6) as r2
 from tr group by site"""
 

@@ -4,7 +4,7 @@ import pytest
 from tests.conftest import SF_SMALL
 
 import __spark_entry__ as E
-from checks.compare import digest, duck
+from checks.compare import digest, duck, type_mismatches
 
 ORACLE = E.oracle_sql()
 NAMES = sorted(ORACLE)
@@ -27,6 +27,7 @@ def test_matches_oracle(spark, con, name):
     res = con.execute(ORACLE[name])
     d_cols, d_rows = [c[0] for c in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
+    assert not type_mismatches(df, con.sql(ORACLE[name]))
     assert len(s_rows) == len(d_rows)
     hs, ks = digest(s_cols, s_rows)
     hd, kd = digest(d_cols, d_rows)
