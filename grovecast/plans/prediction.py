@@ -103,7 +103,8 @@ def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_Y
 def _needed(model_feature: DataFrame, models: list[str] | None, simple: bool = False) -> list[str]:
     """Catalogue features the models use (plus the simple model's three)."""
     cat = set(feat.catalog_names())
-    used = [n for n in scoring.model_feature_names(model_feature, models) if n in cat]
+    names = scoring.model_feature_names(model_feature, models)
+    used = [n for n in (names if names is not None else cat) if n in cat]
     return sorted(set(used) | (set(SIMPLE_FEATURES) if simple else set()))
 
 
