@@ -841,3 +841,35 @@ select s.site, h.avg_temperature, h.total_rain_30d, h.avg_humidity_estimate, h.r
             when c.n_high >= 1 or c.n_moderate >= 3 then 'MODERATE' else 'LOW' end as overall_risk,
        case when c.obs_date is null then 'No weather data available' end as error
 from sites s left join head h on h.site = s.site left join counts c on c.site = s.site"""
+
+
+@register("fit_coefficients", "weather_daily", "harvest")
+def _():
+    c1, c9, c10 = _cond("month", 1), _cond("month", 9), _cond("month", 10)
+    return HARVEST_CLEAN + f"""
+, sy as (select site, cast(year(obs_date) as int) as year,
+                {_r9(_psum(c1, 'rain'))} as Rain_Jan,
+                {_r9(f'avg(clouds) filter (where {c9})')} as Clouds_Sep,
+                {_r9(f'avg(clouds) filter (where {c10})')} as Clouds_Oct
+         from weather_daily group by site, cast(year(obs_date) as int))
+, f as (select coalesce(Rain_Jan, 0e0) as x1, coalesce(Clouds_Sep, 0e0) as x2, coalesce(Clouds_Oct, 0e0) as x3,
+               hc.olives as y
+        from sy join hc on hc.site = sy.site and hc.year - 1 = sy.year)
+, m as (select avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
+               stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3,
+               corr(x1, x2) as a, corr(x1, x3) as b, corr(x2, x3) as c,
+               covar_pop(x1, y) / stddev_pop(x1) as g1, covar_pop(x2, y) / stddev_pop(x2) as g2,
+               covar_pop(x3, y) / stddev_pop(x3) as g3
+        from f)
+, inv as (select *, 1 + 2 * a * b * c - a * a - b * b - c * c as det from m)
+, coef as (
+  select *,
+         ((1 - c * c) * g1 + (b * c - a) * g2 + (a * c - b) * g3) / det as k1,
+         ((b * c - a) * g1 + (1 - b * b) * g2 + (a * b - c) * g3) / det as k2,
+         ((a * c - b) * g1 + (a * b - c) * g2 + (1 - a * a) * g3) / det as k3
+  from inv)
+select 'fitted' as model, 'lin' as member, feature, round_even(mean, 6) as mean, round_even(scale, 6) as scale,
+       round_even(coef, 6) as coef, round_even(my, 6) as intercept
+from (select 'Rain_Jan' as feature, m1 as mean, s1 as scale, k1 as coef, my from coef
+      union all select 'Clouds_Sep', m2, s2, k2, my from coef
+      union all select 'Clouds_Oct', m3, s3, k3, my from coef)"""

@@ -428,3 +428,18 @@ def q_disease_report(spark, sf_dir):
     from grovecast.sources import payloads
     daily = payloads.parse_daily(payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir)))
     return risk.disease_report(daily, sites=_harvest(spark, sf_dir).select("site"))
+
+
+@query("fit_coefficients")
+def q_fit_coefficients(spark, sf_dir):
+    """R6, the deterministic part of the fit: scaler (mean, population
+    deviation) and least-squares coefficients on the scaled features, plus the
+    intercept, rounded to 6 digits (the solver's float order differs between
+    engines).  cv_mae (random folds) is in ``fit_simple``."""
+    from pyspark.sql import functions as F
+    from grovecast.plans import fit
+    train = fx.materialize(_training(spark, sf_dir), "training")
+    feats, meta = fit.fit_linear(train, SIMPLE_FEATURES, "fitted", folds=0)
+    return feats.join(meta.select("model", "member", "intercept"), ["model", "member"]).select(
+        "model", "member", "feature",
+        *[F.bround(c, 6).alias(c) for c in ("mean", "scale", "coef", "intercept")])

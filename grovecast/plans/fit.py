@@ -59,10 +59,12 @@ def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "li
     n, p = fitted.summary.numInstances, len(names)
     r2 = fitted.summary.r2
     adj = 1.0 - (1.0 - r2) * (n - 1) / (n - p - 1) if n - p - 1 > 0 else None
-    ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
-    cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, seed=seed, parallelism=folds)
-    cv_mae = float(cv.fit(data).avgMetrics[0]) if n >= folds else None
+    cv_mae = None
+    if folds >= 2 and n >= folds:       # folds=0: skip the cross-validation
+        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
+        cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
+                            numFolds=folds, seed=seed, parallelism=folds)
+        cv_mae = float(cv.fit(data).avgMetrics[0])
     data.unpersist()
     coefs = [float(c) for c in fitted.coefficients]
     feats = spark.createDataFrame(
