@@ -1,0 +1 @@
+"""Oracle SQL (DuckDB), comparison and plan-report tools."""

@@ -1,0 +1 @@
+"""Column expressions shared by all operators and the fixed rule tables."""

@@ -1,0 +1 @@
+"""DataFrame operators: windows, features, scoring, risk, foliar advice, keep-first merge."""

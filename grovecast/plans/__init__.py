@@ -1,0 +1 @@
+"""User-level plans: predictions, reports, current conditions, model fit, registered queries."""

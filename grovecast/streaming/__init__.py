@@ -1,0 +1 @@
+"""Structured Streaming jobs: payload ingest, sliding-window risk, newest reading."""
