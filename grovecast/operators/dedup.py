@@ -10,8 +10,8 @@ rewrites the whole file.  Here:
   aggregate, so a day re-sent thousands of times collapses map-side instead
   of being sorted in one task;
 * rows for days the store already has are removed with a ``left_anti`` join
-  on (site, year, obs_date): stored days are never replaced, and with a store
-  partitioned by year the join prunes the store to the years of the batch;
+  on (site, year, obs_date): stored days are never replaced; the writer reads
+  only the store partitions (``year``) the batch touches;
 * the remaining rows are appended (``mode("append")``), which also creates
   the store on the first write.  Re-running the same batch appends nothing.
 
@@ -29,6 +29,7 @@ from grovecast import schemas
 from grovecast.functions import expressions as X
 
 KEYS = ("site", "obs_date")
+MAX_BATCH_YEARS = 1000
 STORE_COLUMNS = ["site", "obs_date"] + schemas.WEATHER_MEASURES
 
 
@@ -44,8 +45,13 @@ def new_rows(store: DataFrame, batch: DataFrame, keep: str = "first") -> DataFra
     """Deduplicated batch rows for days the store does not have (J9).  Rows
     whose time did not parse (no day) have no key and are not stored."""
     b = (dedup_batch(batch.filter(F.col("obs_date").isNotNull()), keep)
-         .select(*STORE_COLUMNS).withColumn("year", F.year("obs_date")))
-    s = store.select("site", "obs_date").withColumn("year", F.year("obs_date"))
+         .select(*STORE_COLUMNS).withColumn("year", F.year("obs_date").cast("int")))
+    # join on the store's own ``year`` partition column when it has one, so
+    # dynamic partition pruning limits the store scan to the batch's years
+    if "year" in store.columns:
+        s = store.select("site", "obs_date", F.col("year").cast("int").alias("year"))
+    else:
+        s = store.select("site", "obs_date", F.year("obs_date").cast("int").alias("year"))
     return b.join(s, ["site", "year", "obs_date"], "left_anti").drop("year")
 
 
@@ -62,6 +68,13 @@ def append_new_days(spark: SparkSession, store_path: str, batch: DataFrame, keep
         store = spark.read.parquet(store_path)
     except Exception:  # noqa: BLE001  (no store yet: first write)
         store = spark.createDataFrame([], schemas.WEATHER_DAILY)
+    if "year" in store.columns:
+        # prune the store to the batch's years (partition filter on `year`);
+        # a batch spans a handful of years, read as a bounded list
+        years = [r[0] for r in batch.select(F.year("obs_date").alias("y")).where("y IS NOT NULL")
+                                    .distinct().limit(MAX_BATCH_YEARS + 1).collect()]
+        if len(years) <= MAX_BATCH_YEARS:
+            store = store.filter(F.col("year").isin(years)) if years else store.limit(0)
     fresh = new_rows(store, batch, keep).withColumn("year", F.year("obs_date"))
     fresh = fresh.persist()
     n = fresh.count()
