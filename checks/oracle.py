@@ -171,8 +171,24 @@ def exactify(sql: str) -> str:
     return "".join(out)
 
 
+def zero_sign(sql: str) -> str:
+    """Wrap every ``round_even(...)`` as ``(round_even(...) + 0e0)``: DuckDB
+    rounds small negatives to -0.0, Spark's ``bround`` to 0.0."""
+    out, i, key = [], 0, "round_even("
+    while True:
+        k = sql.find(key, i)
+        if k == -1:
+            out.append(sql[i:])
+            return "".join(out)
+        end = _close(sql, k + len(key) - 1)
+        out.append(sql[i:k])
+        inner = sql[k + len(key):end - 1]
+        out.append(f"(round_even({zero_sign(inner)}) + 0e0)")
+        i = end
+
+
 def register(name: str, *views: str):
     def deco(fn):
-        SQL[name] = with_views(exactify(fn()), *views)
+        SQL[name] = with_views(zero_sign(exactify(fn())), *views)
         return fn
     return deco
