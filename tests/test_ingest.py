@@ -81,3 +81,15 @@ def test_malformed_time_gives_nulls_not_failure(spark):
     out = payloads.parse_hourly(_payload(spark, "S", h)).orderBy("pos").collect()
     assert out[0].obs_date == dt.date(2024, 3, 1) and out[1].obs_date is None and out[1].obs_ts is None
     assert out[1].avg_temp == 2.0
+
+
+def test_store_is_partitioned_by_year(spark, tmp_path):
+    import os
+    h = {"time": ["2023-12-31T00:00", "2024-01-01T00:00"], "temperature_2m": [1.0, 2.0]}
+    path = str(tmp_path / "store")
+    assert dedup.append_new_days(spark, path, payloads.parse_hourly(_payload(spark, "S", h))) == 2
+    assert sorted(d for d in os.listdir(path) if d.startswith("year=")) == ["year=2023", "year=2024"]
+    h2 = {"time": ["2024-01-01T06:00", "2024-01-02T00:00"], "temperature_2m": [9.0, 3.0]}
+    assert dedup.append_new_days(spark, path, payloads.parse_hourly(_payload(spark, "S", h2))) == 1
+    got = {r.obs_date: r.avg_temp for r in spark.read.parquet(path).collect()}
+    assert got == {dt.date(2023, 12, 31): 1.0, dt.date(2024, 1, 1): 2.0, dt.date(2024, 1, 2): 3.0}
