@@ -506,7 +506,7 @@ def _report(requested: list[str]) -> str:
   union all
   select site, 'complex' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out)
 , req(model) as (values {req})
-, meta as (select model, any_value(name) as model_info_name, any_value(description) as model_info_description
+, meta as (select model, min(name) as model_info_name, min(description) as model_info_description
            from model_meta group by model)
 , avail as (select 'Available: [''' || string_agg(model, ''', ''' order by model) || ''']' as txt
             from (select distinct model from model_meta))

@@ -118,8 +118,8 @@ def ensemble(members: DataFrame, ids: Iterable[str]) -> DataFrame:
             F.struct("member", X.round_half_even("raw", 0).cast("bigint"))))).alias("member_olives_kg"),
         F.map_from_entries(F.sort_array(F.collect_list(
             F.struct("member", clamped_rounded)))).alias("member_olives_kg_clamped"),
-        F.first("name", ignorenulls=True).alias("name"),
-        F.first("description", ignorenulls=True).alias("description"),
+        F.min("name").alias("name"),
+        F.min("description").alias("description"),
         F.max("oil_factor").alias("oil_factor"),
         F.max("cv_mae").alias("cv_mae"),
         F.max("adj_r2").alias("adj_r2"))

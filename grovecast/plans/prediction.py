@@ -295,8 +295,8 @@ def prediction_report(weather: DataFrame, harvest: DataFrame, model_feature: Dat
         preds = preds.unionByName(p)
     req = chosen.select("site", "harvest_year", "weather_year",
                         F.explode(F.array(*[F.lit(m) for m in dict.fromkeys(requested)])).alias("model"))
-    meta = model_meta.groupBy("model").agg(F.first("name", ignorenulls=True).alias("model_info_name"),
-                                           F.first("description", ignorenulls=True).alias("model_info_description"),
+    meta = model_meta.groupBy("model").agg(F.min("name").alias("model_info_name"),
+                                           F.min("description").alias("model_info_description"),
                                            F.lit(True).alias("_known"))
     j = (req.join(preds, ["site", "model"], "left")
             .join(meta, "model", "left")

@@ -125,8 +125,8 @@ def model_catalogue(model_meta: DataFrame, model_feature: DataFrame) -> DataFram
     feats = model_feature.groupBy("model").agg(
         F.sort_array(F.collect_set("feature")).alias("features"))
     meta = model_meta.groupBy("model").agg(
-        F.first("name", ignorenulls=True).alias("name"),
-        F.first("description", ignorenulls=True).alias("description"),
+        F.min("name").alias("name"),
+        F.min("description").alias("description"),
         F.sort_array(F.collect_set("member")).alias("members"))
     return meta.join(feats, "model", "left")
 
