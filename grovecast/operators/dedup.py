@@ -35,8 +35,11 @@ STORE_COLUMNS = ["site", "obs_date"] + schemas.WEATHER_MEASURES
 
 def dedup_batch(batch: DataFrame, keep: str = "first", order: tuple[str, ...] = ("obs_ts", "pos")) -> DataFrame:
     """One row per (site, obs_date) of a batch: the first (or last) by ``order``."""
-    ordering = F.struct(*[F.col(c) for c in order if c in batch.columns])
     rest = [c for c in batch.columns if c not in KEYS]
+    # time and payload position first; the values break any remaining tie, so
+    # the pick never depends on the partitioning
+    lead = [c for c in order if c in batch.columns]
+    ordering = F.struct(*[F.col(c) for c in lead + [c for c in rest if c not in lead]])
     pick = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), ordering).alias("_r")
     return batch.groupBy(*KEYS).agg(pick).select(*KEYS, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
