@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovecast.llm import bpe, chat, decontamination, language_id, quality, sharding, token_store, url_filter
+from grovecast.llm import (bpe, chat, decontamination, language_id, ngram_join, quality, sharding, suffix_dedup, token_store,
+                           url_filter)
 from grovecast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,20 @@ def query(f):
     return f
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the 50-byte strings of earlier documents."""
+    got = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document (5 words, similarity 0.8 or more)."""
+    got = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 @query
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""

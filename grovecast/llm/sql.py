@@ -21,11 +21,9 @@ t AS (
 e AS (
   SELECT *,
     length(role) + 4 * (length(role) - length(replace(role, '&', '')))
-      + 3 * (length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), ']', ''))) +
-      (length(role) - length(replace(replace(role, '[', ''), ']', ''))) AS role_len,
+      + 3 * (length(role) - length(replace(replace(replace(role, '<', ''), '[', ''), ']', ''))) AS role_len,
     length(text) + 4 * (length(text) - length(replace(text, '&', '')))
-      + 3 * (length(text) - length(replace(replace(replace(text, '<', ''), '[', ''), ']', ''))) +
-      (length(text) - length(replace(replace(text, '[', ''), ']', ''))) AS text_len
+      + 3 * (length(text) - length(replace(replace(replace(text, '<', ''), '[', ''), ']', ''))) AS text_len
   FROM t)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,

@@ -101,19 +101,19 @@ def learn_templates(urls: DataFrame) -> DataFrame:
     return urls.join(whole, ["host", "shape"])
 
 
-def template_verdicts(templates: DataFrame) -> DataFrame:
-    """host, shape, template, bad_share, verdict of every learnt shape path."""
+def template_verdicts(templates: DataFrame, bad: int, good: int) -> DataFrame:
+    """host, shape, template, bad_share, verdict of every learnt shape path; ``bad`` and
+    ``good``: labels over all urls."""
     rate = lambda bad, good, prior: (bad + F.lit(SMOOTH) * prior) / (bad + good + F.lit(SMOOTH))
-    total = templates.agg(rate(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0)), F.lit(0.5)).alias("all_rate"),
-                          F.coalesce(F.sum(F.col("bad") + F.col("good")), F.lit(0)).alias("all_n"))
+    overall = (bad + SMOOTH * 0.5) / (bad + good + SMOOTH)
     shapes = (templates.groupBy("shape").agg(F.sum("bad").alias("b"), F.sum("good").alias("g"))
-              .join(F.broadcast(total)).select("shape", rate(F.col("b"), F.col("g"), F.col("all_rate")).alias("shape_rate"), "all_n"))
+              .select("shape", rate(F.col("b"), F.col("g"), F.lit(overall)).alias("shape_rate")))
     per = (templates.join(shapes, "shape").groupBy("host", "template")
-           .agg(F.sum("bad").alias("b"), F.sum("good").alias("g"), F.max("all_n").alias("all_n"),
+           .agg(F.sum("bad").alias("b"), F.sum("good").alias("g"),
                 (F.sum(F.col("shape_rate") * F.col("n")) / F.sum("n")).alias("prior")))
     share = rate(F.col("b"), F.col("g"), F.col("prior"))
     per = per.select("host", "template", share.alias("bad_share"),
-                     F.when((F.col("all_n") > 0) & (F.round(share, 9) > 0.5), "block").otherwise("allow").alias("verdict"))
+                     F.when(F.lit(bad + good > 0) & (F.round(share, 9) > 0.5), "block").otherwise("allow").alias("verdict"))
     return templates.select("host", "shape", "template").join(per, ["host", "template"])
 
 
@@ -128,6 +128,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("says") == "block").alias("bad"),
         F.count_if(F.col("says") == "allow").alias("good"))
     # the counts are read along several branches: written once
-    learnt = template_verdicts(learn_templates(materialize(urls, "url-counts")))
+    urls = materialize(urls, "url-counts")
+    labels = urls.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
+    learnt = template_verdicts(learn_templates(urls), labels["bad"] or 0, labels["good"] or 0)
     return (named.join(learnt, ["host", "shape"], "left")
             .select("page_id", "host", "path", "rule", F.coalesce("says", "verdict").alias("verdict"), "template", "bad_share"))
