@@ -404,14 +404,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut_texts(rows: pa.Table, spans: pa.Table) -> pa.Table:
         tables = []
-        begins = [np.frombuffer(x, "<u4") for x in spans.column("begin").to_pylist()]
-        stops = [np.frombuffer(x, "<u4") for x in spans.column("end").to_pylist()]
+        begin = np.frombuffer(b"".join(spans.column("begin").to_pylist()), "<u4")
+        stop = np.frombuffer(b"".join(spans.column("end").to_pylist()), "<u4")
         for packed in rows.column("rows").to_pylist():
             batch = unpack_batch(packed)
             data, ends, _ = shard_texts(batch, text, key)
-            depth = np.zeros(len(data) + 1, np.int32)
-            for a, b in zip(begins, stops):
-                depth += np.bincount(a, minlength=len(depth)).astype(np.int32) - np.bincount(b, minlength=len(depth)).astype(np.int32)
+            depth = np.bincount(begin, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
             gone = np.cumsum(depth[:-1]) > 0
             kept, sizes, removed, n_spans = [], [], [], []
             for a, b in zip(np.append(0, ends[:-1]), ends):
