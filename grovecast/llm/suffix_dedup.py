@@ -109,23 +109,22 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     new[1:] = w[sa[1:]] != w[sa[:-1]]
     group = np.empty(n, np.int64)
     group[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    at = np.flatnonzero(~(new & np.append(new[1:], True)))  # groups of two or more
     h = 8
-    while True:
-        size = np.diff(np.append(np.flatnonzero(new), n))
-        at = np.flatnonzero(np.repeat(size > 1, size))
-        if not len(at):
-            return sa
+    while len(at):
         p = sa[at]
         # a suffix that ends comes before all that go on, the shorter first
         after = np.where(p + h < n, n + group[np.minimum(p + h, n - 1)], n - p)
         key = group[p] * np.int64(2 * n + 1) + after
         order = np.argsort(key, kind="stable")
-        sa[at], key = p[order], key[order]
+        p, key = p[order], key[order]
+        sa[at] = p
         more = np.ones(len(at), bool)
         more[1:] = key[1:] != key[:-1]
-        new[at] |= more
-        group[sa[at]] = np.maximum.accumulate(np.where(new[at], at, 0))
+        group[p] = np.maximum.accumulate(np.where(more, at, 0))
+        at = at[~(more & np.append(more[1:], True))]
         h *= 2
+    return sa
 
 
 def common_prefixes(data: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
@@ -218,8 +217,9 @@ def merge(parts: list[Strings]) -> None:
         p.least = x
 
 
-def repeated_strings(texts: list[bytes], ids: np.ndarray, length: int, array_bytes: int) -> list[np.ndarray]:
-    """Per run, for each of its positions the smallest id of the string that starts there."""
+def lost_spans(texts: list[bytes], ids: np.ndarray, length: int, array_bytes: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per run that holds a string of a smaller id than its own: the spans (begin, end)
+    of bytes that such strings cover."""
     parts, bounds, at = [], [], 0
     while at < len(texts):
         to, size = at, 0
@@ -231,10 +231,18 @@ def repeated_strings(texts: list[bytes], ids: np.ndarray, length: int, array_byt
         at = to
     if len(parts) > 1:
         merge(parts)
-    out = []
+    out = {}
     for p, (a, b) in zip(parts, bounds):
-        least = p.least_by_position()
-        out += [least[s:s + len(t)] for s, t in zip(p.start, texts[a:b])]
+        size = np.array([len(t) for t in texts[a:b]], np.int64)
+        hit = np.append(p.least_by_position() < np.repeat(ids[a:b], size), False)
+        edge = np.diff(hit.astype(np.int8), prepend=0)
+        edge[p.start] = hit[p.start]  # spans end where a run ends
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(hit[:-1] & ~hit[1:] | hit[:-1] & (edge[1:] == 1)) + 1
+        owner = np.searchsorted(p.start, begin, "right") - 1
+        begin, end = begin - p.start[owner], end - p.start[owner] + length - 1
+        cut = np.flatnonzero(np.diff(owner, prepend=-1, append=-1)) if len(owner) else []
+        for x, y in zip(cut, cut[1:]):
+            out[a + int(owner[x])] = (begin[x:y], end[x:y])
     return out
 
 
@@ -373,23 +381,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.minimum.at(low, seg, ids)
         texts = list(number)
         size = np.array([len(t) for t in texts], np.int64)
-        # per run: the intervals that its smallest document loses
-        spans = []
-        for mine, d in zip(repeated_strings(texts, low, length, array_bytes), low.tolist()):
-            hit = np.flatnonzero(mine < d)
-            if len(hit):
-                brk = np.flatnonzero(np.diff(hit) > 1)
-                spans.append((hit[np.append(0, brk + 1)], hit[np.append(brk, len(hit) - 1)] + length))
-            else:
-                spans.append(None)
+        spans = lost_spans(texts, low, length, array_bytes)  # of each run's smallest document
+        losing = np.zeros(len(texts), bool)
+        losing[list(spans)] = True
         out = {"shard": [], "begin": [], "end": []}
         for shard, seg, pos, ids in seen:
             later = ids > low[seg]
             begin, end = [pos[later]], [pos[later] + size[seg[later]]]
-            for k in np.flatnonzero(~later).tolist():
-                if spans[seg[k]] is not None:
-                    begin.append(pos[k] + spans[seg[k]][0])
-                    end.append(pos[k] + spans[seg[k]][1])
+            for k in np.flatnonzero(~later & losing[seg]).tolist():
+                a, b = spans[int(seg[k])]
+                begin.append(pos[k] + a)
+                end.append(pos[k] + b)
             begin, end = np.concatenate(begin), np.concatenate(end)
             if len(begin):
                 out["shard"].append(shard)
