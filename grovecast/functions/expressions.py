@@ -46,7 +46,7 @@ def exact_sum0(x: str | Column, w=None) -> Column:
 def exact_avg(x: str | Column, w=None) -> Column:
     """Order-independent mean: exact sum / count of non-NULL values."""
     c = col(x)
-    n = F.count(c)
+    n = F.count(c.cast(EXACT))  # what the sum counts: NaN is no value
     return exact_sum(c, w) / (n.over(w) if w is not None else n)
 
 

@@ -23,13 +23,14 @@ keep-first keeps the first *hour* of each new day.  ``keep="last"`` and
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from grovecast import schemas
 from grovecast.functions import expressions as X
 
 KEYS = ("site", "obs_date")
-MAX_BATCH_YEARS = 1000
 STORE_COLUMNS = ["site", "obs_date"] + schemas.WEATHER_MEASURES
 
 
@@ -49,8 +50,7 @@ def new_rows(store: DataFrame, batch: DataFrame, keep: str = "first") -> DataFra
     whose time did not parse (no day) have no key and are not stored."""
     b = (dedup_batch(batch.filter(F.col("obs_date").isNotNull()), keep)
          .select(*STORE_COLUMNS).withColumn("year", F.year("obs_date").cast("int")))
-    # join on the store's own ``year`` partition column when it has one, so
-    # dynamic partition pruning limits the store scan to the batch's years
+    # join on the store's own ``year`` partition column when it has one
     if "year" in store.columns:
         s = store.select("site", "obs_date", F.col("year").cast("int").alias("year"))
     else:
@@ -67,17 +67,18 @@ def append_new_days(spark: SparkSession, store_path: str, batch: DataFrame, keep
     """Append the batch's new days to the parquet store at ``store_path``
     (partitioned by year); create it when missing (S8, S9).  Returns the
     number of rows appended (an action on the small new-row set)."""
+    schema = T.StructType([*schemas.WEATHER_DAILY.fields, T.StructField("year", T.IntegerType())])
     try:
-        store = spark.read.parquet(store_path)
-    except Exception:  # noqa: BLE001  (no store yet: first write)
-        store = spark.createDataFrame([], schemas.WEATHER_DAILY)
-    if "year" in store.columns:
-        # prune the store to the batch's years (partition filter on `year`);
-        # a batch spans a handful of years, read as a bounded list
-        years = [r[0] for r in batch.select(F.year("obs_date").alias("y")).where("y IS NOT NULL")
-                                    .distinct().limit(MAX_BATCH_YEARS + 1).collect()]
-        if len(years) <= MAX_BATCH_YEARS:
-            store = store.filter(F.col("year").isin(years)) if years else store.limit(0)
+        store = spark.read.schema(schema).parquet(store_path)
+    except AnalysisException as e:
+        # only a missing path means "no store yet"; any other failure must not
+        # be taken for an empty store, or every stored day would be stored again
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        store = spark.createDataFrame([], schema)
+    # prune the store to the batch's years (partition filter on `year`): one row
+    years = batch.agg(F.min(F.year("obs_date")).alias("a"), F.max(F.year("obs_date")).alias("b")).first()
+    store = store.filter(F.col("year").between(F.lit(years["a"]).cast("int"), F.lit(years["b"]).cast("int")))
     fresh = new_rows(store, batch, keep).withColumn("year", F.year("obs_date"))
     fresh = fresh.persist()
     n = fresh.count()

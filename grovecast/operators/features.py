@@ -50,7 +50,7 @@ def _sum0(x: str) -> str:
 
 
 def _avg(x: str) -> str:
-    return f"(CAST(sum(CAST({x} AS {X.EXACT_SQL})) AS DOUBLE) / count({x}))"
+    return f"(CAST(sum(CAST({x} AS {X.EXACT_SQL})) AS DOUBLE) / count(CAST({x} AS {X.EXACT_SQL})))"
 
 
 def _present_sum(cond: str, x: str) -> str:
@@ -127,8 +127,8 @@ def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> Dat
     """Legacy feature table, 26 columns per (site, year).
 
     Key-month columns take the value of the *first row* of that month (the
-    service joins raw rows and reads row 0); ``min_by`` over a struct keeps
-    a NULL value of that first row instead of skipping to the next one.
+    service joins raw rows and reads row 0); ``min_by`` keeps a NULL
+    value of that first row instead of skipping to the next one.
     """
     w = with_parts(weather)
     aggs = {"Avg_Temp_yearly": _avg("avg_temp"), "Max_Temp_yearly": _avg("max_temp"),
@@ -144,8 +144,7 @@ def legacy_features(weather: DataFrame, ids: tuple[str, ...] = ("site",)) -> Dat
     key = []
     for m, src, stem in LEGACY_KEY_MONTHS:
         in_m = F.col("month") == m
-        first = F.min_by(F.struct(F.col(src).alias("v")), F.when(in_m, F.col("obs_date")))
-        key.append(first["v"].alias(f"{stem}_M{m}"))
+        key.append(F.min_by(src, F.when(in_m, F.col("obs_date"))).alias(f"{stem}_M{m}"))
     agg = w.groupBy(*ids, "year").agg(*_stable_all(aggs), *key)
     return agg.withColumn("Temp_Spread_yearly",
                           X.stable(F.col("Max_Temp_yearly") - F.col("Min_Temp_yearly")))

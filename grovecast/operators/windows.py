@@ -61,12 +61,15 @@ def row_positions(df: DataFrame, key: str = "site", order: str = "obs_date",
     b = F.year(order) if bucket is None else bucket
     w_in = Window.partitionBy(key, "_yr").orderBy(order)
     x = df.withColumn("_yr", b).withColumn("_rn", F.row_number().over(w_in))
-    counts = x.groupBy(key, "_yr").agg(F.max("_rn").alias("_n"))
+    # counted from the input, not from the numbered rows: no second sort
+    counts = df.groupBy(key, b.alias("_yr")).agg(F.count(F.lit(1)).alias("_n"))
     w_prev = Window.partitionBy(key).orderBy("_yr").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_yr", F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
-    return (x.join(offsets, [key, "_yr"])
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_yr").alias("_year"),
+                            F.coalesce(F.sum("_n").over(w_prev), F.lit(0)).alias("_off"))
+    # null-safe: rows without a day stand first, as in the plain window
+    return (x.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_yr").eqNullSafe(F.col("_year")))
              .withColumn("_pos", F.col("_off") + F.col("_rn") - 1)
-             .drop("_off", "_yr", "_rn"))
+             .drop("_key", "_year", "_off", "_yr", "_rn"))
 
 
 def trailing_asof(df: DataFrame, n: int, aggs: Mapping[str, tuple[str, Column | str]],

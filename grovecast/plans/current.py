@@ -20,10 +20,12 @@ FIELDS = ["ok", "temperature", "humidity", "clouds", "rain", "wind", "message"]
 
 
 def newest_response(responses: DataFrame) -> DataFrame:
-    """Newest parsed response per site; ties on ``dt`` are broken by the
+    """Newest good response per site (the newest of all where none is good); ties on ``dt`` are broken by the
     values, so the choice does not depend on the partitioning."""
-    m = F.max(F.struct("dt", *FIELDS)).alias("_r")
-    return responses.groupBy("site").agg(m).select("site", "_r.*")
+    row = F.struct("dt", *FIELDS)
+    got = responses.groupBy("site").agg(F.max(F.when(F.col("ok"), row)).alias("_good"), F.max(row).alias("_any"))
+    # a rejected newest response does not hide an older good one
+    return got.select("site", F.coalesce("_good", "_any").alias("_r")).select("site", "_r.*")
 
 
 def current_weather(responses: DataFrame, weather: DataFrame) -> DataFrame:

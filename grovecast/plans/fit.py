@@ -34,7 +34,7 @@ def training_pairs(features: DataFrame, harvest: DataFrame, label: str = "olives
 
 
 def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "lin",
-               folds: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+               folds: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fit scaler + linear regression; return (model_feature rows, model_meta rows)."""
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
@@ -49,10 +49,13 @@ def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "li
                      *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
     mean = {n: float(row[f"m_{n}"] or 0.0) for n in names}
     scale = {n: float(row[f"s_{n}"]) if row[f"s_{n}"] else 1.0 for n in names}
-    scaled = filled.select("label", *[((F.col(n) - F.lit(mean[n])) / F.lit(scale[n])).alias(f"z_{n}")
+    # folds by a hash of the row, not of its place: the same for any partitioning
+    of_row = [c for c in ("site", "year") if c in filled.columns] or ["label", *names]
+    fold = F.pmod(F.xxhash64(*of_row), F.lit(max(folds, 1))).cast("int").alias("fold")
+    scaled = filled.select("label", fold, *[((F.col(n) - F.lit(mean[n])) / F.lit(scale[n])).alias(f"z_{n}")
                                       for n in names])
     asm = VectorAssembler(inputCols=[f"z_{n}" for n in names], outputCol="z")
-    data = asm.transform(scaled).select("z", "label").cache()
+    data = asm.transform(scaled).select("z", "label", "fold").cache()
     lr = LinearRegression(featuresCol="z", labelCol="label", solver="normal", regParam=0.0,
                           standardization=False)
     fitted = lr.fit(data)
@@ -63,7 +66,7 @@ def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "li
     if folds >= 2 and n >= folds:       # folds=0: skip the cross-validation
         ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
         cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, seed=seed, parallelism=folds)
+                            numFolds=folds, foldCol="fold", parallelism=folds)
         cv_mae = float(cv.fit(data).avgMetrics[0])
     data.unpersist()
     coefs = [float(c) for c in fitted.coefficients]

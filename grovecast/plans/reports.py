@@ -64,13 +64,14 @@ def latest_year_weather(weather: DataFrame) -> DataFrame:
     """Weather of the latest year of every site (A7, A17): rain total, mean
     temperature and clouds, each to one digit."""
     yr = F.year("obs_date")
-    w = weather.withColumn("_y", yr)
-    latest = w.groupBy("site").agg(F.max("_y").alias("_y"))
-    rows = w.join(latest, ["site", "_y"])
-    return rows.groupBy("site", F.col("_y").cast("int").alias("year")).agg(
+    # one aggregate by (site, year), then the newest of these small rows: no join
+    years = weather.where(yr.isNotNull()).groupBy("site", yr.cast("int").alias("year")).agg(
         X.round_half_even(X.exact_sum0("rain"), 1).alias("total_rain_mm"),
         X.round_half_even(X.exact_avg("avg_temp"), 1).alias("avg_temp_c"),
         X.round_half_even(X.exact_avg("clouds"), 1).alias("avg_clouds_pct"))
+    rest = ["total_rain_mm", "avg_temp_c", "avg_clouds_pct"]
+    return (years.groupBy("site").agg(F.max_by(F.struct("year", *rest), "year").alias("_r"))
+            .select("site", "_r.year", *[f"_r.{c}" for c in rest]))
 
 
 def history_average(harvest: DataFrame) -> DataFrame:

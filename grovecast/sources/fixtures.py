@@ -40,9 +40,21 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grovecast-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the written table removed when the application ends: lazy results
+    may read it until then."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001  (Spark Connect: no driver-side context)
+        return
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(conf).deleteOnExit(p)
+
+
 def materialize_many(*dfs: DataFrame, names: tuple[str, ...] = ()) -> list[DataFrame]:
     """:func:`materialize` several tables with concurrent jobs (Spark runs
     jobs submitted from separate threads side by side)."""
@@ -136,7 +148,7 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "site", "year", "trees",
         (F.floor(F.col("c") / 1e6 + 0.5) / 10.0).alias("olives"),
         (F.floor(F.col("oc") / 1e6 + 0.5) / 10.0).alias("oil"),
-        (F.floor(F.col("c") / F.col("oc") * 1e6 + 0.5) / 1e6).alias("ratio"))
+        (F.floor(F.try_divide("c", "oc") * 1e6 + 0.5) / 1e6).alias("ratio"))
 
 
 def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:

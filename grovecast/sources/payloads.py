@@ -37,7 +37,8 @@ def _day(text: Column) -> Column:
 
 
 def _g(struct_col: str, var: str) -> Column:
-    return F.get(F.col(f"{struct_col}.{var}"), F.col("pos"))
+    """The variable at the row's position; JSON ``NaN`` is no value."""
+    return F.nullif(F.get(F.col(f"{struct_col}.{var}"), F.col("pos")), F.lit(float("nan")))
 
 
 def _explode(payloads: DataFrame, schema, block: str) -> DataFrame:
