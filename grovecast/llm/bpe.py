@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from grovecast.llm.common import broadcast_text, tokenizer_json
+from grovecast.llm.common import broadcast_text, tokenizer_json, worker_memory
 
 LEAF, WINDOW, MEMORY = 4096, 64, 400_000
 #: White space of the pattern's ``\s`` (Unicode White_Space): fixed values.
@@ -185,7 +185,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     width = len(keep)
 
     def run(batches):
-        codec = Codec(model.value, leaf)
+        memory = worker_memory()
+        if memory.get("codec_file") != (model.value, leaf):
+            memory |= {"codec_file": (model.value, leaf), "codec": Codec(model.value, leaf)}
+        codec = memory["codec"]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

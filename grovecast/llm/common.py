@@ -61,6 +61,15 @@ def per_row(fn, schema: pa.Schema):
     return apply
 
 
+def worker_memory() -> dict:
+    """A dict that lives as long as the Python worker process, across its tasks
+    (functions arrive by value, so the globals of their modules don't)."""
+    import sys
+    import types
+    name = "_grovecast_llm_worker"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def tokenizer_json(path: str) -> str:
     """A tokenizer file's text, read once on the driver: a file of fixed size
     (a few MB), shipped with the tasks so executors need no local copy."""

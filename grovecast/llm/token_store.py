@@ -24,6 +24,7 @@ blocks and an empty result; extra columns are not read.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 
@@ -36,16 +37,28 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from pyspark.sql.window import Window
 
 from grovecast.llm.bpe import byte_alphabet
-from grovecast.llm.common import broadcast_text, tokenizer_json
+from grovecast.llm.common import broadcast_text, tokenizer_json, worker_memory
 from grovecast.session import ensure_checkpoint_dir
 
-MAX_BITS, MARK, BLOCK_TOKENS, MEMORY = 16, 256, 1 << 18, 400_000
+MAX_BITS, MARK, BLOCK_TOKENS, MEMORY = 16, 256, 1 << 18, 800_000
 #: Characters that normalization only lower-cases (no combining mark can follow).
 _PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 #: The word pattern of the file: fixed value.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+class _Words(dict):
+    """Word -> ids; a word that is not known yet is encoded on its first use."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of a tokenizer whose words never cross white space: each distinct word
     is encoded once by the library, a bounded memory keeps its ids."""
@@ -58,7 +71,7 @@ class WordEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.memory = memory
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self._word)
         conf = json.loads(text)
         self.special = [t["content"] for t in conf.get("added_tokens") or []]
         kinds = [n["type"] for n in (conf.get("normalizer") or {}).get("normalizers", [])]
@@ -73,19 +86,17 @@ class WordEncoder:
             return b""
         if not self.short_way or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, words = self.known, text.lower().split()
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.memory:
-            known.clear()
+        if len(self.known) > self.memory:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
+
+    def _word(self, word: str) -> bytes:
         tokenize, letter = self.lib.model.tokenize, self.letter
-        for w in set(words):
-            if w not in known:
-                ids = [t.id for p in _WORD.findall(w) for t in tokenize("".join([letter[b] for b in p.encode()]))]
-                known[w] = np.array(ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if word.isascii() and word.isalpha():  # one piece, its bytes stand for themselves
+            ids = [t.id for t in tokenize(word)]
+        else:
+            ids = [t.id for p in _WORD.findall(word) for t in tokenize("".join([letter[b] for b in p.encode()]))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 # -- Huffman code -------------------------------------------------------------
@@ -186,7 +197,10 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
     width = id_width(tokenizer_path, end_id)
 
     def run(batches):
-        enc = WordEncoder(model.value)
+        memory = worker_memory()
+        if memory.get("word_file") != model.value:
+            memory |= {"word_file": model.value, "word_encoder": WordEncoder(model.value)}
+        enc = memory["word_encoder"]
         end = np.array([end_id], width).tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
