@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from grovecast.llm.common import broadcast_text, tokenizer_json, worker_memory
+from grovecast.llm.common import broadcast_text, tidy, tokenizer_json, worker_memory
 
 LEAF, WINDOW, MEMORY = 4096, 64, 400_000
 #: White space of the pattern's ``\s`` (Unicode White_Space): fixed values.
@@ -174,9 +174,11 @@ class Codec:
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-                     decode: bool = False, leaf: int = LEAF) -> DataFrame:
+                     decode: bool = False, leaf: int = LEAF, memory: int = MEMORY, resident: bool = True) -> DataFrame:
     """``keep``, n_tokens, ids (little-endian unsigned 32-bit) and, if ``decode``,
-    decoded (UTF-8 bytes of the text decoded from those ids)."""
+    decoded (UTF-8 bytes of the text decoded from those ids).  ``memory``: distinct
+    pieces whose ids a worker keeps; ``resident``: whether its encoder outlives the task
+    (less work), or leaves its memory to the stages that follow."""
     spark = docs.sparkSession
     src = docs.select(*keep, docs[text_col].alias("_text"))
     model = broadcast_text(spark, tokenizer_json(tokenizer_path))
@@ -185,10 +187,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     width = len(keep)
 
     def run(batches):
-        memory = worker_memory()
-        if memory.get("codec_file") != (model.value, leaf):
-            memory |= {"codec_file": (model.value, leaf), "codec": Codec(model.value, leaf)}
-        codec = memory["codec"]
+        held = worker_memory() if resident else {}
+        if held.get("codec_file") != (model.value, leaf, memory):
+            held |= {"codec_file": (model.value, leaf, memory), "codec": Codec(model.value, leaf, memory)}
+        codec = held["codec"]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -198,4 +200,4 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
                     cols.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in fields])
 
-    return src.mapInArrow(run, StructType(fields))
+    return src.mapInArrow(tidy(run), StructType(fields))

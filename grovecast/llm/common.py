@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from grovecast.sources.fixtures import materialize, table
 
-__all__ = ["materialize", "table", "binary_views", "per_row", "input_bytes", "fresh"]
+__all__ = ["materialize", "table", "binary_views", "per_row", "input_bytes", "fresh", "tidy"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -58,7 +60,41 @@ def per_row(fn, schema: pa.Schema):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type)
                      for f in schema], schema=schema)
-    return apply
+    return tidy(apply)
+
+
+def hand_back() -> None:
+    """Give the memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps its own way
+        pass
+
+
+def tidy(fn: Callable) -> Callable:
+    """``fn`` for ``mapInArrow`` (a generator) or ``applyInArrow`` (one or two tables), after
+    which the worker hands its freed memory back.  Workers outlive their tasks, so
+    what one stage has freed would else be held all through the next ones."""
+    if inspect.isgeneratorfunction(fn):
+        def run(batches):
+            try:
+                yield from fn(batches)
+            finally:
+                hand_back()
+    elif len(inspect.signature(fn).parameters) == 1:
+        def run(rows):
+            try:
+                return fn(rows)
+            finally:
+                hand_back()
+    else:
+        def run(left, right):
+            try:
+                return fn(left, right)
+            finally:
+                hand_back()
+    return run
 
 
 def worker_memory() -> dict:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovecast.llm.common import binary_views
+from grovecast.llm.common import binary_views, tidy
 
 N, MAX_WINDOWS = 10, 2_000_000
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -153,10 +153,10 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, n: int = N, max_window
                          StructField("hits", ArrayType(IntegerType())), StructField("items", ArrayType(StringType()))])
     out, parts = None, 0
     for part in _parts(benchmark, item_col, item_text_col, n, max_windows):
-        got = src.mapInArrow(scanner(spark.sparkContext.broadcast(WindowSet(part, n).state())), schema)
+        got = src.mapInArrow(tidy(scanner(spark.sparkContext.broadcast(WindowSet(part, n).state()))), schema)
         out, parts = got if out is None else out.unionByName(got), parts + 1
     if not parts:
-        out = src.mapInArrow(scanner(spark.sparkContext.broadcast(WindowSet([], n).state())), schema)
+        out = src.mapInArrow(tidy(scanner(spark.sparkContext.broadcast(WindowSet([], n).state()))), schema)
     if parts > 1:
         out = out.groupBy("_row").agg(
             F.min("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
@@ -200,7 +200,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, mode: str =
                     yield pa.RecordBatch.from_arrays([fixed if i == col else c for i, c in enumerate(batch.columns)],
                                                      schema=batch.schema)
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out
 
 

@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from grovecast.llm.common import fresh, tidy
+
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 MAX_DOCS, EPOCHS, RATE = 3000, 6, 0.5
 REJECT_RATE, MAX_THRESHOLD = 0.002, 0.5
@@ -122,7 +124,7 @@ def training_rows(rows: DataFrame) -> list:
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
                     [("doc", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())]))
 
-    return rows.mapInArrow(run, "doc long, lang string, ids binary, n binary").collect()
+    return rows.mapInArrow(tidy(run), "doc long, lang string, ids binary, n binary").collect()
 
 
 def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, reject_rate: float = REJECT_RATE) -> Model:
@@ -179,7 +181,6 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS,
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected appended."""
-    from grovecast.llm.common import fresh
     col = docs.columns.index(text_col)
     names = fresh(docs, "lang_pred", "score", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                      pa.array([g[0] == UND or g[1] < m.threshold for g in got], pa.bool_())], names=[*part.schema.names, *names])
 
     kinds = (StringType(), DoubleType(), BooleanType())
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(names, kinds)]]))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from grovecast.llm.common import fresh, materialize
+from grovecast.llm.common import fresh, materialize, tidy
 
 SHINGLE, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
 BROADCAST_ROWS = 500_000
@@ -153,7 +153,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(col, pa.list_(pa.int64()))],
                                                  names=["doc_id", "key", "bands"])
 
-    return src.mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return src.mapInArrow(tidy(run), "doc_id long, key binary, bands array<long>")
 
 
 def candidate_cells(nodes: DataFrame, block: int) -> DataFrame:
@@ -194,7 +194,7 @@ def node_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
                                                   pa.array(list(sig), pa.list_(pa.int64()))], names=["key", "shingles", "bands"])
 
-    return one.mapInArrow(run, StructType([StructField("key", BinaryType()), StructField("shingles", BinaryType()),
+    return one.mapInArrow(tidy(run), StructType([StructField("key", BinaryType()), StructField("shingles", BinaryType()),
                                            StructField("bands", ArrayType(LongType()))]))
 
 
@@ -272,7 +272,7 @@ def verify(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         if group:
             yield done()
 
-    return rows.mapInArrow(run, "key binary, links long, rep binary")
+    return rows.mapInArrow(tidy(run), "key binary, links long, rep binary")
 
 
 def components(edges: DataFrame) -> DataFrame:

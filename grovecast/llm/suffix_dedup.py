@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from grovecast.llm.common import fresh, input_bytes, materialize
+from grovecast.llm.common import fresh, input_bytes, materialize, tidy
 
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, BUCKET_ANCHORS, CELL_BYTES, ARRAY_BYTES = 4 << 20, 1 << 20, 4 << 20, 2 << 20
@@ -106,7 +106,9 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     w = words8(data)
     sa = np.argsort(w, kind="stable")
     new = np.ones(n, bool)  # where a group begins
-    new[1:] = w[sa[1:]] != w[sa[:-1]]
+    w = w[sa]
+    new[1:] = w[1:] != w[:-1]
+    del w
     group = np.empty(n, np.int64)
     group[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     at = np.flatnonzero(~(new & np.append(new[1:], True)))  # groups of two or more
@@ -171,12 +173,13 @@ class Strings:
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         end = np.cumsum(size)
         self.start = end - size
-        owner = np.repeat(np.arange(len(texts)), size)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), size)
         n = len(self.data)
         sa = suffix_array(self.data)
         group = np.cumsum(common_prefixes(self.data, sa, length) < length)
         whole = sa + length <= end[owner[sa]]  # strings that lie in one run
         self.pos, group = sa[whole], group[whole]
+        del sa, whole
         new = np.ones(len(group), bool)
         new[1:] = group[1:] != group[:-1]
         self.first = np.flatnonzero(new)  # one entry per different string, sorted
@@ -191,7 +194,7 @@ class Strings:
             return np.zeros(0, f"S{self.length + 1}")
         at = self.pos[self.first]
         wide = np.ones((len(at), self.length + 1), np.uint8)
-        wide[:, :self.length] = self.data[at[:, None] + np.arange(self.length)]
+        wide[:, :self.length] = np.lib.stride_tricks.sliding_window_view(self.data, self.length)[at]
         return wide.reshape(-1).view(f"S{self.length + 1}")
 
     def least_by_position(self) -> np.ndarray:
@@ -299,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                                                      names=["shard", "rows"])
                     k += 1
 
-    shards = materialize(docs.mapInArrow(to_shards, "shard long, rows binary"), "shards")
+    shards = materialize(docs.mapInArrow(tidy(to_shards), "shard long, rows binary"), "shards")
 
     def to_anchors(batches):
         for batch in batches:
@@ -324,8 +327,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"),
                          "bits": pa.array([np.packbits(mask_of(a, twice)).tobytes() for a in lists], pa.binary())})
 
-    anchors = shards.mapInArrow(to_anchors, "bucket int, shard long, anchors binary")
-    marks = anchors.groupBy("bucket").applyInArrow(shared, "shard long, bucket int, bits binary")
+    anchors = shards.mapInArrow(tidy(to_anchors), "bucket int, shard long, anchors binary")
+    marks = anchors.groupBy("bucket").applyInArrow(tidy(shared), "shard long, bucket int, bits binary")
 
     def to_cells(rows: pa.Table, bits: pa.Table) -> pa.Table:
         out = {n: [] for n in CELL_NAMES}
@@ -361,7 +364,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out[n].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in CELL_ARROW], schema=CELL_ARROW)
 
-    cells = (shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(to_cells, CELLS))
+    cells = (shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(tidy(to_cells), CELLS))
 
     def find(table: pa.Table) -> pa.Table:
         """Byte intervals to remove, per shard."""
@@ -400,7 +403,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": pa.array(out["shard"], pa.int64()), "begin": pa.array(out["begin"], pa.binary()),
                          "end": pa.array(out["end"], pa.binary())})
 
-    found = cells.groupBy("cell").applyInArrow(find, "shard long, begin binary, end binary")
+    found = cells.groupBy("cell").applyInArrow(tidy(find), "shard long, begin binary, end binary")
     names = fresh(docs, "kept", "n_bytes", "n_removed", "n_spans")
     schema = StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(names, (BinaryType(), LongType(), LongType(), LongType()))]])
 
@@ -425,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             tables.append(pa.Table.from_arrays([*batch.columns, *more], names=schema.names))
         return pa.concat_tables(tables)
 
-    return shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(cut_texts, schema)
+    return shards.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(tidy(cut_texts), schema)
 
 
 def mask_of(a: np.ndarray, twice: np.ndarray) -> np.ndarray:

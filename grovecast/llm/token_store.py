@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stru
 from pyspark.sql.window import Window
 
 from grovecast.llm.bpe import byte_alphabet
-from grovecast.llm.common import broadcast_text, tokenizer_json, worker_memory
+from grovecast.llm.common import broadcast_text, tidy, tokenizer_json, worker_memory
 from grovecast.session import ensure_checkpoint_dir
 
 MAX_BITS, MARK, BLOCK_TOKENS, MEMORY = 16, 256, 1 << 18, 800_000
@@ -209,7 +209,7 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
                        for t in batch.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return src.mapInArrow(run, StructType([src.schema["doc_id"], StructField("ids", BinaryType())]))
+    return src.mapInArrow(tidy(run), StructType([src.schema["doc_id"], StructField("ids", BinaryType())]))
 
 
 def new_store(spark: SparkSession) -> str:
@@ -237,7 +237,7 @@ def id_counts(tokens: DataFrame, width: str) -> np.ndarray:
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -274,7 +274,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
                     [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([m for _, m in got], pa.list_(pa.int64())),
                      pa.array([b for b, _ in got], pa.binary())], names=["doc_id", "n", "marks", "bits"])
 
-    packed = tokens.mapInArrow(pack_rows, "doc_id long, n long, marks array<long>, bits binary")
+    packed = tokens.mapInArrow(tidy(pack_rows), "doc_id long, n long, marks array<long>, bits binary")
     keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("bits")]
     # equal document ids may be many: a hash of the codes lets the ranges cut between them
     ordered = (packed.withColumn("h", F.xxhash64("bits"))
@@ -306,7 +306,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(BLOCK)
-    ordered.mapInArrow(blocks, BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    ordered.mapInArrow(tidy(blocks), BLOCK).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -344,6 +344,6 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
                      pa.array(raw, pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64())],
                     names=["part", "block", "doc_id", "inside", "n_tokens", "ids", "ids_crc32"])
 
-    rows = stored.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids binary, ids_crc32 long")
+    rows = stored.mapInArrow(tidy(run), "part int, block int, doc_id long, inside long, n_tokens long, ids binary, ids_crc32 long")
     return (rows.join(index, ["part", "block"])
             .select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32"))
