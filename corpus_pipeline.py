@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from grovecast.llm import bpe, decontamination, language_id, ngram_join, suffix_dedup
 from grovecast.llm.common import fresh, materialize, table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", 100_000
 #: The result is token ids: no SQL form (tested against a brute-force version).
 ORACLE_SQL = None
 
@@ -49,7 +49,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256 (operator 6)."""
-    got = bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), decode=True)
+    # the workers serve all stages: the encoder goes with its task
+    got = bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), decode=True, memory=PIECES, resident=False)
     return got.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
