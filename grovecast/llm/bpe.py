@@ -25,6 +25,7 @@ if named in ``keep``; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -107,14 +108,19 @@ class Codec:
             known.clear()
         new = list({p for p in pieces if p not in known})
         short = [p for p in new if len(p) <= self.leaf]
-        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in
-               zip(short, self.lib.encode_batch_fast(short, add_special_tokens=False))}
+        got = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(short, self._batch(short))}
         long = {p: self.tree(p).astype("<u4").tobytes() for p in new if len(p) > self.leaf}
         known.update(got)
         return b"".join([long[p] if p in long else known[p] for p in pieces])
 
+    def _batch(self, texts: list[str], parallel: bool = False) -> list:
+        """Encoded by the library, in its threads only where that pays: each thread has
+        memory of its own, and the pieces of common texts are far too short."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true" if parallel else "false"
+        return self.lib.encode_batch_fast(texts, add_special_tokens=False)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int64) for e in self._batch(texts, parallel=len(texts) > 1)]
 
     def tree(self, text: str) -> np.ndarray:
         """Ids of a long text without certain cuts, by tree concatenation."""
