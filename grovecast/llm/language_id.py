@@ -40,6 +40,7 @@ from grovecast.llm.common import fresh, tidy
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 MAX_DOCS, EPOCHS, RATE = 3000, 6, 0.5
 REJECT_RATE, MAX_THRESHOLD = 0.002, 0.5
+SPARE = 1.5
 UND = "und"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
@@ -94,11 +95,18 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def sample(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
     """At most ``max_docs`` labelled rows (id, lang, text): per language in the order
-    of a hash of the id, the languages in turn."""
+    of a hash of the id, the languages in turn.
+
+    Only ids whose hash is low enough for the language's count are ranked: ``SPARE``
+    times ``max_docs`` of them are expected, whatever the size of the language."""
     named = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     h = F.xxhash64("doc_id")
+    # the languages are taken in turn by name, so no later one can be chosen; a broadcast of at most max_docs rows
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_docs)
+    low = (h.cast("double") / 2.0 ** 64 + 0.5) * F.col("n") <= SPARE * max_docs
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    chosen = (named.select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= max_docs)
+    chosen = (named.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low)
+              .select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= max_docs)
               .orderBy("turn", "lang").limit(max_docs).select("doc_id", "lang").distinct())
     # at most max_docs narrow rows: a broadcast of a bounded size
     return named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(max_docs)
