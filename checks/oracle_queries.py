@@ -178,8 +178,6 @@ def _():
   select site, max(obs_date) as obs_date, cast(month(max(obs_date)) as int) as month,
          avg(avg_temp) as avg_temp, avg(humidity) as avg_humidity, coalesce(sum(rain), 0e0) as total_rain
   from ranked where rk <= 7 group by site)""" + FRULE + _advice("last7") + """
-, recs as (
-  select site, count(*) as n, string_agg(type || ':' || status, ',' order by ord) as recs from adv2 group by site)
 select l.site, l.obs_date,
        case when l.month in (12, 1, 2) then 'winter' when l.month in (3, 4, 5) then 'spring'
             when l.month in (6, 7, 8) then 'summer' else 'autumn' end as season,
@@ -188,9 +186,19 @@ select l.site, l.obs_date,
        round_even(round_even(l.avg_temp, 9), 1) as temperature,
        round_even(round_even(l.avg_humidity, 9), 1) as humidity,
        round_even(round_even(l.total_rain, 9), 1) as recent_rain,
-       cast(coalesce(r.n, 0) as int) as n_recommendations,
-       coalesce(r.recs, '') as recommendations
-from last7 l left join recs r on l.site = r.site"""
+       cast(count(a.type) over (partition by l.site) as int) as n_recommendations,
+       a.type,
+       array_to_string(list_transform(string_split(a.type, '_'), lambda w: upper(w[1]) || w[2:]), ' ') as name,
+       a.description, array_to_string(a.best_months, ',') as months, a.month as current_month,
+       case when a.type is not null then true end as in_season, a.weather_suitable, a.status,
+       case when a.status = 'OPTIMAL' then 'Apply now' when a.type is not null then 'Wait for better conditions' end
+         as recommendation,
+       round_even(round_even(a.avg_temp, 9), 1) as temperature_current,
+       cast(a.temp_lo as varchar) || '-' || cast(a.temp_hi as varchar) || '°C' as temperature_required, a.temperature_ok,
+       round_even(round_even(a.avg_humidity, 9), 1) as humidity_current,
+       '>' || cast(a.humidity_min as varchar) || '%' as humidity_required, a.humidity_ok,
+       case when a.type is not null then 'No rain' end as rain_required, a.no_rain_ok as rain_ok
+from last7 l left join adv2 a on l.site = a.site"""
 
 
 # ---------------------------------------------------------------------------
@@ -839,8 +847,12 @@ select s.site, h.avg_temperature, h.total_rain_30d, h.avg_humidity_estimate, h.r
        c.obs_date, c.n_high, c.n_moderate, c.n_low,
        case when c.site is null then null when c.n_high >= 3 then 'HIGH'
             when c.n_high >= 1 or c.n_moderate >= 3 then 'MODERATE' else 'LOW' end as overall_risk,
-       case when c.obs_date is null then 'No weather data available' end as error
-from sites s left join head h on h.site = s.site left join counts c on c.site = s.site"""
+       case when c.obs_date is null then 'No weather data available' end as error,
+       l.disease, l.name, cast(least(100, l.score) as int) as risk_level, l.risk_label, l.description,
+       case when l.score >= 50 then l.rec1_hi else l.rec1_lo end || '|' || l.rec2 || '|' || l.rec3 as recommendations,
+       l.best_treatment_time
+from sites s left join head h on h.site = s.site left join counts c on c.site = s.site
+     left join labelled l on l.site = s.site"""
 
 
 @register("fit_coefficients", "weather_daily", "harvest")

@@ -98,6 +98,7 @@ RAINY_DAY_MM = 0.5
 DRY_WEEK_MM = 5.0
 BEST_TIME_OF_DAY = "Early morning (6-9 AM) or late afternoon (5-7 PM)"
 AVOID = "Midday heat (>30°C), strong wind, rain forecast within 24h"
+NO_RAIN = "No rain"
 
 DISEASE_RULE_SCHEMA = T.StructType([
     T.StructField("disease", T.StringType(), False),

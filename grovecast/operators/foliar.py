@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovecast.functions import expressions as X
-from grovecast.functions.rules import AVOID, BEST_TIME_OF_DAY, DRY_WEEK_MM, FOLIAR, foliar_rule_table
+from grovecast.functions.rules import AVOID, BEST_TIME_OF_DAY, DRY_WEEK_MM, FOLIAR, NO_RAIN, foliar_rule_table
 from grovecast.operators import windows
-from grovecast.operators.risk import with_humidity
+from grovecast.operators.risk import one_row_a_day, with_humidity
 
 WINDOW_ROWS = 7
 
@@ -101,16 +101,20 @@ def timing_advice(stats: DataFrame, ids: tuple[str, ...] = ("site", "obs_date"))
 
 
 def foliar_report(daily: DataFrame) -> DataFrame:
-    """Latest-state report per site (D23): timing advice over the last 7
-    rows plus the in-season recommendations as an ordered array of structs
-    (built per site from at most five rows, so the group is bounded)."""
-    stats = window7_latest(daily)
+    """Latest-state report per site (D23): timing advice over the last 7 days
+    plus the in-season recommendations with their conditions as an ordered array
+    of structs (built per site from at most five rows, so the group is bounded).
+    Overlapping pulls count a day once."""
+    stats = window7_latest(one_row_a_day(daily))
     adv = foliar_advice(stats, ids=("site",))
+    part = lambda k: F.struct(*[F.col(f"{k}_{c}").alias(c) for c in ("current", "required", "ok")]).alias(k)
+    conditions = F.struct(part("temperature"), part("humidity"),
+                          F.struct(F.lit(NO_RAIN).alias("required"), F.col("no_rain_ok").alias("ok"))
+                          .alias("no_rain_expected")).alias("conditions")
     recs = adv.groupBy("site").agg(
         F.sort_array(F.collect_list(F.struct(
-            "type_order", "type", "name", "description", "months", "status",
-            "recommendation", "weather_suitable", "temperature_ok", "humidity_ok",
-            "no_rain_ok"))).alias("recommendations"))
+            "type_order", "type", "name", "description", "months", "current_month", "in_season",
+            "weather_suitable", conditions, "status", "recommendation"))).alias("recommendations"))
     base = timing_advice(stats).join(recs, "site", "left")
     return base.withColumn(
         "recommendations",

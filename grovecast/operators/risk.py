@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from grovecast.functions import expressions as X
 from grovecast.functions.rules import DISEASES, RAINY_DAY_MM, disease_rule_table
 from grovecast.operators import windows
+from grovecast.operators.dedup import dedup_batch
 
 WINDOW_ROWS = 30
 
@@ -125,7 +126,7 @@ def overall_label(n_high: Column, n_moderate: Column) -> Column:
 def disease_overall(stats: DataFrame, ids: tuple[str, ...] = ("site", "obs_date")) -> DataFrame:
     """Label counts and overall risk per window (D19, A13-A15), plus the
     rounded window statistics as the headline conditions."""
-    wide = disease_scores_wide(stats)
+    wide = stats if f"{DISEASES[0]['disease']}_score" in stats.columns else disease_scores_wide(stats)
     labels = [X.risk_label(f"{r['disease']}_score") for r in DISEASES]
 
     def count(lbl: str) -> Column:
@@ -157,12 +158,32 @@ def headline(daily: DataFrame, key: str = "site") -> DataFrame:
         F.count(F.when(F.col("rain") > RAINY_DAY_MM, 1)).cast("int").alias("rainy_days_30d"))
 
 
+def one_row_a_day(daily: DataFrame) -> DataFrame:
+    """The first row of each (site, day) of overlapping pulls; rows whose time
+    did not parse belong to no day and are left out."""
+    return dedup_batch(daily.filter(F.col("obs_date").isNotNull()))
+
+
+def _disease_struct(rule: dict) -> Column:
+    score = F.col(f"{rule['disease']}_score")
+    first = F.when(score >= 50, F.lit(rule["rec1_hi"])).otherwise(F.lit(rule["rec1_lo"]))
+    return F.struct(
+        F.lit(rule["disease"]).alias("disease"), F.lit(rule["name"]).alias("name"),
+        X.clip_high(score, 100).cast("int").alias("risk_level"), X.risk_label(score).alias("risk_label"),
+        F.lit(rule["description"]).alias("description"),
+        F.array(first, F.lit(rule["rec2"]), F.lit(rule["rec3"])).alias("recommendations"),
+        F.lit(rule["best_treatment_time"]).alias("best_treatment_time"))
+
+
 def disease_report(daily: DataFrame, sites: DataFrame | None = None) -> DataFrame:
-    """Latest-state report per site: headline over all rows, scores over the
-    last 30 rows, label counts, overall risk.  Sites of ``sites`` without
-    rows get ``error`` = 'No weather data available' (D20)."""
+    """Latest-state report per site: headline over all days, scores over the
+    last 30, label counts, overall risk and ``diseases``, the five diseases in
+    rule order with level, label and texts.  Overlapping pulls count a day once.
+    Sites of ``sites`` without rows get ``error`` = 'No weather data available' (D20)."""
+    daily = one_row_a_day(daily)
     stats = window30_latest(daily)
-    over = disease_overall(stats, ids=("site", "obs_date")).drop(
+    wide = disease_scores_wide(stats).withColumn("diseases", F.array(*[_disease_struct(r) for r in DISEASES]))
+    over = disease_overall(wide, ids=("site", "obs_date", "diseases")).drop(
         "avg_temperature", "total_rain_30d", "avg_humidity_estimate", "rainy_days_30d")
     rep = headline(daily).join(over, "site")
     if sites is not None:

@@ -122,20 +122,24 @@ def q_foliar_advice(spark, sf_dir):
 @query("foliar_report")
 def q_foliar_report(spark, sf_dir):
     """D22/D23 on the 7-day daily-payload path (S6: mean temperature,
-    precipitation and cloud cover only).  Flat form: recommendations as
-    ``type:STATUS`` in rule order."""
+    precipitation and cloud cover only), every payload pulled twice.  Flat form:
+    one row per site and recommendation, a site without any has one row."""
     from pyspark.sql import functions as F
     from grovecast.operators import foliar
     from grovecast.sources import payloads
-    daily = payloads.parse_daily(payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir)),
-                                 with_extremes=False)
-    rep = foliar.foliar_report(daily)
+    pulls = payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir))
+    daily = payloads.parse_daily(pulls.unionByName(pulls), with_extremes=False)
+    head = ["site", "obs_date", "season", "best_time_of_day", "avoid", "temperature", "humidity", "recent_rain"]
+    rep = foliar.foliar_report(daily).select(
+        *head, F.size("recommendations").alias("n_recommendations"), F.explode_outer("recommendations").alias("r"))
+    of = lambda k: [F.col(f"r.conditions.{k}.{c}").alias(f"{k}_{c}") for c in ("current", "required", "ok")]
     return rep.select(
-        "site", "obs_date", "season", "best_time_of_day", "avoid", "temperature", "humidity",
-        "recent_rain", F.size("recommendations").alias("n_recommendations"),
-        F.array_join(F.transform("recommendations",
-                                 lambda r: F.concat(r["type"], F.lit(":"), r["status"])), ",")
-         .alias("recommendations"))
+        *head, "n_recommendations",
+        *[F.col(f"r.{c}").alias(c) for c in ("type", "name", "description", "months", "current_month", "in_season",
+                                             "weather_suitable", "status", "recommendation")],
+        *of("temperature"), *of("humidity"),
+        F.col("r.conditions.no_rain_expected.required").alias("rain_required"),
+        F.col("r.conditions.no_rain_expected.ok").alias("rain_ok"))
 
 
 # -- step 1: scalar helpers and the harvest scan -----------------------------
@@ -422,12 +426,16 @@ def q_weather_years(spark, sf_dir):
 
 @query("disease_report")
 def q_disease_report(spark, sf_dir):
-    """D19/D20/A14 on the daily-payload path: headline over every payload row,
-    scores over the last 30 rows, label counts and overall risk per site; a
-    harvest site without weather rows gets an error row."""
+    """D19/D20/A14 on the daily-payload path, every payload pulled twice: headline
+    over every day, scores over the last 30, label counts, overall risk and one row
+    per site and disease; a harvest site without weather rows gets one error row."""
+    from pyspark.sql import functions as F
     from grovecast.sources import payloads
-    daily = payloads.parse_daily(payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir)))
-    return risk.disease_report(daily, sites=_harvest(spark, sf_dir).select("site"))
+    pulls = payloads.daily_payloads_from_weather(_weather_once(spark, sf_dir))
+    daily = payloads.parse_daily(pulls.unionByName(pulls))
+    rep = risk.disease_report(daily, sites=_harvest(spark, sf_dir).select("site"))
+    return (rep.withColumn("d", F.explode_outer("diseases")).select(*[c for c in rep.columns if c != "diseases"], "d.*")
+            .withColumn("recommendations", F.array_join("recommendations", "|")))
 
 
 @query("fit_coefficients")

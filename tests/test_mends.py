@@ -6,9 +6,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from grovecast import schemas
-from grovecast.operators import dedup, windows
+from grovecast.functions.rules import DISEASES
+from grovecast.operators import dedup, foliar, risk, windows
 from grovecast.plans import current, fit
 from grovecast.sources import payloads
+from tests.helpers import wx
 
 
 def _batch(spark, days):
@@ -63,3 +65,20 @@ def test_cv_error_does_not_depend_on_the_partitioning(spark):
     df = spark.createDataFrame(rows, "site string, year int, x double, label double")
     got = [fit.fit_linear(df.repartition(n), ["x"], "m")[1].select(F.round("cv_mae", 9)).first()[0] for n in (1, 3, 7)]
     assert got[0] == got[1] == got[2]
+
+
+def test_overlapping_pulls_count_a_day_once(spark):
+    recs = [dict(site="S", obs_date=d, avg_temp=18.0, rain=r, clouds=20.0)
+            for d, r in ((dt.date(2024, 4, 1), 3.0), (dt.date(2024, 4, 2), 1.0))]
+    once = risk.with_humidity_proxy(wx(spark, recs))
+    thrice = once.unionByName(once).unionByName(once)
+    a, b = risk.disease_report(once).collect()[0], risk.disease_report(thrice).collect()[0]
+    assert a == b and b.total_rain_30d == 4.0 and b.rainy_days_30d == 2
+    assert [d.disease for d in b.diseases] == [d["disease"] for d in DISEASES]
+    assert b.diseases[0].risk_label in ("LOW", "MODERATE", "HIGH") and len(b.diseases[0].recommendations) == 3
+    f = foliar.foliar_report(thrice).collect()[0]
+    assert f == foliar.foliar_report(once).collect()[0] and f.recent_rain == 4.0
+    boron = f.recommendations[0]
+    assert boron.type == "boron_preflowering" and boron.current_month == 4 and boron.in_season
+    assert boron.conditions.temperature.required == "12-22°C" and boron.conditions.temperature.ok
+    assert boron.conditions.no_rain_expected.required == "No rain" and boron.conditions.no_rain_expected.ok
