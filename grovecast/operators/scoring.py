@@ -63,19 +63,14 @@ def model_terms(model_feature: DataFrame, model_meta: DataFrame, names: list[str
              .unionByName(bias)
 
 
-MAX_FEATURE_NAMES = 100_000
+def model_feature_names(model_feature: DataFrame, catalog: Iterable[str], models: list[str] | None = None) -> list[str]:
+    """The features of ``catalog`` that the given models use.
 
-
-def model_feature_names(model_feature: DataFrame, models: list[str] | None = None) -> list[str] | None:
-    """Distinct feature names the given models use, or None.
-
-    Model metadata (a handful of names per model, like a schema), read at
-    plan time so that feature tables compute and unpivot only what the
-    models reference.  The read is bounded: beyond ``MAX_FEATURE_NAMES``
-    names it returns None and callers keep the whole feature catalogue."""
+    Model metadata, read at plan time so that feature tables compute and
+    unpivot only what the models reference; the catalogue bounds the read."""
     mf = model_feature if models is None else model_feature.filter(F.col("model").isin(*models))
-    names = [r["feature"] for r in mf.select("feature").distinct().limit(MAX_FEATURE_NAMES + 1).collect()]
-    return None if len(names) > MAX_FEATURE_NAMES else sorted(names)
+    names = mf.filter(F.col("feature").isin(*catalog)).select("feature").distinct().collect()
+    return sorted(r["feature"] for r in names)
 
 
 def member_predictions(features: DataFrame, model_feature: DataFrame, model_meta: DataFrame,

@@ -240,9 +240,13 @@ def q_predict_backtest(spark, sf_dir):
 
 @query("prediction_report")
 def q_prediction_report(spark, sf_dir):
+    """Five outcomes: both kinds trained, both without trained members, an unknown name."""
     from grovecast.plans import prediction as P
-    return P.prediction_report(_weather_once(spark, sf_dir), _harvest(spark, sf_dir), *_models(spark),
-                               requested=["simple", "complex", "ensemble"])
+    registry = {**P.MODEL_REGISTRY,
+                "simple_new": {**P.MODEL_REGISTRY["simple"], "name": "New Statistical Model"},
+                "complex_new": {**P.MODEL_REGISTRY["complex"], "name": "New Ensemble"}}
+    return P.prediction_report(*_both_once(spark, sf_dir), *_models(spark),
+                               requested=["simple", "complex", "simple_new", "complex_new", "ensemble"], registry=registry)
 
 
 # -- step 6: reports --------------------------------------------------------------

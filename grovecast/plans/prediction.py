@@ -46,6 +46,13 @@ ENSEMBLE_MODEL_NAME = "ML Ensemble (Complex)"
 DASHBOARD_TREES = 130
 SIMPLE_FEATURES = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct"]
 LEGACY_NO_MODEL = "Models not trained"
+ENSEMBLE_NO_MODEL = "Complex model not available"
+# The models a report may be asked for, trained or not (``kind``
+# says how they are scored; trained members are in the model tables).
+MODEL_REGISTRY = {
+    "simple": dict(kind="simple", name="Statistical Model", description="Best statistical model (R²=0.69, p=0.00003)"),
+    "complex": dict(kind="ensemble", name="ML Ensemble", description="Ensemble of trained regressors"),
+}
 
 
 def _round0(c: Column) -> Column:
@@ -102,9 +109,7 @@ def chosen_year_features(weather: DataFrame, target_year: int = DEFAULT_TARGET_Y
 
 def _needed(model_feature: DataFrame, models: list[str] | None, simple: bool = False) -> list[str]:
     """Catalogue features the models use (plus the simple model's three)."""
-    cat = set(feat.catalog_names())
-    names = scoring.model_feature_names(model_feature, models)
-    used = [n for n in (names if names is not None else cat) if n in cat]
+    used = scoring.model_feature_names(model_feature, feat.catalog_names(), models)
     return sorted(set(used) | (set(SIMPLE_FEATURES) if simple else set()))
 
 
@@ -119,6 +124,27 @@ def simple_features(chosen: DataFrame) -> DataFrame:
         F.coalesce(F.col("Clouds_Oct"), F.col("_oct_all")).alias("Clouds_Oct"))
 
 
+def _simple_result() -> dict[str, Column]:
+    """Result columns of a simple model from raw (NULL: not trained), cv_mae, adj_r2, oil_factor."""
+    has = F.col("raw").isNotNull()
+    pred = F.when(has, X.clamp_low("raw")).otherwise(F.lit(NO_MODEL_OLIVES_KG))
+    cv_mae = F.when(has, F.coalesce(F.col("cv_mae"), F.lit(DEFAULT_CV_MAE))).otherwise(F.lit(NO_MODEL_CV_MAE))
+    r2 = F.when(has, F.coalesce(F.col("adj_r2"), F.lit(DEFAULT_ADJ_R2))).otherwise(F.lit(NO_MODEL_R2))
+    oil_factor = F.coalesce(F.col("oil_factor"), F.lit(SIMPLE_OIL_FACTOR))
+    return {"olives_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor), "ci_kg": _round0(cv_mae * 2),
+            "cv_mae": cv_mae, "r2": r2, "model_name": F.lit(SIMPLE_MODEL_NAME)}
+
+
+def _ensemble_result(raw: str) -> dict[str, Column]:
+    """Result columns of an ensemble from its mean (NULL: not trained) and oil_factor."""
+    pred = X.clamp_low(raw)
+    oil_factor = F.coalesce(F.col("oil_factor"), F.lit(ENSEMBLE_OIL_FACTOR))
+    return {"olives_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor),
+            "ci_kg": _round0(pred * ENSEMBLE_CI_FACTOR),
+            "cv_mae": _round0(pred * ENSEMBLE_MAE_FACTOR).cast("double"),
+            "r2": F.lit(ENSEMBLE_R2), "model_name": F.lit(ENSEMBLE_MODEL_NAME)}
+
+
 def _simple_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
                  model: str) -> DataFrame:
     fx = simple_features(chosen)
@@ -127,18 +153,9 @@ def _simple_from(chosen: DataFrame, model_feature: DataFrame, model_meta: DataFr
         X.stable(X.exact_avg("raw")).alias("raw"), F.max("cv_mae").alias("cv_mae"),
         F.max("adj_r2").alias("adj_r2"), F.max("oil_factor").alias("oil_factor"))
     j = chosen.select("site", "weather_year", "harvest_year").join(fx, "site").join(per_site, "site", "left")
-    has = F.col("raw").isNotNull()
-    pred = F.when(has, X.clamp_low("raw")).otherwise(F.lit(NO_MODEL_OLIVES_KG))
-    cv_mae = F.when(has, F.coalesce(F.col("cv_mae"), F.lit(DEFAULT_CV_MAE))).otherwise(F.lit(NO_MODEL_CV_MAE))
-    r2 = F.when(has, F.coalesce(F.col("adj_r2"), F.lit(DEFAULT_ADJ_R2))).otherwise(F.lit(NO_MODEL_R2))
-    oil_factor = F.coalesce(F.col("oil_factor"), F.lit(SIMPLE_OIL_FACTOR))
     return j.select(
         "site", "harvest_year", F.col("weather_year").alias("weather_year_used"),
-        _round0(pred).alias("olives_kg"),
-        _round0(pred * oil_factor).alias("oil_kg"),
-        _round0(cv_mae * 2).alias("ci_kg"),
-        cv_mae.alias("cv_mae"), r2.alias("r2"),
-        F.lit(SIMPLE_MODEL_NAME).alias("model_name"),
+        *[c.alias(n) for n, c in _simple_result().items()],
         F.col("Rain_Jan").alias("rain_jan"), F.col("Clouds_Sep").alias("clouds_sep"),
         F.col("Clouds_Oct").alias("clouds_oct"))
 
@@ -156,17 +173,10 @@ def _ensemble_from(chosen: DataFrame, model_feature: DataFrame, model_meta: Data
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], [model],
                                          catalog=_needed(model_feature, [model]))
     ens = scoring.ensemble(members, ["site", "year"])
-    pred = X.clamp_low("mean_raw")
-    oil_factor = F.coalesce(F.col("oil_factor"), F.lit(ENSEMBLE_OIL_FACTOR))
     return ens.select(
         "site", (F.col("year") + 1).cast("int").alias("harvest_year"),
         F.col("year").cast("int").alias("weather_year_used"),
-        _round0(pred).alias("olives_kg"),
-        _round0(pred * oil_factor).alias("oil_kg"),
-        _round0(pred * ENSEMBLE_CI_FACTOR).alias("ci_kg"),
-        _round0(pred * ENSEMBLE_MAE_FACTOR).cast("double").alias("cv_mae"),
-        F.lit(ENSEMBLE_R2).alias("r2"),
-        F.lit(ENSEMBLE_MODEL_NAME).alias("model_name"),
+        *[c.alias(n) for n, c in _ensemble_result("mean_raw").items()],
         F.col("member_olives_kg").alias("individual_predictions"))
 
 
@@ -264,55 +274,59 @@ def last_harvest(harvest: DataFrame) -> DataFrame:
         F.col("oil").alias("last_oil"), F.col("trees").cast("int").alias("last_trees"))
 
 
+#: Prefix of the simple models' features (with their defaults) next to the plain
+#: ones, and the member that gives every requested model its row per site.
+_SIMPLE, _REQUESTED = "simple:", "__requested__"
+
+
+def _scored_models(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame, requested: list[str],
+                   simple: list[str], target_year: int) -> DataFrame:
+    """(site, weather_year, harvest_year, model, raw, cv_mae, adj_r2, oil_factor), one
+    row per site and requested model, all scored in one pass over the features;
+    raw is NULL for a model without trained members."""
+    spark = weather.sparkSession
+    names = _needed(model_feature, requested, simple=True)
+    chosen = chosen_year_features(weather, target_year, names=names)
+    defaults = {"Rain_Jan": F.lit(0.0), "Clouds_Sep": F.col("_sep_all"), "Clouds_Oct": F.col("_oct_all")}
+    ids = ["site", "weather_year", "harvest_year"]
+    fx = chosen.select(*ids, *names, *[F.coalesce(F.col(n), d).alias(_SIMPLE + n) for n, d in defaults.items()])
+    mf = model_feature.withColumn("feature", F.when(F.col("model").isin(*simple), F.concat(F.lit(_SIMPLE), "feature"))
+                                  .otherwise(F.col("feature")))
+    asked = spark.createDataFrame([(m, _REQUESTED, None, None, 0.0, None, None, None) for m in requested], model_meta.schema)
+    members = scoring.member_predictions(fx, mf, model_meta.unionByName(asked), ids, requested)
+    raw = F.when(F.col("member") != _REQUESTED, F.col("raw"))
+    return members.groupBy(*ids, "model").agg(
+        X.stable(X.exact_avg(raw)).alias("raw"), F.max("cv_mae").alias("cv_mae"),
+        F.max("adj_r2").alias("adj_r2"), F.max("oil_factor").alias("oil_factor"))
+
+
 def prediction_report(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
                       model_meta: DataFrame, requested: list[str],
-                      target_year: int = DEFAULT_TARGET_YEAR) -> DataFrame:
+                      target_year: int = DEFAULT_TARGET_YEAR, registry: dict[str, dict] = MODEL_REGISTRY) -> DataFrame:
     """One row per (site, requested model).
 
-    ``simple`` scores with :func:`predict_simple`, any other model known to
-    ``model_meta`` with :func:`predict_ensemble`; an unknown name gets
-    ``error`` = "Unknown model. Available: [...]" (names of ``model_meta``).
-    The requested names are generated per site row and equi-joined to the
-    predictions: no cross join.
+    ``registry`` says which models exist and how they are scored, the model tables
+    which of them are trained.  A simple model without trained members gets the
+    fixed prediction, an ensemble without them an error; a name that is not in
+    the registry gets nothing but ``error`` = "Unknown model. Available: [...]".
+    All models are scored in one pass, without a cross join.
     """
-    known = model_meta.select("model").distinct()
-    available = known.agg(F.concat(F.lit("Available: ['"),
-                                   F.array_join(F.sort_array(F.collect_list("model")), "', '"),
-                                   F.lit("']")).alias("_available"))
-    wanted = [m for m in dict.fromkeys(requested)]
-    chosen = chosen_year_features(weather, target_year,
-                                  names=_needed(model_feature, wanted, simple="simple" in wanted))
-    cols = ["site", "olives_kg", "oil_kg", "ci_kg", "cv_mae", "r2", "model_name"]
-    parts = []
-    for m in dict.fromkeys(requested):
-        if m == "simple":
-            p = _simple_from(chosen, model_feature, model_meta, m).select(*cols)
-        else:
-            p = _ensemble_from(chosen, model_feature, model_meta, m).select(*cols)
-        parts.append(p.withColumn("model", F.lit(m)))
-    preds = parts[0]
-    for p in parts[1:]:
-        preds = preds.unionByName(p)
-    req = chosen.select("site", "harvest_year", "weather_year",
-                        F.explode(F.array(*[F.lit(m) for m in dict.fromkeys(requested)])).alias("model"))
-    meta = model_meta.groupBy("model").agg(F.min("name").alias("model_info_name"),
-                                           F.min("description").alias("model_info_description"),
-                                           F.lit(True).alias("_known"))
-    j = (req.join(preds, ["site", "model"], "left")
-            .join(meta, "model", "left")
-            .join(last_harvest(harvest), "site", "left"))
-    known_model = F.col("_known").isNotNull()
-    # one-row aggregate of the model table, evaluated once as a scalar subquery
-    error = (F.when(~known_model, F.concat(F.lit("Unknown model. "), available.scalar()))
-              .when(F.col("olives_kg").isNull(), F.lit("Complex model not available")))
-    zero_if_err = lambda c: F.when(error.isNull(), F.col(c))
-    return j.select(
-        "site", "model", "model_info_name", "model_info_description",
-        F.col("harvest_year").cast("int").alias("harvest_year"),
-        F.col("weather_year").cast("int").alias("weather_year_used"),
-        F.coalesce(zero_if_err("olives_kg"), F.lit(0).cast("bigint")).alias("olives_kg"),
-        F.coalesce(zero_if_err("oil_kg"), F.lit(0).cast("bigint")).alias("oil_kg"),
-        zero_if_err("ci_kg").alias("ci_kg"), zero_if_err("cv_mae").alias("cv_mae"),
-        zero_if_err("r2").alias("r2"), zero_if_err("model_name").alias("model_name"),
+    requested = list(dict.fromkeys(requested))
+    simple = [m for m, r in registry.items() if r["kind"] == "simple"]
+    scored = _scored_models(weather, model_feature, model_meta, requested, simple, target_year)
+    is_simple, known = F.col("model").isin(*simple), F.col("model").isin(*registry)
+    error = (F.when(~known, F.lit(f"Unknown model. Available: {list(registry)}"))
+              .when(~is_simple & F.col("raw").isNull(), F.lit(ENSEMBLE_NO_MODEL)))
+    ens = _ensemble_result("raw")
+    result = {n: F.when(error.isNull(), F.when(is_simple, c).otherwise(ens[n])) for n, c in _simple_result().items()}
+    of_model = lambda k: F.coalesce(*[F.when(F.col("model") == m, F.lit(r[k])) for m, r in registry.items()])
+    nothing = F.lit(0).cast("bigint")
+    if_known = lambda c: F.when(known, F.col(c))
+    return scored.join(last_harvest(harvest), "site", "left").select(
+        "site", "model", of_model("name").alias("model_info_name"), of_model("description").alias("model_info_description"),
+        if_known("harvest_year").cast("int").alias("harvest_year"),
+        if_known("weather_year").cast("int").alias("weather_year_used"),
+        F.coalesce(result["olives_kg"], nothing).alias("olives_kg"), F.coalesce(result["oil_kg"], nothing).alias("oil_kg"),
+        *[result[n].alias(n) for n in ("ci_kg", "cv_mae", "r2", "model_name")],
         error.alias("error"),
-        "last_year", "last_olives", "last_oil", "last_trees")
+        *[if_known(c).alias(c) for c in ("last_year", "last_olives", "last_oil", "last_trees")])

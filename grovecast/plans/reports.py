@@ -87,10 +87,11 @@ def history_average(harvest: DataFrame) -> DataFrame:
 
 def dashboard(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
               model_meta: DataFrame, model: str = "simple",
-              target_year: int = P.DEFAULT_TARGET_YEAR) -> DataFrame:
+              target_year: int = P.DEFAULT_TARGET_YEAR, registry: dict[str, dict] = P.MODEL_REGISTRY) -> DataFrame:
     """Dashboard per site (D11): prediction, kilos per tree at the fixed 130
-    trees, last harvest, history average; zeros when the model is unknown."""
-    rep = P.prediction_report(weather, harvest, model_feature, model_meta, [model], target_year)
+    trees, last harvest, history average; zeros without year and last harvest
+    when the model is unknown."""
+    rep = P.prediction_report(weather, harvest, model_feature, model_meta, [model], target_year, registry)
     avg = history_average(harvest).select("site", F.col("olives_kg").alias("hist_olives_kg"),
                                           F.col("oil_kg").alias("hist_oil_kg"))
     ci = F.coalesce(F.col("ci_kg"), F.lit(0).cast("bigint"))

@@ -52,13 +52,25 @@ def test_model_without_features_scores_intercept(spark):
 
 def test_report_unknown_model(spark):
     h = harvest_clean(spark.createDataFrame([("S", 2023, 200.0, 1000.0, 200.0, 5.0)], schemas.HARVEST_RAW))
+    registry = {m: dict(kind="simple" if m == "simple" else "ensemble", name=m, description=m)
+                for m in ("complex", "legacy", "simple")}
     rep = {r.model: r for r in P.prediction_report(_weather(spark), h, fx.model_feature(spark),
-                                                   fx.model_meta(spark), ["simple", "nope"]).collect()}
+                                                   fx.model_meta(spark), ["simple", "nope"], registry=registry).collect()}
     assert rep["nope"].error == "Unknown model. Available: ['complex', 'legacy', 'simple']"
     assert rep["nope"].olives_kg == 0 and rep["nope"].oil_kg == 0 and rep["nope"].r2 is None
     assert rep["simple"].error is None and rep["simple"].last_trees == 200
     d = R.dashboard(_weather(spark), h, fx.model_feature(spark), fx.model_meta(spark), "nope").collect()[0]
     assert (d.ensemble_olives_kg, d.estimated_oil_kg, d.ci_kg, d.olives_per_tree_kg) == (0, 0, 0, 0.0)
+    assert d.year is None and d.last_year is None and d.error == "Unknown model. Available: ['simple', 'complex']"
+
+
+def test_report_known_models_without_artefact(spark):
+    h = harvest_clean(spark.createDataFrame([("S", 2023, 200.0, 1000.0, 200.0, 5.0)], schemas.HARVEST_RAW))
+    rep = {r.model: r for r in P.prediction_report(_weather(spark), h, *_no_models(spark), ["simple", "complex"]).collect()}
+    s, c = rep["simple"], rep["complex"]
+    assert (s.olives_kg, s.oil_kg, s.ci_kg, s.cv_mae, s.r2, s.error) == (950, 142, 400, 200.0, 0.0, None)
+    assert (c.olives_kg, c.oil_kg, c.ci_kg, c.error) == (0, 0, None, "Complex model not available")
+    assert c.last_year == 2023 and c.harvest_year == s.harvest_year
 
 
 def test_history_oil_share_edges(spark):
