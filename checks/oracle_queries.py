@@ -481,6 +481,11 @@ def _():
     return _legacy_body() + "\nselect * from legacy_out"
 
 
+@register("predict_legacy_preferred", "weather_daily", "harvest", "model_feature", "model_meta")
+def _():
+    return _legacy_body() + "\nselect * from legacy_out"
+
+
 @register("predict_backtest", "weather_daily", "harvest", "model_feature", "model_meta")
 def _():
     used = ["Rain_Jan", "Clouds_Sep", "Clouds_Oct", "Rain_winter", "Temp_spring", "Clouds", "Sun_Hours"]
@@ -763,6 +768,17 @@ union all
 select {STORE_COLS} from fresh"""
 
 
+@register("store_first_write", "weather_daily")
+def _():
+    return SCENARIO + _hourly_rows("recent") + f"""
+select {STORE_COLS} from hourly where h = 0"""
+
+
+@register("weather_csv", "weather_daily")
+def _():
+    return f"select {STORE_COLS} from weather_daily"
+
+
 @register("stream_risk", "weather_daily")
 def _():
     return WX + """

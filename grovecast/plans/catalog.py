@@ -232,6 +232,15 @@ def q_predict_legacy(spark, sf_dir):
     return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
 
 
+@query("predict_legacy_preferred")
+def q_predict_legacy_preferred(spark, sf_dir):
+    """The first model of a preference list that the model tables hold."""
+    from grovecast.operators.scoring import map_text
+    from grovecast.plans import prediction as P
+    p = P.predict_legacy(*_both_once(spark, sf_dir), *_models(spark), model=["improved", "legacy", "simple"])
+    return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
+
+
 @query("predict_backtest")
 def q_predict_backtest(spark, sf_dir):
     from grovecast.plans import prediction as P
@@ -347,6 +356,34 @@ def q_ingest_report(spark, sf_dir):
     return dedup.ingest_report(batch, dedup.new_rows(store, batch))
 
 
+@query("store_first_write")
+def q_store_first_write(spark, sf_dir):
+    """The re-sent days ingested, twice, where no store exists yet."""
+    from grovecast.operators import dedup
+    from grovecast.streaming import jobs
+    path = f"{jobs.scratch_dir(spark, 'store')}/days"
+    batch = fx.ingest_scenario(spark, sf_dir)[1]
+    for _ in range(2):  # the second write finds every day stored
+        dedup.append_new_days(spark, path, batch)
+    return spark.read.parquet(path).select(*dedup.STORE_COLUMNS)
+
+
+@query("weather_csv")
+def q_weather_csv(spark, sf_dir):
+    """S3: the weather rows written as the service's CSV layout and read back."""
+    from pyspark.sql import functions as F
+    from grovecast import schemas
+    from grovecast.sources import weather as W
+    from grovecast.streaming import jobs
+    base = jobs.scratch_dir(spark, "csv")
+    of = {"Date": F.col("obs_date"), "Year": F.year("obs_date"), "Month": F.month("obs_date"),
+          **{src: F.col(dst) for src, dst in schemas.WEATHER_CSV_TO_DAILY.items()}}
+    fx.weather_daily(spark, sf_dir).select(
+        "site", *[of[f.name].cast(f.dataType).alias(f.name) for f in schemas.WEATHER_CSV.fields]
+    ).write.option("header", True).csv(f"{base}/weather")
+    return W.read_weather_csv(spark, f"{base}/weather")
+
+
 # -- step 8: streaming (run to completion with an availableNow trigger) ----------
 
 @query("stream_ingest")
@@ -359,7 +396,7 @@ def q_stream_ingest(spark, sf_dir):
     base = jobs.scratch_dir(spark, "ingest")
     store, pl = fx.ingest_scenario_payloads(spark, sf_dir)
     store.withColumn("year", F.year("obs_date")).write.partitionBy("year").parquet(f"{base}/store")
-    pl.repartition(4).write.text(f"{base}/source")
+    pl.write.text(f"{base}/source")
     q = jobs.start_ingest(spark, f"{base}/source", f"{base}/store", f"{base}/checkpoint",
                           max_files_per_trigger=2)
     q.awaitTermination()
@@ -369,10 +406,9 @@ def q_stream_ingest(spark, sf_dir):
 @query("stream_risk")
 def q_stream_risk(spark, sf_dir):
     """R2: 30-day sliding windows on the daily rows as a stream, scored."""
-    from pyspark.sql import functions as F
     from grovecast.streaming import jobs
     base = jobs.scratch_dir(spark, "risk")
-    _wx(spark, sf_dir).repartition(4, F.col("site")).write.parquet(f"{base}/source")
+    _wx(spark, sf_dir).write.parquet(f"{base}/source")
     q = jobs.start_window_risk(spark, f"{base}/source", f"{base}/windows", f"{base}/checkpoint")
     q.awaitTermination()
     stats = jobs.window_results(spark.read.parquet(f"{base}/windows"))
@@ -384,7 +420,7 @@ def q_stream_latest(spark, sf_dir):
     """Newest reading per site of the events stream."""
     from grovecast.streaming import jobs
     base = jobs.scratch_dir(spark, "latest")
-    fx.event_readings(spark, sf_dir).repartition(4).write.parquet(f"{base}/source")
+    fx.event_readings(spark, sf_dir).write.parquet(f"{base}/source")
     q = jobs.start_latest(spark, f"{base}/source", f"{base}/newest", f"{base}/checkpoint")
     q.awaitTermination()
     return jobs.latest_versions(spark.read.parquet(f"{base}/newest"), ["site"])
