@@ -17,7 +17,7 @@ decoded in step: each step looks up the next ``MAX_BITS`` bits of every lane in
 table that gives the id and its length.
 
 Cases: a null text counts as empty (only the end id); null document ids come
-first, equal document ids are ordered by their codes; an empty table gives no
+first, equal document ids are ordered by number and hash of their ids; an empty table gives no
 blocks and an empty result; extra columns are not read.
 """
 
@@ -256,30 +256,30 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     spark = docs.sparkSession
     width = id_width(tokenizer_path, end_id)
     # the ids are read twice (counts, codes): written once, so nothing is encoded again
-    token_rows(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(f"{path}/ids")
+    # beside them the keys of the order: finding the ranges reads these alone
+    (token_rows(docs, tokenizer_path, end_id, id_col, text_col)
+     .select(F.col("doc_id").cast("bigint"), "ids", F.length("ids").alias("n"), F.xxhash64("ids").alias("h"))
+     .write.option("compression", "zstd").parquet(f"{path}/ids"))
     tokens = spark.read.parquet(f"{path}/ids")
     lengths = code_lengths(id_counts(tokens, width))
     (spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1)
      .write.parquet(f"{path}/lengths"))
     code = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # bounded by the vocabulary
 
+    # equal document ids may be many: a hash of the ids lets the ranges cut between them
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = (tokens.repartitionByRange(first, F.col("n"), F.col("h"))
+               .sortWithinPartitions(first, "n", "h", "ids").select("doc_id", "ids"))
+
     def pack_rows(batches):
         lens, codes = code.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [pack(np.frombuffer(x, width), lens, codes) for x in part.column(1).to_pylist()]
-                n = [len(x) // np.dtype(width).itemsize for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([m for _, m in got], pa.list_(pa.int64())),
-                     pa.array([b for b, _ in got], pa.binary())], names=["doc_id", "n", "marks", "bits"])
-
-    packed = tokens.mapInArrow(tidy(pack_rows), "doc_id long, n long, marks array<long>, bits binary")
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("bits")]
-    # equal document ids may be many: a hash of the codes lets the ranges cut between them
-    ordered = (packed.withColumn("h", F.xxhash64("bits"))
-               .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("n"), F.col("h"))
-               .sortWithinPartitions(keys[0], keys[1], "h", keys[2]).drop("h"))
+                for doc, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = np.frombuffer(x, width)
+                    bits, marks = pack(ids, lens, codes)
+                    yield doc, len(ids), marks.tolist(), bits
 
     def blocks(batches):
         from pyspark import TaskContext
@@ -289,18 +289,17 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
         def row():
             return pa.RecordBatch.from_pylist([{"part": me, "block": k, "doc_ids": ids, "n_tokens": n, "n_bytes": size,
                                                 "marks": marks, "payload": b"".join(bits)}], schema=arrow)
-        for batch in batches:
-            for doc, m, mk, b in zip(*[c.to_pylist() for c in batch.columns]):
-                if n and total + m > BLOCK_TOKENS:
-                    yield row()
-                    k += 1
-                    ids, n, size, marks, bits, total = [], [], [], [], [], 0
-                ids.append(doc)
-                n.append(m)
-                size.append(len(b))
-                marks.extend(mk)
-                bits.append(b)
-                total += m
+        for doc, m, mk, b in pack_rows(batches):
+            if n and total + m > BLOCK_TOKENS:
+                yield row()
+                k += 1
+                ids, n, size, marks, bits, total = [], [], [], [], [], 0
+            ids.append(doc)
+            n.append(m)
+            size.append(len(b))
+            marks.extend(mk)
+            bits.append(b)
+            total += m
         if n:
             yield row()
 
