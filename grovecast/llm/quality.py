@@ -13,10 +13,14 @@ row per bin and task, and its quantiles have a relative error of at most
 fences and summed over all, the corpus' fences: a group takes the most
 specific level with at least ``min_rows`` documents that pass the base rules.
 
-Fence: ``median +- spread * width`` on the upper (or lower) side, with ``width`` the
-distance from the median to the 95 % (5 %) quantile, but at least ``FLOOR`` of the
-measure.  A document fails a measure beyond the fence.  ``spread`` is wide: the
-rules are for outliers, an ordinary document of its group stays.
+Fence: ``median + spread * width``, with ``width`` the distance from the median to the
+75 % quantile, which junk rarely reaches, and at least the measure's own distance.  The
+word length has a lower fence as well, from the 25 % quantile.  A document fails a
+measure beyond its fence.  ``spread`` is wide: the rules are for outliers, an
+ordinary document of its group stays.  A group of which junk is a quarter or more
+does not set its own rules: its fence lies at most ``BOUND`` times the distance from the
+median of its language, for shares also from that of the corpus (word lengths differ by
+language), and for shares never beyond the measure's ``most``.
 
 Cases: a null text has no words and fails the base rule; null languages or
 sources form groups of their own (null equals null); repeated rows count as
@@ -39,10 +43,10 @@ from grovecast.llm.common import materialize, per_row
 #: Base rules: fixed, as in the contract of the counts.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 GAMMA = 1.02
-#: measure -> (side that is bad, least width of a fence's distance)
-MEASURES = {"word_length": (1, 1.0), "symbol_ratio": (1, 0.02), "dup_line_ratio": (1, 0.25),
-            "repeat_ratio": (1, 0.15)}
-SPREAD, MIN_ROWS = 4.0, 200
+#: measure -> (sides that are bad: 2 for both, least distance of a fence, most that a share's fence may be)
+MEASURES = {"word_length": (2, 1.0, None), "symbol_ratio": (1, 0.02, 0.5), "dup_line_ratio": (1, 0.25, 0.7),
+            "repeat_ratio": (1, 0.15, 0.4)}
+SPREAD, BOUND, MIN_ROWS = 4.0, 2.0, 200
 
 _NOT_SYMBOL = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _SPACE = bytes(range(9, 14)) + b" "
@@ -136,7 +140,7 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """rows, p50 and p95 of every measure per group, read from its bins."""
+    """rows, p25, p50, p75 and p95 of every measure per group, read from its bins."""
     s = sketch.groupBy(*group, "measure", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group, "measure")
     upto = F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
@@ -144,22 +148,30 @@ def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
     value = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
     s = s.select(*group, "measure", value.alias("v"), upto.alias("upto"), total.alias("total"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("v")))
-    return s.groupBy(*group, "measure").agg(F.max("total").alias("rows"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+    return s.groupBy(*group, "measure").agg(F.max("total").alias("rows"), *[at(q / 100).alias(f"p{q}") for q in (25, 50, 75, 95)])
 
 
-def fences(sketch: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per (lang, source) with an upper fence per measure."""
-    floor = F.create_map(*[x for m, (_, least) in MEASURES.items() for x in (F.lit(m), F.lit(least))])[F.col("measure")]
-    fence = F.col("p50") + F.lit(spread) * F.greatest(F.col("p95") - F.col("p50"), floor / F.lit(spread))
+def fences(sketch: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS, bound: float = BOUND) -> DataFrame:
+    """One row per (lang, source) with an upper (``_fence``) and a lower (``_low``) fence
+    per measure; null where a measure has none."""
+    of = lambda k: F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[k]).cast("double"))])[F.col("a_measure")]
+    least = F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[1]))])[F.col("measure")]
+    up = F.greatest(F.lit(spread) * (F.col("p75") - F.col("p50")), least)
+    down = F.greatest(F.lit(spread) * (F.col("p50") - F.col("p25")), least)
     level = lambda g, tag: quantiles(sketch, g).select(
-        *[F.col(c).alias(f"{tag}_{c}") for c in [*g, "measure"]], F.col("rows").alias(f"{tag}_rows"), fence.alias(f"{tag}_fence"))
+        *[F.col(c).alias(f"{tag}_{c}") for c in [*g, "measure"]], F.col("rows").alias(f"{tag}_rows"),
+        (F.col("p50") + up).alias(f"{tag}_up"), (F.col("p50") + F.lit(bound) * up).alias(f"{tag}_up_bound"),
+        (F.col("p50") - down).alias(f"{tag}_low"), (F.col("p50") - F.lit(bound) * down).alias(f"{tag}_low_bound"))
     a, b, c = level(["lang", "source"], "a"), level(["lang"], "b"), level([], "c")
+    own = lambda x, y, z: F.when(F.col("a_rows") >= min_rows, x).when(F.col("b_rows") >= min_rows, y).otherwise(z)
+    corpus = F.when(of(2).isNotNull(), F.least("c_up_bound", of(2)))  # null: no bound (least skips nulls)
     best = (a.join(b, F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("a_measure") == F.col("b_measure")), "left")
             .join(c, F.col("a_measure") == F.col("c_measure"), "left")
-            .select("a_lang", "a_source", "a_measure", F.when(F.col("a_rows") >= min_rows, F.col("a_fence"))
-                    .when(F.col("b_rows") >= min_rows, F.col("b_fence")).otherwise(F.col("c_fence")).alias("fence")))
+            .select("a_lang", "a_source", "a_measure",
+                    own(F.least("a_up", "b_up_bound", corpus), F.least("b_up", corpus), F.least(F.col("c_up"), of(2))).alias("fence"),
+                    F.when(of(0) == 2, own(F.greatest("a_low", "b_low_bound"), F.col("b_low"), F.col("c_low"))).alias("low")))
     return best.groupBy(F.col("a_lang").alias("f_lang"), F.col("a_source").alias("f_source")).agg(
-        *[F.max(F.when(F.col("a_measure") == m, F.col("fence"))).alias(f"{m}_fence") for m in MEASURES])
+        *[F.max(F.when(F.col("a_measure") == m, F.col(k))).alias(f"{m}_{k}") for m in MEASURES for k in ("fence", "low")])
 
 
 def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang",
@@ -172,7 +184,7 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_
     measured = with_measures(materialize(with_counts(named), "quality-counts"))
     f = fences(sketches(measured), spread, min_rows)
     out = measured.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = F.array_compact(F.array(*[F.when(F.col(m) > F.col(f"{m}_fence"), F.lit(m)) for m in MEASURES]))
+    failed = F.array_compact(F.array(*[F.when((F.col(m) > F.col(f"{m}_fence")) | (F.col(m) < F.col(f"{m}_low")), F.lit(m)) for m in MEASURES]))
     out = out.withColumn("failed", F.when(F.col("base_failed"), F.array().cast("array<string>")).otherwise(failed))
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop(
-        "f_lang", "f_source", *[f"{m}_fence" for m in MEASURES])
+        "f_lang", "f_source", *[f"{m}_{k}" for m in MEASURES for k in ("fence", "low")])

@@ -174,6 +174,71 @@ def test_quality_sketch_quantiles(spark):
     assert q["symbol_ratio"]["p95"] == 0.0
 
 
+def brute_verdicts(measured, spread=4.0, bound=2.0, min_rows=200):
+    """doc_id -> (failed measures, True if a measure is too near its fence for the sketch's error).
+    ``measured``: doc_id -> (lang, source, measures), of documents that pass the base rules."""
+    names = ["word_length", "symbol_ratio", "dup_line_ratio", "repeat_ratio"]
+    least, most = [1.0, 0.02, 0.25, 0.15], [None, 0.5, 0.7, 0.4]
+    levels = {}
+    for lang, source, v in measured.values():
+        for key in ((lang, source), (lang,), ()):
+            levels.setdefault(key, []).append(v)
+    fence = {}
+    for key, v in levels.items():
+        a, b, c = np.quantile(np.array(v), [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        up, down = np.maximum(spread * (c - b), least), np.maximum(spread * (b - a), least)
+        fence[key] = (len(v), b + up, b + bound * up, b - down, b - bound * down)
+    out = {}
+    for doc, (lang, source, v) in measured.items():
+        a, b, c = fence[lang, source], fence[lang,], fence[()]
+        own = a if a[0] >= min_rows else b if b[0] >= min_rows else c
+        failed, near = [], False
+        for k, m in enumerate(names):
+            high = [own[1][k]]
+            if own is a:
+                high.append(b[2][k])
+            if most[k]:
+                high += [most[k]] + ([c[2][k]] if own is not c else [])
+            low = max([own[3][k]] + ([b[4][k]] if own is a else [])) if k == 0 else -1.0
+            if v[k] > min(high) or v[k] < low:
+                failed.append(m)
+            near |= abs(v[k] - min(high)) < 0.03 * min(high) or k == 0 and abs(v[k] - low) < 0.03 * low
+        out[doc] = (failed, near)
+    return out
+
+
+def brute_measures(text):
+    n, chars, symbols, dup, hit, base = brute_quality(text)
+    lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+    return base, (chars / max(n, 1), symbols / max(chars, 1), dup / max(lines, 1), hit / max(n, 1))
+
+
+def test_quality_kept_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in QUERIES["op7_quality_rules"](spark, SF_MID).collect()}
+    measured = {r["doc_id"]: (r["lang"], r["source"], m[1]) for r in docs if not (m := brute_measures(r["text"]))[0]}
+    want = brute_verdicts(measured)
+    sure = [d for d, (_, near) in want.items() if not near]
+    assert len(sure) > 0.9 * len(want)
+    assert {d: list(got[d]["failed"]) for d in sure} == {d: want[d][0] for d in sure}
+    assert all(got[d]["kept"] == (d in want and not got[d]["failed"]) for d in got)
+    bad = [r["doc_id"] for r in spark.read.parquet(f"{SF_MID}/labels.parquet").where("quality = 0").collect()]
+    assert len(bad) > 50 and not any(got[d]["kept"] for d in bad)
+    assert not any(got[d]["kept"] for d, (_, _, v) in measured.items() if v[1] > 0.1)
+
+
+def test_quality_group_of_junk_sets_no_rules(spark):
+    """A group with more junk than a quarter, and a group of short or long words."""
+    def doc(i, size):
+        return " ".join(f"{(i * 1009 + k) % 100000:0{size}d}" for k in range(60))
+    rows = [(i, doc(i, 5), "en", "clean") for i in range(600)]
+    rows += [(1000 + i, doc(i, 5) if i % 10 < 6 else doc(i, 5).replace(" ", "$$ "), "en", "junk") for i in range(300)]
+    rows += [(2000 + i, doc(i, 9), "fi", "long") for i in range(300)]  # a language's words may be long
+    rows += [(3000, " ".join("abcdefghij"[k % 10] for k in range(30)) + " " + " ".join(f"{k}" for k in range(40)), "fi", "long")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert {d for d, r in got.items() if not r["kept"]} == {1000 + i for i in range(300) if i % 10 >= 6} | {3000}
+
+
 def test_quality_edges(spark, edge_docs, no_docs):
     got = quality.judge(edge_docs).collect()
     assert Counter((r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in got) == Counter(
