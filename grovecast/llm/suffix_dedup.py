@@ -10,7 +10,8 @@ also starts in a document with a smaller id.  The method, as Spark jobs:
    strings mostly share one, so a shard has few.  Each shard's distinct anchors go,
    sorted, to hash buckets, where binary search finds those that occur in other
    shards too; a bit per anchor goes back.  A string whose anchor occurs in one
-   document only is unique and needs no more work.
+   document only is unique and needs no more work.  The buckets also add up the bytes
+   of each anchor's runs; an anchor of more than ``cell_bytes`` is hot.
 3. *Suffix arrays.*  The rest (runs of strings with one anchor, equal runs of a shard
    once) go to cells by anchor, so that equal strings meet.  A cell's runs form
    shards of at most ``array_bytes``; for each, a suffix array is built by
@@ -18,13 +19,19 @@ also starts in a document with a smaller id.  The method, as Spark jobs:
    tied, doubling the depth up to ``LENGTH``) and common prefixes are found in text
    order from Kasai's bound.  Neighbours with ``LENGTH`` bytes in common are one string;
    its smallest document id is known.
+   The strings of a hot anchor go one by one to cells of their own, as many as its bytes
+   need, by a hash of the whole string: equal strings meet, others spread.
 4. *Merging.*  Where a cell has several suffix arrays, each one's sorted strings are
    looked up in the others by binary search, and the smallest id wins.
 5. *Removal.*  Byte intervals go back to the shards, which cut their texts.
 
 Hot data: a passage in a third of all documents is one run per shard and anchor,
-whatever the number of its copies; nothing is dropped or capped.  The number of
-buckets and cells follows the input's bytes.
+whatever the number of its copies: a document that is not the run's first in its shard
+loses it at once, and only the places in the first (all rows of its id) go to the
+cell.  A short phrase with different text around it is a hot anchor, whose strings
+spread.  Nothing is dropped or capped.  The number of buckets and cells follows
+the input's bytes.  A hot anchor costs about ``LENGTH`` bytes per byte of text that its
+strings start at, and one string's entry per shard stays in one cell.
 
 Cases: a null text has no bytes; texts shorter than ``LENGTH`` lose nothing; equal ids
 don't remove each other, null ids count as larger than all others; repeated rows
@@ -278,10 +285,35 @@ def shard_texts(batch: pa.RecordBatch, text: int, key: int) -> tuple[np.ndarray,
     return np.frombuffer(b"".join(raw), np.uint8), ends, ids
 
 
+def run_bytes(data: bytes, first: np.ndarray, count: np.ndarray, which: np.ndarray, often: np.ndarray, length: int) -> np.ndarray:
+    """Bytes of the different runs of each anchor (``which`` numbers a run's anchor, ``often``
+    has its runs): 0 for an anchor with one run of usual size, ``2 * length`` at most."""
+    out = np.zeros(len(often), np.int64)
+    size = count + length - 1
+    some = np.flatnonzero((often[which] > 1) | (size > 2 * length))
+    seen: set[bytes] = set()
+    for p, n, k in zip(first[some].tolist(), size[some].tolist(), which[some].tolist()):
+        run = data[p:p + n]
+        if run not in seen:
+            seen.add(run)
+            out[k] += n
+    return out
+
+
+def string_hash(words: np.ndarray, pos: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the whole string at each position; ``words``: see words8."""
+    h = np.zeros(len(pos), np.uint64)
+    for at in [*range(0, length - 8, 8), length - 8]:
+        h = (h ^ words[pos + at]) * np.uint64(_MULT)
+        h ^= h >> np.uint64(29)
+    h *= _MIX
+    return h ^ (h >> np.uint64(31))
+
+
 # -- Spark jobs ---------------------------------------------------------------------
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
-    """``docs`` with kept (the remaining bytes), n_bytes, n_removed and n_spans appended."""
+def shards_and_cells(docs: DataFrame, id_col: str, text_col: str, length: int, shard_bytes: int, cell_bytes: int) -> tuple[DataFrame, DataFrame, int]:
+    """The shards, the rows for the cells (``CELLS``), and the number of the first cell of
+    single strings.  Cells below 0 hold a shard's spans that are known to go."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     total = input_bytes(docs, text_col)
@@ -308,27 +340,49 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for shard, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data, ends, _ = shard_texts(unpack_batch(rows), text, key)
-                a = np.unique(runs(data, ends, length)[2])
+                first, count, anchor, _ = runs(data, ends, length)
+                a, which, often = np.unique(anchor, return_inverse=True, return_counts=True)
+                heavy = run_bytes(data.tobytes(), first, count, which, often, length)
                 bucket = ((a >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                a, bucket = a[order], bucket[order]
+                a, bucket, heavy = a[order], bucket[order], heavy[order]
                 cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
                 some = [b for b in range(n_buckets) if cut[b + 1] > cut[b]]
                 if some:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(some, pa.int32()), pa.array([shard] * len(some), pa.int64()),
-                         pa.array([a[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary())], names=["bucket", "shard", "anchors"])
+                         pa.array([a[cut[b]:cut[b + 1]].tobytes() for b in some], pa.binary()),
+                         pa.array([pairs(np.where(heavy[cut[b]:cut[b + 1]] > 2 * length, heavy[cut[b]:cut[b + 1]], 0)) for b in some], pa.binary())],
+                        names=["bucket", "shard", "anchors", "heavy"])
 
     def shared(table: pa.Table) -> pa.Table:
-        """Which of each shard's anchors (sorted) other shards have too."""
+        """Which of each shard's anchors (sorted) other shards have too, and into how many
+        cells the strings of its hot ones go."""
         lists = [np.frombuffer(x, np.uint64) for x in table.column("anchors").to_pylist()]
-        every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        size = [np.full(len(x), 2 * length, np.int64) for x in lists]
+        for n, x in zip(size, table.column("heavy").to_pylist()):
+            at, v = unpairs(x)
+            n[at] = v
+        every, size = np.concatenate(lists), np.concatenate(size)
+        order = np.argsort(every, kind="stable")
+        every, size = every[order], size[order]
+        head = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        total = np.add.reduceat(size, head)
+        twice = every[head[np.diff(np.append(head, len(every))) > 1]]
+        hot = total > cell_bytes
+        hot_anchor, n_parts = every[head[hot]], -(-total[hot] * (length // 2) // cell_bytes)
+        bits, parts = [], []
+        for a in lists:
+            bits.append(np.packbits(mask_of(a, twice)).tobytes())
+            k = np.zeros(len(a), np.int64)
+            is_hot = mask_of(a, hot_anchor)
+            k[is_hot] = n_parts[np.searchsorted(hot_anchor, a[is_hot])]
+            parts.append(pairs(k))
         return pa.table({"shard": table.column("shard"), "bucket": table.column("bucket"),
-                         "bits": pa.array([np.packbits(mask_of(a, twice)).tobytes() for a in lists], pa.binary())})
+                         "bits": pa.array(bits, pa.binary()), "hot": pa.array(parts, pa.binary())})
 
-    anchors = shards.mapInArrow(tidy(to_anchors), "bucket int, shard long, anchors binary")
-    marks = anchors.groupBy("bucket").applyInArrow(tidy(shared), "shard long, bucket int, bits binary")
+    anchors = shards.mapInArrow(tidy(to_anchors), "bucket int, shard long, anchors binary, heavy binary")
+    marks = anchors.groupBy("bucket").applyInArrow(tidy(shared), "shard long, bucket int, bits binary, hot binary")
 
     def to_cells(rows: pa.Table, bits: pa.Table) -> pa.Table:
         out = {n: [] for n in CELL_NAMES}
@@ -337,41 +391,76 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             first, count, anchor, doc = runs(data, ends, length)
             have = np.unique(anchor)
             bucket = ((have >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
-            seen = np.zeros(len(have), bool)
-            for b, mask in zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist()):
+            seen, n_parts = np.zeros(len(have), bool), np.zeros(len(have), np.int64)
+            for b, mask, hot in zip(*(bits.column(c).to_pylist() for c in ("bucket", "bits", "hot"))):
                 at = np.flatnonzero(bucket == b)
                 seen[at] = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(at)).astype(bool)
+                of, k = unpairs(hot)
+                n_parts[at[of]] = k
             which = np.searchsorted(have, anchor)
             low, high = np.full(len(have), len(ids)), np.full(len(have), -1)
             np.minimum.at(low, which, doc)
             np.maximum.at(high, which, doc)
             go = np.flatnonzero((seen | (low < high))[which])  # anchors of several documents
+            is_hot = n_parts[which[go]] > 0
+            single, go = go[is_hot], go[~is_hot]
+            n_single = count[single]
             cell = ((anchor[go] >> np.uint64(8)) % np.uint64(n_cells)).astype(np.int64)
+            first, count, doc, anchor, parts = (np.append(x[go], np.repeat(x[single], n_single))
+                                                for x in (first, count, doc, anchor, n_parts[which]))
+            if len(single):  # a run of each string
+                one = slice(len(go), None)
+                first[one] += np.arange(n_single.sum()) - np.repeat(np.cumsum(n_single) - n_single, n_single)
+                count[one] = 1
+                part = string_hash(words8(data), first[one], length) % parts[one].astype(np.uint64)
+                mixed = (anchor[one] ^ (part + np.uint64(1)) * np.uint64(_MULT)) * _MIX
+                cell = np.append(cell, n_cells + (mixed >> np.uint64(2)).astype(np.int64))
             order = np.argsort(cell, kind="stable")
-            go, cell = go[order], cell[order]
+            first, count, doc, cell = first[order], count[order], doc[order], cell[order]
             cut = np.flatnonzero(np.diff(cell, prepend=-1, append=-1)) if len(cell) else []
-            raw = data.tobytes()
+            raw, gone = data.tobytes(), []
             for a, b in zip(cut, cut[1:]):
                 number: dict[bytes, int] = {}
-                part = go[a:b]
                 seg = np.array([number.setdefault(raw[p:p + c + length - 1], len(number))
-                                for p, c in zip(first[part].tolist(), count[part].tolist())], np.int64)
+                                for p, c in zip(first[a:b].tolist(), count[a:b].tolist())], np.int64)
                 texts = list(number)
                 blob = b"".join(texts)
-                occ = np.concatenate([seg, first[part], ids[doc[part]]]).astype("<i8").tobytes()
+                pos, owner = first[a:b], ids[doc[a:b]]
+                least = np.full(len(texts), NO_ID)
+                np.minimum.at(least, seg, owner)
+                later = owner > least[seg]  # they lose the whole run, whatever other shards hold
+                gone.append(np.stack([pos[later], pos[later] + count[a:b][later] + length - 1]))
+                occ = np.concatenate([x[~later] for x in (seg, pos, owner)]).astype("<i8").tobytes()
                 for n, v in zip(CELL_NAMES, (int(cell[a]), shard, shrink(blob), len(blob), np.array([len(t) for t in texts], "<u4").tobytes(),
-                                             shrink(occ), len(part))):
+                                             shrink(occ), int((~later).sum()))):
+                    out[n].append(v)
+            spans = np.concatenate(gone, 1).astype("<u4") if gone else np.zeros((2, 0), "<u4")
+            if spans.size:
+                for n, v in zip(CELL_NAMES, (-1 - shard, shard, b"", 0, b"", shrink(spans.tobytes()), spans.shape[1])):
                     out[n].append(v)
         return pa.table([pa.array(out[f.name], f.type) for f in CELL_ARROW], schema=CELL_ARROW)
 
-    cells = (shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(tidy(to_cells), CELLS))
+    return shards, shards.groupBy("shard").cogroup(marks.groupBy("shard")).applyInArrow(tidy(to_cells), CELLS), n_cells
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
+    """``docs`` with kept (the remaining bytes), n_bytes, n_removed and n_spans appended."""
+    shards, cells, n_cells = shards_and_cells(docs, id_col, text_col, length, shard_bytes, cell_bytes)
+    text, key = docs.columns.index(text_col), docs.columns.index(id_col)
 
     def find(table: pa.Table) -> pa.Table:
         """Byte intervals to remove, per shard."""
         number: dict[bytes, int] = {}
         least: list[int] = []
         seen = []
+        out = {"shard": [], "begin": [], "end": []}
         for r in table.to_pylist():
+            if r["cell"] < 0:
+                spans = grow(r["places"], 8 * r["n_places"])
+                for n, v in zip(out, (r["shard"], spans[:4 * r["n_places"]], spans[4 * r["n_places"]:])):
+                    out[n].append(v)
+                continue
             sizes = np.frombuffer(r["sizes"], "<u4").astype(np.int64)
             blob = grow(r["texts"], r["n_bytes"])
             ends = np.cumsum(sizes)
@@ -384,10 +473,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             np.minimum.at(low, seg, ids)
         texts = list(number)
         size = np.array([len(t) for t in texts], np.int64)
-        spans = lost_spans(texts, low, length, array_bytes)  # of each run's smallest document
+        # of each run's smallest document; single strings hold no other
+        spans = lost_spans(texts, low, length, array_bytes) if texts and table.column("cell")[0].as_py() < n_cells else {}
         losing = np.zeros(len(texts), bool)
         losing[list(spans)] = True
-        out = {"shard": [], "begin": [], "end": []}
         for shard, seg, pos, ids in seen:
             later = ids > low[seg]
             begin, end = [pos[later]], [pos[later] + size[seg[later]]]
@@ -440,6 +529,17 @@ def mask_of(a: np.ndarray, twice: np.ndarray) -> np.ndarray:
     return hit
 
 
+def pairs(values: np.ndarray) -> bytes:
+    """Where the values above 0 are, and these."""
+    at = np.flatnonzero(values > 0)
+    return np.stack([at, values[at]]).astype("<i8").tobytes()
+
+
+def unpairs(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at, values = np.frombuffer(x, "<i8").reshape(2, -1)
+    return at, values
+
+
 CELLS = "cell long, shard long, texts binary, n_bytes long, sizes binary, places binary, n_places long"
 CELL_ARROW = pa.schema([("cell", pa.int64()), ("shard", pa.int64()), ("texts", pa.binary()), ("n_bytes", pa.int64()),
                         ("sizes", pa.binary()), ("places", pa.binary()), ("n_places", pa.int64())])

@@ -78,6 +78,27 @@ def test_suffix_hot_and_periodic(spark):
         assert Counter(digest(suffix_dedup.remove_repeats(df, **how))) == Counter(brute_repeats(rows))
 
 
+def test_suffix_hot_anchor_spreads(spark):
+    """A phrase shorter than a string, with different text around it in every document, and
+    a passage in a third of them: no cell holds much more than its bytes, nothing is lost."""
+    rng = random.Random(8)
+    words = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    phrase, passage = words(46), words(200)
+    rows = [(i, words(60) + phrase + words(60) + passage * (i % 3 == 0)) for i in range(400)]
+    rows += [(1000 + i, words(9) + rows[i][1][40:120] + words(9)) for i in range(0, 400, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    how = {"shard_bytes": 8000, "cell_bytes": 6000}
+    _, cells, single = suffix_dedup.shards_and_cells(df, "doc_id", "text", 50, **how)
+    held = cells.where("cell >= 0").groupBy("cell").agg(F.sum(F.col("n_bytes") + 24 * F.col("n_places")).alias("b")).collect()
+    assert any(r["cell"] >= single for r in held) and max(r["b"] for r in held) < 4 * 6000
+    # a run's places: those in its first document of the shard
+    n_docs = cells.where("cell >= 0").agg(F.max(F.col("n_places") / (F.length("sizes") / 4))).first()[0]
+    assert n_docs == 1
+    want = Counter(brute_repeats(rows))
+    assert sum(x[2] for x in want) > 0
+    assert Counter(digest(suffix_dedup.remove_repeats(df, **how, array_bytes=2000))) == want
+
+
 def test_suffix_edges(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     got = suffix_dedup.remove_repeats(edge_docs)
