@@ -37,6 +37,8 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from grovecast.llm.common import fresh, materialize, tidy
 
 SHINGLE, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
+#: shingles of a block: 8 bytes each, some copies of that while a cell is verified
+BLOCK_SIZE = 1 << 20
 BROADCAST_ROWS = 500_000
 _BASE = 0x100000001B3 * 0x9E3779B1 % 2**64 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -135,7 +137,7 @@ def text_key(text: Column) -> Column:
 
 # -- Spark jobs ---------------------------------------------------------------------
 def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, bands (null for texts without words) per row."""
+    """doc_id, key, bands (null for texts without words), size (of the set) per row."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                       F.col(text_col).cast("binary").alias("_text"))
 
@@ -150,21 +152,24 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
                 col: list = [None] * len(sets)
                 for i, s in zip(full, sig):
                     col[i] = s
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(col, pa.list_(pa.int64()))],
-                                                 names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(col, pa.list_(pa.int64())),
+                                                  pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "key", "bands", "size"])
 
-    return src.mapInArrow(tidy(run), "doc_id long, key binary, bands array<long>")
+    return src.mapInArrow(tidy(run), "doc_id long, key binary, bands array<long>, size long")
 
 
-def candidate_cells(nodes: DataFrame, block: int) -> DataFrame:
-    """band, h, i, j, key: the cells of every bucket with two nodes or more."""
-    member = nodes.select("key", F.posexplode("bands").alias("band", "h"))
-    bucket = member.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"),
+def candidate_cells(nodes: DataFrame, block: int, block_size: int = BLOCK_SIZE) -> DataFrame:
+    """band, h, i, j, key: the cells of every bucket with two nodes or more.  A bucket's
+    blocks hold about ``block`` nodes or ``block_size`` shingles, whichever are fewer nodes."""
+    member = nodes.select("key", "size", F.posexplode("bands").alias("band", "h"))
+    bucket = member.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                              F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n >= 2")
     # the same nodes in another band: one bucket, the first, is enough
-    first = bucket.groupBy("n", "x", "y").agg(F.min(F.struct("band", "h")).alias("b")).select("b.band", "b.h", "n")
+    first = bucket.groupBy("n", "total", "x", "y").agg(F.min(F.struct("band", "h")).alias("b")).select("b.band", "b.h", "n", "total")
     rows = member.join(first, ["band", "h"])
-    blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
+    # more blocks than nodes would only be empty
+    by_size = F.least(F.ceil(F.col("total") / F.lit(float(block_size))), F.col("n"))
+    blocks = F.greatest(F.ceil(F.col("n") / F.lit(float(block))), by_size).cast("int")
     rows = rows.select("band", "h", "key", blocks.alias("g"), F.pmod(F.xxhash64("key", F.lit(2)), blocks).cast("int").alias("blk"))
     rows = rows.select("band", "h", "key", "blk", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("o"))
     return rows.select("band", "h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "key")
@@ -300,7 +305,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, rows = choose_bands(threshold, recall)
     sketches = materialize(sketch(docs, id_col, text_col, n, bands, rows), "sketches")
     nodes = (sketches.where(F.col("bands").isNotNull()).groupBy("key")
-             .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands")))
+             .agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), F.first("size").alias("size")))
     nodes = materialize(nodes, "nodes")
     cells = materialize(candidate_cells(nodes, block), "cells")
     keys = nodes.select("key", "doc_id").join(cells.select("key").distinct(), "key")

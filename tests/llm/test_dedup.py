@@ -199,6 +199,16 @@ def test_join_hot_group(spark):
         assert got == brute_join(rows)
 
 
+def test_join_cells_are_cut_by_size(spark):
+    """Few but long texts in one bucket: cells hold few of them, and every pair meets."""
+    rows = [(f"k{i}".encode(), [7, i], 100) for i in range(200)]
+    nodes = spark.createDataFrame(rows, "key binary, bands array<long>, size long")
+    cells = ngram_join.candidate_cells(nodes, 256, block_size=1000).groupBy("i", "j").agg(F.collect_list("key").alias("k")).collect()
+    assert max(100 * len(c["k"]) for c in cells) <= 5 * 1000
+    met = {(bytes(a), bytes(b)) for c in cells for a in c["k"] for b in c["k"] if a < b}
+    assert len(met) == 200 * 199 // 2
+
+
 def test_join_edges(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     got = ngram_join.near_duplicates(edge_docs).select("doc_id", "class_id", "n_links", "n_copies")
