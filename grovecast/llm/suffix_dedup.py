@@ -444,8 +444,9 @@ def shards_and_cells(docs: DataFrame, id_col: str, text_col: str, length: int, s
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
-    """``docs`` with kept (the remaining bytes), n_bytes, n_removed and n_spans appended."""
+                   shard_bytes: int = SHARD_BYTES, cell_bytes: int = CELL_BYTES, array_bytes: int = ARRAY_BYTES, whole_chars: bool = False) -> DataFrame:
+    """``docs`` with kept (the remaining bytes), n_bytes, n_removed and n_spans appended.
+    ``whole_chars``: a UTF-8 character that loses a byte goes as a whole."""
     shards, cells, n_cells = shards_and_cells(docs, id_col, text_col, length, shard_bytes, cell_bytes)
     text, key = docs.columns.index(text_col), docs.columns.index(id_col)
 
@@ -505,6 +506,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, ends, _ = shard_texts(batch, text, key)
             depth = np.bincount(begin, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
             gone = np.cumsum(depth[:-1]) > 0
+            if whole_chars and len(data):
+                char = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_or.reduceat(gone, char), np.diff(np.append(char, len(data))))
             kept, sizes, removed, n_spans = [], [], [], []
             for a, b in zip(np.append(0, ends[:-1]), ends):
                 g = gone[a:b]
@@ -551,9 +555,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of characters that were cut in two go too.  A text of which nothing is left is
     dropped; one that was empty before stays."""
     names = fresh(docs, "kept", "n_bytes", "n_removed", "n_spans")
-    got = remove_repeats(docs, id_col, text_col, length, **how)
-    left = F.try_validate_utf8(F.col(names[0]).cast("string"))
-    text = F.when(F.col(names[2]) == 0, F.col(text_col)).otherwise(F.coalesce(left, F.replace(
-        F.make_valid_utf8(F.col(names[0]).cast("string")), F.lit("�"), F.lit(""))))
+    got = remove_repeats(docs, id_col, text_col, length, whole_chars=True, **how)
+    text = F.when(F.col(names[2]) == 0, F.col(text_col)).otherwise(F.col(names[0]).cast("string"))
     got = got.where((F.col(names[2]) == 0) | (F.col(names[2]) < F.col(names[1])))
     return got.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

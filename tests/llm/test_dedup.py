@@ -117,6 +117,15 @@ def test_deduplicate_keeps_valid_text(spark):
     assert out[2].startswith("é") and out[2].endswith(" and more") and "�" not in out[2]
 
 
+def test_deduplicate_keeps_replacement_characters(spark):
+    """Only what a repeat covers goes: U+FFFD of the input stays, also where a cut splits a character."""
+    base = "the passage that both of these documents hold, and more of it " + "日"
+    rows = [(1, base), (2, "one \ufffd before " + base[:-1] + "旧 after \ufffd two")]  # 日 and 旧 share two bytes
+    assert base[-1].encode()[:2] == "旧".encode()[:2]
+    out = {r["doc_id"]: r["text"] for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: base, 2: "one \ufffd before" + " after \ufffd two"} or out == {1: base, 2: "one \ufffd before " + " after \ufffd two"}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.binary(max_size=300) | st.lists(st.sampled_from([0, 0, 1, 97]), max_size=300).map(bytes) | st.integers(1, 300).map(lambda n: b"ab" * n))
 def test_suffix_array_and_prefixes(data):
