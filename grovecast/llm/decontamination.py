@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovecast.llm.common import binary_views, tidy
+from grovecast.llm.common import binary_views, fresh, tidy
 
 N, MAX_WINDOWS = 10, 2_000_000
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -173,35 +173,54 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, mode: str =
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` (all columns) without what the benchmark's windows cover:
     ``mode="documents"`` drops a document with a hit, ``mode="spans"`` cuts the hit
-    words (with what stands between words hit in a row) out of its text."""
+    words (with what stands between words hit in a row) out of its text.  The parts of
+    a large benchmark all scan the whole text; it is cut once, by the hits of all."""
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
     spark = docs.sparkSession
     col = docs.columns.index(text_col)
-    schema = docs.schema
-    out = docs
+    from pyspark.sql.types import BinaryType, StructField, StructType
+    spans = mode == "spans"
+    mark = fresh(docs, "_hit")[0]  # a bit per word, while the parts scan
+    schema = StructType([*docs.schema.fields, StructField(mark, BinaryType())]) if spans else docs.schema
+    out = docs.select("*", F.lit(None).cast("binary").alias(mark)) if spans else docs
     for part in _parts(benchmark, item_col, item_text_col, n, max_windows):
         windows = spark.sparkContext.broadcast(WindowSet(part, n).state())
 
         def run(batches, windows=windows):
             table = WindowSet.of(windows.value)
             for batch in batches:
-                keep, texts = [], []
-                for t in binary_views(batch.column(col)):
-                    hit, _ = table.scan(words_of(t))
-                    keep.append(not hit.any())
-                    texts.append(None if t is None else bytes(t) if keep[-1] else cut(bytes(t), hit))
-                if mode == "documents":
+                hits = [table.scan(words_of(t))[0] for t in binary_views(batch.column(col))]
+                if not spans:
+                    keep = [not h.any() for h in hits]
                     if any(keep):
                         yield batch.filter(pa.array(keep))
-                else:
-                    kind = batch.schema.field(col).type
-                    fixed = pa.array(texts, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).cast(kind)
-                    yield pa.RecordBatch.from_arrays([fixed if i == col else c for i, c in enumerate(batch.columns)],
-                                                     schema=batch.schema)
+                    continue
+                before = batch.column(batch.num_columns - 1).to_pylist()
+                bits = [np.packbits(h | bits_of(b, len(h))).tobytes() for h, b in zip(hits, before)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(bits, pa.binary())], names=schema.names)
 
         out = out.mapInArrow(tidy(run), schema)
-    return out
+    if not spans:
+        return out
+
+    def cut_all(batches):
+        for batch in batches:
+            texts = []
+            for t, b in zip(binary_views(batch.column(col)), batch.column(batch.num_columns - 1).to_pylist()):
+                hit = bits_of(b, len(words_of(t)))
+                texts.append(None if t is None else cut(bytes(t), hit) if hit.any() else bytes(t))
+            kind = batch.schema.field(col).type
+            fixed = pa.array(texts, pa.large_binary() if pa.types.is_large_string(kind) else pa.binary()).cast(kind)
+            yield pa.RecordBatch.from_arrays([fixed if i == col else c for i, c in enumerate(batch.columns[:-1])],
+                                             names=schema.names[:-1])
+
+    return out.mapInArrow(tidy(cut_all), docs.schema)
+
+
+def bits_of(bits: bytes | None, n: int) -> np.ndarray:
+    """The first ``n`` bits as booleans (none set where there are no bits)."""
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool) if bits else np.zeros(n, bool)
 
 
 def cut(text: bytes, hit: np.ndarray) -> bytes:

@@ -282,6 +282,16 @@ def test_decontamination_query(spark):
     assert 0 < sum(r[-1] for r in got.values()) < len(got)
 
 
+def test_spans_do_not_depend_on_the_parts(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[5:16])), (2, " ".join(words[12:25])), (3, " ".join(words[:5] + words[25:32]))]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "Nothing here."), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    cut = lambda n: {r["doc_id"]: r["text"] for r in decontamination.decontaminate(docs, bench, mode="spans", max_windows=n).collect()}
+    want = {1: " ".join(words[:5]) + "  " + " ".join(words[25:]), 2: "Nothing here.", 3: None}
+    assert cut(1) == cut(2_000_000) == want
+
+
 def test_decontamination_edges(spark, edge_docs, no_docs):
     items = [(1, "The same TEXT, of five words and more the same text"), (1, "the same text"), (None, "tie of ids"), (2, ""), (3, None),
              (4, "...")]
