@@ -70,6 +70,10 @@ def append_new_days(spark: SparkSession, store_path: str, batch: DataFrame, keep
     schema = T.StructType([*schemas.WEATHER_DAILY.fields, T.StructField("year", T.IntegerType())])
     try:
         store = spark.read.schema(schema).parquet(store_path)
+        # read without a partition column, every year is null, and partitions written
+        # beside such files would hide them
+        if not store.filter(F.col("year").isNull()).isEmpty():
+            raise ValueError(f"the store at {store_path} is not partitioned by year")
     except AnalysisException as e:
         # only a missing path means "no store yet"; any other failure must not
         # be taken for an empty store, or every stored day would be stored again

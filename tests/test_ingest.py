@@ -2,6 +2,8 @@
 import datetime as dt
 import json
 
+import pytest
+
 from grovecast.operators import dedup
 from grovecast.sources import payloads
 from tests.helpers import wx
@@ -93,3 +95,14 @@ def test_store_is_partitioned_by_year(spark, tmp_path):
     assert dedup.append_new_days(spark, path, payloads.parse_hourly(_payload(spark, "S", h2))) == 1
     got = {r.obs_date: r.avg_temp for r in spark.read.parquet(path).collect()}
     assert got == {dt.date(2023, 12, 31): 1.0, dt.date(2024, 1, 1): 2.0, dt.date(2024, 1, 2): 3.0}
+
+
+def test_store_without_year_partitions_is_refused(spark, tmp_path):
+    h = {"time": ["2024-03-01T00:00", "2024-03-02T00:00"], "temperature_2m": [1.0, 3.0]}
+    batch = payloads.parse_hourly(_payload(spark, "S", h))
+    good, flat = str(tmp_path / "good"), str(tmp_path / "flat")
+    assert dedup.append_new_days(spark, good, batch) == 2
+    spark.read.parquet(good).drop("year").write.parquet(flat)
+    with pytest.raises(ValueError, match="not partitioned"):
+        dedup.append_new_days(spark, flat, batch)
+    assert spark.read.parquet(flat).count() == 2
