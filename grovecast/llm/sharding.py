@@ -16,7 +16,7 @@ straight to the first digit in which its keys differ.
 
 What the driver reads per round is bounded by the parameters: at most
 ``16 ** FIRST`` cells first, then ``16 ** STEP`` children of at most
-``n_shards - 1`` splitter cells and ``2 * n_shards`` heavy cells.
+``n_shards - 1`` splitter cells and ``4 * n_shards`` cells heavy by bytes or by rows.
 
 Cases: a null text has no bytes and sorts as the empty text; a null id sorts
 before all ids; repeated rows are told apart by the row number; an empty table
@@ -80,7 +80,7 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float) -> tuple[li
         return {r[0]: (r[1], r[2], r[3], r[4]) for r in got.collect()}
 
     cells = count(keys, _cell([]))
-    total = sum(c[0] for c in cells.values())
+    total, n_rows = sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values())
     goals = [total * i / n_shards for i in range(1, n_shards)]
     refined: list[dict[str, int]] = []
     while True:
@@ -91,7 +91,8 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float) -> tuple[li
         level = {}
         for n in names:
             size, rows, low, high = cells[n]
-            if rows > 1 and (size > total / (2 * n_shards) or n in holders and size > limit):
+            large = size > total / (2 * n_shards) or rows > n_rows / (2 * n_shards)
+            if rows > 1 and (large or n in holders and size > limit):
                 level[n] = len(commonprefix([low, high])) + STEP
         if not level:
             break

@@ -195,6 +195,14 @@ def test_shard_hot_group(spark):
     assert sorted(map(len, where.values()))[-2] == 1
 
 
+def test_shard_cells_of_tiny_texts(spark):
+    """A third of all rows without a text are few bytes, but no cell of one task."""
+    rows = [(i, None if i % 3 == 0 else f"{i} " * 400) for i in range(1500)]
+    keys = sharding.key_table(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    refined = sharding.find_splitters(keys, 6, 0.01)[1]
+    assert keys.groupBy(sharding._cell(refined).alias("c")).count().agg({"count": "max"}).first()[0] <= 1500 / 12
+
+
 def test_shard_edges(spark, edge_docs, no_docs):
     rows = [(r["doc_id"], r["text"]) for r in edge_docs.collect()]
     got = sharding.histogram_shards(edge_docs, 3, carry=("n_tokens",)).collect()
