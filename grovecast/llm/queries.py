@@ -9,14 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovecast.llm import (bpe, chat, decontamination, language_id, ngram_join, quality, sharding, suffix_dedup, token_store,
-                           url_filter)
+from grovecast.llm import (bpe, chat, decontamination, language_id, merkle, ngram_join, periodic_runs, quality, quality_classifier,
+                           sharding, suffix_dedup, token_store, url_filter)
 from grovecast.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 BYTE_BPE, WORD_BPE, WORD_END = "byte_bpe_50k.json", "word_bpe_49k.json", 2
 N_SHARDS = 24
+KEEP_SCORE = 0.7
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
          ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 EXTRA_CONVERSATION = (-1, "</s>[INST] ok [/INST]")
@@ -108,3 +109,35 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("items").cast("bigint").alias("n_items"),
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                       (F.size("hits") > 0).alias("contaminated"))
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text; learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), learn=~quality_classifier.held_out())
+    return quality_classifier.classify(docs, model).select(
+        "doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Merkle tree over all rows; every second id's text is tampered with and checked against it."""
+    docs = table(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    fields = [F.col(c) for c in merkle.FIELDS[:-1]]
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(odd, merkle.leaf(*fields, F.translate("text", "\n", "")))
+    got = merkle.manifest(docs, carry={"tampered": tampered})
+    got = merkle.verify(got.withColumn("suspect", F.coalesce("tampered", "leaf")), "suspect")
+    return got.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole text, a tenth of which end in a planted one."""
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    got = periodic_runs.find_runs(docs, keep_text=False).withColumn("best", periodic_runs.longest_exponent(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return got.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+                      F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
