@@ -45,7 +45,7 @@ hv_o as (
        join region on n_regionkey = r_regionkey),
 harvest as (
 select site, year, cast(count(distinct o_custkey) as double) as trees,
-  floor(cast(sum(cents) as double) / 1e6 + 0.5e0) / 10e0 as olives,
+  floor(cast(sum(cents) as double) / 1e6 + 0.5e0) / 10e0 as harvest_kg,
   floor(cast(sum(oil_cents) as double) / 1e6 + 0.5e0) / 10e0 as oil,
   floor(cast(sum(cents) as double) / cast(sum(oil_cents) as double) * 1e6 + 0.5e0) / 1e6 as ratio
 from hv_o group by site, year)"""

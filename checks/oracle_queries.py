@@ -276,8 +276,8 @@ from weather_daily"""
 
 HARVEST_CLEAN = """
 , hc as (
-  select site, cast(year as int) as year, cast(trunc(trees) as int) as trees, olives, oil, ratio from harvest
-  where site is not null and year is not null and trees is not null and olives is not null
+  select site, cast(year as int) as year, cast(trunc(trees) as int) as trees, harvest_kg, oil, ratio from harvest
+  where site is not null and year is not null and trees is not null and harvest_kg is not null
     and oil is not null and ratio is not null)"""
 
 
@@ -400,7 +400,7 @@ def _simple_body(model: str = "simple") -> str:
   from yc join sfx on yc.site = sfx.site left join ps on ps.site = yc.site)
 , simple_out as (
   select site, harvest_year, weather_year_used,
-         cast(round_even(round_even(pred, 9), 0) as bigint) as olives_kg,
+         cast(round_even(round_even(pred, 9), 0) as bigint) as harvest_kg,
          cast(round_even(round_even(pred * oil_factor, 9), 0) as bigint) as oil_kg,
          cast(round_even(round_even(cv_mae * 2, 9), 0) as bigint) as ci_kg,
          cv_mae, r2, 'Statistical Model (Simple)' as model_name,
@@ -439,7 +439,7 @@ def _ens_body(model: str = "complex") -> str:
   from members_e group by site, year, model)
 , ens_out as (
   select e.site, yc.harvest_year, e.year as weather_year_used,
-         cast(round_even(greatest(0e0, mean_raw), 0) as bigint) as olives_kg,
+         cast(round_even(greatest(0e0, mean_raw), 0) as bigint) as harvest_kg,
          cast(round_even(round_even(greatest(0e0, mean_raw) * coalesce(oil_factor, 0.23e0), 9), 0) as bigint) as oil_kg,
          cast(round_even(round_even(greatest(0e0, mean_raw) * 0.4e0, 9), 0) as bigint) as ci_kg,
          cast(cast(round_even(round_even(greatest(0e0, mean_raw) * 0.3e0, 9), 0) as bigint) as double) as cv_mae,
@@ -462,15 +462,15 @@ def _legacy_body() -> str:
 , lm as (select *, round_even(greatest(0e0, raw), 0) as p from members)
 , lens as (
   select site, year, round_even(avg(p), 9) as e,
-         string_agg(member || '=' || cast(p as varchar), ',' order by member) as predictions_olives_kg
+         string_agg(member || '=' || cast(p as varchar), ',' order by member) as predictions_kg
   from lm group by site, year)
 , hs as (select site, cast(trunc(avg(trees)) as int) as mean_trees, avg(ratio) as avg_ratio from hc group by site)
 , legacy_out as (
-  select lt.site, lt.latest_year as year, coalesce(h.trees, hs.mean_trees) as trees, l.predictions_olives_kg,
+  select lt.site, lt.latest_year as year, coalesce(h.trees, hs.mean_trees) as trees, l.predictions_kg,
          case when l.e is null then 'Models not trained' end as error,
-         round_even(l.e, 0) as ensemble_olives_kg,
+         round_even(l.e, 0) as ensemble_kg,
          round_even(round_even(l.e * hs.avg_ratio, 9), 0) as estimated_oil_kg,
-         round_even(round_even(l.e / coalesce(h.trees, hs.mean_trees), 9), 1) as olives_per_tree_kg,
+         round_even(round_even(l.e / coalesce(h.trees, hs.mean_trees), 9), 1) as harvest_per_tree_kg,
          round_even(round_even(hs.avg_ratio, 9), 3) as avg_oil_ratio
   from latest lt left join lens l on l.site = lt.site and l.year = lt.latest_year
   left join hc h on h.site = lt.site and h.year = lt.latest_year left join hs on hs.site = lt.site)"""
@@ -496,8 +496,8 @@ def _():
 , ens as (select site, year, model, round_even(avg(raw), 9) as mean_raw from members group by site, year, model)
 , rows as (
   select e.site, e.model, cast(e.year as int) as weather_year, cast(e.year + 1 as int) as harvest_year,
-         greatest(0e0, e.mean_raw) as predicted_olives_kg, h.olives as actual_olives_kg,
-         round_even(abs(greatest(0e0, e.mean_raw) - h.olives), 9) as abs_error
+         greatest(0e0, e.mean_raw) as predicted_kg, h.harvest_kg as actual_kg,
+         round_even(abs(greatest(0e0, e.mean_raw) - h.harvest_kg), 9) as abs_error
   from ens e left join hc h on h.site = e.site and h.year - 1 = e.year)
 select r.*, round_even(avg(abs_error) over (partition by site, model), 9) as mae,
        count(abs_error) over (partition by site, model) as n_scored
@@ -505,9 +505,9 @@ from rows r"""
 
 
 LAST_HARVEST = """
-, lh as (select site, max(year) as last_year, arg_max(olives, year) as last_olives, arg_max(oil, year) as last_oil,
+, lh as (select site, max(year) as last_year, arg_max(harvest_kg, year) as last_harvest, arg_max(oil, year) as last_oil,
                 cast(trunc(arg_max(trees, year)) as int) as last_trees from hc group by site)
-, ha as (select site, round_even(round_even(avg(olives), 9), 0) as hist_olives_kg,
+, ha as (select site, round_even(round_even(avg(harvest_kg), 9), 0) as hist_kg,
                 round_even(round_even(avg(oil), 9), 0) as hist_oil_kg from hc group by site)"""
 
 
@@ -524,9 +524,9 @@ def _report(requested: list[str], registry: str = REGISTRY, available: str = "''
     req = ", ".join(f"('{m}')" for m in requested)
     return YEARS + _simple_body() + _ens_body("complex") + HARVEST_CLEAN + LAST_HARVEST + registry + f""")
 , preds as (
-  select site, 'simple' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from simple_out
+  select site, 'simple' as model, harvest_kg, oil_kg, ci_kg, cv_mae, r2, model_name from simple_out
   union all
-  select site, 'complex' as model, olives_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out
+  select site, 'complex' as model, harvest_kg, oil_kg, ci_kg, cv_mae, r2, model_name from ens_out
   union all
   select site, 'simple_new', 950, 142, 400, 200e0, 0e0, 'Statistical Model (Simple)' from yc)
 , req(model) as (values {req})
@@ -534,11 +534,11 @@ def _report(requested: list[str], registry: str = REGISTRY, available: str = "''
   select yc.site, req.model, g.model_info_name, g.model_info_description,
          case when g.model is not null then yc.harvest_year end as harvest_year,
          case when g.model is not null then yc.weather_year end as weather_year_used,
-         coalesce(p.olives_kg, 0) as olives_kg, coalesce(p.oil_kg, 0) as oil_kg, p.ci_kg, p.cv_mae, p.r2, p.model_name,
+         coalesce(p.harvest_kg, 0) as harvest_kg, coalesce(p.oil_kg, 0) as oil_kg, p.ci_kg, p.cv_mae, p.r2, p.model_name,
          case when g.model is null then 'Unknown model. Available: [{available}]'
-              when p.olives_kg is null then 'Complex model not available' end as error,
+              when p.harvest_kg is null then 'Complex model not available' end as error,
          case when g.model is not null then lh.last_year end as last_year,
-         case when g.model is not null then lh.last_olives end as last_olives,
+         case when g.model is not null then lh.last_harvest end as last_harvest,
          case when g.model is not null then lh.last_oil end as last_oil,
          case when g.model is not null then lh.last_trees end as last_trees
   from yc cross join req
@@ -556,10 +556,10 @@ def _():
 @register("dashboard", "weather_daily", "harvest", "model_feature", "model_meta")
 def _():
     return _report(["simple"]) + """
-select r.site, model as model_used, harvest_year as year, olives_kg as ensemble_olives_kg,
+select r.site, model as model_used, harvest_year as year, harvest_kg as ensemble_kg,
        oil_kg as estimated_oil_kg, coalesce(ci_kg, 0) as ci_kg,
-       round_even(round_even(olives_kg / 130, 9), 1) as olives_per_tree_kg, 130 as trees,
-       last_year, last_olives, last_oil, last_trees, ha.hist_olives_kg, ha.hist_oil_kg, error
+       round_even(round_even(harvest_kg / 130, 9), 1) as harvest_per_tree_kg, 130 as trees,
+       last_year, last_harvest, last_oil, last_trees, ha.hist_kg, ha.hist_oil_kg, error
 from report r left join ha on ha.site = r.site"""
 
 
@@ -577,9 +577,9 @@ LATEST_WEATHER = """
 def _():
     return _legacy_body() + LAST_HARVEST + LATEST_WEATHER + """
 select lw.site, lw.year as latest_weather_year, lw.total_rain_mm, lw.avg_temp_c, lw.avg_clouds_pct,
-       lo.year as prediction_year, lo.trees, lo.predictions_olives_kg, lo.ensemble_olives_kg, lo.estimated_oil_kg,
-       lo.olives_per_tree_kg, lo.avg_oil_ratio, lo.error, lh.last_year, lh.last_olives, lh.last_oil, lh.last_trees,
-       ha.hist_olives_kg, ha.hist_oil_kg
+       lo.year as prediction_year, lo.trees, lo.predictions_kg, lo.ensemble_kg, lo.estimated_oil_kg,
+       lo.harvest_per_tree_kg, lo.avg_oil_ratio, lo.error, lh.last_year, lh.last_harvest, lh.last_oil, lh.last_trees,
+       ha.hist_kg, ha.hist_oil_kg
 from lw left join legacy_out lo on lo.site = lw.site left join lh on lh.site = lw.site
 left join ha on ha.site = lw.site"""
 
@@ -587,9 +587,9 @@ left join ha on ha.site = lw.site"""
 @register("history", "harvest")
 def _():
     return HARVEST_CLEAN + """
-select site, year, trees, olives, oil,
-       case when olives is not null and olives <> 0 and oil is not null and oil <> 0
-              then round_even(round_even(oil / olives * 100e0, 9), 1)
+select site, year, trees, harvest_kg, oil,
+       case when harvest_kg is not null and harvest_kg <> 0 and oil is not null and oil <> 0
+              then round_even(round_even(oil / harvest_kg * 100e0, 9), 1)
             when ratio is not null and ratio <> 0 then round_even(round_even(ratio * 100e0, 9), 1)
             else ratio end as ratio,
        min(year) over (partition by site) as start_year, max(year) over (partition by site) as end_year
@@ -599,8 +599,8 @@ from hc"""
 @register("history_legacy", "harvest")
 def _():
     return """
-, hl as (select site, cast(year as int) as year, trees, olives, oil, ratio from harvest
-         where site is not null and year is not null and trees is not null and olives is not null
+, hl as (select site, cast(year as int) as year, trees, harvest_kg, oil, ratio from harvest
+         where site is not null and year is not null and trees is not null and harvest_kg is not null
            and oil is not null and ratio is not null)
 select *, min(year) over (partition by site) as start_year, max(year) over (partition by site) as end_year,
        count(*) over (partition by site) as count
@@ -630,8 +630,8 @@ def _():
 @register("history_average", "harvest")
 def _():
     return HARVEST_CLEAN + """
-select site, round_even(avg(olives), 9) as mean_olives, round_even(avg(oil), 9) as mean_oil,
-       round_even(round_even(avg(olives), 9), 0) as olives_kg, round_even(round_even(avg(oil), 9), 0) as oil_kg,
+select site, round_even(avg(harvest_kg), 9) as mean_harvest, round_even(avg(oil), 9) as mean_oil,
+       round_even(round_even(avg(harvest_kg), 9), 0) as harvest_kg, round_even(round_even(avg(oil), 9), 0) as oil_kg,
        min(year) as start_year, max(year) as end_year, count(*) as count, round_even(avg(ratio), 9) as mean_ratio
 from hc group by site"""
 
@@ -829,7 +829,7 @@ def _():
     return HARVEST_CLEAN + f"""
 , rj as (select site, cast(year(obs_date) as int) as year, {_r9(_psum(c, 'rain'))} as Rain_Jan
          from weather_daily group by site, cast(year(obs_date) as int))
-, tr as (select rj.site, rj.Rain_Jan, hc.olives as label from rj join hc on hc.site = rj.site and hc.year - 1 = rj.year)
+, tr as (select rj.site, rj.Rain_Jan, hc.harvest_kg as label from rj join hc on hc.site = rj.site and hc.year - 1 = rj.year)
 select site, cast(regr_count(label, Rain_Jan) as bigint) as n, round_even(regr_slope(label, Rain_Jan), 6) as slope,
        round_even(regr_intercept(label, Rain_Jan), 6) as intercept, round_even(regr_r2(label, Rain_Jan), 6) as r2
 from tr group by site"""
@@ -886,7 +886,7 @@ def _():
                 {_r9(f'avg(clouds) filter (where {c10})')} as Clouds_Oct
          from weather_daily group by site, cast(year(obs_date) as int))
 , f as (select coalesce(Rain_Jan, 0e0) as x1, coalesce(Clouds_Sep, 0e0) as x2, coalesce(Clouds_Oct, 0e0) as x3,
-               hc.olives as y
+               hc.harvest_kg as y
         from sy join hc on hc.site = sy.site and hc.year - 1 = sy.year)
 , m as (select avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my,
                stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3,

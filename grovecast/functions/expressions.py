@@ -110,9 +110,9 @@ def title_key(key: str | Column) -> Column:
     return F.initcap(F.regexp_replace(col(key), "_", " "))
 
 
-def oil_share_pct(olives: str | Column, oil: str | Column, ratio: str | Column) -> Column:
-    """Oil as % of olives to one digit; else stored ratio x 100; else ratio."""
-    o, l, r = col(olives), col(oil), col(ratio)
+def oil_share_pct(harvest_kg: str | Column, oil: str | Column, ratio: str | Column) -> Column:
+    """Oil as % of harvest_kg to one digit; else stored ratio x 100; else ratio."""
+    o, l, r = col(harvest_kg), col(oil), col(ratio)
     nonzero = lambda c: c.isNotNull() & (c != 0)  # noqa: E731  (Python truthiness)
     return (F.when(nonzero(o) & nonzero(l), round_half_even(l / o * 100.0, 1))
              .when(nonzero(r), round_half_even(r * 100.0, 1))

@@ -110,9 +110,9 @@ def ensemble(members: DataFrame, ids: Iterable[str]) -> DataFrame:
         X.stable(X.exact_avg(clamped_rounded)).alias("mean_clamped_rounded"),
         F.count(F.lit(1)).alias("n_members"),
         F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct("member", X.round_half_even("raw", 0).cast("bigint"))))).alias("member_olives_kg"),
+            F.struct("member", X.round_half_even("raw", 0).cast("bigint"))))).alias("member_kg"),
         F.map_from_entries(F.sort_array(F.collect_list(
-            F.struct("member", clamped_rounded)))).alias("member_olives_kg_clamped"),
+            F.struct("member", clamped_rounded)))).alias("member_kg_clamped"),
         F.min("name").alias("name"),
         F.min("description").alias("description"),
         F.max("oil_factor").alias("oil_factor"),

@@ -229,7 +229,7 @@ def q_predict_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import prediction as P
     p = P.predict_legacy(*_both_once(spark, sf_dir), *_models(spark))
-    return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
+    return p.withColumn("predictions_kg", map_text(p["predictions_kg"]))
 
 
 @query("predict_legacy_preferred")
@@ -238,7 +238,7 @@ def q_predict_legacy_preferred(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import prediction as P
     p = P.predict_legacy(*_both_once(spark, sf_dir), *_models(spark), model=["improved", "legacy", "simple"])
-    return p.withColumn("predictions_olives_kg", map_text(p["predictions_olives_kg"]))
+    return p.withColumn("predictions_kg", map_text(p["predictions_kg"]))
 
 
 @query("predict_backtest")
@@ -302,7 +302,7 @@ def q_dashboard_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
     from grovecast.plans import reports as R
     d = R.dashboard_legacy(*_both_once(spark, sf_dir, legacy=True), *_models(spark), with_timestamp=False)
-    return d.withColumn("predictions_olives_kg", map_text(d["predictions_olives_kg"]))
+    return d.withColumn("predictions_kg", map_text(d["predictions_kg"]))
 
 
 # -- step 7: ingestion ----------------------------------------------------------

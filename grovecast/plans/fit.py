@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from grovecast.functions import expressions as X
 
 
-def training_pairs(features: DataFrame, harvest: DataFrame, label: str = "olives") -> DataFrame:
+def training_pairs(features: DataFrame, harvest: DataFrame, label: str = "harvest_kg") -> DataFrame:
     """Features of weather year y with the harvest of year y + 1."""
     h = harvest.select("site", (F.col("year") - 1).cast("int").alias("year"), F.col(label).alias("label"))
     return features.join(h, ["site", "year"])

@@ -31,7 +31,7 @@ from grovecast.operators import scoring, windows
 
 DEFAULT_TARGET_YEAR = 2026
 # Constants of the service's prediction results.
-NO_MODEL_OLIVES_KG = 950.0
+NO_MODEL_KG = 950.0
 NO_MODEL_CV_MAE = 200.0
 NO_MODEL_R2 = 0.0
 DEFAULT_CV_MAE = 300.0
@@ -127,11 +127,11 @@ def simple_features(chosen: DataFrame) -> DataFrame:
 def _simple_result() -> dict[str, Column]:
     """Result columns of a simple model from raw (NULL: not trained), cv_mae, adj_r2, oil_factor."""
     has = F.col("raw").isNotNull()
-    pred = F.when(has, X.clamp_low("raw")).otherwise(F.lit(NO_MODEL_OLIVES_KG))
+    pred = F.when(has, X.clamp_low("raw")).otherwise(F.lit(NO_MODEL_KG))
     cv_mae = F.when(has, F.coalesce(F.col("cv_mae"), F.lit(DEFAULT_CV_MAE))).otherwise(F.lit(NO_MODEL_CV_MAE))
     r2 = F.when(has, F.coalesce(F.col("adj_r2"), F.lit(DEFAULT_ADJ_R2))).otherwise(F.lit(NO_MODEL_R2))
     oil_factor = F.coalesce(F.col("oil_factor"), F.lit(SIMPLE_OIL_FACTOR))
-    return {"olives_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor), "ci_kg": _round0(cv_mae * 2),
+    return {"harvest_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor), "ci_kg": _round0(cv_mae * 2),
             "cv_mae": cv_mae, "r2": r2, "model_name": F.lit(SIMPLE_MODEL_NAME)}
 
 
@@ -139,7 +139,7 @@ def _ensemble_result(raw: str) -> dict[str, Column]:
     """Result columns of an ensemble from its mean (NULL: not trained) and oil_factor."""
     pred = X.clamp_low(raw)
     oil_factor = F.coalesce(F.col("oil_factor"), F.lit(ENSEMBLE_OIL_FACTOR))
-    return {"olives_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor),
+    return {"harvest_kg": _round0(pred), "oil_kg": _round0(pred * oil_factor),
             "ci_kg": _round0(pred * ENSEMBLE_CI_FACTOR),
             "cv_mae": _round0(pred * ENSEMBLE_MAE_FACTOR).cast("double"),
             "r2": F.lit(ENSEMBLE_R2), "model_name": F.lit(ENSEMBLE_MODEL_NAME)}
@@ -177,7 +177,7 @@ def _ensemble_from(chosen: DataFrame, model_feature: DataFrame, model_meta: Data
         "site", (F.col("year") + 1).cast("int").alias("harvest_year"),
         F.col("year").cast("int").alias("weather_year_used"),
         *[c.alias(n) for n, c in _ensemble_result("mean_raw").items()],
-        F.col("member_olives_kg").alias("individual_predictions"))
+        F.col("member_kg").alias("individual_predictions"))
 
 
 def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: DataFrame,
@@ -237,10 +237,10 @@ def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFr
     e = F.col("mean_clamped_rounded")
     return j.select(
         "site", F.col("year").cast("int").alias("year"), trees.alias("trees"),
-        F.col("member_olives_kg_clamped").alias("predictions_olives_kg"),
-        X.round_half_even(e, 0).alias("ensemble_olives_kg"),
+        F.col("member_kg_clamped").alias("predictions_kg"),
+        X.round_half_even(e, 0).alias("ensemble_kg"),
         X.round_half_even(e * F.col("_avg_ratio"), 0).alias("estimated_oil_kg"),
-        X.round_half_even(F.try_divide(e, trees), 1).alias("olives_per_tree_kg"),
+        X.round_half_even(F.try_divide(e, trees), 1).alias("harvest_per_tree_kg"),
         X.round_half_even("_avg_ratio", 3).alias("avg_oil_ratio"),
         F.when(e.isNull(), F.lit(LEGACY_NO_MODEL)).alias("error"))
 
@@ -255,13 +255,13 @@ def predict_backtest(weather: DataFrame, harvest: DataFrame, model_feature: Data
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], models,
                                          catalog=needed)
     ens = scoring.ensemble(members, ["site", "year"])
-    h = harvest.select("site", (F.col("year") - 1).alias("year"), F.col("olives").alias("actual_olives_kg"))
+    h = harvest.select("site", (F.col("year") - 1).alias("year"), F.col("harvest_kg").alias("actual_kg"))
     pred = X.clamp_low("mean_raw")
     rows = ens.join(h, ["site", "year"], "left").select(
         "site", "model", F.col("year").cast("int").alias("weather_year"),
         (F.col("year") + 1).cast("int").alias("harvest_year"),
-        pred.alias("predicted_olives_kg"), "actual_olives_kg",
-        X.stable(F.abs(pred - F.col("actual_olives_kg"))).alias("abs_error"))
+        pred.alias("predicted_kg"), "actual_kg",
+        X.stable(F.abs(pred - F.col("actual_kg"))).alias("abs_error"))
     mae = rows.groupBy("site", "model").agg(X.stable(X.exact_avg("abs_error")).alias("mae"),
                                             F.count("abs_error").alias("n_scored"))
     return rows.join(mae, ["site", "model"])
@@ -269,8 +269,8 @@ def predict_backtest(weather: DataFrame, harvest: DataFrame, model_feature: Data
 
 def last_harvest(harvest: DataFrame) -> DataFrame:
     """Newest harvest row per site."""
-    return windows.newest(harvest, ["olives", "oil", "trees"], key="site", order="year").select(
-        "site", F.col("year").alias("last_year"), F.col("olives").alias("last_olives"),
+    return windows.newest(harvest, ["harvest_kg", "oil", "trees"], key="site", order="year").select(
+        "site", F.col("year").alias("last_year"), F.col("harvest_kg").alias("last_harvest"),
         F.col("oil").alias("last_oil"), F.col("trees").cast("int").alias("last_trees"))
 
 
@@ -326,7 +326,7 @@ def prediction_report(weather: DataFrame, harvest: DataFrame, model_feature: Dat
         "site", "model", of_model("name").alias("model_info_name"), of_model("description").alias("model_info_description"),
         if_known("harvest_year").cast("int").alias("harvest_year"),
         if_known("weather_year").cast("int").alias("weather_year_used"),
-        F.coalesce(result["olives_kg"], nothing).alias("olives_kg"), F.coalesce(result["oil_kg"], nothing).alias("oil_kg"),
+        F.coalesce(result["harvest_kg"], nothing).alias("harvest_kg"), F.coalesce(result["oil_kg"], nothing).alias("oil_kg"),
         *[result[n].alias(n) for n in ("ci_kg", "cv_mae", "r2", "model_name")],
         error.alias("error"),
-        *[if_known(c).alias(c) for c in ("last_year", "last_olives", "last_oil", "last_trees")])
+        *[if_known(c).alias(c) for c in ("last_year", "last_harvest", "last_oil", "last_trees")])

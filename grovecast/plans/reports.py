@@ -27,14 +27,14 @@ def history(harvest: DataFrame) -> DataFrame:
     """Harvest rows with the oil share in % (D8, P19) and the year range,
     sorted by site and year (W7; one row per site-year, a small result)."""
     rows = harvest.select("site", F.col("year").cast("int").alias("year"),
-                          F.col("trees").cast("int").alias("trees"), "olives", "oil",
-                          X.oil_share_pct("olives", "oil", "ratio").alias("ratio"))
+                          F.col("trees").cast("int").alias("trees"), "harvest_kg", "oil",
+                          X.oil_share_pct("harvest_kg", "oil", "ratio").alias("ratio"))
     return rows.join(_year_range(harvest).drop("count"), "site").orderBy("site", "year")
 
 
 def history_legacy(harvest: DataFrame) -> DataFrame:
     """Harvest rows with the stored ratio, count and year range (D9), sorted."""
-    rows = harvest.select("site", F.col("year").cast("int").alias("year"), "trees", "olives", "oil", "ratio")
+    rows = harvest.select("site", F.col("year").cast("int").alias("year"), "trees", "harvest_kg", "oil", "ratio")
     return rows.join(_year_range(harvest), "site").orderBy("site", "year")
 
 
@@ -75,10 +75,10 @@ def latest_year_weather(weather: DataFrame) -> DataFrame:
 
 
 def history_average(harvest: DataFrame) -> DataFrame:
-    """Mean olives and oil over the history, year range and count."""
+    """Mean harvest_kg and oil over the history, year range and count."""
     return harvest.groupBy("site").agg(
-        X.stable(X.exact_avg("olives")).alias("mean_olives"), X.stable(X.exact_avg("oil")).alias("mean_oil"),
-        X.round_half_even(X.exact_avg("olives"), 0).alias("olives_kg"),
+        X.stable(X.exact_avg("harvest_kg")).alias("mean_harvest"), X.stable(X.exact_avg("oil")).alias("mean_oil"),
+        X.round_half_even(X.exact_avg("harvest_kg"), 0).alias("harvest_kg"),
         X.round_half_even(X.exact_avg("oil"), 0).alias("oil_kg"),
         F.min("year").cast("int").alias("start_year"), F.max("year").cast("int").alias("end_year"),
         F.count(F.lit(1)).alias("count"),
@@ -92,16 +92,16 @@ def dashboard(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
     trees, last harvest, history average; zeros without year and last harvest
     when the model is unknown."""
     rep = P.prediction_report(weather, harvest, model_feature, model_meta, [model], target_year, registry)
-    avg = history_average(harvest).select("site", F.col("olives_kg").alias("hist_olives_kg"),
+    avg = history_average(harvest).select("site", F.col("harvest_kg").alias("hist_kg"),
                                           F.col("oil_kg").alias("hist_oil_kg"))
     ci = F.coalesce(F.col("ci_kg"), F.lit(0).cast("bigint"))
     return rep.join(avg, "site", "left").select(
         "site", F.col("model").alias("model_used"), F.col("harvest_year").alias("year"),
-        F.col("olives_kg").alias("ensemble_olives_kg"), F.col("oil_kg").alias("estimated_oil_kg"),
+        F.col("harvest_kg").alias("ensemble_kg"), F.col("oil_kg").alias("estimated_oil_kg"),
         ci.alias("ci_kg"),
-        X.round_half_even(F.col("olives_kg") / P.DASHBOARD_TREES, 1).alias("olives_per_tree_kg"),
+        X.round_half_even(F.col("harvest_kg") / P.DASHBOARD_TREES, 1).alias("harvest_per_tree_kg"),
         F.lit(P.DASHBOARD_TREES).alias("trees"),
-        "last_year", "last_olives", "last_oil", "last_trees", "hist_olives_kg", "hist_oil_kg", "error")
+        "last_year", "last_harvest", "last_oil", "last_trees", "hist_kg", "hist_oil_kg", "error")
 
 
 def dashboard_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFrame,
@@ -112,7 +112,7 @@ def dashboard_legacy(weather: DataFrame, harvest: DataFrame, model_feature: Data
     wall-clock stamp of the report."""
     pred = P.predict_legacy(weather, harvest, model_feature, model_meta, model)
     lw = latest_year_weather(weather).withColumnRenamed("year", "latest_weather_year")
-    avg = history_average(harvest).select("site", F.col("olives_kg").alias("hist_olives_kg"),
+    avg = history_average(harvest).select("site", F.col("harvest_kg").alias("hist_kg"),
                                           F.col("oil_kg").alias("hist_oil_kg"))
     out = (lw.join(pred.withColumnRenamed("year", "prediction_year"), "site", "left")
              .join(P.last_harvest(harvest), "site", "left")

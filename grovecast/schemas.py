@@ -18,11 +18,16 @@ WEATHER_DAILY = T.StructType(
 # Harvest as stored: trees written as `200.0`, read as double then truncated.
 HARVEST_RAW = T.StructType([
     T.StructField("site", S), T.StructField("year", I), T.StructField("trees", D),
-    T.StructField("olives", D), T.StructField("oil", D), T.StructField("ratio", D)])
+    T.StructField("harvest_kg", D), T.StructField("oil", D), T.StructField("ratio", D)])
 
 HARVEST = T.StructType([
     T.StructField("site", S), T.StructField("year", I), T.StructField("trees", I),
-    T.StructField("olives", D), T.StructField("oil", D), T.StructField("ratio", D)])
+    T.StructField("harvest_kg", D), T.StructField("oil", D), T.StructField("ratio", D)])
+
+# Columns of the harvest files (fixed values): header of the current layout -> column here, and the
+# names by position of the older, seven-column layout.
+HARVEST_FILE = {"year": "year", "trees": "trees", "olives": "harvest_kg", "oil": "oil", "ratio": "ratio"}
+LEGACY_HARVEST_FILE = ["index", "year", "trees", "harvest_kg", "oil", "ratio", "price"]
 
 # Weather CSV header as the service writes it (capitalised names).
 WEATHER_CSV = T.StructType(

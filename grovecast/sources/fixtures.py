@@ -146,7 +146,7 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("oil_cents").cast("double").alias("oc"))
     return agg.select(
         "site", "year", "trees",
-        (F.floor(F.col("c") / 1e6 + 0.5) / 10.0).alias("olives"),
+        (F.floor(F.col("c") / 1e6 + 0.5) / 10.0).alias("harvest_kg"),
         (F.floor(F.col("oc") / 1e6 + 0.5) / 10.0).alias("oil"),
         (F.floor(F.try_divide("c", "oc") * 1e6 + 0.5) / 1e6).alias("ratio"))
 

@@ -1,7 +1,8 @@
 """Harvest sources.
 
-The service's CSV is ``year,trees,olives,oil,ratio`` with trees written as
-``200.0``.  Files are read with an explicit schema (no inference); a file
+The current file layout is read by its header (``schemas.HARVEST_FILE``), the older one by
+position (``schemas.LEGACY_HARVEST_FILE``); trees are written as ``200.0``.  Values are
+cast column by column (no inference; what is no number is null); a file
 without a ``site`` column gets the site passed by the caller.
 """
 
@@ -9,12 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-HARVEST_COLUMNS = ["year", "trees", "olives", "oil", "ratio"]
-CSV_SCHEMA = T.StructType([T.StructField(c, T.DoubleType()) for c in HARVEST_COLUMNS])
-# legacy layout: positional, seven columns
-LEGACY_COLUMNS = ["index", "year", "trees", "olives", "oil", "ratio", "price"]
+from grovecast import schemas
+
+HARVEST_COLUMNS = list(schemas.HARVEST_FILE.values())
 
 
 def harvest_clean(df: DataFrame) -> DataFrame:
@@ -33,21 +32,21 @@ def harvest_clean_legacy(df: DataFrame) -> DataFrame:
 
 
 def read_harvest_csv(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
-    """Read harvest CSV file(s) by header name (S1).  Columns are selected by
-    name, so extra columns (``price``) or another order do not matter."""
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(
-        T.StructType(([T.StructField("site", T.StringType())] if site is None else [])
-                     + list(CSV_SCHEMA.fields))).csv(path)
-    if site is not None:
-        raw = raw.withColumn("site", F.lit(site))
-    return harvest_clean(raw)
+    """Read harvest CSV file(s) of one layout by header name (S1): extra columns (``price``) or
+    another order do not matter."""
+    raw = spark.read.option("header", True).csv(path)
+    named = raw.select(*(["site"] if site is None else []),
+                       *[F.col(h).try_cast("double").alias(c) for h, c in schemas.HARVEST_FILE.items()])
+    return harvest_clean(named if site is None else named.withColumn("site", F.lit(site)))
 
 
-def read_harvest_positional(spark: SparkSession, path: str, site: str) -> DataFrame:
+def read_harvest_positional(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
     """Legacy reader for a seven-column file without usable header names
-    (S2, Q9): columns are named by position, then selected by name."""
+    (S2, Q9): columns are named by position, then selected by name.  Without ``site``, an
+    eighth column holds it."""
     raw = spark.read.option("header", True).csv(path)
-    if len(raw.columns) != len(LEGACY_COLUMNS):
-        raise ValueError(f"expected {len(LEGACY_COLUMNS)} columns, found {len(raw.columns)}")
-    df = raw.toDF(*LEGACY_COLUMNS).select(*[F.col(c).cast("double") for c in HARVEST_COLUMNS])
-    return harvest_clean_legacy(df.withColumn("site", F.lit(site)))
+    names = schemas.LEGACY_HARVEST_FILE + (["site"] if site is None else [])
+    if len(raw.columns) != len(names):
+        raise ValueError(f"expected {len(names)} columns, found {len(raw.columns)}")
+    df = raw.toDF(*names).select(*(["site"] if site is None else []), *[F.col(c).try_cast("double").alias(c) for c in HARVEST_COLUMNS])
+    return harvest_clean_legacy(df if site is None else df.withColumn("site", F.lit(site)))

@@ -29,7 +29,7 @@ def test_year_choice(spark):
 def test_no_model_constants_and_tie_rounding(spark):
     r = P.predict_simple(_weather(spark), *_no_models(spark)).collect()[0]
     # 950 kg, oil round(142.5) = 142 (half to even), band 2 x 200
-    assert (r.olives_kg, r.oil_kg, r.ci_kg, r.cv_mae, r.r2) == (950, 142, 400, 200.0, 0.0)
+    assert (r.harvest_kg, r.oil_kg, r.ci_kg, r.cv_mae, r.r2) == (950, 142, 400, 200.0, 0.0)
     assert r.rain_jan == 62.0 and r.clouds_sep == 40.0
 
 
@@ -47,7 +47,7 @@ def test_model_without_features_scores_intercept(spark):
     mf = spark.createDataFrame([], schemas.MODEL_FEATURE)
     mm = spark.createDataFrame([("bare", "m", "Bare", "no features", 777.0, 0.5, None, None)], schemas.MODEL_META)
     r = P.predict_ensemble(_weather(spark), mf, mm, model="bare").collect()[0]
-    assert r.olives_kg == 777 and r.oil_kg == 388 and r.individual_predictions == {"m": 777}
+    assert r.harvest_kg == 777 and r.oil_kg == 388 and r.individual_predictions == {"m": 777}
 
 
 def test_report_unknown_model(spark):
@@ -57,10 +57,10 @@ def test_report_unknown_model(spark):
     rep = {r.model: r for r in P.prediction_report(_weather(spark), h, fx.model_feature(spark),
                                                    fx.model_meta(spark), ["simple", "nope"], registry=registry).collect()}
     assert rep["nope"].error == "Unknown model. Available: ['complex', 'legacy', 'simple']"
-    assert rep["nope"].olives_kg == 0 and rep["nope"].oil_kg == 0 and rep["nope"].r2 is None
+    assert rep["nope"].harvest_kg == 0 and rep["nope"].oil_kg == 0 and rep["nope"].r2 is None
     assert rep["simple"].error is None and rep["simple"].last_trees == 200
     d = R.dashboard(_weather(spark), h, fx.model_feature(spark), fx.model_meta(spark), "nope").collect()[0]
-    assert (d.ensemble_olives_kg, d.estimated_oil_kg, d.ci_kg, d.olives_per_tree_kg) == (0, 0, 0, 0.0)
+    assert (d.ensemble_kg, d.estimated_oil_kg, d.ci_kg, d.harvest_per_tree_kg) == (0, 0, 0, 0.0)
     assert d.year is None and d.last_year is None and d.error == "Unknown model. Available: ['simple', 'complex']"
 
 
@@ -68,15 +68,15 @@ def test_report_known_models_without_artefact(spark):
     h = harvest_clean(spark.createDataFrame([("S", 2023, 200.0, 1000.0, 200.0, 5.0)], schemas.HARVEST_RAW))
     rep = {r.model: r for r in P.prediction_report(_weather(spark), h, *_no_models(spark), ["simple", "complex"]).collect()}
     s, c = rep["simple"], rep["complex"]
-    assert (s.olives_kg, s.oil_kg, s.ci_kg, s.cv_mae, s.r2, s.error) == (950, 142, 400, 200.0, 0.0, None)
-    assert (c.olives_kg, c.oil_kg, c.ci_kg, c.error) == (0, 0, None, "Complex model not available")
+    assert (s.harvest_kg, s.oil_kg, s.ci_kg, s.cv_mae, s.r2, s.error) == (950, 142, 400, 200.0, 0.0, None)
+    assert (c.harvest_kg, c.oil_kg, c.ci_kg, c.error) == (0, 0, None, "Complex model not available")
     assert c.last_year == 2023 and c.harvest_year == s.harvest_year
 
 
 def test_history_oil_share_edges(spark):
     raw = spark.createDataFrame([
-        ("S", 2001, 200.0, 825.0, 166.0, 4.969879518),   # oil / olives
-        ("S", 2002, 180.0, 0.0, 10.0, 0.05),             # olives 0 -> ratio x 100
+        ("S", 2001, 200.0, 825.0, 166.0, 4.969879518),   # oil / harvest_kg
+        ("S", 2002, 180.0, 0.0, 10.0, 0.05),             # harvest_kg 0 -> ratio x 100
         ("S", 2003, 180.0, 100.0, 0.0, 0.2),             # oil 0 -> ratio x 100
         ("S", 2004, 180.0, 0.0, 0.0, 0.0),               # nothing -> stored ratio
         ("S", 2005, 185.0, 10.0, None, 1.0)], schemas.HARVEST_RAW)  # NULL -> dropped by the scan
@@ -107,7 +107,7 @@ def test_choose_model_by_preference(spark):
 def test_legacy_without_model_reports_error(spark):
     h = harvest_clean(spark.createDataFrame([("S", 2024, 180.0, 900.0, 180.0, 5.0)], schemas.HARVEST_RAW))
     r = P.predict_legacy(_weather(spark), h, *_no_models(spark)).collect()[0]
-    assert r.error == "Models not trained" and r.ensemble_olives_kg is None and r.trees == 180
+    assert r.error == "Models not trained" and r.ensemble_kg is None and r.trees == 180
 
 
 def test_json_records(spark):

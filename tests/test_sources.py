@@ -13,7 +13,7 @@ def test_harvest_csv_by_name(spark, tmp_path):
     path = _write(tmp_path, "h.csv", "year,trees,olives,oil,ratio\n"
                   "2001,150.0,900.0,180.0,5.0\n2002,150.0,,100.0,4.0\n2003,149.9,800.0,200.0,4.0\n")
     df = hsrc.read_harvest_csv(spark, path, site="X")
-    got = sorted((r.site, r.year, r.trees, r.olives) for r in df.collect())
+    got = sorted((r.site, r.year, r.trees, r.harvest_kg) for r in df.collect())
     assert got == [("X", 2001, 150, 900.0), ("X", 2003, 149, 800.0)]   # NULL row dropped, trees truncated
     assert dict(df.dtypes)["year"] == "int" and dict(df.dtypes)["trees"] == "int"
 
@@ -21,7 +21,7 @@ def test_harvest_csv_by_name(spark, tmp_path):
 def test_harvest_positional_legacy(spark, tmp_path):
     path = _write(tmp_path, "l.csv", "a,b,c,d,e,f,g\n0,2001,150.0,900.0,180.0,5.0,3.2\n")
     r = hsrc.read_harvest_positional(spark, path, site="X").collect()[0]
-    assert (r.year, r.trees, r.olives, r.ratio) == (2001, 150.0, 900.0, 5.0)
+    assert (r.year, r.trees, r.harvest_kg, r.ratio) == (2001, 150.0, 900.0, 5.0)
 
 
 def test_weather_csv_drops_stored_year_month(spark, tmp_path):
