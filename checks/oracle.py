@@ -82,17 +82,23 @@ feature_importance(model, rank, feature, importance) as (values
   ('complex', 3, 'Rain_winter', 0.2e0),
   ('complex', 4, 'Temp_spring', 0.15e0))"""
 
-CTES = {"weather_daily": WEATHER_DAILY, "harvest": HARVEST, "model_feature": MODEL_FEATURE,
+# the weather without the September rows of each site's latest year
+NO_SEPTEMBER = WEATHER_DAILY.replace("weather_daily as (", "weather_full as (") + """,
+weather_daily as (
+select w.* from weather_full w join (select site, max(year(obs_date)) as last_year from weather_full group by site) l on w.site = l.site
+where not (year(obs_date) = last_year and month(obs_date) = 9))"""
+
+CTES = {"no_september": NO_SEPTEMBER, "weather_daily": WEATHER_DAILY, "harvest": HARVEST, "model_feature": MODEL_FEATURE,
         "model_meta": MODEL_META, "feature_importance": FEATURE_IMPORTANCE}
 
 
-def with_views(body: str, *views: str) -> str:
+def with_views(body: str, *views: str, recursive: bool = False) -> str:
     """Prefix ``body`` (which may start with its own ``with``-less CTE list
     continuation ``, x as (...)``) with the named fixture CTEs."""
     body = body.strip()
     if not views:
         return body + "\n"
-    head = "with " + ",\n".join(CTES[v].strip() for v in views)
+    head = ("with recursive " if recursive else "with ") + ",\n".join(CTES[v].strip() for v in views)
     if body.startswith(","):
         return head + body + "\n"
     return head + "\n" + body + "\n"
@@ -187,8 +193,8 @@ def zero_sign(sql: str) -> str:
         i = end
 
 
-def register(name: str, *views: str):
+def register(name: str, *views: str, recursive: bool = False):
     def deco(fn):
-        SQL[name] = with_views(zero_sign(exactify(fn())), *views)
+        SQL[name] = with_views(zero_sign(exactify(fn())), *views, recursive=recursive)
         return fn
     return deco

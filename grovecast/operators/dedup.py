@@ -22,13 +22,16 @@ keep-first keeps the first *hour* of each new day.  ``keep="last"`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.errors import AnalysisException
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grovecast import schemas
 from grovecast.functions import expressions as X
+from grovecast.session import ensure_checkpoint_dir
+from grovecast.sources.folders import drop_folder, read_or_empty
 
 KEYS = ("site", "obs_date")
 STORE_COLUMNS = ["site", "obs_date"] + schemas.WEATHER_MEASURES
@@ -66,30 +69,36 @@ def merge_keep_first(store: DataFrame, batch: DataFrame, keep: str = "first") ->
 def append_new_days(spark: SparkSession, store_path: str, batch: DataFrame, keep: str = "first") -> int:
     """Append the batch's new days to the parquet store at ``store_path``
     (partitioned by year); create it when missing (S8, S9).  Returns the
-    number of rows appended (an action on the small new-row set)."""
-    schema = T.StructType([*schemas.WEATHER_DAILY.fields, T.StructField("year", T.IntegerType())])
+    number of rows appended (counted by the write itself).
+
+    The batch is evaluated once: it is written to the shared folder, from where its years
+    and its rows are read."""
+    held = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grovecast-batch-{uuid.uuid4().hex[:12]}"
+    batch.write.parquet(held)
     try:
-        store = spark.read.schema(schema).parquet(store_path)
-        # read without a partition column, every year is null, and partitions written
-        # beside such files would hide them
-        if not store.filter(F.col("year").isNull()).isEmpty():
-            raise ValueError(f"the store at {store_path} is not partitioned by year")
-    except AnalysisException as e:
-        # only a missing path means "no store yet"; any other failure must not
-        # be taken for an empty store, or every stored day would be stored again
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        store = spark.createDataFrame([], schema)
+        return _append(spark, store_path, spark.read.schema(batch.schema).parquet(held), keep)
+    finally:
+        drop_folder(spark, held)
+
+
+def _append(spark: SparkSession, store_path: str, batch: DataFrame, keep: str) -> int:
+    schema = T.StructType([*schemas.WEATHER_DAILY.fields, T.StructField("year", T.IntegerType())])
+    # only a missing path means "no store yet": any other failure must not be taken for an empty
+    # store, or every stored day would be stored again
+    store = read_or_empty(spark, store_path, schema)
+    # read without a partition column, every year is null, and partitions written
+    # beside such files would hide them
+    if not store.filter(F.col("year").isNull()).isEmpty():
+        raise ValueError(f"the store at {store_path} is not partitioned by year")
     # prune the store to the batch's years (partition filter on `year`): one row
     years = batch.agg(F.min(F.year("obs_date")).alias("a"), F.max(F.year("obs_date")).alias("b")).first()
+    if years["a"] is None:
+        return 0
     store = store.filter(F.col("year").between(F.lit(years["a"]).cast("int"), F.lit(years["b"]).cast("int")))
+    written = Observation()
     fresh = new_rows(store, batch, keep).withColumn("year", F.year("obs_date"))
-    fresh = fresh.persist()
-    n = fresh.count()
-    if n:
-        fresh.write.mode("append").partitionBy("year").parquet(store_path)
-    fresh.unpersist()
-    return n
+    fresh.observe(written, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("year").parquet(store_path)
+    return int(written.get["n"])
 
 
 def daily_rollup(hourly: DataFrame) -> DataFrame:

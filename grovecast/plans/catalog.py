@@ -224,6 +224,33 @@ def q_predict_ensemble(spark, sf_dir):
     return p.withColumn("individual_predictions", map_text(p["individual_predictions"]))
 
 
+@query("predict_simple_fallback")
+def q_predict_simple_fallback(spark, sf_dir):
+    """The latest year of every site has no September rows, so its clouds are the mean over all years."""
+    from pyspark.sql import functions as F
+    from grovecast.plans import prediction as P
+    w = _weather_once(spark, sf_dir)
+    last = w.groupBy("site").agg(F.max(F.year("obs_date")).alias("last_year"))
+    gap = (F.year("obs_date") == F.col("last_year")) & (F.month("obs_date") == 9)
+    return P.predict_simple(w.join(last, "site").where(~gap).drop("last_year"), *_models(spark))
+
+
+@query("predict_trees")
+def q_predict_trees(spark, sf_dir):
+    """An ensemble of a forest and a boosted member (node tables), every site and year."""
+    from pyspark.sql import functions as F
+    from grovecast.operators import features as feat
+    from grovecast.operators import scoring, trees
+    nodes, combine = fx.tree_node(spark), fx.tree_combine(spark)
+    names = trees.feature_names(nodes, feat.catalog_names())
+    years = fx.materialize(feat.weather_features(_weather_once(spark, sf_dir), names=names), "years")
+    members = trees.member_predictions(years, nodes, combine, ["site", "year"], ["grown"])
+    per = members.groupBy("site", "year", "model").agg(
+        F.bround(scoring.X.exact_avg("raw"), 6).alias("mean_raw"), F.count(F.lit(1)).alias("n_members"),
+        *[F.max(F.when(F.col("member") == m, F.col("raw"))).alias(f"{m}_raw") for m in ("boosted", "forest")])
+    return per.withColumn("harvest_kg", scoring.X.round_half_even(scoring.X.clamp_low("mean_raw"), 0).cast("bigint"))
+
+
 @query("predict_legacy")
 def q_predict_legacy(spark, sf_dir):
     from grovecast.operators.scoring import map_text
@@ -321,6 +348,14 @@ def q_payload_hourly(spark, sf_dir):
     return _hourly(spark, sf_dir).select(*HOURLY_COLUMNS)
 
 
+@query("payload_rejects")
+def q_payload_rejects(spark, sf_dir):
+    """Hourly payloads, some of them damaged, parsed as VARIANT: usable hours and rejects per site and reason."""
+    from grovecast.sources import payloads, rejects
+    pulls = rejects.damaged_payloads(payloads.hourly_payloads_from_weather(fx.weather_daily(spark, sf_dir)))
+    return rejects.account(rejects.checked_hourly(pulls))
+
+
 @query("payload_daily")
 def q_payload_daily(spark, sf_dir):
     from grovecast.sources import payloads
@@ -368,6 +403,66 @@ def q_store_first_write(spark, sf_dir):
     return spark.read.parquet(path).select(*dedup.STORE_COLUMNS)
 
 
+@query("store_replace")
+def q_store_replace(spark, sf_dir):
+    """S8 with ``keep="last"``: the re-sent days replace the stored ones; a third run changes nothing."""
+    from pyspark.sql import functions as F
+    from grovecast.operators import dedup, store
+    from grovecast.streaming import jobs
+    path = f"{jobs.scratch_dir(spark, 'store')}/days"
+    stored, batch = fx.ingest_scenario(spark, sf_dir)
+    stored.withColumn("year", F.year("obs_date").cast("int")).write.partitionBy("year").parquet(path)
+    batch = fx.materialize(batch, "batch")
+    early = batch.where(F.hour("obs_ts") < 12)  # a first pull of the same days
+    for change, rows in (("pull-1", early), ("pull-2", batch), ("pull-3", batch)):
+        store.replace_days(spark, path, rows, change)
+    return spark.read.parquet(path).select(*dedup.STORE_COLUMNS)
+
+
+@query("rollup_store")
+def q_rollup_store(spark, sf_dir):
+    """Every day sent in three pulls, one of them twice, with a compaction in between."""
+    from pyspark.sql import functions as F
+    from grovecast.operators.store import RollupStore
+    from grovecast.streaming import jobs
+    hours = fx.materialize(_hourly(spark, sf_dir), "hourly")
+    rollup = RollupStore(spark, f"{jobs.scratch_dir(spark, 'rollup')}/days")
+    part = lambda *h: hours.where(F.hour("obs_ts").isin(*h))
+    rollup.add("first", part(0))
+    rollup.add("second", part(6, 12))
+    rollup.compact()
+    rollup.add("second", part(6, 12))  # sent again: already merged
+    rollup.add("third", part(18))
+    return rollup.read()
+
+
+@query("window30_incremental")
+def q_window30_incremental(spark, sf_dir):
+    """Stored as-of windows brought up to date after late days have been added to the weather store."""
+    from pyspark.sql import functions as F
+    from grovecast.functions import expressions as X
+    from grovecast.operators import store
+    from grovecast.streaming import jobs
+    base = jobs.scratch_dir(spark, "asof")
+    w = _weather_once(spark, sf_dir)
+    last = w.groupBy("site").agg(F.max("obs_date").alias("newest"))
+    # the last 40 days, and every 7th day of the last 400, come late
+    late = (F.date_diff("newest", "obs_date") < 40) | ((F.date_diff("newest", "obs_date") < 400) & (F.dayofmonth("obs_date") % 7 == 0))
+    marked = fx.materialize(w.join(last, "site").withColumn("late", late).drop("newest").withColumn("year", F.year("obs_date").cast("int")), "marked")
+
+    def stats(weather):
+        s = risk.window30_asof(risk.with_humidity_proxy(weather))
+        return s.select("site", "obs_date", "month", "n_rows", *[X.stable(c).alias(c) for c in ("avg_temp", "total_rain", "avg_humidity")], "rainy_days")
+
+    early = marked.where("not late").drop("late")
+    early.write.partitionBy("year").parquet(f"{base}/weather")
+    stats(early).withColumn("year", F.year("obs_date").cast("int")).write.partitionBy("year").parquet(f"{base}/stats")
+    new = marked.where("late").drop("late")
+    new.write.mode("append").partitionBy("year").parquet(f"{base}/weather")
+    store.refresh_asof(spark, f"{base}/weather", f"{base}/stats", new, 30, stats, "late-days")
+    return spark.read.parquet(f"{base}/stats").drop("year")
+
+
 @query("weather_csv")
 def q_weather_csv(spark, sf_dir):
     """S3: the weather rows written as the service's CSV layout and read back."""
@@ -415,6 +510,28 @@ def q_stream_risk(spark, sf_dir):
     return risk.disease_overall(stats)
 
 
+@query("stream_window30")
+def q_stream_window30(spark, sf_dir):
+    """R2 with row-count windows: daily rows as a stream, two batches of late rows among them; the log is
+    compacted, then read."""
+    from pyspark.sql import functions as F
+    from grovecast.functions import expressions as X
+    from grovecast.streaming import jobs, rows
+    base = jobs.scratch_dir(spark, "rows")
+    w = _wx_once(spark, sf_dir)
+    newest = w.groupBy("site").agg(F.max("obs_date").alias("newest"))
+    day, recent = F.dayofmonth("obs_date"), F.date_diff("newest", "obs_date").between(1, 50)
+    turn = F.when(recent & day.isin(5, 15), 1).when(recent & day.isin(25, 26), 2).otherwise(0)
+    marked = fx.materialize(w.join(newest, "site").withColumn("turn", turn).drop("newest"), "turns")
+    for k in range(3):  # files are taken in the order in which they were written
+        marked.where(F.col("turn") == k).drop("turn").coalesce(1).write.mode("append").parquet(f"{base}/source")
+    q = rows.start_window_rows(spark, f"{base}/source", f"{base}/windows", f"{base}/checkpoint", max_files_per_trigger=1)
+    q.awaitTermination()
+    rows.compact_log(spark, f"{base}/windows", ["site", "obs_date"])
+    return rows.read_log(spark, f"{base}/windows", ["site", "obs_date"]).select(
+        "site", "obs_date", "month", "n_rows", *[X.stable(c).alias(c) for c in ("avg_temp", "total_rain", "avg_humidity")], "rainy_days")
+
+
 @query("stream_latest")
 def q_stream_latest(spark, sf_dir):
     """Newest reading per site of the events stream."""
@@ -439,14 +556,27 @@ def _training(spark, sf_dir):
 
 @query("fit_simple")
 def q_fit_simple(spark, sf_dir):
-    """Fitted scaler + linear model on the simple model's features, as
-    model-table rows (one per feature) with the member's meta columns."""
+    """Fitted scaler + linear model on the simple model's features, with the
+    cross-validated error, as model-table rows (one per feature) with the member's meta columns."""
+    from pyspark.sql import functions as F
     from grovecast.plans import fit
-    # the fit makes several passes (statistics, fit, folds): derive the
-    # training pairs once as a written table
+    # read for the sums and for the errors of the folds: written once
     train = fx.materialize(_training(spark, sf_dir), "training")
     feats, meta = fit.fit_linear(train, SIMPLE_FEATURES, "fitted")
-    return feats.join(meta, ["model", "member"])
+    rounded = ("mean", "scale", "coef", "intercept", "cv_mae", "adj_r2")
+    got = feats.join(meta, ["model", "member"])
+    return got.select(*[F.bround(c, 6).alias(c) if c in rounded else c for c in got.columns])
+
+
+@query("backtest_rolling")
+def q_backtest_rolling(spark, sf_dir):
+    """Every harvest predicted by a model fitted on the years before it only."""
+    from pyspark.sql import functions as F
+    from grovecast.plans import fit
+    train = fx.materialize(_training(spark, sf_dir), "training")
+    got = fit.rolling_origin(train, SIMPLE_FEATURES)
+    return got.select("site", F.col("year").alias("weather_year"), (F.col("year") + 1).cast("int").alias("harvest_year"), "n_train",
+                      *[F.bround(c, 3).alias(n) for c, n in (("predicted", "predicted_kg"), ("label", "actual_kg"), ("abs_error", "abs_error"))])
 
 
 @query("regr_check")
@@ -478,6 +608,63 @@ def q_disease_report(spark, sf_dir):
             .withColumn("recommendations", F.array_join("recommendations", "|")))
 
 
+@query("disease_report_gaps")
+def q_disease_report_gaps(spark, sf_dir):
+    """Harvest sites whose weather has not come in (every second one by name) get one error row each."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from grovecast.sources import payloads
+    sites = _harvest_once(spark, sf_dir).select("site").distinct()
+    nth = sites.withColumn("nth", F.row_number().over(Window.orderBy("site")))  # one row per site
+    w = _weather_once(spark, sf_dir).join(nth.where("nth % 2 = 1").select("site"), "site", "left_semi")
+    rep = risk.disease_report(payloads.parse_daily(payloads.daily_payloads_from_weather(w)), sites=sites)
+    return rep.select("site", "avg_temperature", "total_rain_30d", "rainy_days_30d", "overall_risk", "error",
+                      F.coalesce(F.size("diseases"), F.lit(0)).alias("n_diseases"))
+
+
+@query("records_json")
+def q_records_json(spark, sf_dir):
+    """The harvest history as JSON records, one object per row."""
+    from grovecast.plans import reports as R
+    return R.as_json_records(R.history(_harvest_once(spark, sf_dir)))
+
+
+def _scored_rows(spark, sf_dir, names):
+    """Features of every (site, weather year) with the harvest of the next year as label."""
+    from grovecast.operators import features as feat
+    from grovecast.plans import fit
+    w, h = _both_once(spark, sf_dir)
+    return fx.materialize(fit.training_pairs(feat.weather_features(w, names=names), h), "scored")
+
+
+def _importance(spark, sf_dir, models=("simple", "complex")):
+    from pyspark.sql import functions as F
+    from grovecast.operators import features as feat
+    from grovecast.operators import scoring
+    from grovecast.plans import importance
+    mf, meta = (t.where(F.col("model").isin(*models)) for t in _models(spark))
+    rows = _scored_rows(spark, sf_dir, scoring.model_feature_names(mf, feat.catalog_names()))
+    return importance.permutation_importance(rows, mf, meta, ["site", "year"])
+
+
+@query("model_importance")
+def q_model_importance(spark, sf_dir):
+    """The features of every model by how much its error grows without them."""
+    return _importance(spark, sf_dir)
+
+
+@query("model_info")
+def q_model_info(spark, sf_dir):
+    """Every model with its features, members, and the first features by importance on the data."""
+    from pyspark.sql import functions as F
+    from grovecast.plans import reports as R
+    mf, meta = _models(spark)
+    info = R.model_info(meta, mf, _importance(spark, sf_dir).select("model", "rank", "feature", "importance"), top=3)
+    top = F.transform("top_features", lambda t: F.concat_ws(":", t["rank"].cast("string"), t["feature"]))
+    return info.select("model", "name", "feature_count", F.array_join("features", ",").alias("features"),
+                       F.array_join("members", ",").alias("members"), F.array_join(top, ",").alias("top_features"))
+
+
 @query("fit_coefficients")
 def q_fit_coefficients(spark, sf_dir):
     """R6, the deterministic part of the fit: scaler (mean, population

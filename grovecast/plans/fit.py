@@ -8,15 +8,12 @@ scoring operators can use a fitted model directly.
 
 * Training pairs are the features of a weather year joined with the harvest
   of the next year (equi-join on site and year + 1).
-* The scaler uses the *population* standard deviation (as the scaler of the
-  service's models does), computed with one aggregate; ``pyspark.ml``'s
-  ``StandardScaler`` would use the sample deviation.
-* ``LinearRegression`` (normal equations, no regularisation) runs on the
-  scaled features; X'X is aggregated by the executors, only the p x p
-  system and the p coefficients reach the driver.
-* ``cv_mae`` is a k-fold cross-validated mean absolute error
-  (``CrossValidator``, folds fitted as concurrent jobs), ``adj_r2`` the
-  adjusted R² of the training fit.
+* Scaler (mean, *population* deviation), coefficients on the scaled features, intercept, R² and
+  the fits without each fold all come from one aggregate of the pairs per fold
+  (``plans.normal``): every fold is solved from the sums of the others, nothing is refitted and
+  nothing is collected to the driver.
+* ``cv_mae`` is the mean over the folds of the mean absolute error on the rows of the
+  fold, ``adj_r2`` the adjusted R² of the fit on all pairs.
 """
 
 from __future__ import annotations
@@ -25,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grovecast.functions import expressions as X
+from grovecast.plans import normal
 
 
 def training_pairs(features: DataFrame, harvest: DataFrame, label: str = "harvest_kg") -> DataFrame:
@@ -35,50 +33,49 @@ def training_pairs(features: DataFrame, harvest: DataFrame, label: str = "harves
 
 def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "lin",
                folds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Fit scaler + linear regression; return (model_feature rows, model_meta rows)."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    """Fit scaler + linear regression; return (model_feature rows, model_meta rows).
 
-    spark = train.sparkSession
-    filled = train.na.fill(0.0, subset=names)
-    # one aggregate; its single row holds 2 x p numbers (bounded by the
-    # number of features, not by the data)
-    row = filled.agg(*[X.exact_avg(n).alias(f"m_{n}") for n in names],
-                     *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
-    mean = {n: float(row[f"m_{n}"] or 0.0) for n in names}
-    scale = {n: float(row[f"s_{n}"]) if row[f"s_{n}"] else 1.0 for n in names}
-    # folds by a hash of the row, not of its place: the same for any partitioning
-    of_row = [c for c in ("site", "year") if c in filled.columns] or ["label", *names]
-    fold = F.pmod(F.xxhash64(*of_row), F.lit(max(folds, 1))).cast("int").alias("fold")
-    scaled = filled.select("label", fold, *[((F.col(n) - F.lit(mean[n])) / F.lit(scale[n])).alias(f"z_{n}")
-                                      for n in names])
-    asm = VectorAssembler(inputCols=[f"z_{n}" for n in names], outputCol="z")
-    data = asm.transform(scaled).select("z", "label", "fold").cache()
-    lr = LinearRegression(featuresCol="z", labelCol="label", solver="normal", regParam=0.0,
-                          standardization=False)
-    fitted = lr.fit(data)
-    n, p = fitted.summary.numInstances, len(names)
-    r2 = fitted.summary.r2
-    adj = 1.0 - (1.0 - r2) * (n - 1) / (n - p - 1) if n - p - 1 > 0 else None
-    cv_mae = None
-    if folds >= 2 and n >= folds:       # folds=0: skip the cross-validation
-        ev = RegressionEvaluator(labelCol="label", predictionCol="prediction", metricName="mae")
-        cv = CrossValidator(estimator=lr, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                            numFolds=folds, foldCol="fold", parallelism=folds)
-        cv_mae = float(cv.fit(data).avgMetrics[0])
-    data.unpersist()
-    coefs = [float(c) for c in fitted.coefficients]
-    feats = spark.createDataFrame(
-        [(model, member, nm, mean[nm], scale[nm], c) for nm, c in zip(names, coefs)],
-        "model string, member string, feature string, mean double, scale double, coef double")
-    meta = spark.createDataFrame(
-        [(model, member, f"Fitted linear model ({model})", f"R²={r2:.2f} on {n} pairs",
-          float(fitted.intercept), None, cv_mae, adj)],
-        "model string, member string, name string, description string, intercept double, "
-        "oil_factor double, cv_mae double, adj_r2 double")
-    return feats, meta
+    ``train`` (the named features and ``label``) is read once for the sums and, with ``folds`` of 2 or
+    more, once for the errors.  Without any labelled row there are no rows."""
+    key = [c for c in ("site", "year") if c in train.columns] or ["label", *names]
+    rows = train.where("label is not null").withColumn("fold", normal.fold_of(key, folds))
+    stats = normal.statistics(rows, names, "label", "fold")
+    # every fold's sums go to the fits that leave it in: all (-1) and those of the other folds
+    others = [f for f in range(folds)] if folds >= 2 else []
+    to = stats.withColumn("fit", F.explode(F.array(*[F.lit(f) for f in [-1, *others]]))).where("fit <> fold")
+    fits = normal.solve(normal.sums(to, "fit", names), names, "fit")
+    whole = fits.where("fit = -1")
+    n, p = F.col("n"), len(names)
+    adj = F.when(n - p - 1 > 0, 1.0 - (1.0 - F.col("r2")) * (n - 1) / (n - p - 1))
+    meta = whole.select(
+        F.lit(model).alias("model"), F.lit(member).alias("member"), F.lit(f"Fitted linear model ({model})").alias("name"),
+        F.format_string("R²=%.2f on %d pairs", "r2", "n").alias("description"), "intercept",
+        F.lit(None).cast("double").alias("oil_factor"), "n", adj.alias("adj_r2"))
+    if others:
+        own = fits.where("fit >= 0").select(F.col("fit").alias("fold"), "mean", "scale", "coef", "intercept")
+        errors = rows.join(own, "fold").groupBy("fold").agg(X.exact_avg(F.abs(F.col("label") - normal.predicted(names))).alias("mae"))
+        cv = errors.agg(F.avg("mae").alias("cv_mae")).select(F.lit(model).alias("model"), "cv_mae")
+        meta = meta.join(cv, "model", "left").withColumn("cv_mae", F.when(n >= folds, F.col("cv_mae")))
+    else:
+        meta = meta.withColumn("cv_mae", F.lit(None).cast("double"))
+    at = F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("feature"), "mean", "scale", "coef")
+    feats = whole.select(F.explode(at).alias("f")).select(F.lit(model).alias("model"), F.lit(member).alias("member"), "f.feature", "f.mean", "f.scale", "f.coef")
+    return feats, meta.select("model", "member", "name", "description", "intercept", "oil_factor", "cv_mae", "adj_r2")
+
+
+def rolling_origin(train: DataFrame, names: list[str], min_rows: int | None = None) -> DataFrame:
+    """Every pair predicted by the fit on the pairs of earlier years only (R5): site, year (of the weather),
+    n_train, predicted (not below 0), label, abs_error.  Years with fewer than ``min_rows``
+    earlier pairs (default: twice the number of coefficients) are not predicted.
+
+    The sums are one row per year; running sums over these rows give every year's fit."""
+    least = 2 * (len(names) + 1) if min_rows is None else min_rows
+    stats = normal.statistics(train, names, "label", "year")
+    fits = normal.solve(normal.sums_before(stats, "year", names).where(F.col("n") >= least), names, "year")
+    rows = train.where("label is not null").join(fits, "year")
+    value = X.clamp_low(normal.predicted(names))
+    return rows.select("site", "year", F.col("n").alias("n_train"), value.alias("predicted"), "label",
+                       F.abs(value - F.col("label")).alias("abs_error"))
 
 
 def regression_check(train: DataFrame, x: str, digits: int = 6) -> DataFrame:

@@ -190,13 +190,6 @@ def predict_ensemble(weather: DataFrame, model_feature: DataFrame, model_meta: D
                           model_feature, model_meta, model)
 
 
-def _year_rows(weather: DataFrame, years: DataFrame, year_col: str) -> DataFrame:
-    """Weather rows of the chosen year of every site only (filter before the
-    aggregate, so the feature group-by reads one year per site)."""
-    return (weather.join(years.select("site", year_col), "site")
-                   .filter(F.year("obs_date") == F.col(year_col)).drop(year_col))
-
-
 def choose_model(model_meta: DataFrame, preference: list[str]) -> DataFrame:
     """The first model of ``preference`` present in ``model_meta`` (S11):
     one row (``model``), NULL when none is present.  A global aggregate over
@@ -221,15 +214,18 @@ def predict_legacy(weather: DataFrame, harvest: DataFrame, model_feature: DataFr
         chosen = choose_model(model_meta, list(model))
         model_feature = model_feature.join(chosen, "model", "left_semi")
         model_meta = model_meta.join(chosen, "model", "left_semi")
-    latest = weather.groupBy("site").agg(F.max(F.year("obs_date")).alias("latest_year"))
-    fx = feat.legacy_features(_year_rows(weather, latest, "latest_year"))
+    # one aggregate by (site, year), then the newest of these small rows: no weather row is joined
+    years = feat.legacy_features(weather.where(F.col("obs_date").isNotNull()))
+    rest = [c for c in years.columns if c not in ("site", "year")]
+    fx = (years.groupBy("site").agg(F.max_by(F.struct("year", *rest), "year").alias("_r"))
+          .select("site", F.col("_r.year").cast("int").alias("year"), *[F.col(f"_r.{c}").alias(c) for c in rest]))
     members = scoring.member_predictions(fx, model_feature, model_meta, ["site", "year"], models)
     ens = scoring.ensemble(members, ["site", "year"])
     hstats = harvest.groupBy("site").agg(
         X.exact_avg("trees").cast("int").alias("_mean_trees"), X.exact_avg("ratio").alias("_avg_ratio"))
     trees_of_year = harvest.select("site", "year", F.col("trees").cast("int").alias("_trees"))
     # every site with weather gets a row; without a model it carries the error
-    j = (latest.withColumnRenamed("latest_year", "year")
+    j = (fx.select("site", "year")
                .join(ens, ["site", "year"], "left")
                .join(trees_of_year, ["site", "year"], "left")
                .join(hstats, "site", "left"))

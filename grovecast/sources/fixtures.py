@@ -202,6 +202,46 @@ FEATURE_IMPORTANCE_ROWS = [
 ]
 
 
+# A tree ensemble of a forest and a boosted member (our own numbers): model, member, tree, node, feature,
+# threshold, left node, right node, value of a leaf, weight of the tree.
+TREE_NODE_ROWS = [
+    ("grown", "forest", 0, 0, "Rain_Jan", 120.0, 1, 4, None, 1.0),
+    ("grown", "forest", 0, 1, "Temp_spring", 16.4, 2, 3, None, 1.0),
+    ("grown", "forest", 0, 2, None, None, None, None, 700.0, 1.0),
+    ("grown", "forest", 0, 3, None, None, None, None, 850.5, 1.0),
+    ("grown", "forest", 0, 4, "Clouds_Sep", 35.0, 5, 6, None, 1.0),
+    ("grown", "forest", 0, 5, None, None, None, None, 1200.25, 1.0),
+    ("grown", "forest", 0, 6, None, None, None, None, 990.0, 1.0),
+    ("grown", "forest", 1, 0, "Sun_Hours", 3400.0, 1, 2, None, 1.0),
+    ("grown", "forest", 1, 1, None, None, None, None, 640.75, 1.0),
+    ("grown", "forest", 1, 2, "Rain_winter", 300.0, 3, 4, None, 1.0),
+    ("grown", "forest", 1, 3, None, None, None, None, 1010.0, 1.0),
+    ("grown", "forest", 1, 4, "Rain_Jan", 150.0, 5, 6, None, 1.0),
+    ("grown", "forest", 1, 5, None, None, None, None, 1105.5, 1.0),
+    ("grown", "forest", 1, 6, None, None, None, None, 1320.0, 1.0),
+    ("grown", "forest", 2, 0, None, None, None, None, 900.0, 1.0),
+    ("grown", "boosted", 0, 0, "Rain_winter", 310.0, 1, 2, None, 1.0),
+    ("grown", "boosted", 0, 1, None, None, None, None, 800.0, 1.0),
+    ("grown", "boosted", 0, 2, None, None, None, None, 1050.0, 1.0),
+    ("grown", "boosted", 1, 0, "Temp_spring", 16.2, 1, 2, None, 0.1),
+    ("grown", "boosted", 1, 1, None, None, None, None, -150.5, 0.1),
+    ("grown", "boosted", 1, 2, "Clouds_Sep", 34.9, 3, 4, None, 0.1),
+    ("grown", "boosted", 1, 3, None, None, None, None, 90.0, 0.1),
+    ("grown", "boosted", 1, 4, None, None, None, None, -40.0, 0.1),
+]
+TREE_COMBINE_ROWS = [("grown", "forest", "mean", 0.0), ("grown", "boosted", "sum", 25.0)]
+
+
+def tree_node(spark: SparkSession) -> DataFrame:
+    from grovecast.operators.trees import NODE
+    return spark.createDataFrame(TREE_NODE_ROWS, NODE)
+
+
+def tree_combine(spark: SparkSession) -> DataFrame:
+    from grovecast.operators.trees import COMBINE
+    return spark.createDataFrame(TREE_COMBINE_ROWS, COMBINE)
+
+
 def model_feature(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MODEL_FEATURE_ROWS, schemas.MODEL_FEATURE)
 
