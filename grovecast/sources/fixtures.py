@@ -40,11 +40,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/grovecast-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return spark.read.parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Have the written table removed when the application ends: lazy results
     may read it until then."""
     try:

@@ -33,15 +33,18 @@ from grovecast.functions.rules import RAINY_DAY_MM
 from grovecast.operators import dedup
 from grovecast.session import ensure_checkpoint_dir
 from grovecast.sources import payloads
+from grovecast.sources.fixtures import remove_at_exit
 
 DAILY_WITH_HUMIDITY = T.StructType(list(schemas.WEATHER_DAILY.fields)
                                    + [T.StructField("humidity", T.DoubleType())])
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory."""
+    """A fresh folder under the shared checkpoint directory, removed when the application ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/grovecast-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/grovecast-{name}-{uuid.uuid4().hex[:12]}"
+    remove_at_exit(spark, path)
+    return path
 
 
 # -- R1 ------------------------------------------------------------------------
