@@ -30,7 +30,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
@@ -39,64 +38,77 @@ from pyspark.sql.window import Window
 from grovecast.llm.bpe import byte_alphabet
 from grovecast.llm.common import broadcast_text, tidy, tokenizer_json, worker_memory
 from grovecast.session import ensure_checkpoint_dir
+from grovecast.sources.fixtures import remove_at_exit
 
 MAX_BITS, MARK, BLOCK_TOKENS, MEMORY = 16, 256, 1 << 18, 800_000
 #: Characters that normalization only lower-cases (no combining mark can follow).
 _PLAIN = re.compile("[\t-\r -~\xa1-\xff]*")
 #: The word pattern of the file: fixed value.
-_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same pattern where only plain characters in lower case occur, the most frequent kinds first.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(rf"[{_LETTER}]+|[{_NUMBER}]|'(?:s|t|re|ve|m|ll|d)|[^\s{_LETTER}{_NUMBER}]+")
 
 
-class _Words(dict):
-    """Word -> ids; a word that is not known yet is encoded on its first use."""
+class _Known(dict):
+    """Word or piece -> ids; an unknown one is encoded on its first use.  Beyond ``most`` the older half
+    goes, but for those that were used since: they move to the newer half when they are met."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        self[word] = ids = self.encode(word)
+        self.encode, self.half, self.old = encode, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.encode(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = ids
         return ids
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose words never cross white space: each distinct word
-    is encoded once by the library, a bounded memory keeps its ids."""
+    """Ids of a tokenizer whose words never cross white space: each distinct word, and each piece of the
+    word pattern in it, is encoded once, bounded memories keep their ids (``width``: see id_width)."""
 
-    def __init__(self, text: str, memory: int = MEMORY):
+    def __init__(self, text: str, memory: int = MEMORY, width: str = "<u4"):
         import json
 
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_str(text)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.memory = memory
-        self.known = _Words(self._word)
+        self.width = width
+        self.pack = struct.Struct("<H" if width == "<u2" else "<I").pack
+        self.known, self.pieces = _Known(self._word, memory), _Known(self._piece, memory // 2)
         conf = json.loads(text)
         self.special = [t["content"] for t in conf.get("added_tokens") or []]
         kinds = [n["type"] for n in (conf.get("normalizer") or {}).get("normalizers", [])]
         pre = [p.get("pattern", {}).get("Regex") for p in (conf.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         #: whether this is the file that the short way below is right for
-        self.short_way = kinds == ["NFC", "Replace", "Lowercase"] and pre[:1] == [_WORD.pattern]
+        self.short_way = kinds == ["NFC", "Replace", "Lowercase"] and pre[:1] == [_WORD]
         self.letter = {b: c for c, b in byte_alphabet().items()}
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as little-endian unsigned integers."""
         if not text:
             return b""
         if not self.short_way or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.known) > self.memory:
-            self.known.clear()
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, self.width).tobytes()
         return b"".join(map(self.known.__getitem__, text.lower().split()))
 
     def _word(self, word: str) -> bytes:
-        tokenize, letter = self.lib.model.tokenize, self.letter
-        if word.isascii() and word.isalpha():  # one piece, its bytes stand for themselves
-            ids = [t.id for t in tokenize(word)]
-        else:
-            ids = [t.id for p in _WORD.findall(word) for t in tokenize("".join([letter[b] for b in p.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        if word.isalpha():
+            return self.pieces[word]
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():  # bytes stand for themselves or for another character
+            piece = piece.encode().decode("latin-1").translate(self.letter)
+        got = self.lib.model.tokenize(piece)
+        return self.pack(got[0].id) if len(got) == 1 else b"".join([self.pack(t.id) for t in got])
 
 
 # -- Huffman code -------------------------------------------------------------
@@ -155,18 +167,30 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np
     return ids, lens, bits
 
 
-def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids``, and the bit offset of every MARK-th of them."""
+def pack(ids: np.ndarray, count: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The bits of documents of ``count`` ids each, every document on a byte of its own: the bytes, how many
+    of them each document has, the bit offset of every MARK-th id from its document's
+    first byte, and how many of these each document has."""
     n = lengths[ids].astype(np.int64)
-    end = np.cumsum(n)
-    start = end - n
-    room = (32 - n - (start & 7)).astype(np.uint32)
-    v = codes[ids].astype(np.uint32) << room
-    size = int(end[-1] + 7) // 8 if len(ids) else 0
-    out = np.zeros(size + 4, np.float64)
-    for k in range(4):
-        out += np.bincount((start >> 3) + k, ((v >> np.uint32(24 - 8 * k)) & np.uint32(255)).astype(np.float64), size + 4)
-    return out[:size].astype(np.uint8).tobytes(), start[::MARK]
+    end = np.concatenate([[0], np.cumsum(n)])
+    first = np.cumsum(count) - count
+    bits = end[first + count] - end[first]
+    size = (bits + 7) // 8
+    base = np.cumsum(size) - size
+    start = end[:-1] - np.repeat(end[first], count)  # from the document's first bit
+    marks = -(-count // MARK)
+    nth = np.arange(int(marks.sum())) - np.repeat(np.cumsum(marks) - marks, marks)
+    at = start[np.repeat(first, marks) + nth * MARK]
+    total = int(size.sum())
+    out = np.zeros(total + 4, np.uint8)
+    if len(ids):
+        byte = np.repeat(base, count) + (start >> 3)
+        word = codes[ids].astype(np.uint32) << (32 - n - (start & 7)).astype(np.uint32)
+        head = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))  # ids that begin in one byte
+        word, byte = np.bitwise_or.reduceat(word, head), byte[head]
+        for k in range(4):
+            out[byte + k] |= (word >> np.uint32(24 - 8 * k)).astype(np.uint8)
+    return out[:total].tobytes(), size, at, marks
 
 
 def unpack(payload: bytes, at: np.ndarray, count: np.ndarray, table) -> np.ndarray:
@@ -190,7 +214,8 @@ def unpack(payload: bytes, at: np.ndarray, count: np.ndarray, table) -> np.ndarr
 
 # -- Spark jobs ---------------------------------------------------------------
 def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian, two bytes where the vocabulary allows, else four)."""
+    """doc_id and ids (little-endian, two bytes where the vocabulary allows, else four); after the documents
+    of a task, one row with counts: how often each id occurs in them (``<i8`` by id), without a document."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
     model = broadcast_text(spark, tokenizer_json(tokenizer_path))
@@ -198,23 +223,31 @@ def token_rows(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str =
 
     def run(batches):
         memory = worker_memory()
-        if memory.get("word_file") != model.value:
-            memory |= {"word_file": model.value, "word_encoder": WordEncoder(model.value)}
+        if memory.get("word_file") != (model.value, width):
+            memory |= {"word_file": (model.value, width), "word_encoder": WordEncoder(model.value, width=width)}
         enc = memory["word_encoder"]
-        end = np.array([end_id], width).tobytes()
+        end, counts, kind = np.array([end_id], width).tobytes(), np.zeros(0, np.int64), None
         for whole in batches:
+            kind = whole.column(0).type
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                ids = [np.frombuffer(enc.encode(t), "<u4").astype(width).tobytes() + end if t else end
-                       for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+                ids = [enc.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
+                got = np.bincount(np.frombuffer(b"".join(ids), width), minlength=len(counts))
+                got[:len(counts)] += counts
+                counts = got
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=["doc_id", "ids", "counts"])
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()], pa.binary())],
+                                             names=["doc_id", "ids", "counts"])
 
-    return src.mapInArrow(tidy(run), StructType([src.schema["doc_id"], StructField("ids", BinaryType())]))
+    return src.mapInArrow(tidy(run), StructType([src.schema["doc_id"], StructField("ids", BinaryType()), StructField("counts", BinaryType())]))
 
 
 def new_store(spark: SparkSession) -> str:
-    """A new folder for a store below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex[:12]}"
+    """A new folder for a store below the shared checkpoint folder, removed when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/token-store-{uuid.uuid4().hex[:12]}"
+    remove_at_exit(spark, path)
+    return path
 
 
 def id_width(tokenizer_path: str, end_id: int) -> str:
@@ -223,23 +256,24 @@ def id_width(tokenizer_path: str, end_id: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def id_counts(tokens: DataFrame, width: str) -> np.ndarray:
-    """Global counts by id; the driver receives one row per id that occurs."""
+def id_counts(rows: DataFrame) -> np.ndarray:
+    """Global counts by id from the tasks' counts; the driver receives one row per id that occurs."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                flat = np.frombuffer(b"".join(batch.column(0).slice(at, 4096).to_pylist()), width)
-                got = np.bincount(flat, minlength=len(total))
-                got[:len(total)] += total
-                total = got
+            for x in batch.column(0):
+                got = np.frombuffer(x.as_py(), "<i8")
+                if len(got) > len(total):
+                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+                total[:len(got)] += got
         some = np.flatnonzero(total)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
-    for r in rows:
+    got = (rows.where("counts is not null").select("counts").mapInArrow(tidy(run), "id long, n long")
+           .groupBy("id").agg(F.sum("n").alias("n")).collect())
+    counts = np.zeros(max((r["id"] for r in got), default=-1) + 1, np.int64)
+    for r in got:
         counts[r["id"]] = r["n"]
     return counts
 
@@ -255,13 +289,14 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     """Encode ``docs`` and write ``path/blocks`` and ``path/lengths`` (see the module text)."""
     spark = docs.sparkSession
     width = id_width(tokenizer_path, end_id)
-    # the ids are read twice (counts, codes): written once, so nothing is encoded again
+    # the ids are read after their counts are known: written once, so nothing is encoded again
     # beside them the keys of the order: finding the ranges reads these alone
     (token_rows(docs, tokenizer_path, end_id, id_col, text_col)
-     .select(F.col("doc_id").cast("bigint"), "ids", F.length("ids").alias("n"), F.xxhash64("ids").alias("h"))
+     .select(F.col("doc_id").cast("bigint"), "ids", F.length("ids").alias("n"), F.xxhash64("ids").alias("h"), "counts")
      .write.option("compression", "zstd").parquet(f"{path}/ids"))
-    tokens = spark.read.parquet(f"{path}/ids")
-    lengths = code_lengths(id_counts(tokens, width))
+    written = spark.read.parquet(f"{path}/ids")
+    tokens = written.where("ids is not null")
+    lengths = code_lengths(id_counts(written))
     (spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1)
      .write.parquet(f"{path}/lengths"))
     code = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # bounded by the vocabulary
@@ -271,36 +306,30 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id
     ordered = (tokens.repartitionByRange(first, F.col("n"), F.col("h"))
                .sortWithinPartitions(first, "n", "h", "ids").select("doc_id", "ids"))
 
-    def pack_rows(batches):
-        lens, codes = code.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids = np.frombuffer(x, width)
-                    bits, marks = pack(ids, lens, codes)
-                    yield doc, len(ids), marks.tolist(), bits
-
     def blocks(batches):
         from pyspark import TaskContext
         me, k = TaskContext.get().partitionId(), 0
-        ids, n, size, marks, bits, total = [], [], [], [], [], 0
+        docs, ids, count, total = [], [], [], 0
 
         def row():
-            return pa.RecordBatch.from_pylist([{"part": me, "block": k, "doc_ids": ids, "n_tokens": n, "n_bytes": size,
-                                                "marks": marks, "payload": b"".join(bits)}], schema=arrow)
-        for doc, m, mk, b in pack_rows(batches):
-            if n and total + m > BLOCK_TOKENS:
-                yield row()
-                k += 1
-                ids, n, size, marks, bits, total = [], [], [], [], [], 0
-            ids.append(doc)
-            n.append(m)
-            size.append(len(b))
-            marks.extend(mk)
-            bits.append(b)
-            total += m
-        if n:
+            lens, codes = code.value
+            n = np.array(count, np.int64)
+            bits, size, marks, _ = pack(np.frombuffer(b"".join(ids), width), n, lens, codes)
+            return pa.RecordBatch.from_pylist([{"part": me, "block": k, "doc_ids": docs, "n_tokens": n, "n_bytes": size,
+                                                "marks": marks, "payload": bits}], schema=arrow)
+        for batch in batches:
+            for doc, x in zip(*[batch.column(c) for c in (0, 1)]):
+                x = x.as_py()
+                m = len(x) // np.dtype(width).itemsize
+                if docs and total + m > BLOCK_TOKENS:
+                    yield row()
+                    k += 1
+                    docs, ids, count, total = [], [], [], 0
+                docs.append(doc.as_py())
+                ids.append(x)
+                count.append(m)
+                total += m
+        if docs:
             yield row()
 
     from pyspark.sql.pandas.types import to_arrow_schema
