@@ -9,18 +9,24 @@ Sketch: a histogram over logarithmic bins (relative width ``GAMMA``), zero in a
 of its own.  It is a plain ``(group, measure, bin) -> count`` table, so partial
 aggregates merge by addition, exactly and in any order, a hot group costs one
 row per bin and task, and its quantiles have a relative error of at most
-``GAMMA - 1``.  The same sketch rows, summed over sources, give the language's
+``GAMMA - 1`` (word length: ``FINE - 1``).  The same sketch rows, summed over sources, give the language's
 fences and summed over all, the corpus' fences: a group takes the most
 specific level with at least ``min_rows`` documents that pass the base rules.
 
-Fence: ``median + spread * width``, with ``width`` the distance from the median to the
-75 % quantile, which junk rarely reaches, and at least the measure's own distance.  The
-word length has a lower fence as well, from the 25 % quantile.  A document fails a
-measure beyond its fence.  ``spread`` is wide: the rules are for outliers, an
-ordinary document of its group stays.  A group of which junk is a quarter or more
-does not set its own rules: its fence lies at most ``BOUND`` times the distance from the
-median of its language, for shares also from that of the corpus (word lengths differ by
-language), and for shares never beyond the measure's ``most``.
+Fences, all from the group's own quantiles:
+
+* word length: from the median, ``SPREAD`` times the distance to the 75 % quantile upwards and to the 25 %
+  quantile downwards;
+* shares (symbols, repeated lines, repeated words), which are 0 in most documents: the 80 % quantile
+  and, beyond it, as much as some events weigh in the group's median document: ``EVENTS``
+  symbols, lines or windows of repeated words, over the median of its characters, lines or words.
+
+So a group of long words, of noisy word lengths, of short documents or of many repeats has wider fences
+than another.  A document fails a measure beyond its fence; the fences are wide, an
+ordinary document of its group stays.  A group of which junk is more than the quantiles
+can bear does not set its own rules: its fence lies at most ``BOUND`` times the distance from the
+middle of its language, for shares also from that of the corpus (word lengths differ by
+language), and for shares never beyond ``MOST``.
 
 Cases: a null text has no words and fails the base rule; null languages or
 sources form groups of their own (null equals null); repeated rows count as
@@ -34,7 +40,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,11 +48,17 @@ from grovecast.llm.common import materialize, per_row
 
 #: Base rules: fixed, as in the contract of the counts.
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-GAMMA = 1.02
-#: measure -> (sides that are bad: 2 for both, least distance of a fence, most that a share's fence may be)
-MEASURES = {"word_length": (2, 1.0, None), "symbol_ratio": (1, 0.02, 0.5), "dup_line_ratio": (1, 0.25, 0.7),
-            "repeat_ratio": (1, 0.15, 0.4)}
-SPREAD, BOUND, MIN_ROWS = 4.0, 2.0, 200
+#: relative width of a bin; that of the word length, of which small distances count, is finer
+GAMMA, FINE = 1.02, 1.002
+#: shares: measure -> (what it is a share of, size of one event, events, the most that its fence may be)
+SHARES = {"symbol_ratio": ("word_chars", 1, 8, 0.5), "dup_line_ratio": ("n_lines", 1, 4, 0.7), "repeat_ratio": ("n_words", 6, 9, 0.4)}
+MEASURES = ("word_length", *SHARES)
+#: of these, quantiles are kept as well
+SIZES = tuple(v[0] for v in SHARES.values())
+#: least width of a fence, for groups whose quantiles coincide
+LEAST = 0.05
+SPREAD, BOUND, MIN_ROWS = 8.0, 2.0, 200
+QUANTILES = (25, 50, 75, 80)
 
 _NOT_SYMBOL = bytes(b for b in range(256) if chr(b) not in "#*$%&|<>")
 _SPACE = bytes(range(9, 14)) + b" "
@@ -128,48 +140,67 @@ def with_measures(counted: DataFrame) -> DataFrame:
         (F.col("n_repeat_words") / n).alias("repeat_ratio"))
 
 
+def log_width(measure: Column) -> Column:
+    return F.when(measure == "word_length", math.log(FINE)).otherwise(math.log(GAMMA))
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """The mergeable sketches: (lang, source, measure, bin) -> n, of the documents
     that pass the base rules.  Bin null holds zeros."""
-    one = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x")
+    one = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("v")) for m in MEASURES + SIZES])).alias("x")
     v = F.col("x.v")
-    bin_ = F.when(v > 0, F.ceil(F.log(v) / F.lit(math.log(GAMMA))).cast("int"))
+    bin_ = F.when(v > 0, F.ceil(F.log(v) / log_width(F.col("x.measure"))).cast("int"))
     return (measured.where(~F.col("base_failed")).select("lang", "source", one)
             .groupBy("lang", "source", F.col("x.measure").alias("measure"), bin_.alias("bin"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 def quantiles(sketch: DataFrame, group: list[str]) -> DataFrame:
-    """rows, p25, p50, p75 and p95 of every measure per group, read from its bins."""
+    """rows and the ``QUANTILES`` (p25, ...) of every measure per group, read from its bins."""
     s = sketch.groupBy(*group, "measure", "bin").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*group, "measure")
     upto = F.sum("n").over(w.orderBy(F.col("bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("n").over(w)
-    value = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), F.col("bin") - 0.5))
+    value = F.when(F.col("bin").isNull(), F.lit(0.0)).otherwise(F.exp(log_width(F.col("measure")) * (F.col("bin") - 0.5)))
     s = s.select(*group, "measure", value.alias("v"), upto.alias("upto"), total.alias("total"))
     at = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("v")))
-    return s.groupBy(*group, "measure").agg(F.max("total").alias("rows"), *[at(q / 100).alias(f"p{q}") for q in (25, 50, 75, 95)])
+    return s.groupBy(*group, "measure").agg(F.max("total").alias("rows"), *[at(q / 100).alias(f"p{q}") for q in QUANTILES])
+
+
+def level(sketch: DataFrame, group: list[str], spread: float, bound: float, tag: str) -> DataFrame:
+    """Per group and measure: rows, the fences (up, low) and the bounds that they are for narrower groups."""
+    q = quantiles(sketch, group).groupBy(*group).agg(
+        F.max("rows").alias("rows"), *[F.max(F.when(F.col("measure") == m, F.col(f"p{k}"))).alias(f"{m}_{k}") for m in MEASURES + SIZES for k in QUANTILES])
+    at = lambda m, k: F.col(f"{m}_{k}")
+
+    def row(m: str) -> Column:
+        if m in SHARES:
+            size, event, events, _ = SHARES[m]
+            middle, up = at(m, 80), F.lit(float(event * events)) / F.greatest(at(size, 50), F.lit(1.0))
+            low = low_bound = F.lit(None).cast("double")
+        else:
+            middle, up = at(m, 50), F.greatest(F.lit(spread) * (at(m, 75) - at(m, 50)), F.lit(LEAST))
+            down = F.greatest(F.lit(spread) * (at(m, 50) - at(m, 25)), F.lit(LEAST))
+            low, low_bound = middle - down, middle - F.lit(bound) * down
+        return F.struct(F.lit(m).alias("measure"), (middle + up).alias("up"), (middle + F.lit(bound) * up).alias("up_bound"),
+                        low.alias("low"), low_bound.alias("low_bound"))
+
+    rows = q.select(*group, "rows", F.explode(F.array(*[row(m) for m in MEASURES])).alias("x")).select(*group, "rows", "x.*")
+    return rows.select(*[F.col(c).alias(f"{tag}_{c}") for c in rows.columns])
 
 
 def fences(sketch: DataFrame, spread: float = SPREAD, min_rows: int = MIN_ROWS, bound: float = BOUND) -> DataFrame:
     """One row per (lang, source) with an upper (``_fence``) and a lower (``_low``) fence
     per measure; null where a measure has none."""
-    of = lambda k: F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[k]).cast("double"))])[F.col("a_measure")]
-    least = F.create_map(*[x for m, v in MEASURES.items() for x in (F.lit(m), F.lit(v[1]))])[F.col("measure")]
-    up = F.greatest(F.lit(spread) * (F.col("p75") - F.col("p50")), least)
-    down = F.greatest(F.lit(spread) * (F.col("p50") - F.col("p25")), least)
-    level = lambda g, tag: quantiles(sketch, g).select(
-        *[F.col(c).alias(f"{tag}_{c}") for c in [*g, "measure"]], F.col("rows").alias(f"{tag}_rows"),
-        (F.col("p50") + up).alias(f"{tag}_up"), (F.col("p50") + F.lit(bound) * up).alias(f"{tag}_up_bound"),
-        (F.col("p50") - down).alias(f"{tag}_low"), (F.col("p50") - F.lit(bound) * down).alias(f"{tag}_low_bound"))
-    a, b, c = level(["lang", "source"], "a"), level(["lang"], "b"), level([], "c")
+    a, b, c = level(sketch, ["lang", "source"], spread, bound, "a"), level(sketch, ["lang"], spread, bound, "b"), level(sketch, [], spread, bound, "c")
+    most = F.create_map(*[x for m, v in SHARES.items() for x in (F.lit(m), F.lit(v[3]))])[F.col("a_measure")]
     own = lambda x, y, z: F.when(F.col("a_rows") >= min_rows, x).when(F.col("b_rows") >= min_rows, y).otherwise(z)
-    corpus = F.when(of(2).isNotNull(), F.least("c_up_bound", of(2)))  # null: no bound (least skips nulls)
+    corpus = F.when(most.isNotNull(), F.least("c_up_bound", most))  # null: no bound (least skips nulls)
     best = (a.join(b, F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("a_measure") == F.col("b_measure")), "left")
             .join(c, F.col("a_measure") == F.col("c_measure"), "left")
             .select("a_lang", "a_source", "a_measure",
-                    own(F.least("a_up", "b_up_bound", corpus), F.least("b_up", corpus), F.least(F.col("c_up"), of(2))).alias("fence"),
-                    F.when(of(0) == 2, own(F.greatest("a_low", "b_low_bound"), F.col("b_low"), F.col("c_low"))).alias("low")))
+                    own(F.least("a_up", "b_up_bound", corpus), F.least("b_up", corpus), F.least(F.col("c_up"), most)).alias("fence"),
+                    own(F.greatest("a_low", "b_low_bound"), F.col("b_low"), F.col("c_low")).alias("low")))
     return best.groupBy(F.col("a_lang").alias("f_lang"), F.col("a_source").alias("f_source")).agg(
         *[F.max(F.when(F.col("a_measure") == m, F.col(k))).alias(f"{m}_{k}") for m in MEASURES for k in ("fence", "low")])
 
