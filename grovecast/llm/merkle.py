@@ -6,11 +6,11 @@ subroots, in the order of their groups, give the root the same way.  H is SHA-25
 over the concatenated lowercase hex digests.  The tree is built without sorting rows:
 
 1. *Bitmaps.*  Every task turns its rows' ids into compressed bitmaps: per group and chunk of
-   ``2**16`` ids, the low 16 bits as a sorted array or, if they are many, as a bit set, and
+   ``2**CHUNK`` ids, the low bits as a sorted array or, if they are many, as a bit set, and
    the ids that occur more than once.  They are merged per (group, chunk).
 2. *Directories.*  A merged bitmap gets a popcount directory (set bits before each 64-bit word).
-   The chunks' totals are summed in digits of ``2**16`` chunks, so that no task adds up more
-   than ``2**16`` rows, whatever the ids: each chunk knows how many leaves of its group come before it.
+   The chunks' totals are summed in digits of ``DIGIT`` bits, so that no task adds up more
+   than ``2**DIGIT`` narrow rows, whatever the ids: each chunk knows how many leaves of its group come before it.
 3. *Rank queries.*  Rows meet their chunk's bitmap; chunk base, directory and a masked
    popcount give a row's coordinate.  Ids that occur more than once (known from the bitmaps)
    are ranked among themselves by the same index over the leading 64 bits of their leaves;
@@ -46,7 +46,8 @@ from grovecast.llm.suffix_dedup import pack_batch, unpack_batch
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY, LEVELS = 3, 7
 WIDTH = ARITY ** LEVELS
-CHUNK, DIGITS = 16, 3  # bits of a chunk; digits of 16 bits above it
+#: bits of a chunk; the bits above it in digits
+CHUNK, DIGITS, DIGIT = 12, 3, 18
 SET_BYTES = 1 << CHUNK - 3
 ARRAY_MOST = SET_BYTES // 2 - 1  # an array is always shorter than a bit set, which tells them apart
 FLUSH = 1 << 20
@@ -100,7 +101,7 @@ def fold(digest: str, proof: bytes) -> str:
 
 # -- bitmaps ------------------------------------------------------------------------
 def compress(low: np.ndarray) -> bytes:
-    """Distinct 16-bit numbers as a sorted array or, if they are many, as a bit set."""
+    """Distinct low bits as a sorted array or, if they are many, as a bit set."""
     if len(low) <= ARRAY_MOST:
         return np.unique(low).astype("<u2").tobytes()
     bits = np.zeros(1 << CHUNK, np.uint8)
@@ -201,10 +202,10 @@ def joined(left: DataFrame, right: DataFrame, cols: list[str], how: str = "inner
 
 def bases(counts: DataFrame, group: list[str], digits: int = DIGITS) -> DataFrame:
     """group, chunk, base: the sum of n over the chunks of the group before this one (group, chunk, n).
-    A window holds the chunks of one parent, ``2**16`` rows at most."""
+    A window holds the chunks of one parent, ``2**DIGIT`` rows at most."""
     if not digits:
         return counts.select(*group, "chunk", F.lit(0).cast("bigint").alias("base"))
-    up = counts.withColumn("up", F.shiftright("chunk", CHUNK))
+    up = counts.withColumn("up", F.shiftright("chunk", DIGIT))
     before = F.sum("n").over(Window.partitionBy(*group, "up").orderBy(F.col("chunk").asc_nulls_first())
                              .rowsBetween(Window.unboundedPreceding, -1))
     parents = up.groupBy(*group, "up").agg(F.sum("n").alias("n"))
