@@ -72,10 +72,23 @@ def hand_back() -> None:
         pass
 
 
+#: Arrow batches between executors and their Python workers are at most about this large.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession | None) -> None:
+    """Have this session cut Arrow batches at ``BATCH_BYTES`` (rows of megabytes, and the 10,000
+    rows that are usual otherwise, would fill a worker and the JVM's buffers beside it)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and str(spark.conf.get(key)).rstrip("b") != str(BATCH_BYTES):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def tidy(fn: Callable) -> Callable:
-    """``fn`` for ``mapInArrow`` (a generator) or ``applyInArrow`` (one or two tables), after
-    which the worker hands its freed memory back.  Workers outlive their tasks, so
-    what one stage has freed would else be held all through the next ones."""
+    """``fn`` for ``mapInArrow`` (a generator) or ``applyInArrow`` (one or two tables), which gets
+    small batches and after which the worker hands its freed memory back.  Workers
+    outlive their tasks, so what one stage has freed would else be held all through the next ones."""
+    small_batches(SparkSession.getActiveSession())
     if inspect.isgeneratorfunction(fn):
         def run(batches):
             try:

@@ -11,7 +11,8 @@ are linked if the Jaccard similarity of their sets is ``threshold`` or more.
    candidates; buckets with the same nodes as another one are dropped.
 4. A bucket is verified in cells.  A large bucket is salted: its nodes are dealt
    into blocks of about ``block`` nodes, and each pair of blocks is one cell, so no
-   task holds more than two blocks.  A cell streams in with the nodes' full sets;
+   task holds more than two blocks.  Blocks are as large as a task's memory allows, since a
+   bucket of ``g`` blocks sends each of its sets ``g`` times.  A cell streams in with the nodes' full sets;
    pairs are verified on those, each pair once, in the first band that both share.
    No pair leaves a cell: per node only its number of links and one representative
    of the nodes it hangs together with.
@@ -36,10 +37,10 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from grovecast.llm.common import fresh, materialize, tidy
 
-SHINGLE, THRESHOLD, RECALL, MAX_HASHES, BLOCK = 5, 0.8, 0.9999, 128, 256
-#: shingles of a block: 8 bytes each, some copies of that while a cell is verified
-BLOCK_SIZE = 1 << 20
-BROADCAST_ROWS = 500_000
+SHINGLE, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.9999, 128
+#: a block of a bucket: at most about so many shingles (8 bytes each, some copies of that while a cell
+#: is verified), or so many nodes where texts are short (a node is compared with all of its cell at once)
+BLOCK_SIZE, BLOCK = 1 << 17, 1024
 _BASE = 0x100000001B3 * 0x9E3779B1 % 2**64 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SLICE = 50_000
@@ -175,18 +176,13 @@ def candidate_cells(nodes: DataFrame, block: int, block_size: int = BLOCK_SIZE)
     return rows.select("band", "h", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "key")
 
 
-def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast if it has at most ``rows`` (narrow) rows, else as it is
-    (the join then exchanges both sides)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def node_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """key, shingles (sorted hashes), bands for the given keys (key, doc_id of one copy)."""
+    """key, shingles (sorted hashes), bands (packed) for the given keys (key, doc_id of one copy).  The texts
+    are exchanged by key and id at every size; the narrow keys are the hashed side, so texts are not sorted."""
     text = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_key(F.col(text_col)).alias("key"),
                        F.col(text_col).cast("binary").alias("_text"))
     k = keys.select(F.col("key").alias("_k"), F.col("doc_id").alias("_d"))
-    one = (text.join(checked_broadcast(k), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    one = (text.join(k.hint("shuffle_hash"), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")))
            .select("key", "_text").dropDuplicates(["key"]))
 
     def run(batches):
@@ -195,12 +191,11 @@ def node_sets(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, n: i
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 sets = [shingles(t, n, powers) for t in batch.column(1).to_pylist()]
-                sig = signatures(sets, bands, rows).view(np.int64)
+                sig = signatures(sets, bands, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()),
-                                                  pa.array(list(sig), pa.list_(pa.int64()))], names=["key", "shingles", "bands"])
+                                                  pa.array([s.tobytes() for s in sig], pa.binary())], names=["key", "shingles", "bands"])
 
-    return one.mapInArrow(tidy(run), StructType([StructField("key", BinaryType()), StructField("shingles", BinaryType()),
-                                           StructField("bands", ArrayType(LongType()))]))
+    return one.mapInArrow(tidy(run), StructType([StructField(c, BinaryType()) for c in ("key", "shingles", "bands")]))
 
 
 def verify_cell(band: int, i: int, j: int, rows: list[dict], threshold: float) -> list[tuple[bytes, int, bytes]]:
@@ -208,7 +203,7 @@ def verify_cell(band: int, i: int, j: int, rows: list[dict], threshold: float) -
     rows = sorted(rows, key=lambda r: r["key"])
     sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
     size = np.array([len(s) for s in sets])
-    sig = np.array([r["bands"] for r in rows], np.int64)
+    sig = np.array([np.frombuffer(r["bands"], "<u8") for r in rows])
     blk = np.array([r["blk"] for r in rows])
     n = len(rows)
     # postings: shingle -> nodes
@@ -266,14 +261,14 @@ def verify(cells: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.int64()),
                                                pa.array([g[2] for g in got], pa.binary())], names=["key", "links", "rep"])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for r in batch.slice(at, 256).to_pylist():
-                    me = (r["band"], r["h"], r["i"], r["j"])
-                    if me != held:
-                        if group:
-                            yield done()
-                        held, group = me, []
-                    group.append(r)
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                me = (r["band"], r["h"], r["i"], r["j"])
+                if me != held:
+                    if group:
+                        yield done()
+                    held, group = me, []
+                group.append(r)
         if group:
             yield done()
 
@@ -289,9 +284,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = (both.join(labels.select(F.col("key").alias("b"), F.col("label").alias("l")), "b")
                 .groupBy(F.col("a").alias("key")).agg(F.min("l").alias("l")))
         step = labels.join(near, "key").select("key", F.col("label").alias("old"), F.least("label", "l").alias("label"))
-        # ... and the label of that label
-        jump = step.select(F.col("key").alias("label"), F.col("label").alias("far"))
-        nxt = materialize(step.join(jump, "label").select("key", "old", F.least("label", "far").alias("label")), "labels")
+        # ... and the label of that label: one row per label in use, so a label of very many
+        # nodes is looked up once, and its nodes need not meet while the labels fit a broadcast
+        step = materialize(step, "step")
+        far = materialize(step.select("label").distinct().join(step.select(F.col("key").alias("label"), F.col("label").alias("far")), "label"), "far")
+        nxt = materialize(step.join(far, "label").select("key", "old", F.least("label", "far").alias("label")), "labels")
         if not nxt.where(F.col("old") != F.col("label")).limit(1).count():
             return nxt.select("key", "label")
         labels = nxt.select("key", "label")
@@ -315,7 +312,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(edges)
     named = (nodes.select("key", "doc_id", "n_copies").join(labels, "key", "left").join(linked, "key", "left")
              .withColumn("label", F.coalesce("label", "key")))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = materialize(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least")
     classes = named.join(least, "label").select(F.col("key").alias("_k"), F.col("label").alias("class_key"), "class_id",
                                                 F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
     key = F.when(F.col("bands").isNotNull(), F.col("key"))
@@ -329,17 +326,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """``docs`` (its own columns) with one document of each class: the one with the
     smallest id (of equal ids the smallest digest, of equal rows one).  Texts without words all stay."""
     found = materialize(near_duplicates(docs, id_col, text_col, **how).where(F.col("key").isNotNull()).select("doc_id", "key", "class_key"), "classes")
-    # one (id, text) per class, and how many rows have it
+    # per (id, text) how many rows have it; of classes with several, the one that stays
+    per = materialize(found.groupBy("class_key", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "members")
     row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    per = found.groupBy("class_key", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
-    d, k, n = fresh(docs, "_d", "_k", "_n")
-    kept = (per.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key", "n"), row).alias("m"))
-            .select(F.col("m.doc_id").alias(d), F.col("m.key").alias(k), F.col("m.n").alias(n)))
-    kept = materialize(kept, "kept")
-    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(words).join(checked_broadcast(kept), (text_key(F.col(text_col)) == F.col(k))
-                                  & F.col(id_col).cast("bigint").eqNullSafe(F.col(d)))
-    out = rows.where(F.col(n) == 1).select(*docs.columns).unionByName(docs.where(~words))
-    if kept.where(F.col(n) > 1).limit(1).count():  # repeated rows: only those are exchanged
-        out = out.unionByName(rows.where(F.col(n) > 1).select(*docs.columns).dropDuplicates([id_col, text_col]))
-    return out
+    first = (per.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key"), row).alias("m"), F.count(F.lit(1)).alias("members"))
+             .where("members > 1").select("class_key", F.col("m.doc_id").alias("first_id"), F.col("m.key").alias("first_key")))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
+    d, k = fresh(docs, "_d", "_k")
+    gone = per.join(materialize(first, "first"), "class_key").where(other).select(F.col("doc_id").alias(d), F.col("key").alias(k))
+    gone = materialize(gone, "gone")
+    same = (text_key(F.col(text_col)) == F.col(k)) & F.col(id_col).cast("bigint").eqNullSafe(F.col(d))
+    gone_side = gone.hint("shuffle_hash")  # texts are exchanged at every size, and not sorted
+    twice = per.where("n > 1").select(F.col("doc_id").alias(d), F.col("key").alias(k))
+    if not twice.limit(1).count():
+        return docs.join(gone_side, same, "left_anti")
+    # repeated rows: only those are exchanged by id and text
+    alone = docs.join(gone.unionByName(twice), same, "left_anti")
+    out = gone.select(F.col(d).alias("gone_id"), F.col(k).alias("gone_key"))
+    kept = twice.join(out, F.col(d).eqNullSafe(F.col("gone_id")) & (F.col(k) == F.col("gone_key")), "left_anti")
+    return alone.unionByName(docs.join(kept, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -16,9 +16,11 @@ also starts in a document with a smaller id.  The method, as Spark jobs:
    once) go to cells by anchor, so that equal strings meet.  A cell's runs form
    shards of at most ``array_bytes``; for each, a suffix array is built by
    Larsson-Sadakane refinement (sort by 8 bytes, then refine only groups still
-   tied, doubling the depth up to ``LENGTH``) and common prefixes are found in text
+   tied, doubling the depth until no tie is left) and common prefixes are found in text
    order from Kasai's bound.  Neighbours with ``LENGTH`` bytes in common are one string;
-   its smallest document id is known.
+   its smallest document id is known.  Equal runs of a cell are one entry: their smallest id settles
+   all but the first at once (most repeats are of this kind), and the arrays find the strings that
+   different runs share.
    The strings of a hot anchor go one by one to cells of their own, as many as its bytes
    need, by a hash of the whole string: equal strings meet, others spread.
 4. *Merging.*  Where a cell has several suffix arrays, each one's sorted strings are
@@ -43,6 +45,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -52,6 +55,7 @@ from grovecast.llm.common import fresh, input_bytes, materialize, tidy
 LENGTH, GRAM = 50, 16
 SHARD_BYTES, BUCKET_ANCHORS, CELL_BYTES, ARRAY_BYTES = 4 << 20, 1 << 20, 4 << 20, 2 << 20
 BLOCK = 1 << 16
+ROW_BYTES = 64  # what a row counts beside its text
 NO_ID = np.iinfo(np.int64).max
 _MULT, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
@@ -272,17 +276,20 @@ def pack_batch(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def unpack_batch(data: bytes) -> pa.RecordBatch:
+def unpack_batch(data: bytes | pa.Buffer) -> pa.RecordBatch:
     with pa.ipc.open_stream(data) as r:
         return r.read_next_batch()
 
 
 def shard_texts(batch: pa.RecordBatch, text: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All texts as one byte array, where each ends, and the ids (null: NO_ID)."""
-    raw = [b"" if t is None else t.encode() if isinstance(t, str) else t for t in batch.column(text).to_pylist()]
-    ends = np.cumsum([len(t) for t in raw], dtype=np.int64)
-    ids = np.array([NO_ID if i is None else i for i in batch.column(key).to_pylist()], np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), ends, ids
+    ids = batch.column(key).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
+    col = batch.column(text).fill_null("").cast(pa.large_string()).cast(pa.large_binary())
+    if not len(col):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), ids
+    offsets = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, 8 * col.offset)
+    data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    return data, offsets[1:] - offsets[0], ids
 
 
 def run_bytes(data: bytes, first: np.ndarray, count: np.ndarray, which: np.ndarray, often: np.ndarray, length: int) -> np.ndarray:
@@ -323,23 +330,33 @@ def shards_and_cells(docs: DataFrame, id_col: str, text_col: str, length: int, s
 
     def to_shards(batches):
         from pyspark import TaskContext
-        me, k = TaskContext.get().partitionId() << 32, 0
+        me, k, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def shard():
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            return pa.RecordBatch.from_arrays([pa.array([me + k], pa.int64()), pa.array([pack_batch(whole)], pa.binary())], names=["shard", "rows"])
+
         for batch in batches:
-            sizes = np.array([len(t) if t is not None else 0 for t in batch.column(text).to_pylist()], np.int64)
-            shard = np.cumsum(sizes) // shard_bytes
-            cut = np.flatnonzero(np.diff(shard)) + 1
-            for a, b in zip([0, *cut], [*cut, batch.num_rows]):
-                if b > a:
-                    yield pa.RecordBatch.from_arrays([pa.array([me + k], pa.int64()), pa.array([pack_batch(batch.slice(a, b - a))], pa.binary())],
-                                                     names=["shard", "rows"])
-                    k += 1
+            ends = np.append(0, np.cumsum(pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False) + ROW_BYTES))
+            at = 0
+            while at < batch.num_rows:  # the row that fills a shard is its last
+                to = min(int(np.searchsorted(ends, ends[at] + shard_bytes - size)), batch.num_rows)
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to] - ends[at])
+                at = to
+                if size >= shard_bytes:
+                    yield shard()
+                    k, held, size = k + 1, [], 0
+        if held:
+            yield shard()
 
     shards = materialize(docs.mapInArrow(tidy(to_shards), "shard long, rows binary"), "shards")
 
     def to_anchors(batches):
         for batch in batches:
-            for shard, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data, ends, _ = shard_texts(unpack_batch(rows), text, key)
+            for shard, rows in zip(batch.column(0), batch.column(1)):
+                shard = shard.as_py()
+                data, ends, _ = shard_texts(unpack_batch(rows.as_buffer()), text, key)
                 first, count, anchor, _ = runs(data, ends, length)
                 a, which, often = np.unique(anchor, return_inverse=True, return_counts=True)
                 heavy = run_bytes(data.tobytes(), first, count, which, often, length)
@@ -386,8 +403,9 @@ def shards_and_cells(docs: DataFrame, id_col: str, text_col: str, length: int, s
 
     def to_cells(rows: pa.Table, bits: pa.Table) -> pa.Table:
         out = {n: [] for n in CELL_NAMES}
-        for shard, packed in zip(rows.column("shard").to_pylist(), rows.column("rows").to_pylist()):
-            data, ends, ids = shard_texts(unpack_batch(packed), text, key)
+        for shard, packed in zip(rows.column("shard"), rows.column("rows")):
+            shard = shard.as_py()
+            data, ends, ids = shard_texts(unpack_batch(packed.as_buffer()), text, key)
             first, count, anchor, doc = runs(data, ends, length)
             have = np.unique(anchor)
             bucket = ((have >> np.uint64(40)) % np.uint64(n_buckets)).astype(np.int64)
@@ -456,7 +474,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         least: list[int] = []
         seen = []
         out = {"shard": [], "begin": [], "end": []}
-        for r in table.to_pylist():
+        for k in range(table.num_rows):
+            r = {c: table.column(c)[k].as_py() for c in table.schema.names}
             if r["cell"] < 0:
                 spans = grow(r["places"], 8 * r["n_places"])
                 for n, v in zip(out, (r["shard"], spans[:4 * r["n_places"]], spans[4 * r["n_places"]:])):
@@ -501,8 +520,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         tables = []
         begin = np.frombuffer(b"".join(spans.column("begin").to_pylist()), "<u4")
         stop = np.frombuffer(b"".join(spans.column("end").to_pylist()), "<u4")
-        for packed in rows.column("rows").to_pylist():
-            batch = unpack_batch(packed)
+        for packed in rows.column("rows"):
+            batch = unpack_batch(packed.as_buffer())
             data, ends, _ = shard_texts(batch, text, key)
             depth = np.bincount(begin, minlength=len(data) + 1) - np.bincount(stop, minlength=len(data) + 1)
             gone = np.cumsum(depth[:-1]) > 0
