@@ -18,8 +18,9 @@ For prediction, embedding and linear layer are one table (bucket x language), si
 the mean and the linear layer commute; it is broadcast (a fixed size).
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected;
-rows with a null label are not learnt from; ids may be null or repeat (a null id
-is never learnt from); without any labelled row every text is ``und``; an empty
+rows with a null label are not learnt from; ids are bigint (others are cast, what is no number counts as
+null) and may be null or repeat (a null id is never learnt from, of rows with one id and label the smallest
+text is); without any labelled row every text is ``und``; an empty
 table gives an empty result; only id, text and label are read.
 """
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
-from grovecast.llm.common import fresh, tidy
+from grovecast.llm.common import fresh, hand_back, tidy
 
 BUCKETS, DIM, GRAMS = 1 << 15, 16, (2, 3, 4)
 MAX_DOCS, EPOCHS, RATE = 3000, 6, 0.5
@@ -75,10 +76,8 @@ class Model:
     threshold: float
 
     def logits(self, text: bytes) -> np.ndarray:
-        ids = buckets(text)
-        if len(ids) < 4096:
-            return self.table[ids].sum(0) / max(1, len(ids)) + self.bias
-        return np.bincount(ids, minlength=BUCKETS) @ self.table / len(ids) + self.bias
+        counts = np.bincount(buckets(text), minlength=BUCKETS)  # whole numbers: one way for every length
+        return counts @ self.table / max(1, counts.sum()) + self.bias
 
     def predict(self, text: bytes | None) -> tuple[str, float]:
         if not text or not self.langs or not has_letter(text):
@@ -105,45 +104,47 @@ def sample(docs: DataFrame, learn: Column, max_docs: int) -> DataFrame:
     counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_docs)
     low = (h.cast("double") / 2.0 ** 64 + 0.5) * F.col("n") <= SPARE * max_docs
     turn = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
-    chosen = (named.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low)
-              .select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= max_docs)
-              .orderBy("turn", "lang").limit(max_docs).select("doc_id", "lang").distinct())
-    # at most max_docs narrow rows: a broadcast of a bounded size
-    return named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").limit(max_docs)
+    ids = named.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(low).select("doc_id", "lang").distinct()
+    chosen = (ids.select("doc_id", "lang", turn.alias("turn")).where(F.col("turn") <= max_docs)
+              .orderBy("turn", "lang").limit(max_docs).select("doc_id", "lang"))
+    # at most max_docs narrow rows: a broadcast of a bounded size; rows with one id and label count
+    # once, copies meet in the map tasks already
+    return named.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
 
 def training_rows(rows: DataFrame) -> list:
-    """Bucket counts of the sampled texts: whole, and three short stretches each."""
+    """Bucket shares of the sampled texts, whole and three short stretches each, on the driver: at most
+    6 bytes for each bucket of a text, so ``6 * BUCKETS * max_docs`` and a little for the stretches."""
     def run(batches):
-        for batch in batches:
-            out = []
-            for doc, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                raw = (text or "").encode()
-                if not raw or not has_letter(raw):
-                    continue
-                words = raw.split()
-                rng = np.random.default_rng(abs(hash(doc)) if isinstance(doc, int) else 0)
-                cuts = [(int(a), int(a + k)) for a, k in zip(rng.integers(0, len(words), 3), (2, 5, 12))] if len(words) > 12 else []
-                for part in [raw, *[b" ".join(words[a:b]) for a, b in cuts]]:
-                    ids, n = np.unique(buckets(part), return_counts=True)
-                    if len(ids):
-                        out.append({"doc": int(doc), "lang": lang, "ids": ids.astype("<u4").tobytes(), "n": n.astype("<u4").tobytes()})
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
-                    [("doc", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("n", pa.binary())]))
-
-    return rows.mapInArrow(tidy(run), "doc long, lang string, ids binary, n binary").collect()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 64):
+                out = []
+                for doc, lang, text in zip(*[whole.slice(at, 64).column(i).to_pylist() for i in range(3)]):
+                    raw = (text or "").encode()
+                    if not raw or not has_letter(raw):
+                        continue
+                    words = raw.split()
+                    rng = np.random.default_rng(abs(hash(doc)))
+                    cuts = [(int(a), int(a + k)) for a, k in zip(rng.integers(0, len(words), 3), (2, 5, 12))] if len(words) > 12 else []
+                    for part in [raw, *[b" ".join(words[a:b]) for a, b in cuts]]:
+                        ids, n = np.unique(buckets(part), return_counts=True)
+                        if len(ids):
+                            out.append({"doc": doc, "lang": lang, "ids": ids.astype("<u2").tobytes(), "share": (n / n.sum()).astype("<f4").tobytes()})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=pa.schema(
+                        [("doc", pa.int64()), ("lang", pa.string()), ("ids", pa.binary()), ("share", pa.binary())]))
+
+    return rows.mapInArrow(tidy(run), "doc long, lang string, ids binary, share binary").collect()
 
 
 def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, reject_rate: float = REJECT_RATE) -> Model:
     """Fit embedding and linear layer, then calibrate (see the module text)."""
-    rows = sorted(rows, key=lambda r: (r["doc"], r["lang"], bytes(r["ids"]), bytes(r["n"])))
+    rows = sorted(rows, key=lambda r: (r["doc"], r["lang"], bytes(r["ids"]), bytes(r["share"])))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
-        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(7)
-    x = [(np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["n"], "<u4").astype(np.float32)) for r in rows]
-    x = [(i, n / n.sum()) for i, n in x]
+    x = [(np.frombuffer(r["ids"], "<u2"), np.frombuffer(r["share"], "<f4")) for r in rows]
     y = np.array([langs.index(r["lang"]) for r in rows])
     docs = np.array([r["doc"] for r in rows])
     aside = (docs * 2654435761 % 2**32) % 10 == 0
@@ -167,7 +168,7 @@ def train(rows: list, epochs: int = EPOCHS, rate: float = RATE, reject_rate: flo
             # a word's row moves with its share; scaled up, since shares are small
             emb[ids] -= (lr * np.minimum(1.0, 20 * w))[:, None] * back
             done += 1
-    table = (emb @ lin).astype(np.float32)
+    table = (emb @ lin).astype(np.float64)
     held = np.flatnonzero(aside) if aside.any() else learn
     z = np.array([x[k][1] @ table[x[k][0]] + bias for k in held])
     grid = np.geomspace(0.05, 5, 60)
@@ -183,8 +184,11 @@ def fit(docs: DataFrame, learn: Column | None = None, max_docs: int = MAX_DOCS,
         text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of the rows where ``learn`` (over the columns doc_id,
     lang, text) holds."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    return train(training_rows(sample(named, F.lit(True) if learn is None else learn, max_docs)))
+    named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    try:
+        return train(training_rows(sample(named, F.lit(True) if learn is None else learn, max_docs)))
+    finally:
+        hand_back()  # the driver's memory for the sample
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
