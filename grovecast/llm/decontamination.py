@@ -9,10 +9,12 @@ looked up in the numbering, a rolling hash over the numbers is looked up in the
 sorted array, and every hit is verified on the whole number sequence, so hash
 collisions never count.
 
-The broadcast has a stated bound: the benchmark is cut by item into parts of
-at most ``max_windows`` windows, each part is broadcast and scanned for itself,
-and the hits of a document are merged.  One part is the usual case; a benchmark
-beyond the bound takes more scans, not a larger broadcast.
+The broadcast has a stated bound: the benchmark is cut into parts of at most
+``max_windows`` windows (a larger item too, its pieces overlap by ``n - 1`` words), each part is
+broadcast and scanned for itself, and the hits of a document are merged.  One part is the
+usual case; a benchmark beyond the bound takes more scans, not a larger broadcast.  A part is some
+numpy arrays (about 20 bytes a window) and the numbering of its different words, of which there
+are fewer than windows and words per window: at the bound under 200 MB where every word differs (tested).
 
 Cases: null or wordless texts have no words and no hits; null or wordless items
 have no windows; items with equal windows are all hit; repeated item ids count
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from grovecast.llm.common import binary_views, fresh, tidy
 
-N, MAX_WINDOWS = 10, 2_000_000
+N, MAX_WINDOWS = 10, 1_000_000
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,32 +54,50 @@ def window_hash(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of some benchmark items, ready for scanning."""
+    """The windows of some benchmark items, ready for scanning.  The items' words are one sequence of
+    numbers; of each size of window the different ones are kept as hash, place in the sequence and the
+    numbers of the items that have them, in the order of the hashes."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], n: int):
         self.number: dict[bytes, int] = {}
-        groups: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, text in items:
-            ids = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
-            size = min(n, len(ids))
-            for i in range(len(ids) - size + 1 if size else 0):
-                groups.setdefault(size, {}).setdefault(tuple(ids[i:i + size]), set()).add(item)
-        self.tables = []
-        for size, windows in sorted(groups.items()):
-            grams = np.array(list(windows), np.int64).reshape(-1, size)
-            h = np.concatenate([window_hash(g, size) for g in grams])
-            order = np.argsort(h, kind="stable")
-            owners = list(windows.values())
-            self.tables.append((size, h[order], grams[order], [owners[i] for i in order]))
+        self.items, flat, starts = [], [], {}
+        at = 0
+        for k, (item, text) in enumerate(items):
+            number = self.number
+            ids = np.array([number.setdefault(w, len(number)) for w in words_of(text)], np.int32)
+            self.items.append(item)
+            if len(ids):
+                size = min(n, len(ids))
+                starts.setdefault(size, []).append((at, len(ids) - size + 1, k))
+                flat.append(ids)
+                at += len(ids)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        self.tables = [(size, *self._table(size, runs)) for size, runs in sorted(starts.items())]
+
+    def _table(self, size: int, runs: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """Hash and first place of the different windows, where each one's items begin, and these."""
+        place = np.concatenate([np.arange(a, a + k, dtype=np.int32) for a, k, _ in runs])
+        owner = np.repeat(np.array([i for _, _, i in runs], np.int32), [k for _, k, _ in runs])
+        h = window_hash(self.flat, size)[place]
+        order = np.lexsort((owner, h))
+        h, place, owner = h[order], place[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        for k in range(size):  # equal hashes of different windows stay apart
+            x = self.flat[place + k]
+            new[1:] |= x[1:] != x[:-1]
+        head = np.flatnonzero(new)
+        return h[head], place[head], np.append(head, len(h)).astype(np.int32), owner
 
     def state(self) -> tuple:
         """Plain values, for a broadcast."""
-        return self.number, self.tables
+        return list(self.number), self.items, self.flat, self.tables
 
     @classmethod
     def of(cls, state: tuple) -> WindowSet:
         new = cls([], 1)
-        new.number, new.tables = state
+        words, new.items, new.flat, new.tables = state
+        new.number = {w: k for k, w in enumerate(words)}
         return new
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
@@ -88,7 +108,7 @@ class WindowSet:
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         known = ids >= 0
         run = np.concatenate([[0], np.cumsum(known)])
-        for size, hashes, grams, owners in self.tables:
+        for size, hashes, places, first, owners in self.tables:
             if len(words) < size:
                 continue
             at = np.flatnonzero(run[size:] - run[:-size] == size)  # all words known
@@ -97,29 +117,43 @@ class WindowSet:
             h = window_hash(ids, size)[at]
             lo = np.searchsorted(hashes, h, "left")
             hi = np.searchsorted(hashes, h, "right")
+            seen: set[int] = set()
             for p, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist()):
                 for j in range(a, b):  # more than one only where hashes collide
-                    if (ids[p:p + size] == grams[j]).all():
+                    if (ids[p:p + size] == self.flat[places[j]:places[j] + size]).all():
                         hit[p:p + size] = True
-                        found |= owners[j]
+                        seen.add(j)
+            for j in seen:
+                found.update(self.items[k] for k in owners[first[j]:first[j + 1]].tolist())
         return hit, found
 
 
 def _parts(benchmark: DataFrame, item_col: str, text_col: str, n: int, max_windows: int):
-    """The items in parts of at most ``max_windows`` windows (a larger item alone)."""
+    """The items in parts of at most ``max_windows`` windows; a larger item in pieces of its words."""
     part, size = [], 0
     rows = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     for r in rows.toLocalIterator():
-        k = max(0, len(words_of(r["t"])) - n + 1) + 1
-        if part and size + k > max_windows:
-            yield part
-            part, size = [], 0
-        part.append((r["i"], bytes(r["t"]) if r["t"] is not None else None))
-        size += k
+        for k, text in _pieces(bytes(r["t"]) if r["t"] is not None else None, n, max_windows):
+            if part and size + k > max_windows:
+                yield part
+                part, size = [], 0
+            part.append((r["i"], text))
+            size += k
     if part:
         yield part
 
 
+def _pieces(text: bytes | None, n: int, max_windows: int):
+    """(windows, text) of an item, cut between windows where it has more than ``max_windows``."""
+    words = words_of(text)
+    k = len(words) - n + 1
+    if k <= max_windows:
+        yield max(k, 0) + 1, text
+        return
+    for at in range(0, k, max_windows):
+        yield min(max_windows, k - at), b" ".join(words[at:at + max_windows + n - 1])
+
+
 HITS = pa.schema([("n_words", pa.int64()), ("hits", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
