@@ -130,6 +130,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "pa
     # the counts are read along several branches: written once
     urls = materialize(urls, "url-counts")
     labels = urls.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).first()
-    learnt = template_verdicts(learn_templates(urls), labels["bad"] or 0, labels["good"] or 0)
-    return (named.join(learnt, ["host", "shape"], "left")
-            .select("page_id", "host", "path", "rule", F.coalesce("says", "verdict").alias("verdict"), "template", "bad_share"))
+    # likewise the templates, of which the verdicts are made
+    templates = materialize(learn_templates(urls), "templates")
+    learnt = template_verdicts(templates, labels["bad"] or 0, labels["good"] or 0)
+    # urls without host and path (null, no url) are one row of the templates: it is read here, so
+    # they need not meet on one key
+    none = learnt.where("host = '' and shape = ''").select("verdict", "template", "bad_share").first()
+    empty = (F.col("host") == "") & (F.col("shape") == "")
+    named = named.withColumn("_host", F.when(~empty, F.col("host")))
+    got = named.join(learnt.withColumnRenamed("host", "_host"), ["_host", "shape"], "left")
+    for c in ("verdict", "template", "bad_share"):
+        own = F.lit(none[c] if none else None).cast(got.schema[c].dataType)
+        got = got.withColumn(c, F.when(empty, own).otherwise(F.col(c)))
+    return (got.select("page_id", "host", "path", "rule", F.coalesce("says", "verdict").alias("verdict"), "template", "bad_share"))
