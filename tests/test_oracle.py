@@ -17,8 +17,8 @@ def con():
     return duck(SF_SMALL)
 
 
-def test_every_query_has_oracle_or_is_ml():
-    assert set(QUERIES) - set(ORACLE) == {"fit_simple"}
+def test_every_query_has_its_oracle():
+    assert set(QUERIES) == set(ORACLE)
     assert set(QUERIES) <= set(E.queries())
 
 
