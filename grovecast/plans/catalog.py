@@ -562,7 +562,8 @@ def q_fit_simple(spark, sf_dir):
     from grovecast.plans import fit
     # read for the sums and for the errors of the folds: written once
     train = fx.materialize(_training(spark, sf_dir), "training")
-    feats, meta = fit.fit_linear(train, SIMPLE_FEATURES, "fitted")
+    # the model tables are stored, as those that the scorers read
+    feats, meta = (fx.materialize(t, "model") for t in fit.fit_linear(train, SIMPLE_FEATURES, "fitted"))
     rounded = ("mean", "scale", "coef", "intercept", "cv_mae", "adj_r2")
     got = feats.join(meta, ["model", "member"])
     return got.select(*[F.bround(c, 6).alias(c) if c in rounded else c for c in got.columns])
@@ -674,7 +675,7 @@ def q_fit_coefficients(spark, sf_dir):
     from pyspark.sql import functions as F
     from grovecast.plans import fit
     train = fx.materialize(_training(spark, sf_dir), "training")
-    feats, meta = fit.fit_linear(train, SIMPLE_FEATURES, "fitted", folds=0)
+    feats, meta = (fx.materialize(t, "model") for t in fit.fit_linear(train, SIMPLE_FEATURES, "fitted", folds=0))
     return feats.join(meta.select("model", "member", "intercept"), ["model", "member"]).select(
         "model", "member", "feature",
         *[F.bround(c, 6).alias(c) for c in ("mean", "scale", "coef", "intercept")])

@@ -54,8 +54,11 @@ def fit_linear(train: DataFrame, names: list[str], model: str, member: str = "li
     if others:
         own = fits.where("fit >= 0").select(F.col("fit").alias("fold"), "mean", "scale", "coef", "intercept")
         errors = rows.join(own, "fold").groupBy("fold").agg(X.exact_avg(F.abs(F.col("label") - normal.predicted(names))).alias("mae"))
-        cv = errors.agg(F.avg("mae").alias("cv_mae")).select(F.lit(model).alias("model"), "cv_mae")
-        meta = meta.join(cv, "model", "left").withColumn("cv_mae", F.when(n >= folds, F.col("cv_mae")))
+        # two rows of one member, put together by an aggregate: there is no key to join them on
+        cv = errors.agg(F.avg("mae").alias("cv_mae")).select(F.lit(model).alias("model"), F.lit(member).alias("member"), "cv_mae")
+        both = meta.unionByName(cv, allowMissingColumns=True)
+        meta = both.groupBy("model", "member").agg(*[F.max(c).alias(c) for c in both.columns if c not in ("model", "member")]).where("n is not null")
+        meta = meta.withColumn("cv_mae", F.when(n >= folds, F.col("cv_mae")))
     else:
         meta = meta.withColumn("cv_mae", F.lit(None).cast("double"))
     at = F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("feature"), "mean", "scale", "coef")
